@@ -12,6 +12,9 @@ WS = (
     r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+WS_CHARS = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 # Letters, digits and underscore in any script.
 WORD = r"\p{L}\p{N}_"
 
@@ -20,13 +23,14 @@ TOKEN_PATTERN = f"([{WORD}]+)"
 
 def strip(c: Column) -> Column:
     """Trim any white space, not only blanks."""
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+\\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def clean_text(c: Column) -> Column:
     """Null to '', trim, collapse white space, then blank out unusual characters."""
-    collapsed = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), f"[{WS}]+", " ")
-    return F.regexp_replace(collapsed, f"[^{WORD}{WS}.,;:!?\\-()]", " ")
+    # A lone blank already is what it would become, so only other runs are replaced.
+    collapsed = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), f" ?[{WS}&&[^ ]][{WS}]*|  [{WS}]*", " ")
+    return F.regexp_replace(collapsed, f"(?![A-Za-z0-9 .,;:!?\\-()])[^{WORD}{WS}]", " ")
 
 
 def tokens(c: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as X
+from tessera.functions.rows import explode_once
 
 # Allowed answer types; anything else becomes the fallback.
 ANSWER_TYPES = ["success", "no_results", "error", "text_fallback", "parse_error", "conversational"]
@@ -31,13 +32,25 @@ NO_RESULTS_SUGGESTIONS = [
 NUMERIC_HINT = "Para ver detalles, pregunta específicamente por país, criticidad o nombre"
 PARSE_ERROR_MESSAGE = "La respuesta no pudo ser procesada completamente."
 
-ANSWER_SCHEMA = T.StructType.fromDDL(
-    "answer_type string, summary string, message string, html_table string, mermaid_diagram string,"
-    "total_found bigint,"
-    "applications array<struct<name:string,country:string,criticality:string,status:string,deploy:string,"
-    "score:double,highlights:array<string>>>,"
-    "insights array<string>, suggestions array<string>, filters_applied string, has_more boolean,"
-    "page int, page_size int, timestamp string, raw_text string"
+_TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
+_APPLICATION = T.StructType(
+    [T.StructField(n, _TEXT) for n in ("name", "country", "criticality", "status", "deploy")]
+    + [T.StructField("score", T.DoubleType()), T.StructField("highlights", _TEXTS)]
+)
+ANSWER_SCHEMA = T.StructType(
+    [T.StructField(n, _TEXT) for n in ("answer_type", "summary", "message", "html_table", "mermaid_diagram")]
+    + [
+        T.StructField("total_found", T.LongType()),
+        T.StructField("applications", T.ArrayType(_APPLICATION)),
+        T.StructField("insights", _TEXTS),
+        T.StructField("suggestions", _TEXTS),
+        T.StructField("filters_applied", _TEXT),
+        T.StructField("has_more", T.BooleanType()),
+        T.StructField("page", T.IntegerType()),
+        T.StructField("page_size", T.IntegerType()),
+        T.StructField("timestamp", _TEXT),
+        T.StructField("raw_text", _TEXT),
+    ]
 )
 
 # Fixed value: a JSON object with at most one level of inner objects.
@@ -79,13 +92,21 @@ def normalize_answer(answer: Column, as_of: Column | None = None) -> Column:
     return F.struct(*[(values[f.name] if f.name in values else get(f.name)).alias(f.name) for f in ANSWER_SCHEMA.fields])
 
 
-def parse_generated(text: Column, as_of: Column | None = None) -> Column:
-    """Answer struct from generated text; unparseable text becomes a parse error with its head."""
-    parsed = safe_json_parse(text)
+def parse_answers(df: DataFrame, text: str, as_of: Column | None = None, out: str = "answer") -> DataFrame:
+    """Adds the answer struct read from generated text; unparseable text becomes a parse error.
+
+    Each stage is computed once per row although the next one names it for every field.
+    """
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    generated = F.col(text)
+    parsed = explode_once(df, F.array(safe_json_parse(generated)), "__parsed", keep)
     failed = _answer(
-        answer_type=F.lit("parse_error"), message=F.lit(PARSE_ERROR_MESSAGE), raw_text=F.substring(text, 1, RAW_LIMIT)
+        answer_type=F.lit("parse_error"), message=F.lit(PARSE_ERROR_MESSAGE), raw_text=F.substring(generated, 1, RAW_LIMIT)
     )
-    return normalize_answer(F.when(parsed.isNotNull(), parsed).otherwise(failed), as_of)
+    chosen = F.when(generated.isNull(), F.lit(None)).otherwise(F.coalesce("__parsed", failed))
+    rows = explode_once(parsed, F.array(chosen), "__chosen", keep)
+    normal = F.when(F.col("__chosen").isNotNull(), normalize_answer(F.col("__chosen"), as_of))
+    return rows.withColumn(out, normal).drop("__chosen")
 
 
 def _answer(**given: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import schema as S
 from tessera.functions import text as X
+from tessera.functions.rows import explode_once
 
 _STATE = "struct<cur:int,i:int,starts:array<int>>"
 
@@ -71,15 +72,11 @@ def explode_chunks(
     df: DataFrame, text: str, out: str = "chunk_text",
     max_chunk: int = S.MAX_CHUNK, min_chunk: int = S.MIN_CHUNK,
 ) -> DataFrame:
-    """One row per chunk with ``chunk_pos``, and null ``chunk_number``/``total_chunks`` for whole texts."""
+    """One row per chunk (none for a null text) with ``chunk_pos``, and null ``chunk_number``/``total_chunks`` for whole texts."""
     chunked = chunk_texts(df, text, max_chunk, min_chunk)
     keep = [c for c in df.columns]
-    return chunked.select(
-        *[F.col(f"`{c}`") for c in keep],
-        "__split",
-        F.size("__chunks").alias("__n"),
-        F.posexplode("__chunks").alias("chunk_pos", out),
-    ).select(
+    carried = [*[F.col(f"`{c}`") for c in keep], "__split", F.size("__chunks").alias("__n")]
+    return explode_once(chunked, F.col("__chunks"), out, carried, "chunk_pos").select(
         *[F.col(f"`{c}`") for c in keep],
         "chunk_pos",
         F.when(F.col("__split"), F.col("chunk_pos")).alias("chunk_number"),

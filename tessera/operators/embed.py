@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tessera import schema as S
 from tessera.functions import text as X
+from tessera.functions.rows import explode_once
 
 
 def token_slots(tokens: Column, dim: int) -> Column:
@@ -75,5 +76,15 @@ def embed_with(
     return df.mapInPandas(run, schema)
 
 
-def drop_unembedded(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    return df.filter(F.col(vector).isNotNull())
+def embedded(df: DataFrame, vector: Column, dim: int, keep: list[Column], out: str = "embedding") -> DataFrame:
+    """Rows with a vector; texts without one drop out and a wrong dimension fails the job.
+
+    The vector is computed once and then tested, not once for each test.
+    """
+    checked = F.transform(
+        F.filter(F.array(vector), lambda v: v.isNotNull()),
+        lambda v: F.when(F.size(v) == dim, v).otherwise(
+            F.raise_error(F.lit(f"embedding dimension must be {dim}")).cast("array<float>")
+        ),
+    )
+    return explode_once(df, checked, out, keep)

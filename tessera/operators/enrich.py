@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera import schema as S
 from tessera.functions import text as X
 from tessera.functions.coerce import to_float, to_int
+from tessera.functions.rows import explode_once
 
 
 def with_catalogue_columns(df: DataFrame) -> DataFrame:
@@ -24,26 +25,34 @@ def with_catalogue_columns(df: DataFrame) -> DataFrame:
     return df.select(*extra, *cols)
 
 
-def _clean(name: str) -> Column:
-    c = F.col(f"`{name}`")
-    if name in ("Score", "Starting Year"):
-        # A numeric zero is empty in the text, though metadata keeps it as 0.
-        c = F.when(c.try_cast("double") == 0, F.lit("")).otherwise(c)
-    return X.clean_text(c)
+def enriched_text() -> Column:
+    """``[country] name (ID: x) | label: value | ...`` with empty fields left out.
 
+    All fields go through one lambda, so that the expression names each column once however
+    often the plan repeats it.
+    """
 
-def enriched_text() -> Column:
-    """``[country] name (ID: x) | label: value | ...`` with empty fields left out."""
-    ident = _clean("Id_App")
-    head = F.concat(
-        F.lit("["), _clean("Country"), F.lit("] "), _clean("Name"),
-        F.when(ident != "", F.concat(F.lit(" (ID: "), ident, F.lit(")"))).otherwise(""),
-    )
-    parts = []
-    for label, name in S.TEXT_LABELS:
-        value = _clean(name)
-        parts.append(F.when(value != "", F.concat(F.lit(f"{label}: "), value)))
-    return F.concat_ws(" | ", head, *parts)
+    def raw(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        if name in ("Score", "Starting Year"):
+            # A numeric zero is empty in the text, though metadata keeps it as 0.
+            c = F.when(~F.coalesce(c.try_cast("double") == 0, F.lit(False)), c)
+        return c
+
+    names = ["Country", "Name", "Id_App", *[n for _, n in S.TEXT_LABELS]]
+    labels = F.array(*[F.lit(f" | {label}: ") for label, _ in S.TEXT_LABELS])
+
+    def piece(value: Column, i: Column) -> Column:
+        return (
+            F.when(i == 0, F.concat(F.lit("["), value, F.lit("] ")))
+            .when(i == 1, value)
+            .when(value == "", F.lit(""))
+            .when(i == 2, F.concat(F.lit(" (ID: "), value, F.lit(")")))
+            .otherwise(F.concat(F.get(labels, i - 3), value))
+        )
+
+    cleaned = F.transform(F.array(*[raw(n) for n in names]), X.clean_text)
+    return F.array_join(F.transform(cleaned, piece), "")
 
 
 def metadata(as_of: Column | None = None) -> Column:
@@ -75,16 +84,16 @@ def metadata(as_of: Column | None = None) -> Column:
 
 
 def enrich(df: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """Adds ``enriched_text``, ``metadata`` and ``skip_reason`` (null when the row is kept)."""
-    out = with_catalogue_columns(df).withColumn("enriched_text", enriched_text())
-    return out.withColumn("metadata", metadata(as_of)).withColumn(
-        "skip_reason",
-        F.when(F.length(X.strip(F.col("enriched_text"))) < S.MIN_TEXT, F.lit("short")),
-    )
+    """Adds ``enriched_text`` and ``metadata``; a row whose text is too short to keep has a null text."""
+    out = with_catalogue_columns(df)
+    long_enough = F.filter(F.array(enriched_text()), lambda t: F.length(X.strip(t)) >= S.MIN_TEXT)
+    return out.withColumn("enriched_text", F.get(long_enough, F.lit(0))).withColumn("metadata", metadata(as_of))
 
 
 def kept_rows(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("skip_reason").isNull())
+    """Rows with a text; the text is computed once, for the test and for the result."""
+    texts = F.filter(F.array("enriched_text"), lambda t: t.isNotNull())
+    return explode_once(df, texts, "enriched_text", [F.col(f"`{c}`") for c in df.columns if c != "enriched_text"])
 
 
 def override_metadata(md: Column, **values: Column) -> Column:

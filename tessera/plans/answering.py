@@ -56,8 +56,9 @@ def ask(index: TextIndex, questions: DataFrame, dim: int, top_k: int = S.TOP_K,
     ).withColumn("prompt", F.when(F.col("canned").isNull(), A.prompt()))
     if model is not None:
         rows = A.generate_with(rows, "prompt", model)
-        made = F.when(F.col("canned").isNull(), A.parse_generated(F.col("generated"), as_of))
-        rows = rows.withColumn("answer", F.coalesce(A.normalize_answer(F.col("canned"), as_of), made))
+        rows = A.parse_answers(rows, "generated", as_of, "__made")
+        canned = F.when(F.col("canned").isNotNull(), A.normalize_answer(F.col("canned"), as_of))
+        rows = rows.withColumn("answer", F.coalesce(canned, "__made")).drop("__made")
     else:
         rows = rows.withColumn("answer", F.when(F.col("canned").isNotNull(), A.normalize_answer(F.col("canned"), as_of)))
     return Answered(response, prepared, rows.drop("canned"))

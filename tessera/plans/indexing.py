@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import schema as S
 from tessera.operators.chunk import explode_chunks
-from tessera.operators.embed import drop_unembedded, hash_embedding
+from tessera.operators.embed import embedded, hash_embedding
 from tessera.operators.enrich import enrich, kept_rows, override_metadata
 from tessera.sources.store import DocumentTable
 
@@ -33,37 +33,27 @@ def index_rows(
         is_chunked=F.lit(False) if compat else F.col("total_chunks").isNotNull(),
     )
     vector = (embedder or (lambda c: hash_embedding(c, dim)))(F.col("text_content"))
-    out = chunks.select(
+    keep = [
         F.col(row_index).cast("bigint").alias("original_row_index"),
         F.col("chunk_pos").cast("int").alias("chunk_pos"),
         "text_content",
-        vector.alias("embedding"),
         md.alias("metadata"),
-    )
-    return drop_unembedded(out)
-
-
-def check_dimension(df: DataFrame, dim: int) -> DataFrame:
-    """Fail the job on a vector of another dimension, as a fixed mapping would."""
-    ok = F.size("embedding") == dim
-    return df.withColumn(
-        "embedding",
-        F.when(ok, F.col("embedding")).otherwise(F.raise_error(F.lit(f"embedding dimension must be {dim}")).cast("array<float>")),
-    )
+    ]
+    return embedded(chunks, vector, dim, keep).select(*[f.name for f in S.INDEX_SCHEMA.fields])
 
 
 def refresh(catalogue: DataFrame, table: DocumentTable, dim: int = S.EMBEDDING_DIM, **options) -> None:
     """Replace the table's content with the catalogue's chunks, all or nothing."""
     table.create(S.INDEX_SCHEMA)
-    table.replace(check_dimension(index_rows(catalogue, dim, **options), dim))
+    table.replace(index_rows(catalogue, dim, **options))
 
 
 def run_summary(catalogue: DataFrame, table: DocumentTable, source: str) -> DataFrame:
     """One row: rows read, rows kept, rows skipped, chunks stored."""
     rows = enrich(catalogue).agg(
         F.count(F.lit(1)).alias("rows_read"),
-        F.count_if(F.col("skip_reason").isNull()).alias("rows_processed"),
-        F.count_if(F.col("skip_reason").isNotNull()).alias("rows_skipped"),
+        F.count("enriched_text").alias("rows_processed"),
+        F.count_if(F.col("enriched_text").isNull()).alias("rows_skipped"),
     )
     stored = table.read().agg(F.count(F.lit(1)).alias("n"))
     return rows.withColumn("chunks_indexed", stored.scalar()).withColumn("source", F.lit(source))

@@ -1,0 +1,10 @@
+"""Registered queries, one module per area."""
+
+import importlib
+
+MODULES = ["indexing", "asking", "searching"]
+
+
+def load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"tessera.queries.{name}")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators.rules import COUNTRIES
+from tessera.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,6 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def row_count(df: DataFrame) -> Column:
     """Number of rows as a scalar subquery."""
     return df.agg(F.count(F.lit(1))).scalar()
@@ -53,17 +58,18 @@ def country_name(nationkey: str, name: str) -> Column:
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part, supplier, nation and document as the 21-column catalogue, plus its row number."""
-    part, supplier, nation, documents = (table(spark, sf_dir, t) for t in ("part", "supplier", "nation", "documents"))
+    part, supplier, nation, texts = (table(spark, sf_dir, t) for t in ("part", "supplier", "nation", "documents"))
     key = F.col("p_partkey")
     nations = nation.select("n_nationkey", country_name("n_nationkey", "n_name").alias("country"))
     suppliers = supplier.select("s_suppkey", "s_name", "s_nationkey").join(
         nations, F.col("s_nationkey") == F.col("n_nationkey")
     )
     rows = (
-        part.withColumn("__sup", F.pmod(key, row_count(supplier)))
-        .withColumn("__doc", F.pmod(key, row_count(documents)))
+        spread(part)
+        .withColumn("__sup", F.pmod(key, row_count(supplier)))
+        .withColumn("__doc", F.pmod(key, row_count(texts)))
         .join(suppliers, F.col("__sup") == F.col("s_suppkey"))
-        .join(documents.select("doc_id", "text"), F.col("__doc") == F.col("doc_id"))
+        .join(texts.select("doc_id", "text"), F.col("__doc") == F.col("doc_id"))
     )
     none = F.lit(None).cast("string")
     return rows.select(

@@ -25,7 +25,11 @@ def get_spark(app: str = "tessera", master: str | None = None, cores: int = 8) -
         .config("spark.ui.enabled", "false")
     )
     if master:
-        builder = builder.master(master).config("spark.sql.shuffle.partitions", str(cores))
+        builder = (
+            builder.master(master)
+            .config("spark.sql.shuffle.partitions", str(cores))
+            .config("spark.driver.memory", "16g")
+        )
     return builder.getOrCreate()
 
 
@@ -65,6 +69,17 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on a file scan that comes in fewer splits than there are cores.
+
+    That only happens to inputs of a few splits, where the shuffle is cheap next to the
+    row-local text work it spreads; a large scan is returned as it is. Pass a plain scan:
+    the split count is read from its physical plan without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def measured_size(df: DataFrame) -> tuple[int, int]:
     """(rows, serialised bytes) of ``df``, computed where the data is."""
     row = df.agg(
