@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["indexing", "asking", "searching"]
+MODULES = ["indexing", "asking", "searching", "matching"]
 
 
 def load() -> None:
