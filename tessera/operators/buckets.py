@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.geo import geohash, haversine, tile
 from tessera.functions.rows import explode_once
 from tessera.operators.metrics import percentiles
-from tessera.session import lookup_join
+from tessera.session import lookup_join, stage
 
 COUNT = "doc_count"
 
@@ -150,7 +150,7 @@ def auto_date_histogram(df: DataFrame, ts: Column, buckets: int) -> DataFrame:
 def variable_width_histogram(df: DataFrame, value: str, buckets: int) -> DataFrame:
     """Buckets of about equal count, cut at exact percentiles: key (mean), min, max, doc_count."""
     cuts = percentiles(df, value, [100.0 * i / buckets for i in range(1, buckets)])
-    edges = cuts.agg(F.array_sort(F.collect_set("value")).alias("edges")).withColumn("__k", F.lit(0))
+    edges = stage(cuts.agg(F.array_sort(F.collect_set("value")).alias("edges")).withColumn("__k", F.lit(0)), "edges")
     rows = lookup_join(
         df.select(F.col(value).cast("double").alias("__x")).filter("__x is not null").withColumn("__k", F.lit(0)), edges, ["__k"], ["__x"]
     )

@@ -113,6 +113,7 @@ class SearchResponse:
 def search(index: TextIndex, questions: DataFrame, top_k: int = S.TOP_K, qid: str = "question_id", approximate: bool = False) -> SearchResponse:
     """Run the whole question batch; ``questions`` holds the extracted filters and ``embedding``."""
     keys = list(index.keys)
+    questions = stage(questions, "questions")
     scores = stage(hybrid_scores(index, questions, top_k, qid), "scores")
     listed = questions.filter(~F.col("is_numerical")).select(qid)
     best = top_hits(

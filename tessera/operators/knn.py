@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import BROADCAST_MAX_BYTES, measured_size
+from tessera.session import BROADCAST_MAX_BYTES, measured_size, stage
 
 # Distances are compared after rounding, so that equal vectors tie in any summation order.
 D2_DIGITS = 9
@@ -91,6 +91,8 @@ def knn_exact(
     """
     docs = docs.select(*keys, F.col(vector).alias("__v")).filter("__v is not null")
     questions = questions.select(qid, F.col(q_vector).cast("array<double>").alias("__q")).filter("__q is not null")
+    # Stored, because they are measured first and read again afterwards.
+    questions = stage(questions, "knn-questions")
     fields = [questions.schema[qid], *[docs.schema[c] for c in keys], T.StructField("d2", T.DoubleType())]
     schema = T.StructType(fields)
     n_questions, q_bytes = measured_size(questions)

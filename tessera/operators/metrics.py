@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import lookup_join
+from tessera.session import lookup_join, stage
 
 _ONE = "__one"
 
@@ -102,6 +102,8 @@ def percentiles(
             ],
         )
     )
+    # One row per group, stored: the passes below must not repeat the sketch.
+    brackets = stage(brackets, "brackets")
     tagged = lookup_join(rows, brackets, keys, [*keys, "__v"])
     below = tagged.groupBy(*keys).agg(
         F.any_value("__n").alias("__n"),
@@ -148,7 +150,7 @@ def percentiles(
 def median_absolute_deviation(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     keys = list(by) or [_ONE]
     rows = df.select(*by, F.col(value).cast("double").alias("__x"))
-    medians = percentiles(rows, "__x", [50], by).select(*by, F.col("value").alias("__m"))
+    medians = stage(percentiles(rows, "__x", [50], by).select(*by, F.col("value").alias("__m")), "medians")
     if not by:
         rows, medians = rows.withColumn(_ONE, F.lit(0)), medians.withColumn(_ONE, F.lit(0))
     apart = lookup_join(rows, medians, keys, [*keys, "__x"]).withColumn("__d", F.abs(F.col("__x") - F.col("__m")))
@@ -159,7 +161,7 @@ def boxplot(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """min, max, q1, q2, q3 and the outermost values within 1.5 quartile ranges of the box."""
     keys = list(by) or [_ONE]
     rows = df.select(*by, F.col(value).cast("double").alias("__x")).filter("__x is not null")
-    q = percentiles(rows, "__x", [25, 50, 75], by)
+    q = stage(percentiles(rows, "__x", [25, 50, 75], by), "quartiles")
     if not by:
         rows, q = rows.withColumn(_ONE, F.lit(0)), q.withColumn(_ONE, F.lit(0))
     box = q.groupBy(*keys).agg(

@@ -87,9 +87,8 @@ def more_like_this(
 
 def term_vectors(index: TextIndex, stats: DataFrame | None = None) -> DataFrame:
     """(keys, term, tf, df, ttf) for every document."""
-    return lookup_join(
-        index.postings().drop("dl"), index.term_stats() if stats is None else stats, ["term"], list(index.keys)
-    )
+    vocabulary = stage(index.term_stats(), "vocabulary") if stats is None else stats
+    return lookup_join(index.postings().drop("dl"), vocabulary, ["term"], list(index.keys))
 
 
 def _segments(length: Column) -> list[tuple[Column, Column]]:
@@ -111,6 +110,7 @@ def suggest_terms(
     """
     if max_edits > 2:
         raise ValueError("at most two edits")
+    vocabulary = stage(vocabulary.select("term", "df"), "vocabulary")
     asked = (
         words.select("word").distinct().filter(F.length("word") >= min_length)
         .join(vocabulary.select(F.col("term").alias("word")), "word", "left_anti")
@@ -130,13 +130,21 @@ def suggest_terms(
                 at = s + shift
                 fits = (at >= 0) & (at + k <= v)
                 out.append(F.when(fits, F.struct(n.alias("n"), F.lit(i).alias("i"), F.substring("term", at + 1, k).alias("part"))))
-        return F.filter(F.array(*out), lambda p: p.isNotNull())
+        return F.array(*out)
 
-    lengths = F.filter(F.sequence(v - max_edits, v + max_edits), lambda n: n >= min_length)
-    keyed = vocabulary.select(
-        "term", "df", F.substring("term", 1, prefix_length).alias("head"),
-        F.explode(F.array_distinct(F.flatten(F.transform(lengths, pieces)))).alias("p"),
-    ).select("term", "df", "head", "p.n", "p.i", "p.part")
+    # Each term becomes some dozens of rows, so spread the vocabulary by rows, not by its bytes.
+    parallel = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = (
+        vocabulary.repartition(parallel, "term")
+        .select(
+            "term", "df", F.substring("term", 1, prefix_length).alias("head"),
+            F.explode_outer(F.sequence(v - max_edits, v + max_edits)).alias("n"),
+        )
+        .filter(F.col("n") >= min_length)
+        .select("term", "df", "head", F.explode_outer(pieces(F.col("n"))).alias("p"))
+        .filter("p.part is not null")
+        .select("term", "df", "head", "p.n", "p.i", "p.part")
+    )
     near = lookup_join(keyed, asked, ["head", "n", "i", "part"], ["term"]).withColumn(
         "distance", F.levenshtein("word", "term", max_edits)
     ).filter(F.col("distance").between(1, max_edits))

@@ -151,6 +151,10 @@ def nested_facet(array: str, item_key, **options) -> Facet:
     return Facet(keys, lambda v: F.array_contains(keys, v), **options)
 
 
+def _named_keys(name: str, keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.struct(F.lit(name).alias("facet"), k.cast("string").alias("key")))
+
+
 @dataclass(frozen=True)
 class FacetedSearch:
     """Facet counts under all other facets' filters, and hits under all filters."""
@@ -181,8 +185,7 @@ class FacetedSearch:
                     others = others & clause
             is_list = self.df.select(facet.key.alias("k")).schema["k"].dataType.typeName() == "array"
             keys = facet.key if is_list else F.array(facet.key)
-            pairs = F.transform(keys, lambda k, n=name: F.struct(F.lit(n).alias("facet"), k.cast("string").alias("key")))
-            entries.append(F.when(others, pairs))
+            entries.append(F.when(others, _named_keys(name, keys)))
         rows = self.df.select(
             F.explode(F.flatten(F.filter(F.array(*entries), lambda e: e.isNotNull()))).alias("e")
         ).select("e.*").filter("key is not null")

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["indexing", "asking", "searching", "matching"]
+MODULES = ["indexing", "asking", "searching", "matching", "aggregating", "tables"]
 
 
 def load() -> None:

@@ -165,23 +165,38 @@ def read_many(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def _fields(schema: T.StructType, prefix: str = "") -> list[tuple[str, T.DataType]]:
+    out = []
+    for f in schema.fields:
+        out.append((prefix + f.name, f.dataType))
+        if isinstance(f.dataType, T.StructType):
+            out += _fields(f.dataType, prefix + f.name + ".")
+    return out
+
+
 def field_caps(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, field, type, searchable, aggregatable) from the table schemas."""
-    spark = next(iter(tables.values())).sparkSession
-    rows = []
-
-    def walk(table: str, prefix: str, schema: T.StructType) -> None:
-        for f in schema.fields:
-            inner = f.dataType
-            name = prefix + f.name
-            nested = isinstance(inner, T.StructType)
-            rows.append((table, name, inner.simpleString() if not nested else "object", not nested, not isinstance(inner, (T.StructType, T.ArrayType, T.MapType))))
-            if nested:
-                walk(table, name + ".", inner)
-
-    for table, df in tables.items():
-        walk(table, "", df.schema)
-    return spark.createDataFrame(rows, "table string, field string, type string, searchable boolean, aggregatable boolean")
+    """(table, field, type, searchable, aggregatable, present) of every field, nested ones by path.
+
+    ``present`` counts the rows that have a value; one scan per table counts all its fields.
+    """
+    out = None
+    for name, df in tables.items():
+        fields = _fields(df.schema)
+        counts = df.agg(*[F.count(F.col(path)).alias(f"c{i}") for i, (path, _) in enumerate(fields)])
+        rows = [
+            F.struct(
+                F.lit(name).alias("table"),
+                F.lit(path).alias("field"),
+                F.lit("object" if isinstance(kind, T.StructType) else kind.simpleString()).alias("type"),
+                F.lit(not isinstance(kind, T.StructType)).alias("searchable"),
+                F.lit(not isinstance(kind, (T.StructType, T.ArrayType, T.MapType))).alias("aggregatable"),
+                F.col(f"c{i}").alias("present"),
+            )
+            for i, (path, kind) in enumerate(fields)
+        ]
+        part = counts.select(F.inline(F.array(*rows)))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def source_filter(df: DataFrame, includes: list[str] = ("*",), excludes: list[str] = ()) -> DataFrame:
