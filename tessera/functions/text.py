@@ -28,9 +28,11 @@ def strip(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Null to '', trim, collapse white space, then blank out unusual characters."""
-    # A lone blank already is what it would become, so only other runs are replaced.
-    collapsed = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), f" ?[{WS}&&[^ ]][{WS}]*|  [{WS}]*", " ")
-    return F.regexp_replace(collapsed, f"(?![A-Za-z0-9 .,;:!?\\-()])[^{WORD}{WS}]", " ")
+    # White-space runs and unusual characters both become one blank, so one pass does both.
+    # The look-ahead passes over the commonest characters at once; a lone blank stays.
+    usual = r"A-Za-z0-9.,;:!?\-()"
+    pattern = f"(?![{usual}])(?: ?[{WS}&&[^ ]][{WS}]*|  [{WS}]*|[^{WORD}{WS}{usual}])"
+    return F.regexp_replace(strip(F.coalesce(c, F.lit(""))), pattern, " ")
 
 
 def tokens(c: Column) -> Column:

@@ -55,8 +55,11 @@ def enriched_text() -> Column:
     return F.array_join(F.transform(cleaned, piece), "")
 
 
-def metadata(as_of: Column | None = None) -> Column:
-    """The fixed metadata record; chunk fields stay null until the chunker sets them."""
+def metadata(as_of: Column | None = None, **override: Column) -> Column:
+    """The fixed metadata record over catalogue columns; ``override`` replaces fields.
+
+    Chunk information comes in as an override, so the record is built once, at the end.
+    """
     fields = []
     for source, field in S.CATALOGUE_FIELDS:
         c = F.col(f"`{source}`")
@@ -71,33 +74,26 @@ def metadata(as_of: Column | None = None) -> Column:
         F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in ("Estrategic", "DRP", "Status")
     )
     stamp = F.current_timestamp() if as_of is None else as_of
-    return F.struct(
-        *fields,
+    fields += [
         (F.upper(estrategic) == "SI").alias("is_strategic"),
         (drp != "").alias("has_drp"),
         F.lower(status).isin(*S.ACTIVE_STATUS).alias("is_active"),
-        F.lit(False).alias("is_chunked"),
+        override.get("is_chunked", F.lit(False)).alias("is_chunked"),
         stamp.cast("timestamp").alias("processed_timestamp"),
-        F.lit(None).cast("int").alias("chunk_number"),
-        F.lit(None).cast("int").alias("total_chunks"),
-    )
+        override.get("chunk_number", F.lit(None)).cast("int").alias("chunk_number"),
+        override.get("total_chunks", F.lit(None)).cast("int").alias("total_chunks"),
+    ]
+    return F.struct(*fields)
 
 
-def enrich(df: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """Adds ``enriched_text`` and ``metadata``; a row whose text is too short to keep has a null text."""
+def enrich(df: DataFrame) -> DataFrame:
+    """Catalogue columns and ``enriched_text``; a row whose text is too short to keep has a null text."""
     out = with_catalogue_columns(df)
     long_enough = F.filter(F.array(enriched_text()), lambda t: F.length(X.strip(t)) >= S.MIN_TEXT)
-    return out.withColumn("enriched_text", F.get(long_enough, F.lit(0))).withColumn("metadata", metadata(as_of))
+    return out.withColumn("enriched_text", F.get(long_enough, F.lit(0)))
 
 
 def kept_rows(df: DataFrame) -> DataFrame:
     """Rows with a text; the text is computed once, for the test and for the result."""
     texts = F.filter(F.array("enriched_text"), lambda t: t.isNotNull())
     return explode_once(df, texts, "enriched_text", [F.col(f"`{c}`") for c in df.columns if c != "enriched_text"])
-
-
-def override_metadata(md: Column, **values: Column) -> Column:
-    """Replace metadata fields, as chunk information does."""
-    for name, value in values.items():
-        md = md.withField(name, value)
-    return md

@@ -41,7 +41,7 @@ def hybrid_scores(index: TextIndex, questions: DataFrame, top_k: int = S.TOP_K,
     filters = questions.select(qid, *[F.col(n).alias(f"q_{n}") for n in EQUALITY_FILTERS])
 
     weights = M.term_weights(index, M.question_terms(questions, qid, "question"))
-    text = M.match_scores(index, weights, qid, carried, filters, accepts)
+    text = M.match_scores(index, weights, qid, carried, filters, accepts, combine=False)
     phrase = M.phrase_scores(index, questions, weights, qid, "question", carried, filters, accepts)
 
     def keyword(field: str, value: Column, out: str) -> DataFrame:
@@ -64,8 +64,9 @@ def hybrid_scores(index: TextIndex, questions: DataFrame, top_k: int = S.TOP_K,
             *[(F.col(p) if p == column else F.lit(None)).cast("double").alias(p) for p in _PARTS],
         )
         long_form = rows if long_form is None else long_form.unionByName(rows)
+    # The only shuffle of matched pairs; the terms of a document are summed before it.
     merged = long_form.groupBy(qid, *keys).agg(
-        *[F.max(p).alias(p) for p in _PARTS], *[F.any_value(a).alias(a) for a in carry]
+        F.sum("bm25").alias("bm25"), *[F.max(p).alias(p) for p in _PARTS if p != "bm25"], *[F.any_value(a).alias(a) for a in carry]
     )
     best = F.greatest(
         BEST_FIELD["name"] * F.coalesce("kw_name", F.lit(0.0)),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.rows import explode_once
 from tessera.session import lookup_join
 
 
@@ -46,22 +47,24 @@ def parent_agg(children: DataFrame, parents: DataFrame, child_key: str, parent_k
 
 
 def percolate(docs: DataFrame, key: list[str], terms: str, stored: DataFrame, checks: Column | None = None, carry: list[str] = ()) -> DataFrame:
-    """(query_id, key, carry) for every stored query a document satisfies; works on streams too.
+    """(query_id, key, carry) for every stored query a document satisfies.
 
-    ``stored`` holds (query_id, words, at_least, ...). A document with ``at_least`` of n
-    words has one of the first ``n - at_least + 1``, so a query is looked up by those
-    alone. It is reported at the first of them the document holds, hence once.
+    ``stored`` holds (query_id, words, at_least, ...): distinct words of which a document
+    needs that many. Documents meet queries word by word; the hits of one document are
+    counted where it is read, so only (query, document) pairs are shuffled.
     """
-    anchored = stored.withColumn(
-        "__anchors", F.slice("words", 1, F.greatest(F.lit(1), F.size("words") - F.col("at_least") + 1))
-    )
-    anchored = anchored.withColumn("__anchor", F.explode("__anchors"))
-    rows = docs.select(*key, *carry, F.col(terms).alias("__terms")).withColumn("__anchor", F.explode(F.array_distinct("__terms")))
-    found = lookup_join(rows, anchored, ["__anchor"], key)
-    first = F.get(F.filter("__anchors", lambda a: F.array_contains(F.col("__terms"), a)), F.lit(0))
-    found = found.filter(first == F.col("__anchor")).filter(
-        F.size(F.array_intersect("words", "__terms")) >= F.col("at_least")
-    )
+    words = stored.withColumn("__word", F.explode("words")).drop("words")
+    rows = explode_once(docs, F.array_distinct(F.col(terms)), "__word", [*key, *carry])
+    found = lookup_join(rows, words, ["__word"], key)
     if checks is not None:
         found = found.filter(checks)
-    return found.select("query_id", *key, *carry)
+    return (
+        found.groupBy("query_id", *key)
+        .agg(
+            F.count(F.lit(1)).alias("__n"),
+            F.any_value("at_least").alias("__need"),
+            *[F.any_value(c).alias(c) for c in carry],
+        )
+        .filter(F.col("__n") >= F.col("__need"))
+        .drop("__n", "__need")
+    )

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera import schema as S
 from tessera.operators.chunk import explode_chunks
 from tessera.operators.embed import embedded, hash_embedding
-from tessera.operators.enrich import enrich, kept_rows, override_metadata
+from tessera.operators.enrich import enrich, kept_rows, metadata
 from tessera.sources.store import DocumentTable
 
 
@@ -19,15 +19,21 @@ def index_rows(
     as_of: Column | None = None,
     compat: bool = False,
     embedder=None,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """Chunk rows in INDEX_SCHEMA. One narrow plan: no shuffle between scan and write.
 
     ``compat`` keeps ``is_chunked`` false even for split rows.
     """
-    rows = kept_rows(enrich(catalogue, as_of)).select(row_index, "enriched_text", "metadata")
+    rows = enrich(catalogue)
+    if observation is not None:
+        rows = rows.observe(
+            observation, F.count(F.lit(1)).alias("rows_read"), F.count("enriched_text").alias("rows_processed")
+        )
+    rows = kept_rows(rows)
     chunks = explode_chunks(rows, "enriched_text", "text_content")
-    md = override_metadata(
-        F.col("metadata"),
+    md = metadata(
+        as_of,
         chunk_number=F.col("chunk_number"),
         total_chunks=F.col("total_chunks"),
         is_chunked=F.lit(False) if compat else F.col("total_chunks").isNotNull(),
@@ -42,18 +48,22 @@ def index_rows(
     return embedded(chunks, vector, dim, keep).select(*[f.name for f in S.INDEX_SCHEMA.fields])
 
 
-def refresh(catalogue: DataFrame, table: DocumentTable, dim: int = S.EMBEDDING_DIM, **options) -> None:
-    """Replace the table's content with the catalogue's chunks, all or nothing."""
-    table.create(S.INDEX_SCHEMA)
-    table.replace(index_rows(catalogue, dim, **options))
-
+def refresh(
+    catalogue: DataFrame, table: DocumentTable, dim: int = S.EMBEDDING_DIM, source: str = "", version: int | None = None, **options
+) -> DataFrame:
+    """Replace the table's content with the catalogue's chunks, all or nothing.
 
-def run_summary(catalogue: DataFrame, table: DocumentTable, source: str) -> DataFrame:
-    """One row: rows read, rows kept, rows skipped, chunks stored."""
-    rows = enrich(catalogue).agg(
-        F.count(F.lit(1)).alias("rows_read"),
-        F.count("enriched_text").alias("rows_processed"),
-        F.count_if(F.col("enriched_text").isNull()).alias("rows_skipped"),
+    Returns one row: rows read, kept and skipped, and chunks stored. The row counts are
+    taken while the load runs (in its only, writing stage), the chunks from the result.
+    """
+    table.create(S.INDEX_SCHEMA)
+    seen = Observation("index-rows")
+    table.replace(index_rows(catalogue, dim, observation=seen, **options), version=version)
+    counts = seen.get
+    return table.count().select(
+        F.lit(counts["rows_read"]).cast("bigint").alias("rows_read"),
+        F.lit(counts["rows_processed"]).cast("bigint").alias("rows_processed"),
+        F.lit(counts["rows_read"] - counts["rows_processed"]).cast("bigint").alias("rows_skipped"),
+        F.col("count").alias("chunks_indexed"),
+        F.lit(source).alias("source"),
     )
-    stored = table.read().agg(F.count(F.lit(1)).alias("n"))
-    return rows.withColumn("chunks_indexed", stored.scalar()).withColumn("source", F.lit(source))

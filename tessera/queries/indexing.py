@@ -8,8 +8,8 @@ from tessera import schema as S
 from tessera.functions import text as X
 from tessera.operators.chunk import explode_chunks
 from tessera.operators.embed import hash_embedding
-from tessera.operators.enrich import enrich, kept_rows
-from tessera.plans.indexing import index_rows, refresh, run_summary
+from tessera.operators.enrich import enrich, kept_rows, metadata, with_catalogue_columns
+from tessera.plans.indexing import refresh
 from tessera.queries import common as C
 from tessera.queries.common import query, table
 from tessera.session import new_stage_path
@@ -90,7 +90,9 @@ def enriched_text(spark, sf_dir):
     FROM cat""",
 )
 def metadata_fields(spark, sf_dir):
-    rows = enrich(C.catalogue(spark, sf_dir)).select("original_row_index", "metadata.*")
+    rows = with_catalogue_columns(C.catalogue(spark, sf_dir)).select("original_row_index", metadata().alias("m")).select(
+        "original_row_index", "m.*"
+    )
     return rows.withColumn("description_md5", F.md5(F.col("description").cast("binary"))).drop(
         "description", "is_chunked", "processed_timestamp", "chunk_number", "total_chunks"
     )
@@ -159,10 +161,8 @@ def embedding(spark, sf_dir):
 )
 def index_refresh(spark, sf_dir):
     """Load the whole index and report the run."""
-    cat = C.catalogue(spark, sf_dir)
     target = DocumentTable(spark, new_stage_path(spark, "index"))
-    refresh(cat, target, C.EMBED_DIM)
-    return run_summary(cat, target, "catalogue")
+    return refresh(C.catalogue(spark, sf_dir), target, C.EMBED_DIM, "catalogue")
 
 
 @query(

@@ -15,6 +15,7 @@ from tessera.operators import spans as SP
 from tessera.queries import common as C
 from tessera.queries.common import query, table
 from tessera.queries.searching import TOK, bench_questions, corpus, sql_bm25
+from tessera.session import spread
 
 _T = TOK.format(x="text")
 _J = f"(' ' || array_to_string({_T}, ' ') || ' ')"
@@ -252,7 +253,8 @@ found AS (
 @query("percolate", f"WITH {SQL_PERCOLATE} SELECT query_id, doc_id, lang FROM found JOIN documents USING (doc_id)")
 def percolate(spark, sf_dir):
     """Stored queries each document satisfies."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", X.tokens(F.col("text")).alias("tokens"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    docs = docs.withColumn("tokens", X.tokens(F.col("text")))
     same_lang = F.col("q_lang").isNull() | (F.col("q_lang") == F.col("lang"))
     return J.percolate(docs, ["doc_id"], "tokens", stored_queries(spark, sf_dir), same_lang, ["lang"])
 

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_BYTES = 48 * 1024 * 1024
 BROADCAST_MAX_ROWS = 2_000_000
 
+# Row groups of stored tables, small enough that a reader can split a file among cores.
+ROW_GROUP_BYTES = 16 * 1024 * 1024
+
 _fallback_root: str | None = None
 
 
@@ -62,7 +65,7 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     """
     spark = df.sparkSession
     path = new_stage_path(spark, label)
-    writer = df.write.mode("errorifexists")
+    writer = df.write.mode("errorifexists").option("parquet.block.size", ROW_GROUP_BYTES)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import ROW_GROUP_BYTES
+
 _COMMIT = "version bigint, snapshot string"
 
 
@@ -68,6 +70,7 @@ class DocumentTable:
             return False
         snapshot = f"snapshot-{uuid.uuid4().hex}"
         writer = (df.repartition(partitions) if partitions else df).write.mode("errorifexists")
+        writer = writer.option("parquet.block.size", ROW_GROUP_BYTES)
         if batch_rows:
             writer = writer.option("maxRecordsPerFile", batch_rows)
         writer.parquet(f"{self.path}/{snapshot}")
