@@ -65,14 +65,15 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         nations, F.col("s_nationkey") == F.col("n_nationkey")
     )
     rows = (
-        spread(part)
-        .withColumn("__sup", F.pmod(key, row_count(supplier)))
+        part.withColumn("__sup", F.pmod(key, row_count(supplier)))
         .withColumn("__doc", F.pmod(key, row_count(texts)))
         .join(suppliers, F.col("__sup") == F.col("s_suppkey"))
         .join(texts.select("doc_id", "text"), F.col("__doc") == F.col("doc_id"))
     )
+    # The view stands in for a scan of many catalogue files, so it comes in as many splits.
+    splits = 4 * spark.sparkContext.defaultParallelism
     none = F.lit(None).cast("string")
-    return rows.select(
+    return rows.repartition(splits).select(
         key.alias("original_row_index"),
         key.cast("string").alias("Id_App"),
         F.col("country").alias("Country"),
