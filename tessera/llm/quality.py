@@ -14,6 +14,8 @@ decide. Columns other than ``doc_id`` and ``text`` are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,21 +76,14 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRUSTED)
         .select(F.coalesce("__good", F.lit(0)).alias("good"), F.explode(features()).alias("bucket"))
         .groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
     )
-    share = lambda n, total: (n + F.lit(SMOOTHING)) / (total + F.lit(SMOOTHING * BUCKETS))
-    totals = counts.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
-    rows = (
-        counts.crossJoin(F.broadcast(totals))  # one row of totals
-        .select(
-            "bucket",
-            F.when(F.col("all_target") == 0, F.lit(0)).otherwise(
-                F.round(UNIT * F.log(share(F.col("target"), F.col("all_target")) / share(F.col("raw"), F.col("all_raw"))))
-            ).cast("long").alias("weight"),
-        )
-        .collect()  # at most BUCKETS rows
-    )
+    rows = counts.collect()  # at most BUCKETS rows
+    all_raw, all_target = sum(r["raw"] for r in rows), sum(r["target"] for r in rows)
     weights = [0] * BUCKETS
-    for r in rows:
-        weights[r["bucket"]] = r["weight"]
+    if all_target:
+        for r in rows:
+            target = (r["target"] + SMOOTHING) / (all_target + SMOOTHING * BUCKETS)
+            raw = (r["raw"] + SMOOTHING) / (all_raw + SMOOTHING * BUCKETS)
+            weights[r["bucket"]] = round(UNIT * math.log(target / raw))
     return weights
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, quality, simhash
+from tessera.llm import decontaminate, langid, linededup, mixing, quality, secrets, sharding, simhash
 from tessera.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,16 +23,41 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(read_table(spark, sf_dir, "documents"))
+
+
+@query("op2_line_dedup", linededup.ORACLE)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(read_table(spark, sf_dir, "documents"))
+
+
+@query("op3_mixing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing(read_table(spark, sf_dir, "documents"))
+
+
 @query("op5_quality_rules")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query("op6_sharding")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharding(read_table(spark, sf_dir, "documents"))
+
+
 @query("op7_decontamination")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+@query("op9_secret_scan", secrets.ORACLE)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(read_table(spark, sf_dir, "documents"))
+
+
 @query("op10_simhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
