@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, langid, linededup, mixing, quality, secrets, sharding, simhash
+from tessera.llm import (
+    decontaminate,
+    htmltext,
+    langid,
+    linededup,
+    mixing,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    warc,
+)
 from tessera.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +49,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing(read_table(spark, sf_dir, "documents"))
 
 
+@query("op4_warc")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 @query("op5_quality_rules")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -53,6 +69,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+@query("op8_html_text")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.html_text(read_table(spark, sf_dir, "pages"))
+
+
 @query("op9_secret_scan", secrets.ORACLE)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(read_table(spark, sf_dir, "documents"))
