@@ -55,15 +55,17 @@ def refresh(
 
     Returns one row: rows read, kept and skipped, and chunks stored. The row counts are
     taken while the load runs (in its only, writing stage), the chunks from the result.
+    They are null if the load was left out because ``version`` is committed already.
     """
-    table.create(S.INDEX_SCHEMA)
+    if version is None:
+        table.create(S.INDEX_SCHEMA)
     seen = Observation("index-rows")
-    table.replace(index_rows(catalogue, dim, observation=seen, **options), version=version)
-    counts = seen.get
+    loaded = table.replace(index_rows(catalogue, dim, observation=seen, **options), version=version)
+    counts = seen.get if loaded else dict.fromkeys(("rows_read", "rows_processed"))
     return table.count().select(
         F.lit(counts["rows_read"]).cast("bigint").alias("rows_read"),
         F.lit(counts["rows_processed"]).cast("bigint").alias("rows_processed"),
-        F.lit(counts["rows_read"] - counts["rows_processed"]).cast("bigint").alias("rows_skipped"),
+        (F.lit(counts["rows_read"]) - F.lit(counts["rows_processed"])).cast("bigint").alias("rows_skipped"),
         F.col("count").alias("chunks_indexed"),
         F.lit(source).alias("source"),
     )

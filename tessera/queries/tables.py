@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.plans.indexing import refresh
 from tessera.plans.search import (
     FacetedSearch, Search, date_facet, histogram_facet, multi_search, nested_facet, range_facet, terms_facet,
 )
 from tessera.queries import common as C
 from tessera.queries.common import query, table
 from tessera.queries.matching import SQL_PERCOLATE, stored_queries
-from tessera.session import new_stage_path
+from tessera.session import new_stage_path, stage
 from tessera.sources import store as ST
-from tessera.sources.catalogue import read_json, write_catalogue_csv, write_json
+from tessera.sources.catalogue import read_json, with_row_index, write_catalogue_csv, write_json
 from tessera.streaming import arrivals as A
 
 # -- changing stored tables --------------------------------------------------------
@@ -321,7 +322,44 @@ def refresh_on_arrival(spark, sf_dir):
     inbox, store = new_stage_path(spark, "inbox"), ST.DocumentTable(spark, new_stage_path(spark, "arrived"))
     write_catalogue_csv(C.catalogue(spark, sf_dir).drop("original_row_index"), inbox)
     A.refresh_on_arrival(A.arriving_catalogue(spark, inbox), store, new_stage_path(spark, "offsets"), C.EMBED_DIM)
-    return store.read().select("original_row_index", "chunk_pos", F.md5(F.col("text_content").cast("binary")).alias("text_md5"))
+    return store.read().select(
+        F.col("metadata.id_app").cast("bigint").alias("original_row_index"), "chunk_pos",
+        F.md5(F.col("text_content").cast("binary")).alias("text_md5"),
+    )
+
+
+_SQL_TEXT_IDS = C.SQL_CAT_CHUNKS.replace(
+    "CAST(p.p_partkey AS VARCHAR) AS id_app",
+    "CASE WHEN p.p_partkey % 3 = 2 THEN 'APP-' ELSE '' END || CAST(p.p_partkey AS VARCHAR) AS id_app",
+)
+
+
+@query(
+    "arrivals_after_load",
+    f"""WITH {_SQL_TEXT_IDS} SELECT c.id_app, chunk_pos, md5(chunk_text) AS text_md5,
+      (SELECT count(*) FROM cat) AS rows_numbered, (SELECT count(*) FROM cat) AS numbers
+    FROM chunks JOIN cat c USING (original_row_index)
+    WHERE len(regexp_extract_all(chunk_text, '[\\p{{L}}\\p{{N}}_]')) > 0""",
+)
+def arrivals_after_load(spark, sf_dir):
+    """A third of the catalogue loaded in batch; two more thirds arrive, one file at a time, one with text ids."""
+    rows = C.catalogue(spark, sf_dir)
+    inbox, store = new_stage_path(spark, "inbox"), ST.DocumentTable(spark, new_stage_path(spark, "arrived"))
+    third = F.pmod("original_row_index", F.lit(3))
+    first = stage(rows.where(third == 0).drop("original_row_index"), "first-load")
+    refresh(with_row_index(first), store, C.EMBED_DIM)
+    offsets = new_stage_path(spark, "offsets")
+    for i, prefix in ((1, ""), (2, "APP-")):
+        part = rows.where(third == i).withColumn("Id_App", F.concat(F.lit(prefix), "Id_App")).drop("original_row_index")
+        write_catalogue_csv(part.coalesce(1), f"{inbox}/{i}")
+    A.refresh_on_arrival(A.arriving_catalogue(spark, f"{inbox}/*", files_per_batch=1), store, offsets, C.EMBED_DIM)
+    found = stage(store.read(), "arrived-rows")
+    numbered = found.agg(
+        F.count_distinct("original_row_index").alias("rows_numbered"), (F.max("original_row_index") + 1).alias("numbers")
+    )
+    return found.select(
+        F.col("metadata.id_app").alias("id_app"), "chunk_pos", F.md5(F.col("text_content").cast("binary")).alias("text_md5")
+    ).withColumns({c: numbered.select(c).scalar() for c in ("rows_numbered", "numbers")})
 
 
 @query("stream_bulk", SQL_BULK)

@@ -1,8 +1,12 @@
 """Stored document tables: write, refresh, change, copy, look up and describe.
 
-A table is a folder of complete snapshots plus a commit table naming them. A load writes
-its snapshot first and then commits one row, so a reader sees the old table or the new
-one, and a failed load leaves the old one in place. One writer per table.
+A table is a folder of snapshots plus a commit table naming them. A load writes its
+snapshot first and then commits one row, so a reader sees the old table or the new one, and
+a failed load leaves the old one in place. A load replaces the table or adds to it; the
+table is the newest replacing snapshot and what was added since. One writer per table.
+
+A streaming load is committed under its stream and batch number, which are kept apart from
+the version: a batch is left out only if that stream has committed it before.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import types as T
 
 from tessera.session import ROW_GROUP_BYTES
 
-_COMMIT = "version bigint, snapshot string"
+_COMMIT = "version bigint, snapshot string, added boolean, stream string, batch bigint"
 
 
 @dataclass(frozen=True)
@@ -45,10 +49,15 @@ class DocumentTable:
 
     def read(self) -> DataFrame:
         commits = self._commits()
-        row = commits.orderBy(F.desc("version")).first() if commits is not None else None
-        if row is None:
+        whole = commits.where("NOT coalesce(added, false)").agg(F.max("version")).first()[0] if commits is not None else None
+        if whole is None:
             raise FileNotFoundError(f"no table at {self.path}")
-        return self.spark.read.parquet(f"{self.path}/{row['snapshot']}")
+        parts = commits.where(F.col("version") >= whole).orderBy("version").select("snapshot").collect()
+        return self.spark.read.parquet(*[f"{self.path}/{r['snapshot']}" for r in parts])
+
+    def has_batch(self, stream: str, batch: int) -> bool:
+        commits = self._commits()
+        return commits is not None and not commits.where((F.col("stream") == stream) & (F.col("batch") == batch)).isEmpty()
 
     def create(self, schema: T.StructType) -> bool:
         """Create an empty table unless there is one; returns whether it existed."""
@@ -62,21 +71,41 @@ class DocumentTable:
     ) -> bool:
         """Full refresh. ``batch_rows`` bounds the rows per file, ``partitions`` the writers.
 
-        With an explicit ``version``, a load already committed under it or later is left out,
-        which makes a repeated streaming batch harmless. Returns whether it loaded.
+        With an explicit ``version``, a load already committed under it or later is left
+        out. Returns whether it loaded.
         """
         newest = self.version()
         if version is not None and version <= newest:
             return False
+        self._load(df, newest + 1 if version is None else version, False, batch_rows=batch_rows, partitions=partitions)
+        return True
+
+    def add(self, df: DataFrame, stream: str, batch: int) -> bool:
+        """Add a streaming batch's rows, unless the stream has committed the batch before."""
+        if self.has_batch(stream, batch):
+            return False
+        self._load(df, self.version() + 1, self.exists(), stream, batch)
+        return True
+
+    def replace_from(self, df: DataFrame, stream: str, batch: int) -> bool:
+        """Full refresh by a streaming batch, unless the stream has committed the batch before."""
+        if self.has_batch(stream, batch):
+            return False
+        self._load(df, self.version() + 1, False, stream, batch)
+        return True
+
+    def _load(
+        self, df: DataFrame, version: int, added: bool, stream: str | None = None, batch: int | None = None,
+        batch_rows: int | None = None, partitions: int | None = None,
+    ) -> None:
         snapshot = f"snapshot-{uuid.uuid4().hex}"
         writer = (df.repartition(partitions) if partitions else df).write.mode("errorifexists")
         writer = writer.option("parquet.block.size", ROW_GROUP_BYTES)
         if batch_rows:
             writer = writer.option("maxRecordsPerFile", batch_rows)
         writer.parquet(f"{self.path}/{snapshot}")
-        row = (newest + 1 if version is None else version, snapshot)
+        row = (version, snapshot, added, stream, batch)
         self.spark.createDataFrame([row], _COMMIT).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
-        return True
 
     # -- reading ---------------------------------------------------------------
 

@@ -14,35 +14,47 @@ from tessera.sources.store import DocumentTable, applied, multi_get
 from tessera.streaming import arrivals as A
 
 
-def chunk_rule(text, biggest=500, smallest=50):
-    if len(text) <= biggest:
-        return [text]
-    out, current = [], ""
-    prefix = text.split(":", 1)[0] + ": " if ":" in text else ""
-    for part in (p.strip() for p in re.split(r"[.!?]+", text)):
-        if not part:
-            continue
-        longer = current + part + ". "
-        if len(longer) > biggest and len(current) > smallest:
-            out.append(current.strip())
-            current = prefix + part + ". "
-        else:
-            current = longer
-    if len(current.strip()) > smallest:
-        out.append(current.strip())
-    return out
-
-
-def test_chunks_follow_the_python_statement(spark):
+HEAD = "Portal: "
+A200, B200, C200 = "a" * 200, "b" * 200, "c" * 200
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("", [""]),
+        ("short. and whole!", ["short. and whole!"]),
+        ("x" * 500, ["x" * 500]),
+        ("x" * 501, ["x" * 501 + "."]),  # one sentence is never cut
+        (f"{A200}. {B200}! {C200}?", [f"{A200}. {B200}.", f"{C200}."]),
+        (f"{HEAD}{A200}. {B200}. {C200}.", [f"{HEAD}{A200}. {B200}.", f"{HEAD}{C200}."]),  # later chunks repeat the head
+        (f"{A200}. {B200}. {A200}. {'t' * 49}.", [f"{A200}. {B200}.", f"{A200}. {'t' * 49}."]),
+        ("a" * 460 + ". " + "b" * 50 + ".", ["a" * 460 + ".", "b" * 50 + "."]),
+        ("a" * 460 + ". " + "b" * 49 + ".", ["a" * 460 + "."]),  # a tail of 50 characters is dropped
+        ("a" * 20 + ". " + "b" * 490 + ".", ["a" * 20 + ". " + "b" * 490 + "."]),  # a short start is not closed
+        ("..! " * 200, []),
+    ],
+)
+def test_chunks_of_written_out_texts(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert [r["chunk_text"] for r in explode_chunks(df, "t").orderBy("chunk_pos").collect()] == want
+
+
+def test_chunks_have_their_properties(spark):
+    """Every sentence stays, in order; chunks stay within the limit unless one sentence exceeds it."""
     rng = random.Random(3)
-    words = ["uno", "dos:", "85.5", "  tres", "fin.", "¿qué?", "no!!", "x" * 30, "ñ", "\n"]
-    values = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 300))) for _ in range(150)]
-    values += ["a" * 500, "a" * 501, "a" * 460 + ". " + "b" * 50 + ".", "a" * 460 + ". " + "b" * 49 + ".", ": " + "y. " * 400, ""]
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")
+    texts = ["".join(f"w{rng.randrange(10**rng.randrange(1, 90))} fin. " for _ in range(rng.randrange(20, 60))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = {}
     for r in explode_chunks(df, "t").orderBy("i", "chunk_pos").collect():
-        got.setdefault(r["i"], []).append(r["chunk_text"])
-    assert [got.get(i, []) for i in range(len(values))] == [chunk_rule(v) for v in values]
+        got.setdefault(r["i"], []).append(r)
+    for i, text in enumerate(texts):
+        chunks = [r["chunk_text"] for r in got[i]]
+        kept = [s for c in chunks for s in re.findall(r"w\d+ fin", c)]
+        given = re.findall(r"w\d+ fin", text)
+        assert kept == given[: len(kept)] and len(". ".join(given[len(kept) :])) <= 50
+        if len(text) > 500:
+            assert all(len(c) > 50 for c in chunks) and all(len(c) <= 500 for c in chunks)
+            assert [r["chunk_number"] for r in got[i]] == list(range(len(chunks)))
 
 
 def rows(spark, *given):
@@ -140,15 +152,61 @@ def test_multi_get_raises_for_absent_keys(spark):
         multi_get(df, asked, "k", "p", "raise").collect()
 
 
-def test_each_arrival_replaces_the_index_once(spark, tmp_path):
-    inbox, table = tmp_path / "in", DocumentTable(spark, str(tmp_path / "t"))
-    inbox.mkdir()
-    header = ",".join(c for c, _ in S.CATALOGUE_FIELDS)
+def arrive(folder, name, ids):
+    folder.mkdir(exist_ok=True)
     line = lambda i: f"{i},Chile,Nombre {i}" + "," * (len(S.CATALOGUE_FIELDS) - 3)
-    for name, ids in (("one.csv", [1, 2]), ("two.csv", [3])):
-        (inbox / name).write_text(header + "\n" + "\n".join(map(line, ids)) + "\n", encoding="utf-8")
-        A.refresh_on_arrival(A.arriving_catalogue(spark, str(inbox)), table, str(tmp_path / "offsets"), 8)
-        assert sorted(r[0] for r in table.read().select("original_row_index").collect()) == ids
+    text = "\n".join([",".join(c for c, _ in S.CATALOGUE_FIELDS), *map(line, ids)]) + "\n"
+    (folder / name).write_text(text, encoding="utf-8")
+
+
+def ids_of(table):
+    return sorted((r[0], r[1]) for r in table.read().select("original_row_index", "metadata.id_app").collect())
+
+
+@pytest.mark.parametrize("files_per_batch", [None, 1])
+def test_arrivals_join_a_loaded_table(spark, tmp_path, files_per_batch):
+    """No file is lost, whatever the batches and the table's version; ids may be text."""
+    inbox, table = tmp_path / "in", DocumentTable(spark, str(tmp_path / "t"))
+    one = rows(spark, {"Id_App": "1", "Country": "Chile", "Name": "Una app"})
+    refresh(one.withColumn("original_row_index", F.lit(0)), table, 8)
+    arrive(inbox, "one.csv", ["APP-0", "APP-1"])
+    arrive(inbox, "two.csv", [7])
+
+    def run():
+        A.refresh_on_arrival(A.arriving_catalogue(spark, str(inbox), files_per_batch), table, str(tmp_path / "offsets"), 8)
+
+    run()
+    got = ids_of(table)
+    assert [n for n, _ in got] == [0, 1, 2, 3] and sorted(i for _, i in got) == ["1", "7", "APP-0", "APP-1"]
     version = table.version()
-    A.refresh_on_arrival(A.arriving_catalogue(spark, str(inbox)), table, str(tmp_path / "offsets"), 8)
+    run()
     assert table.version() == version
+    arrive(inbox, "three.csv", [9])
+    run()
+    assert ids_of(table)[-1] == (4, "9")
+
+
+def test_repeated_batch_is_harmless(spark, tmp_path):
+    table = DocumentTable(spark, str(tmp_path / "t"))
+    df = spark.createDataFrame([(1,)], "k int")
+    assert table.add(df, "s", 0) and not table.add(df, "s", 0) and table.add(df, "other", 0) and table.add(df, "s", 1)
+    assert table.read().count() == 3
+    assert table.replace_from(df, "s", 2) and not table.replace_from(df, "s", 2) and table.read().count() == 1
+
+
+def test_stream_of_actions_on_a_table_of_any_version(spark, tmp_path):
+    table = DocumentTable(spark, str(tmp_path / "t"))
+    for x in ("old", "older"):
+        table.replace(spark.createDataFrame([(1, x)], "k int, x string"))
+    actions = spark.createDataFrame([(1, 1, "index", "new"), (2, 2, "create", "b")], "o int, k int, op_type string, x string")
+    actions.write.parquet(str(tmp_path / "in"))
+    A.apply_stream(A.read_stream(spark, str(tmp_path / "in"), actions.schema), table, str(tmp_path / "offsets"), "k", "o")
+    assert sorted(tuple(r) for r in table.read().collect()) == [(1, "new"), (2, "b")]
+
+
+def test_explicit_version_loads_once(spark, tmp_path):
+    table = DocumentTable(spark, str(tmp_path / "t"))
+    df = rows(spark, {"Id_App": "1", "Country": "Chile", "Name": "Una app"}).withColumn("original_row_index", F.lit(0))
+    assert refresh(df, table, 8, version=0).first()["rows_read"] == 1
+    again = refresh(df, table, 8, version=0).first()
+    assert again["rows_read"] is None and again["chunks_indexed"] == 1
