@@ -175,14 +175,22 @@ def _starts(lengths: str) -> Column:
         F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / step).cast("int")),
         lambda b: total(F.slice(lengths, b * step + 1, step)),
     )
-    before = F.transform(blocks, lambda _, i: total(F.slice(blocks, F.lit(1), i)))
-    return F.transform(
-        F.col(lengths),
-        lambda _, i: F.get(before, F.floor(i / step).cast("int"))
-        + total(F.slice(lengths, F.floor(i / step).cast("int") * step + 1, i % step)),
+    before = _once(blocks, lambda x: F.transform(x, lambda _, i: total(F.slice(x, F.lit(1), i))))
+    return _once(
+        before,
+        lambda x: F.transform(
+            F.col(lengths),
+            lambda _, i: F.get(x, F.floor(i / step).cast("int"))
+            + total(F.slice(lengths, F.floor(i / step).cast("int") * step + 1, i % step)),
+        ),
     )
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` has it in a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def with_spans(df: DataFrame, rule: Rule, number: int, asked: Column) -> DataFrame:
     """Add ``__s<number>``: the rule's spans (start, number, end) where ``asked`` holds, else empty.
 
