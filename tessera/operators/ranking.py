@@ -104,9 +104,10 @@ def suggest_terms(
 ) -> DataFrame:
     """(word, term, distance, df, rank): near vocabulary terms for words the index lacks.
 
-    Two edits cannot touch all three parts of a word, so a near term holds one part
-    unchanged, at most two places off. Joining on those parts finds every near term
-    without comparing each word with each term; the distance test runs inside the join.
+    Two edits cannot touch all three parts of a term, so a near word holds one part
+    unchanged, at most two places off. A term gives its three parts; the shifts are made on
+    the asked words, which are few. Joining on those parts finds every near term without
+    comparing each word with each term; the distance test runs on what the join leaves.
     """
     if max_edits > 2:
         raise ValueError("at most two edits")
@@ -114,36 +115,31 @@ def suggest_terms(
     asked = (
         words.select("word").distinct().filter(F.length("word") >= min_length)
         .join(vocabulary.select(F.col("term").alias("word")), "word", "left_anti")
-        .withColumn("n", F.length("word"))
     )
-    parts = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.substring("word", s + 1, k).alias("part")) for i, (s, k) in enumerate(_segments(F.col("n")))
-    ])
-    asked = stage(asked.select("word", "n", F.substring("word", 1, prefix_length).alias("head"), F.inline(parts)), "asked")
+    length = F.length("word")
 
-    v = F.length("term")
-
-    def pieces(n: Column) -> Column:
+    def shifted(n: Column) -> Column:
         out = []
         for i, (s, k) in enumerate(_segments(n)):
             for shift in range(-max_edits, max_edits + 1):
                 at = s + shift
-                fits = (at >= 0) & (at + k <= v)
-                out.append(F.when(fits, F.struct(n.alias("n"), F.lit(i).alias("i"), F.substring("term", at + 1, k).alias("part"))))
-        return F.array(*out)
-
-    # Each term becomes some dozens of rows, so spread the vocabulary by rows, not by its bytes.
-    parallel = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = (
-        vocabulary.repartition(parallel, "term")
-        .select(
-            "term", "df", F.substring("term", 1, prefix_length).alias("head"),
-            F.explode_outer(F.sequence(v - max_edits, v + max_edits)).alias("n"),
-        )
-        .filter(F.col("n") >= min_length)
-        .select("term", "df", "head", F.explode_outer(pieces(F.col("n"))).alias("p"))
-        .filter("p.part is not null")
-        .select("term", "df", "head", "p.n", "p.i", "p.part")
+                fits = (at >= 0) & (at + k <= length)
+                out.append(F.when(fits, F.struct(n.alias("n"), F.lit(i).alias("i"), F.substring("word", at + 1, k).alias("part"))))
+        return F.array_compact(F.array(*out))
+
+    lengths = F.filter(F.sequence(length - max_edits, length + max_edits), lambda n: n > 0)
+    asked = stage(
+        asked.select("word", F.substring("word", 1, prefix_length).alias("head"), F.explode(lengths).alias("n"))
+        .select("word", "head", F.explode(shifted(F.col("n"))).alias("p"))
+        .select("word", "head", "p.n", "p.i", "p.part").distinct(),
+        "asked",
+    )
+    v = F.length("term")
+    parts = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.substring("term", s + 1, k).alias("part")) for i, (s, k) in enumerate(_segments(v))
+    ])
+    keyed = vocabulary.filter(v > 0).select(
+        "term", "df", F.substring("term", 1, prefix_length).alias("head"), v.alias("n"), F.inline(parts)
     )
     near = lookup_join(keyed, asked, ["head", "n", "i", "part"], ["term"]).withColumn(
         "distance", F.levenshtein("word", "term", max_edits)

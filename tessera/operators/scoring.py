@@ -59,8 +59,9 @@ def decay(distance: Column, kind: str, scale: float, offset: float = 0.0, at_sca
 
 
 def random_score(key: Column, seed: int = 0) -> Column:
-    """Reproducible value in [0, 1) per key."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    """Reproducible value in [0, 1) per key: the leading 52 bits of an MD5."""
+    digest = F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def _combine(values: list[Column], mode: str) -> Column:

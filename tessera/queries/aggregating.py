@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import buckets as B
 from tessera.operators import metrics as M
 from tessera.operators import windows as W
-from tessera.queries.common import query, table
+from tessera.queries.common import ORACLE, query, table
 from tessera.queries.matching import TOK
 from tessera.functions import text as X
 from tessera.session import new_stage_path
@@ -71,10 +71,31 @@ def percentiles(spark, sf_dir):
     return out.withColumn("value", _r("value", 4))
 
 
-@query("percentiles_sketch")
+@query("percentiles_bracket", ORACLE["percentiles"])
+def percentiles_bracket(spark, sf_dir):
+    """The same, bracketing every group, as large groups are."""
+    out = M.percentiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", _PERCENTS, ["l_linestatus"], accuracy=100, small_group=0)
+    return out.withColumn("value", _r("value", 4))
+
+
+@query(
+    "percentiles_sketch",
+    "SELECT l_linestatus, unnest([" + ", ".join(f"{p}::DOUBLE" for p in _PERCENTS) + "]) AS percent, true AS within"
+    " FROM lineitem GROUP BY l_linestatus",
+)
 def percentiles_sketch(spark, sf_dir):
-    """Sketched percentiles of prices per status."""
-    return M.percentiles_approx(table(spark, sf_dir, "lineitem"), "l_extendedprice", _PERCENTS, ["l_linestatus"])
+    """Whether sketched percentiles of prices per status are within the sketch's rank error."""
+    accuracy = 10_000
+    rows = table(spark, sf_dir, "lineitem").select("l_linestatus", F.col("l_extendedprice").alias("v"))
+    found = M.percentiles_approx(rows, "v", _PERCENTS, ["l_linestatus"], accuracy)
+    ranks = rows.join(F.broadcast(found), "l_linestatus").groupBy("l_linestatus", "percent").agg(  # a row per status and percent
+        F.count_if(F.col("v") < F.col("value")).alias("below"), F.count_if(F.col("v") <= F.col("value")).alias("upto"),
+        F.count("v").alias("n"),
+    )
+    wanted, slack = F.col("percent") / 100 * F.col("n"), F.col("n") / accuracy + 1
+    return ranks.select(
+        "l_linestatus", "percent", ((F.col("below") <= wanted + slack) & (F.col("upto") >= wanted - slack)).alias("within")
+    )
 
 
 @query(
