@@ -33,12 +33,13 @@ def hybrid_scores(index: TextIndex, questions: DataFrame, top_k: int = S.TOP_K,
     keys = list(index.keys)
     md = F.col("metadata")
     carry = {"id_app": md["id_app"], "doc_country": md["country"]}
-    doc_filter = {f"f_{n}": md[n] for n in EQUALITY_FILTERS}
+    given = [n for n in EQUALITY_FILTERS if n in questions.columns]
+    doc_filter = {f"f_{n}": md[n] for n in given}
     carried = {**carry, **doc_filter}
     accepts = matches_filters(
-        {n: F.col(f"f_{n}") for n in EQUALITY_FILTERS}, {n: F.col(f"q_{n}") for n in EQUALITY_FILTERS}
+        {n: F.col(f"f_{n}") for n in given}, {n: F.col(f"q_{n}") for n in given}
     )
-    filters = questions.select(qid, *[F.col(n).alias(f"q_{n}") for n in EQUALITY_FILTERS])
+    filters = questions.select(qid, *[F.col(n).alias(f"q_{n}") for n in given])
 
     weights = M.term_weights(index, M.question_terms(questions, qid, "question"))
     text = M.match_scores(index, weights, qid, carried, filters, accepts, combine=False)
@@ -101,6 +102,11 @@ def top_hits(scores: DataFrame, top_k: int, keys: list[str], qid: str = "questio
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
 
 
+def preview(hits: DataFrame, n: int = 3) -> DataFrame:
+    """The first hits of each question."""
+    return hits.filter(F.col("rank") <= n)
+
+
 @dataclass(frozen=True)
 class SearchResponse:
     """Hits, totals and facets of a batch of questions, as tables."""
@@ -141,7 +147,7 @@ def search(index: TextIndex, questions: DataFrame, top_k: int = S.TOP_K, qid: st
         .select(
             qid,
             "is_numerical",
-            F.coalesce("total", F.lit(0)).cast("bigint").alias("total"),
+            F.coalesce("total", "returned", F.lit(0)).cast("bigint").alias("total"),
             F.coalesce("matched_chunks", F.lit(0)).cast("bigint").alias("matched_chunks"),
             F.coalesce("returned", F.lit(0)).cast("bigint").alias("returned"),
         )

@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 
 from tessera.session import BROADCAST_MAX_BYTES, measured_size, stage
 
+# Bounds of one task's work: cells of a (question, document) matrix, and bytes of a document block.
+MATRIX_CELLS = 4_000_000
+BLOCK_BYTES = 64 * 1024 * 1024
+
 # Distances are compared after rounding, so that equal vectors tie in any summation order.
 D2_DIGITS = 9
 
@@ -37,9 +41,15 @@ class _Best:
         self.kept: list[tuple[np.ndarray, pd.DataFrame] | None] = [None] * len(q_ids)
 
     def add(self, batch: pd.DataFrame, vector: str) -> None:
+        """Compare the batch with every question, some rows at a time."""
         batch = batch[batch[vector].notna()]
         if batch.empty or not self.q_ids:
             return
+        step = max(1, MATRIX_CELLS // len(self.q_ids))
+        for start in range(0, len(batch), step):
+            self._add(batch.iloc[start : start + step], vector)
+
+    def _add(self, batch: pd.DataFrame, vector: str) -> None:
         d = np.stack(batch[vector].to_numpy()).astype(np.float64)
         d_norm = (d * d).sum(axis=1)
         rough = self.q_norm[:, None] + d_norm[None, :] - 2.0 * (self.q @ d.T)
@@ -81,7 +91,7 @@ def knn_exact(
     vector: str = "embedding",
     q_vector: str = "embedding",
     max_broadcast_bytes: int = BROADCAST_MAX_BYTES,
-    block_rows: int = 200_000,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(qid, keys, d2, rank): the k nearest documents of every question, ties by key.
 
@@ -114,7 +124,7 @@ def knn_exact(
         per_vector = max(1, q_bytes // max(1, n_questions))
         q_block_rows = max(1, max_broadcast_bytes // per_vector)
         q_blocks = -(-n_questions // q_block_rows)
-        d_blocks = max(1, -(-docs.count() // block_rows))
+        d_blocks = max(1, -(-docs.count() // max(1, block_bytes // per_vector)))
         left = docs.withColumn("__d", F.pmod(F.xxhash64(*keys), F.lit(d_blocks))).withColumn(
             "__b", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
         )
@@ -126,8 +136,7 @@ def knn_exact(
             if d.empty or q.empty:
                 return pd.DataFrame(columns=[f.name for f in schema])
             best = _Best(q[qid].tolist(), np.stack(q["__q"].to_numpy()).astype(np.float64), k, keys)
-            for start in range(0, len(d), 10_000):
-                best.add(d.iloc[start : start + 10_000], "__v")
+            best.add(d, "__v")
             return pd.concat(list(best.rows(qid)), ignore_index=True)
 
         local = left.groupBy("__d", "__b").cogroup(right.groupBy("__d", "__b")).applyInPandas(block, schema)

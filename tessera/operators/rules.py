@@ -85,8 +85,10 @@ FILTER_COLUMNS = [
     "exact_name", "is_numerical", "wants_table", "wants_diagram", "wants_comparison",
     "country", "critic_name", "is_active", "status", "has_drp", "is_strategic", "deploy",
 ]
-# Filters that restrict documents by equality; the rest of FILTER_COLUMNS steers the answer.
-EQUALITY_FILTERS = ["country", "status", "critic_name", "deploy", "is_strategic", "has_drp", "is_active"]
+# Filters that restrict documents by equality; questions give any of them. The rest of FILTER_COLUMNS steers the answer.
+EQUALITY_FILTERS = [
+    "country", "status", "critic_name", "deploy", "app_type", "quadrant", "is_strategic", "has_drp", "is_active",
+]
 
 
 def first_match(q: Column, rules: list[tuple[list[str], str]]) -> Column:

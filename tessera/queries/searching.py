@@ -286,6 +286,13 @@ def hybrid_search(spark, sf_dir):
     )
 
 
+@query("hits_preview", f"WITH {SQL_HYBRID} SELECT question_id, id_app, rank::INTEGER AS rank, score FROM hits WHERE rank <= 3")
+def hits_preview(spark, sf_dir):
+    """The three best chunks of every question."""
+    response = H.search(hybrid_index(spark, sf_dir), hybrid_questions(spark, sf_dir))
+    return H.preview(response.hits).select("question_id", F.col("metadata.id_app").alias("id_app"), "rank", "score")
+
+
 @query(
     "hybrid_totals",
     f"""WITH {SQL_HYBRID} SELECT question_id, is_numerical, total, matched_chunks, returned,

@@ -57,7 +57,7 @@ def test_knn_equals_brute_force_on_both_paths(spark, max_bytes):
     q[3] = d[120]
     docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(d)], "id int, embedding array<float>").repartition(3)
     asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "q int, embedding array<float>")
-    got = knn_exact(docs, asked, 7, ["id"], "q", max_broadcast_bytes=max_bytes, block_rows=90)
+    got = knn_exact(docs, asked, 7, ["id"], "q", max_broadcast_bytes=max_bytes, block_bytes=8_000)
     assert sorted((r["q"], r["id"], r["rank"]) for r in got.collect()) == sorted(brute(d, q, 7))
 
 
