@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.rows import explode_once
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 BUCKETS = 1 << 14
@@ -158,5 +160,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that the rules reject."""
-    renamed = docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "text")
-    return judge(renamed, labels).where("kept").select("__doc.*")
+    judged = judge(docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "text"), labels)
+    # a filter below which the optimiser does not copy the whole judgement
+    return explode_once(judged, F.array("kept"), "kept", ["__doc"]).where("kept").select("__doc.*")
