@@ -126,8 +126,8 @@ def masks_within(width: int, radius: int) -> np.ndarray:
     """All numbers of ``width`` bits with at most ``radius`` ones."""
     return np.array(
         [sum(1 << b for b in c) for r in range(radius + 1) for c in itertools.combinations(range(width), r)],
-        dtype=np.int64,
-    )
+        dtype=np.uint64,
+    ).view(np.int64)
 
 
 def allocate(costs: np.ndarray, budget: int) -> np.ndarray:
