@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,27 +89,37 @@ def ranges(df: DataFrame, c: Column, bounds: list[tuple], metrics: list[Column]
     return rows.groupBy(*[F.col(f"__b.{n}").alias(n) for n in ("key", "low", "high")]).agg(_count(), *metrics)
 
 
-def _fill(buckets: DataFrame, grid: Column, min_doc_count: int) -> DataFrame:
-    """Add empty buckets between the first and the last; the grid comes from one small row."""
+# Buckets of a grid that one row makes at a time.
+GRID_ROWS = 10_000
+
+
+def _fill(buckets: DataFrame, steps: Column, key: Callable[[Column], Column], min_doc_count: int) -> DataFrame:
+    """Add empty buckets between the first (``lo``) and the last (``hi``).
+
+    ``steps`` is how many steps apart those are and ``key`` gives the key some steps from
+    ``lo``. The grid is made in runs of bounded size, which are spread over tasks, so a far
+    outlier makes many rows but no large array.
+    """
     if min_doc_count > 0:
         return buckets.filter(F.col(COUNT) >= min_doc_count)
-    span = buckets.agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
-    keys = span.select(F.explode(grid).alias("key"))
+    span = buckets.agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo is not null").withColumn("n", steps.cast("bigint"))
+    runs = span.select("lo", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("n") / GRID_ROWS))).alias("run"))
+    first = F.col("run") * GRID_ROWS
+    grid = runs.repartition("run").select("lo", F.explode(F.sequence(first, F.least(first + GRID_ROWS - 1, F.col("n")))).alias("i"))
+    keys = grid.select(key(F.col("i")).alias("key"))
     return keys.join(buckets, "key", "left").withColumn(COUNT, F.coalesce(COUNT, F.lit(0)))
 
 
 def histogram(df: DataFrame, c: Column, interval: float, offset: float = 0.0, min_doc_count: int = 0, metrics: list[Column] = ()) -> DataFrame:
     cell = F.floor((c - offset) / interval).cast("bigint")
     out = df.withColumn("key", cell).filter("key is not null").groupBy("key").agg(_count(), *metrics)
-    filled = _fill(out, F.sequence("lo", "hi"), min_doc_count)
+    filled = _fill(out, F.col("hi") - F.col("lo"), lambda i: F.col("lo") + i, min_doc_count)
     return filled.withColumn("key", F.col("key") * F.lit(float(interval)) + F.lit(float(offset)))
 
 
-# Calendar steps and their interval.
-CALENDAR = {
-    "minute": "interval 1 minute", "hour": "interval 1 hour", "day": "interval 1 day", "week": "interval 7 days",
-    "month": "interval 1 month", "quarter": "interval 3 months", "year": "interval 1 year",
-}
+# Calendar steps, in seconds or in months.
+CALENDAR_SECONDS = {"minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+CALENDAR_MONTHS = {"month": 1, "quarter": 3, "year": 12}
 
 
 def calendar_key(ts: Column, unit: str) -> Column:
@@ -121,8 +133,18 @@ def date_histogram(
     key = calendar_key(ts, calendar) if calendar else F.window(ts.cast("timestamp_ntz"), fixed)["start"]
     rows = df.withColumn("__ts", ts).filter("__ts is not null")
     out = rows.withColumn("key", key).groupBy("key").agg(_count(), *metrics)
-    step = F.expr(CALENDAR[calendar] if calendar else f"interval {fixed}")
-    return _fill(out, F.sequence("lo", "hi", step), min_doc_count)
+    lo, hi = F.col("lo"), F.col("hi")
+    if calendar in CALENDAR_MONTHS:
+        months = CALENDAR_MONTHS[calendar]
+        apart = (F.year(hi) - F.year(lo)) * 12 + F.month(hi) - F.month(lo)
+        return _fill(out, apart / months, lambda i: lo + F.make_ym_interval(F.lit(0), (i * months).cast("int")), min_doc_count)
+    seconds = (
+        F.lit(CALENDAR_SECONDS[calendar]) if calendar
+        else F.expr(f"unix_seconds(timestamp'1970-01-01 00:00:00Z' + interval {fixed})")
+    )
+    apart = F.unix_seconds(hi.cast("timestamp")) - F.unix_seconds(lo.cast("timestamp"))
+    later = lambda i: lo + F.make_dt_interval(secs=(i * seconds).cast("decimal(18,6)"))
+    return _fill(out, apart / seconds, later, min_doc_count)
 
 
 # Steps an automatic date histogram may choose, with their length in seconds.

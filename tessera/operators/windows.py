@@ -63,12 +63,23 @@ def bucket_stats(c: str) -> list[Column]:
     return [F.count(c).alias("count"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("avg"), F.sum(c).alias("sum")]
 
 
+def extended_bucket_stats(c: str) -> list[Column]:
+    """Sibling statistics with the spread of the buckets."""
+    return [
+        *bucket_stats(c), F.sum(F.col(c) * F.col(c)).alias("sum_of_squares"), F.var_pop(c).alias("variance"),
+        F.stddev_pop(c).alias("deviation"),
+    ]
+
+
+def percentile_buckets(df: DataFrame, c: str, percents: list[float]) -> DataFrame:
+    """(percent, value): percentiles over all buckets."""
+    return percentiles(df, c, percents)
+
+
 def extreme_bucket(df: DataFrame, c: str, key: str, largest: bool = True) -> DataFrame:
     """The extreme value and the keys of all buckets that have it."""
-    best = (F.max if largest else F.min)(c).over(Window.partitionBy())
-    return df.withColumn("__best", best).filter(F.col(c) == F.col("__best")).groupBy(F.col("__best").alias("value")).agg(
-        F.array_sort(F.collect_list(key)).alias("keys")
-    )
+    best = df.agg((F.max if largest else F.min)(c)).scalar()
+    return df.filter(F.col(c) == best).groupBy(F.col(c).alias("value")).agg(F.array_sort(F.collect_list(key)).alias("keys"))
 
 
 def normalize(c: str, method: str, by: list[str] = ()) -> Column:

@@ -541,13 +541,23 @@ def cumulative_cardinality(spark, sf_dir):
 @query(
     "sibling_buckets",
     f"""WITH {_MONTHS} SELECT count(doc_count) AS count, min(doc_count) AS min, max(doc_count) AS max, round(avg(doc_count), 6) AS avg, sum(doc_count)::BIGINT AS sum,
-      round(stddev_pop(doc_count), 6) AS deviation, round(median(doc_count), 6) AS median FROM months""",
+      sum(doc_count * doc_count)::BIGINT AS sum_of_squares, round(var_pop(doc_count), 4) AS variance, round(stddev_pop(doc_count), 6) AS deviation FROM months""",
 )
 def sibling_buckets(spark, sf_dir):
-    """Statistics over the monthly buckets."""
-    extra = [F.round(F.stddev_pop("doc_count"), 6).alias("deviation"), F.round(F.median("doc_count"), 6).alias("median")]
-    out = _months(spark, sf_dir).agg(*W.bucket_stats("doc_count"), *extra)
-    return rounded(out, 6, "avg")
+    """Extended statistics over the monthly buckets."""
+    out = _months(spark, sf_dir).agg(*W.extended_bucket_stats("doc_count"))
+    return rounded(rounded(out, 6, "avg", "deviation"), 4, "variance")
+
+
+@query(
+    "bucket_percentiles",
+    f"""WITH {_MONTHS} SELECT unnest([25.0::DOUBLE, 50.0::DOUBLE, 90.0::DOUBLE]) AS percent,
+      unnest(list_transform(quantile_cont(doc_count, [0.25, 0.5, 0.9]), lambda x: round(x, 6))) AS value FROM months""",
+)
+def bucket_percentiles(spark, sf_dir):
+    """Percentiles over the monthly buckets."""
+    out = W.percentile_buckets(_months(spark, sf_dir).select("doc_count"), "doc_count", [25, 50, 90])
+    return out.withColumn("value", _r("value"))
 
 
 @query(
