@@ -174,8 +174,7 @@ def variable_width_histogram(df: DataFrame, value: str, buckets: int) -> DataFra
     cuts = percentiles(df, value, [100.0 * i / buckets for i in range(1, buckets)])
     edges = stage(cuts.agg(F.array_sort(F.collect_set("value")).alias("edges")).withColumn("__k", F.lit(0)), "edges")
     rows = lookup_join(
-        df.select(F.col(value).cast("double").alias("__x")).filter("__x is not null").withColumn("__k", F.lit(0)), edges, ["__k"], ["__x"]
-    )
+        df.select(F.col(value).cast("double").alias("__x")).filter("__x is not null").withColumn("__k", F.lit(0)), edges, ["__k"])
     rows = rows.withColumn("__b", F.size(F.filter("edges", lambda e: e <= F.col("__x"))))
     return rows.groupBy("__b").agg(
         F.avg("__x").alias("key"), F.min("__x").alias("min"), F.max("__x").alias("max"), _count()

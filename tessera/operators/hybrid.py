@@ -54,7 +54,7 @@ def hybrid_scores(index: TextIndex, questions: DataFrame, top_k: int = S.TOP_K,
     owner = keyword("owner", F.col("question"), "kw_owner")
 
     near = stage(knn_exact(index.docs, questions, 3 * top_k, keys, qid).drop("rank"), "knn")
-    near = lookup_join(index.docs.select(*keys, *[c.alias(a) for a, c in carried.items()]), near, keys, keys)
+    near = lookup_join(index.docs.select(*keys, *[c.alias(a) for a, c in carried.items()]), near, keys)
     near = M.restrict(near, filters, qid, accepts, keys).withColumn("knn", knn_score(F.col("d2")))
 
     parts = [(text, "bm25"), (phrase, "phrase"), (near, "knn"), (term, "kw_term"), (name, "kw_name"), (owner, "kw_owner")]
@@ -124,10 +124,10 @@ def search(index: TextIndex, questions: DataFrame, top_k: int = S.TOP_K, qid: st
     scores = stage(hybrid_scores(index, questions, top_k, qid), "scores")
     listed = questions.filter(~F.col("is_numerical")).select(qid)
     best = top_hits(
-        lookup_join(scores.select(qid, *keys, "score"), listed, [qid], keys, "left_semi"), top_k, keys, qid
+        lookup_join(scores.select(qid, *keys, "score"), listed, [qid], "left_semi"), top_k, keys, qid
     )
     best = stage(best, "hits")
-    hits = lookup_join(index.docs.select(*keys, "text_content", "metadata"), best, keys, keys)
+    hits = lookup_join(index.docs.select(*keys, "text_content", "metadata"), best, keys)
 
     distinct = (
         F.approx_count_distinct("id_app")
@@ -155,7 +155,7 @@ def search(index: TextIndex, questions: DataFrame, top_k: int = S.TOP_K, qid: st
     )
 
     faceted = questions.filter(~F.col("is_numerical") & F.col("country").isNull()).select(qid)
-    counts = lookup_join(scores.select(qid, *keys, "country"), faceted, [qid], keys, "left_semi").groupBy(
+    counts = lookup_join(scores.select(qid, *keys, "country"), faceted, [qid], "left_semi").groupBy(
         qid, "country"
     ).agg(F.count(F.lit(1)).alias("doc_count"))
     w = Window.partitionBy(qid).orderBy(F.desc("doc_count"), "country")

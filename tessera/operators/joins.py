@@ -55,7 +55,7 @@ def percolate(docs: DataFrame, key: list[str], terms: str, stored: DataFrame, ch
     """
     words = stored.withColumn("__word", F.explode("words")).drop("words")
     rows = explode_once(docs, F.array_distinct(F.col(terms)), "__word", [*key, *carry])
-    found = lookup_join(rows, words, ["__word"], key)
+    found = lookup_join(rows, words, ["__word"])
     if checks is not None:
         found = found.filter(checks)
     return (

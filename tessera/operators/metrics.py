@@ -104,7 +104,7 @@ def percentiles(
     )
     # One row per group, stored: the passes below must not repeat the sketch.
     brackets = stage(brackets, "brackets")
-    tagged = lookup_join(rows, brackets, keys, [*keys, "__v"])
+    tagged = lookup_join(rows, brackets, keys)
     below = tagged.groupBy(*keys).agg(
         F.any_value("__n").alias("__n"),
         *[F.count_if(F.col("__v") < F.col(f"__lo{i}")).alias(f"__base{i}") for i in range(len(percents))],
@@ -153,7 +153,7 @@ def median_absolute_deviation(df: DataFrame, value: str, by: list[str] = ()) ->
     medians = stage(percentiles(rows, "__x", [50], by).select(*by, F.col("value").alias("__m")), "medians")
     if not by:
         rows, medians = rows.withColumn(_ONE, F.lit(0)), medians.withColumn(_ONE, F.lit(0))
-    apart = lookup_join(rows, medians, keys, [*keys, "__x"]).withColumn("__d", F.abs(F.col("__x") - F.col("__m")))
+    apart = lookup_join(rows, medians, keys).withColumn("__d", F.abs(F.col("__x") - F.col("__m")))
     return percentiles(apart, "__d", [50], by).select(*by, F.col("value").alias("mad"))
 
 
@@ -168,7 +168,7 @@ def boxplot(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
         *[F.max(F.when(F.col("percent") == p, F.col("value"))).alias(n) for p, n in ((25, "q1"), (50, "q2"), (75, "q3"))]
     )
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    joined = lookup_join(rows, box, keys, [*keys, "__x"])
+    joined = lookup_join(rows, box, keys)
     out = joined.groupBy(*keys, "q1", "q2", "q3").agg(
         F.min("__x").alias("min"),
         F.max("__x").alias("max"),

@@ -37,7 +37,7 @@ def terms(c: Column, values: list) -> Column:
 
 def terms_lookup(df: DataFrame, column: str, values: DataFrame, value: str, key: list[str]) -> DataFrame:
     """``terms`` with a long list kept in a table: a semi join."""
-    return lookup_join(df, values.select(F.col(value).alias(column)).distinct(), [column], key, "left_semi")
+    return lookup_join(df, values.select(F.col(value).alias(column)).distinct(), [column], "left_semi")
 
 
 def terms_set(tokens: Column, wanted: list[str], at_least: Column) -> Column:

@@ -77,18 +77,18 @@ def more_like_this(
     )
     chosen = stage(chosen, "like")
     needed = chosen.groupBy(qid).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * minimum_should_match)).alias("__need"))
-    hits = lookup_join(index.postings(), chosen, ["term"], list(index.keys)).groupBy(qid, *index.keys).agg(
+    hits = lookup_join(index.postings(), chosen, ["term"]).groupBy(qid, *index.keys).agg(
         F.sum(F.col("w") * M.saturation(F.col("tf"), F.col("dl"), avgdl)).alias("score"),
         F.count(F.lit(1)).alias("matched"),
     )
-    out = lookup_join(hits, needed, [qid], list(index.keys)).filter(F.col("matched") >= F.col("__need")).drop("__need")
+    out = lookup_join(hits, needed, [qid]).filter(F.col("matched") >= F.col("__need")).drop("__need")
     return out if exclude is None else out.filter(~exclude)
 
 
 def term_vectors(index: TextIndex, stats: DataFrame | None = None) -> DataFrame:
     """(keys, term, tf, df, ttf) for every document."""
     vocabulary = stage(index.term_stats(), "vocabulary") if stats is None else stats
-    return lookup_join(index.postings().drop("dl"), vocabulary, ["term"], list(index.keys))
+    return lookup_join(index.postings().drop("dl"), vocabulary, ["term"])
 
 
 def _segments(length: Column) -> list[tuple[Column, Column]]:
@@ -141,7 +141,7 @@ def suggest_terms(
     keyed = vocabulary.filter(v > 0).select(
         "term", "df", F.substring("term", 1, prefix_length).alias("head"), v.alias("n"), F.inline(parts)
     )
-    near = lookup_join(keyed, asked, ["head", "n", "i", "part"], ["term"]).withColumn(
+    near = lookup_join(keyed, asked, ["head", "n", "i", "part"]).withColumn(
         "distance", F.levenshtein("word", "term", max_edits)
     ).filter(F.col("distance").between(1, max_edits))
     found = near.groupBy("word", "term").agg(F.any_value("distance").alias("distance"), F.any_value("df").alias("df"))

@@ -84,12 +84,15 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def measured_size(df: DataFrame) -> tuple[int, int]:
-    """(rows, serialised bytes) of ``df``, computed where the data is."""
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b"),
-    ).first()
-    return row["n"], row["b"]
+    """(rows, serialised bytes) of ``df``, computed where the data is, once per table object."""
+    known = df.__dict__.get("_measured")
+    if known is None:
+        row = df.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b"),
+        ).first()
+        known = df.__dict__["_measured"] = (row["n"], row["b"])
+    return known
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
@@ -98,28 +101,14 @@ def fits_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
 
 
 def lookup_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: list[str],
-    salt_from: list[str],
-    how: str = "inner",
-    salts: int = 32,
-    max_bytes: int | None = None,
+    big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_bytes: int | None = None
 ) -> DataFrame:
     """Join a large table with a lookup side whose size is measured first.
 
-    Below the bound the lookup is broadcast, so the large side is not shuffled. Above it
-    both sides are shuffled, and every key is split over ``salts`` sub-keys taken from the
-    large side's own columns: a key that holds a third of the rows ends up in ``salts``
-    tasks instead of one. Only ``inner``, ``left`` and ``left_semi``/``left_anti`` joins
-    keep their meaning under salting, because the lookup side is what gets replicated.
+    Below the bound the lookup is broadcast, so the large side is not shuffled. Above it both
+    sides are shuffled by key, and adaptive execution splits the partitions of keys that turn
+    out hot; only their lookup rows are read more than once.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-    if fits_broadcast(small, max_bytes):
-        return big.join(F.broadcast(small), on, how)
-    salted_big = big.withColumn("__salt", F.pmod(F.xxhash64(*salt_from), F.lit(salts)).cast("int"))
-    salted_small = small.withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    return salted_big.join(salted_small, [*on, "__salt"], how).drop("__salt")
+    return big.join(F.broadcast(small) if fits_broadcast(small, max_bytes) else small, on, how)
