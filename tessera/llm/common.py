@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.session import stage
 
-# Rows that one task numbers at a time.
-RANK_ROWS = 200_000
+# Rows of a bucket that is numbered at a time.
+RANK_ROWS = 4_096
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,17 +21,23 @@ def hash_bucket(h: Column, n: Column | int) -> Column:
 
 
 def numbered(
-    df: DataFrame, keys: list[str], order: list[str], out: str = "rank", rows: int | None = None
+    df: DataFrame, keys: list[str], order: list[str], out: str = "rank", rows: int | None = None,
+    key_rows: Column | None = None,
 ) -> DataFrame:
     """Number the rows of each key from 0 without gaps, in a hashed order of ``order``.
 
     A key may hold any share of the rows: each is cut into buckets of about ``RANK_ROWS``
     rows along the hash, rows are numbered inside a bucket, and the bucket's start comes
     from a table of counts. ``keys`` must not be null. Rows equal in every column of
-    ``order`` are interchangeable. ``df`` is read twice.
+    ``order`` are interchangeable. ``rows`` is the row count if known, and ``key_rows`` a
+    column with the rows of each key, which then has buckets by its own size. ``df`` is read
+    twice.
     """
-    total = df.count() if rows is None else rows
-    buckets = max(1, -(-total // RANK_ROWS))
+    if key_rows is None:
+        total = df.count() if rows is None else rows
+        buckets = F.lit(max(1, -(-total // RANK_ROWS)))
+    else:
+        buckets = F.ceil(key_rows / RANK_ROWS)
     hashed = df.withColumn("__h", F.xxhash64(*order)).withColumn(
         "__bucket", hash_bucket(F.col("__h"), buckets).cast("int")
     )
@@ -49,6 +55,26 @@ def numbered(
     )
 
 
+def numbered_along(df: DataFrame, keys: list[str], file: str, row: str, out: str = "rank") -> DataFrame:
+    """Number the rows of each key from 0 without gaps, by ``file`` and then ``row`` number.
+
+    Runs of ``RANK_ROWS`` rows of a file are the buckets. ``df`` is read twice.
+    """
+    runs = df.withColumn("__run", F.floor(F.col(row) / RANK_ROWS))
+    before = Window.partitionBy(*keys).orderBy(file, "__run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        runs.groupBy(*keys, file, "__run")
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .select(*keys, file, "__run", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    )
+    inside = Window.partitionBy(*keys, file, "__run").orderBy(row)
+    return (
+        runs.join(starts, [*keys, file, "__run"])
+        .withColumn(out, F.col("__start") + F.row_number().over(inside) - 1)
+        .drop("__run", "__start")
+    )
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a, b) can reach.
 

@@ -79,17 +79,19 @@ def mix(docs: DataFrame, shares: dict[str | None, int] | None = None, block_rows
         named = {("null" if k is None else f"={k}"): n for k, n in shares.items()}
         given = {k: named.get(k, 1) for k in sizes}
     slots = schedule(given)
-    table = [{"__source": k, "__share": n, "__slots": slots[k]} for k, n in given.items()]
+    table = [{"__source": k, "__rows": sizes[k], "__share": n, "__slots": slots[k]} for k, n in given.items()]
     # bounded: MAX_SOURCES rows and one number per slot of a cycle
     cycle = docs.sparkSession.range(1).select(
         F.inline(
-            F.from_json(F.lit(json.dumps(table)), "array<struct<__source:string,__share:bigint,__slots:array<bigint>>>")
+            F.from_json(F.lit(json.dumps(table)), "array<struct<__source:string,__rows:bigint,__share:bigint,__slots:array<bigint>>>")
         )
     )
+    known = keyed.withColumn("__key", F.xxhash64("doc_id", "text")).join(
+        F.broadcast(cycle.select("__source", "__rows")), "__source"
+    )
     placed = (
-        numbered(keyed.withColumn("__key", F.xxhash64("doc_id", "text")), ["__source"], ["__key", "doc_id"],
-                 out="__rank", rows=sum(sizes.values()))
-        .join(F.broadcast(cycle), "__source")
+        numbered(known, ["__source"], ["__key", "doc_id"], out="__rank", key_rows=F.col("__rows"))
+        .join(F.broadcast(cycle.drop("__rows")), "__source")
         .withColumn("__block", F.floor(F.col("__rank") / block_rows))
         .withColumn(
             "__slot",
@@ -98,7 +100,7 @@ def mix(docs: DataFrame, shares: dict[str | None, int] | None = None, block_rows
         )
         .withColumn("__place", F.col("__rank") % block_rows)
     )
-    return placed.drop("__source", "__key", "__rank", "__slots")
+    return placed.drop("__source", "__key", "__rank", "__slots", "__rows")
 
 
 def in_order(docs: DataFrame, shares: dict[str | None, int] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
