@@ -26,7 +26,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import numbered
+from tessera.llm.common import numbered, numbered_along
 from tessera.session import stage
 
 SHARDS = 8
@@ -185,9 +185,18 @@ def sharding(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
 
 
-def with_shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``docs`` with ``shard`` and ``slot`` added; columns of these names are replaced."""
+def with_shard(docs: DataFrame, shards: int = SHARDS, along: tuple[str, str] | None = None) -> DataFrame:
+    """``docs`` with ``shard`` and ``slot`` added; columns of these names are replaced.
+
+    ``along`` names two columns, a file and a row number in it; slots then follow that order
+    in each shard, and the two columns are dropped.
+    """
     plain = [c for c in docs.columns if c not in ("shard", "slot")]
     kept = stage(docs.select(*plain).withColumn("vid", F.monotonically_increasing_id()), "shard-docs")
     narrow = stage(_narrow(kept), "shard-rows")
-    return kept.join(_placed(narrow, shards), "vid").select(*plain, "shard", "slot")
+    placed = _placed(narrow, shards)
+    if along:
+        chosen = stage(placed.drop("slot").join(kept.select("vid", *along), "vid"), "shard-order")
+        placed = numbered_along(chosen, ["shard"], *along, out="slot")
+    out = [c for c in plain if c not in (along or ())]
+    return kept.select("vid", *out).join(placed.select("vid", "shard", "slot"), "vid").select(*out, "shard", "slot")

@@ -259,6 +259,21 @@ def test_pipeline_equals_plain_version(spark, sf, docs):
     assert max(sizes.values()) - min(sizes.values()) <= 1
 
 
+def test_shards_keep_the_order_of_the_mix(spark, sf, odd, tmp_path):
+    path = str(tmp_path / "mixed")
+    own = odd.withColumn("line", F.monotonically_increasing_id().cast("string"))
+    mixing.in_order(own, block_rows=4).drop("shard", "slot").write.parquet(path)
+    mixed = spark.read.parquet(path)
+    at = {r["line"]: (r["f"], r["i"]) for r in mixed.select("line", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i")).collect()}
+    got = corpus_pipeline.to_shards(spark, mixed, sf).collect()
+    shards = defaultdict(list)
+    for r in got:
+        shards[r["shard"]].append((r["slot"], at[r["line"]]))
+    assert len(got) == len(at) == odd.count()
+    for rows in shards.values():
+        assert [s for s, _ in sorted(rows)] == list(range(len(rows))) and [p for _, p in sorted(rows)] == sorted(p for _, p in rows)
+
+
 def test_pipeline_stages_keep_columns(spark, odd, no_docs, sf):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, sf).columns == odd.columns, name
