@@ -49,7 +49,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing(read_table(spark, sf_dir, "documents"))
 
 
-@query("op4_warc")
+@query("op4_warc", warc.ORACLE)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -64,9 +64,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharding(read_table(spark, sf_dir, "documents"))
 
 
-@query("op7_decontamination")
+@query("op7_decontamination", decontaminate.ORACLE)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.drop("item_ids")
 
 
 @query("op8_html_text")
