@@ -77,14 +77,9 @@ def embed_with(
 
 
 def embedded(df: DataFrame, vector: Column, dim: int, keep: list[Column], out: str = "embedding") -> DataFrame:
-    """Rows with a vector; texts without one drop out and a wrong dimension fails the job.
+    """Rows with their vector, null where there is none or it has a wrong dimension.
 
     The vector is computed once and then tested, not once for each test.
     """
-    checked = F.transform(
-        F.filter(F.array(vector), lambda v: v.isNotNull()),
-        lambda v: F.when(F.size(v) == dim, v).otherwise(
-            F.raise_error(F.lit(f"embedding dimension must be {dim}")).cast("array<float>")
-        ),
-    )
+    checked = F.transform(F.array(vector), lambda v: F.when(F.size(v) == dim, v))
     return explode_once(df, checked, out, keep)

@@ -156,6 +156,7 @@ def embedding(spark, sf_dir):
     SELECT (SELECT count(*) FROM cat) AS rows_read,
       (SELECT count(*) FROM enriched WHERE length({C.sql_strip('enriched_text')}) >= 10) AS rows_processed,
       (SELECT count(*) FROM enriched WHERE length({C.sql_strip('enriched_text')}) < 10) AS rows_skipped,
+      (SELECT count(*) FROM chunks WHERE len(regexp_extract_all(chunk_text, '[\\p{{L}}\\p{{N}}_]')) = 0) AS chunks_failed,
       (SELECT count(*) FROM chunks WHERE len(regexp_extract_all(chunk_text, '[\\p{{L}}\\p{{N}}_]')) > 0) AS chunks_indexed,
       'catalogue' AS source""",
 )
@@ -165,6 +166,26 @@ def index_refresh(spark, sf_dir):
     return refresh(C.catalogue(spark, sf_dir), target, C.EMBED_DIM, "catalogue")
 
 
+def _lengths_model(texts: list[str]) -> list:
+    """A stand-in model: fails on texts of some lengths and returns a vector too short for others."""
+    if any(len(t) % 7 == 0 for t in texts):
+        raise ValueError("a text this model can't take")
+    return [[float(len(t))] * (3 if len(t) % 11 == 0 else 4) for t in texts]
+
+
+@query(
+    "index_with_model",
+    f"""WITH {C.SQL_CAT_CHUNKS}, n AS (SELECT length(chunk_text) % 7 = 0 OR length(chunk_text) % 11 = 0 AS failed FROM chunks)
+    SELECT (SELECT count(*) FROM cat) AS rows_read, count(*) FILTER (failed) AS chunks_failed,
+      count(*) FILTER (NOT failed) AS chunks_indexed FROM n""",
+)
+def index_with_model(spark, sf_dir):
+    """Load the index with a model's vectors; texts it fails on are left out and counted."""
+    target = DocumentTable(spark, new_stage_path(spark, "index"))
+    summary = refresh(C.catalogue(spark, sf_dir), target, 4, "catalogue", model=_lengths_model)
+    return summary.select("rows_read", "chunks_failed", "chunks_indexed")
+
+
 @query(
     "index_scan",
     f"""WITH {C.SQL_CAT_CHUNKS}

@@ -117,10 +117,10 @@ def test_failed_load_keeps_the_old_table(spark, tmp_path):
     assert table.read().count() == 1
 
 
-def test_wrong_dimension_fails_the_load(spark, tmp_path):
+def test_wrong_dimension_drops_the_chunk(spark, tmp_path):
     df = rows(spark, {"Id_App": "1", "Country": "Chile", "Name": "Una app"}).withColumn("original_row_index", F.lit(0))
-    with pytest.raises(Exception, match="dimension"):
-        refresh(df, DocumentTable(spark, str(tmp_path / "t")), 8, embedder=lambda c: hash_embedding(c, 4))
+    got = refresh(df, DocumentTable(spark, str(tmp_path / "t")), 8, embedder=lambda c: hash_embedding(c, 4)).first()
+    assert (got["rows_processed"], got["chunks_failed"], got["chunks_indexed"]) == (1, 1, 0)
 
 
 def test_model_failures_drop_single_texts(spark):
