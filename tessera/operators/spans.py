@@ -27,24 +27,69 @@ def span_first(spans: Column, end: int) -> Column:
     return F.filter(spans, lambda x: x["e"] <= end)
 
 
-def _followed(left: Column, right: Column, slop: int) -> Column:
-    """Each left span joined to the nearest right span after it, when close enough."""
+# A span being put together: start, end, and the positions its parts take up.
+_PARTIAL = "array<struct<s:int,e:int,w:int>>"
+
+
+def _extended(partial: Column, right: Column) -> Column:
+    """Each partial span joined to the nearest right span after it."""
 
     def join(x: Column) -> Column:
         nearest = F.array_min(F.filter(right, lambda y: y["s"] >= x["e"]))
-        return F.when(nearest["s"] - x["e"] <= slop, F.struct(x["s"].alias("s"), nearest["e"].alias("e")))
+        return F.when(
+            nearest.isNotNull(),
+            F.struct(x["s"].alias("s"), nearest["e"].alias("e"), (x["w"] + nearest["e"] - nearest["s"]).alias("w")),
+        )
+
+    return F.filter(F.transform(partial, join), lambda x: x.isNotNull()).cast(_PARTIAL)
+
+
+def _around(first: Column, others: list[Column]) -> Column:
+    """Each first span with the nearest span after it of every other list, in any order."""
+
+    def join(x: Column) -> Column:
+        nearest = [F.array_min(F.filter(o, lambda y: y["s"] >= x["e"])) for o in others]
+        width = sum((n["e"] - n["s"] for n in nearest), x["e"] - x["s"])
+        end = F.greatest(x["e"], *[n["e"] for n in nearest])
+        found = reduce(lambda a, b: a & b, [n.isNotNull() for n in nearest], F.lit(True))
+        return F.when(found, F.struct(x["s"].alias("s"), end.alias("e"), width.alias("w")))
+
+    return F.filter(F.transform(first, join), lambda x: x.isNotNull()).cast(_PARTIAL)
+
+
+def _partial(spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), (x["e"] - x["s"]).alias("w"))).cast(_PARTIAL)
 
-    return F.filter(F.transform(left, join), lambda x: x.isNotNull()).cast(_TYPE)
 
+def _within_slop(partial: Column, slop: int | None) -> Column:
+    kept = partial if slop is None else F.filter(partial, lambda x: x["e"] - x["s"] - x["w"] <= slop)
+    return F.transform(kept, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).cast(_TYPE)
 
-def span_near(spans: list[Column], slop: int = 0, in_order: bool = True) -> Column:
-    """Neighbouring spans with at most ``slop`` positions between consecutive ones."""
+
+def span_near(spans: list[Column], slop: int | None = 0, in_order: bool = True) -> Column:
+    """Spans of all lists with at most ``slop`` positions in all between their parts (None: any number)."""
     if in_order:
-        return reduce(lambda a, b: _followed(a, b, slop), spans)
-    if len(spans) != 2:
-        raise ValueError("an unordered near takes two span lists")
-    a, b = spans
-    return span_or(_followed(a, b, slop), _followed(b, a, slop))
+        return _within_slop(reduce(_extended, spans[1:], _partial(spans[0])), slop)
+    starts = [_within_slop(_around(x, spans[:i] + spans[i + 1 :]), slop) for i, x in enumerate(spans)]
+    return span_or(*starts)
+
+
+def intervals_all_of(spans: list[Column], max_gaps: int = -1, ordered: bool = False) -> Column:
+    """Intervals holding one span of every list; a negative ``max_gaps`` is no bound."""
+    return span_near(spans, None if max_gaps < 0 else max_gaps, ordered)
+
+
+def intervals_any_of(*spans: Column) -> Column:
+    return span_or(*spans)
+
+
+def intervals_before(spans: Column, other: Column) -> Column:
+    """Intervals that end before some other begins."""
+    return F.filter(spans, lambda x: F.exists(other, lambda y: x["e"] <= y["s"]))
+
+
+def intervals_after(spans: Column, other: Column) -> Column:
+    return F.filter(spans, lambda x: F.exists(other, lambda y: x["s"] >= y["e"]))
 
 
 def _overlap(x: Column, y: Column, pre: int = 0, post: int = 0) -> Column:

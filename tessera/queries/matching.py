@@ -138,6 +138,22 @@ b AS (SELECT doc_id, i AS s, i + 1 AS e FROM pos WHERE t = 'of'),
 near_ab AS (SELECT a.doc_id, a.s, min(b.e) AS e FROM a JOIN b ON a.doc_id = b.doc_id AND b.s >= a.e AND b.s - a.e <= 3 GROUP BY a.doc_id, a.s),
 near_ba AS (SELECT b.doc_id, b.s, min(a.e) AS e FROM b JOIN a ON a.doc_id = b.doc_id AND a.s >= b.e AND a.s - b.e <= 3 GROUP BY b.doc_id, b.s),
 near_any AS (SELECT * FROM near_ab UNION SELECT * FROM near_ba),
+c AS (SELECT doc_id, i AS s, i + 1 AS e FROM pos WHERE t = 'and'),
+near_three AS (
+  SELECT doc_id, s, e3 AS e FROM (
+    SELECT *, (SELECT min(c.e) FROM c WHERE c.doc_id = x.doc_id AND c.s >= x.e2) AS e3
+    FROM (SELECT a.*, (SELECT min(b.e) FROM b WHERE b.doc_id = a.doc_id AND b.s >= a.e) AS e2 FROM a) x)
+  WHERE e3 - s - 3 <= 6
+),
+firsts AS (SELECT 'a' AS k, * FROM a UNION ALL SELECT 'b', * FROM b UNION ALL SELECT 'c', * FROM c),
+near_three_any AS (
+  SELECT DISTINCT doc_id, s, greatest(ea, eb, ec) AS e FROM (
+    SELECT doc_id, s, CASE k WHEN 'a' THEN e ELSE (SELECT min(y.e) FROM a y WHERE y.doc_id = f.doc_id AND y.s >= f.e) END AS ea,
+      CASE k WHEN 'b' THEN e ELSE (SELECT min(y.e) FROM b y WHERE y.doc_id = f.doc_id AND y.s >= f.e) END AS eb,
+      CASE k WHEN 'c' THEN e ELSE (SELECT min(y.e) FROM c y WHERE y.doc_id = f.doc_id AND y.s >= f.e) END AS ec
+    FROM firsts f)
+  WHERE ea IS NOT NULL AND eb IS NOT NULL AND ec IS NOT NULL AND greatest(ea, eb, ec) - s - 3 <= 6
+),
 cnt AS (
   SELECT doc_id, 'term' AS span, count(*) AS n FROM a GROUP BY doc_id
   UNION ALL SELECT doc_id, 'or', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b) GROUP BY doc_id
@@ -147,6 +163,9 @@ cnt AS (
   UNION ALL SELECT doc_id, 'not', count(*) FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = a.doc_id AND b.s < a.e + 1 AND b.e > a.s - 1) GROUP BY doc_id
   UNION ALL SELECT doc_id, 'containing', count(*) FROM near_any x WHERE EXISTS (SELECT 1 FROM b WHERE b.doc_id = x.doc_id AND b.s >= x.s AND b.e <= x.e) GROUP BY doc_id
   UNION ALL SELECT doc_id, 'within', count(*) FROM a WHERE EXISTS (SELECT 1 FROM near_any x WHERE a.doc_id = x.doc_id AND a.s >= x.s AND a.e <= x.e) GROUP BY doc_id
+  UNION ALL SELECT doc_id, 'near_three', count(*) FROM near_three GROUP BY doc_id
+  UNION ALL SELECT doc_id, 'near_three_any', count(*) FROM near_three_any GROUP BY doc_id
+  UNION ALL SELECT doc_id, 'interval_after', count(*) FROM near_three_any x WHERE x.s >= (SELECT min(e) FROM b WHERE b.doc_id = x.doc_id) GROUP BY doc_id
 )"""
 
 
@@ -156,7 +175,9 @@ def span_queries(spark, sf_dir):
     docs = P.with_tokens(C.documents(spark, sf_dir), "text").withColumn("a", SP.span_term(F.col("tokens"), "the")).withColumn(
         "b", SP.span_term(F.col("tokens"), "of")
     )
-    a, b = F.col("a"), F.col("b")
+    docs = docs.withColumn("c", SP.span_term(F.col("tokens"), "and"))
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    docs = docs.withColumn("three", SP.intervals_all_of([a, b, c], 6))
     docs = docs.withColumn("near", SP.span_near([a, b], 3)).withColumn("any", SP.span_near([a, b], 3, in_order=False))
     kinds = {
         "term": a,
@@ -167,6 +188,9 @@ def span_queries(spark, sf_dir):
         "not": SP.span_not(a, b, 1, 1),
         "containing": SP.span_containing(F.col("any"), b),
         "within": SP.span_within(a, F.col("any")),
+        "near_three": SP.span_near([a, b, c], 6),
+        "near_three_any": F.col("three"),
+        "interval_after": SP.intervals_after(F.col("three"), b),
     }
     counts = F.array(*[F.struct(F.lit(k).alias("span"), F.size(v).alias("n")) for k, v in kinds.items()])
     return docs.select("doc_id", F.inline(counts)).filter("n > 0")
