@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,14 @@ from tessera.operators.textindex import TextIndex
 from tessera.session import lookup_join, stage
 
 
-def sort_column(key: str | dict) -> Column:
-    """``field``, ``-field``, or ``{field: {order, mode, missing}}``; mode folds an array field."""
+def sort_column(key: str | dict, arrays: Collection[str] = ()) -> Column:
+    """``field``, ``-field``, or ``{field: {order, mode, missing}}``; mode folds an array field.
+
+    Fields named in ``arrays`` fold without a mode too: to their least value ascending, to
+    their greatest descending.
+    """
+    if isinstance(key, str) and key.lstrip("-") in arrays:
+        key = {key.lstrip("-"): "desc" if key.startswith("-") else "asc"}
     if isinstance(key, str):
         if key == "-_score":
             raise ValueError("sorting by `-_score` is not allowed")
@@ -27,8 +35,11 @@ def sort_column(key: str | dict) -> Column:
         "sum": lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v),
         "avg": lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a),
     }
-    if "mode" in options:
-        c = folds[options["mode"]](c)
+    mode = options.get("mode")
+    if mode is None and field in arrays:
+        mode = "max" if options.get("order") == "desc" else "min"
+    if mode:
+        c = folds[mode](c)
     first = options.get("missing") == "_first"
     if options.get("order", "asc") == "desc":
         return c.desc_nulls_first() if first else c.desc_nulls_last()

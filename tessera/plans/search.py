@@ -6,6 +6,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import text as X
 from tessera.operators.predicates import known
@@ -47,7 +48,10 @@ class Search:
         return replace(self, _post=clause if self._post is None else self._post & clause)
 
     def sort(self, *keys) -> Search:
-        return replace(self, _sort=tuple(sort_column(k) for k in keys))
+        return replace(self, _sort=tuple(sort_column(k, self._arrays()) for k in keys))
+
+    def _arrays(self) -> set[str]:
+        return {f.name for f in self.df.schema.fields if isinstance(f.dataType, T.ArrayType)}
 
     def source(self, includes: list[str] = ("*",), excludes: list[str] = ()) -> Search:
         return replace(self, _source=(tuple(includes), tuple(excludes)))

@@ -222,6 +222,37 @@ def sort_modes(spark, sf_dir):
     return search[:25].hits()
 
 
+@query(
+    "sort_array_default",
+    """(SELECT 'asc' AS kind, doc_id FROM (SELECT doc_id, list_min(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS v FROM documents) ORDER BY v, doc_id LIMIT 20)
+    UNION ALL
+    (SELECT 'desc', doc_id FROM (SELECT doc_id, list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS v FROM documents) ORDER BY v DESC, doc_id LIMIT 20)""",
+)
+def sort_array_default(spark, sf_dir):
+    """The ends of a sort over an array field without a mode."""
+    lengths = F.transform(F.split("text", "\n"), lambda x: F.length(x))
+    rows = Search(table(spark, sf_dir, "documents").select("doc_id", lengths.alias("line_chars")))
+    low, high = (rows.sort(key, "doc_id").source(["doc_id"])[:20].hits() for key in ("line_chars", "-line_chars"))
+    return low.select(F.lit("asc").alias("kind"), "doc_id").unionByName(high.select(F.lit("desc").alias("kind"), "doc_id"))
+
+
+@query(
+    "source_fields",
+    """SELECT c_custkey, c_name, c_mktsegment, 2::BIGINT AS top, 2::BIGINT AS inner_fields, 1::BIGINT AS place_fields FROM customer""",
+)
+def source_fields(spark, sf_dir):
+    """Fields of nested objects by pattern, with how many fields each object keeps."""
+    place = F.struct("c_nationkey", "c_mktsegment")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.struct("c_name", "c_acctbal", place.alias("place")).alias("info"))
+    out = Search(rows).source(["c_custkey", "info.c_*", "info.place.*"], ["info.c_acctbal", "*.c_nationkey"]).hits()
+    info = out.schema["info"].dataType
+    sizes = {"top": len(out.columns), "inner_fields": len(info.fields), "place_fields": len(info["place"].dataType.fields)}
+    return out.select(
+        "c_custkey", F.col("info.c_name").alias("c_name"), F.col("info.place.c_mktsegment").alias("c_mktsegment"),
+        *[F.lit(n).cast("bigint").alias(k) for k, n in sizes.items()],
+    )
+
+
 @query(
     "collapse",
     """SELECT o_custkey, o_orderkey, o_totalprice, inner_hits FROM (

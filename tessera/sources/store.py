@@ -232,9 +232,25 @@ def field_caps(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def source_filter(df: DataFrame, includes: list[str] = ("*",), excludes: list[str] = ()) -> DataFrame:
-    """Columns matching any include pattern and no exclude pattern."""
-    keep = [
-        c for c in df.columns
-        if any(fnmatch.fnmatchcase(c, p) for p in includes) and not any(fnmatch.fnmatchcase(c, p) for p in excludes)
-    ]
-    return df.select(*[F.col(f"`{c}`") for c in keep])
+    """Fields matching any include pattern and no exclude pattern.
+
+    A pattern matches a field's path or the path of an object that holds it, so ``metadata``
+    and ``metadata.*`` take the whole object and ``metadata.name`` one field of it. An object
+    without any field left is dropped, and a null object stays null.
+    """
+
+    def named(path: str, patterns: list[str]) -> bool:
+        steps = path.split(".")
+        return any(fnmatch.fnmatchcase(".".join(steps[: i + 1]), p) for i in range(len(steps)) for p in patterns)
+
+    def kept(path: str, column: Column, kind: T.DataType) -> Column | None:
+        if not isinstance(kind, T.StructType):
+            return column if named(path, includes) and not named(path, excludes) else None
+        parts = [(f.name, kept(f"{path}.{f.name}", column[f.name], f.dataType)) for f in kind.fields]
+        parts = [c.alias(n) for n, c in parts if c is not None]
+        if len(parts) == len(kind.fields) and all(not isinstance(f.dataType, T.StructType) for f in kind.fields):
+            return column
+        return F.when(column.isNotNull(), F.struct(*parts)) if parts else None
+
+    chosen = [(f.name, kept(f.name, F.col(f"`{f.name}`"), f.dataType)) for f in df.schema.fields]
+    return df.select(*[c.alias(n) for n, c in chosen if c is not None])
