@@ -123,7 +123,3 @@ def fragment(c: Column, terms: list[str], size: int = 100) -> Column:
     alternatives = "|".join(re.escape(t) for t in terms)
     tail = F.regexp_extract(c, f"(?isu)(?<![{WORD}])((?:{alternatives})(?![{WORD}]).*)", 1)
     return F.nullif(F.substring(tail, 1, size), F.lit(""))
-
-
-def text_or_blank(c: Column) -> Column:
-    return F.coalesce(c, F.lit(""))

@@ -20,14 +20,6 @@ BLOCK_BYTES = 64 * 1024 * 1024
 D2_DIGITS = 9
 
 
-def l2_squared(a: Column, b: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)),
-        F.lit(0.0),
-        lambda acc, v: acc + v,
-    )
-
-
 def knn_score(d2: Column) -> Column:
     return 1 / (1 + d2)
 

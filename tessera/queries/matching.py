@@ -220,6 +220,13 @@ def has_no_child(spark, sf_dir):
     return hit.select("o_orderkey")
 
 
+@query("children_of_parent", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey = (SELECT min(o_orderkey) FROM orders)")
+def children_of_parent(spark, sf_dir):
+    """The lines of the first order."""
+    first = table(spark, sf_dir, "orders").agg(F.min("o_orderkey")).first()[0]
+    return J.parent_id(table(spark, sf_dir, "lineitem"), "l_orderkey", first).select("l_orderkey", "l_linenumber")
+
+
 @query(
     "has_parent",
     "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')",
@@ -479,7 +486,7 @@ def highlight(spark, sf_dir):
     "coerce_types",
     """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN false WHEN event_id % 3 = 1 THEN true END AS flag,
       make_timestamp(epoch_us(ts) // 1000 * 1000) AS from_millis, round(value * 10) / 10 AS scaled,
-      value >= 10 AND value < 100 AS in_range, event_type AS decoded FROM events""",
+      value >= 10 AND value < 100 AS in_range, event_type AS decoded, date_trunc('second', ts) AS from_text FROM events""",
 )
 def coerce_types(spark, sf_dir):
     kind = F.pmod("event_id", F.lit(3))
@@ -490,6 +497,7 @@ def coerce_types(spark, sf_dir):
         K.to_boolean(flag).alias("flag"),
         K.millis_to_date(millis).cast("timestamp_ntz").alias("from_millis"),
         K.scaled_float(F.col("value"), 10).alias("scaled"),
-        K.in_range(F.col("value"), gte=10, lt=100).alias("in_range"),
+        K.in_range(F.col("value"), **K.range_struct(gte=10, lt=100)).alias("in_range"),
         K.decode_binary(F.base64(F.col("event_type").cast("binary"))).cast("string").alias("decoded"),
+        K.text_to_date(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz").alias("from_text"),
     )
