@@ -52,8 +52,28 @@ def staging_root(spark: SparkSession) -> str:
     return _fallback_root
 
 
+# Folders handed out by this driver and not yet removed.
+_staged: list[str] = []
+
+
 def new_stage_path(spark: SparkSession, label: str) -> str:
-    return f"{staging_root(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the library's own, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release_staged(spark: SparkSession) -> int:
+    """Remove what was staged so far; call it once the results that read it are written."""
+    paths, _staged[:] = list(_staged), []
+    for path in paths:
+        remove_folder(spark, path)
+    return len(paths)
 
 
 def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import ROW_GROUP_BYTES
+from tessera.session import ROW_GROUP_BYTES, remove_folder
 
 _COMMIT = "version bigint, snapshot string, added boolean, stream string, batch bigint"
 
@@ -107,6 +107,15 @@ class DocumentTable:
         row = (version, snapshot, added, stream, batch)
         self.spark.createDataFrame([row], _COMMIT).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
 
+    def vacuum(self) -> int:
+        """Remove snapshots that the table no longer reads; call it while nobody reads an older version."""
+        commits = self._commits()
+        whole = commits.where("NOT coalesce(added, false)").agg(F.max("version")).first()[0] if commits is not None else None
+        old = [] if whole is None else commits.where(F.col("version") < whole).select("snapshot").collect()
+        for row in old:
+            remove_folder(self.spark, f"{self.path}/{row['snapshot']}")
+        return len(old)
+
     # -- reading ---------------------------------------------------------------
 
     def scan(self, where: Column | None = None, order_by: list[Column] | None = None) -> DataFrame:

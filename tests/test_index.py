@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import schema as S
+from tessera import session
 from tessera.operators.chunk import explode_chunks
 from tessera.operators.embed import embed_with, hash_embedding
 from tessera.operators.enrich import enrich, metadata, with_catalogue_columns
@@ -210,3 +211,19 @@ def test_explicit_version_loads_once(spark, tmp_path):
     assert refresh(df, table, 8, version=0).first()["rows_read"] == 1
     again = refresh(df, table, 8, version=0).first()
     assert again["rows_read"] is None and again["chunks_indexed"] == 1
+
+
+def test_vacuum_keeps_what_is_read(spark, tmp_path):
+    table = DocumentTable(spark, str(tmp_path / "t"))
+    for i in range(3):
+        table.replace(spark.range(i + 1))
+    table.add(spark.range(5), "s", 0)
+    assert table.vacuum() == 2 and table.read().count() == 8
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("snapshot")]) == 2
+
+
+def test_staged_tables_can_be_released(spark):
+    held = session.stage(spark.range(4), "test")
+    assert held.count() == 4 and session.release_staged(spark) >= 1
+    with pytest.raises(Exception):
+        spark.read.parquet(held.inputFiles()[0]).count()
