@@ -2,7 +2,7 @@
 
 A page becomes a sequence of tags and words. Words score positive and tags negative; the
 scores are log ratios learned from labelled pages, which are those whose main text is marked
-by a single <article> or <main> element: how often a token occurs inside the marked part
+by a single <article> element, or else by a single <main> element: how often a token occurs inside the marked part
 against outside. A token's key is the tag with its classes, or for words the element they
 stand in; marked elements themselves are left out of keys, so that the scores carry over to
 pages without a mark. One linear scan finds the contiguous region of greatest total score.
@@ -59,6 +59,10 @@ SKIPPED_CLASSES = {
     "pager", "copyright", "legal", "disclaimer", "skip",
 }
 MARKED = {"article", "main"}
+# Classes of a mark inside another one that is not main text, such as a reader's comment.
+SKIPPED_MARKS = {"comment", "comments", "reply", "replies", "related", "teaser", "ad", "ads", "advert", "promo", "sponsored"}
+# Parts of class names that speak of the page's layout, not of the element.
+LAYOUT = {"has", "no", "with", "without", "layout"}
 # Elements that a new element of the same list ends.
 CLOSES = {
     "li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -94,7 +98,10 @@ def _names_of(attributes: str) -> tuple[str, set[str], bool]:
             hidden = True
         elif kind == "class":
             classes = value
-            words.update(_PARTS.split(value))
+            for name in value.split():
+                parts = set(_PARTS.split(name))
+                if LAYOUT.isdisjoint(parts):
+                    words |= parts
         elif kind == "id":
             words.update(_PARTS.split(value))
         elif kind == "role" and value in SKIPPED_ROLES:
@@ -102,15 +109,24 @@ def _names_of(attributes: str) -> tuple[str, set[str], bool]:
     return classes, words, hidden
 
 
-def parse(page: str):
-    """Tokens in page order: (key, text or None, skipped, marked depth, starts a block)."""
+def label_of(page: str) -> str | None:
+    """The element that marks a page's main text, if there is one of it."""
+    low = page.lower()
+    return next((name for name in ("article", "main") if low.count(f"<{name}") == 1), None)
+
+
+def parse(page: str, label: str | None = None):
+    """Tokens in page order: (key, text or None, skipped, depth in marks, starts a block).
+
+    Every <article> and <main> is a mark unless ``label`` names the one that is.
+    """
     stack = [Element("", "", False, False, True)]
     at, end, marked = 0, len(page), 0
     find = _PIECE.search
 
     def word_key() -> str:
         for e in reversed(stack):
-            if e.block and not e.marked:
+            if e.block and e.name not in MARKED:
                 return "w " + e.key
         return "w"
 
@@ -133,7 +149,7 @@ def parse(page: str):
                 key, was = stack[depth].key, stack[depth]
                 marked -= sum(e.marked for e in stack[depth:])
                 del stack[depth:]
-                yield ("m" if was.marked else "/" + key), None, was.skipped, marked, block
+                yield ("m" if was.name in MARKED else "/" + key), None, was.skipped, marked, block
             continue
         classes, words, hidden = _names_of(attributes) if attributes else ("", (), False)
         for i in range(len(stack) - 1, 0, -1):
@@ -146,16 +162,19 @@ def parse(page: str):
         is_mark = name in MARKED
         in_article = marked > 0
         out = name in SKIPPED and not (name == "header" and in_article)
-        skipped = stack[-1].skipped or out or hidden or (
-            not is_mark and name not in ("html", "body") and not SKIPPED_CLASSES.isdisjoint(words)
-        )
+        if is_mark:
+            unfit = in_article and not SKIPPED_MARKS.isdisjoint(words)
+        else:
+            unfit = name not in ("html", "body") and not SKIPPED_CLASSES.isdisjoint(words)
+        skipped = stack[-1].skipped or out or hidden or unfit
         yield ("m" if is_mark else key), None, skipped, marked, block
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
             at = close.end() if close else end
         elif name not in VOID and not attributes.endswith("/"):
-            stack.append(Element(name, key, skipped, is_mark, block))
-            marked += is_mark
+            counts = is_mark and label in (None, name)
+            stack.append(Element(name, key, skipped, counts, block))
+            marked += counts
 
 
 def bucket_of(key: str) -> int:
@@ -169,10 +188,10 @@ def default_scores() -> np.ndarray:
 
 def token_counts(page: str, inside: np.ndarray, outside: np.ndarray) -> bool:
     """Add a labelled page's tokens to the two counts; False if the page is not labelled."""
-    low = page.lower()
-    if low.count("<article") + low.count("<main") != 1:
+    label = label_of(page)
+    if label is None:
         return False
-    for key, text, skipped, marked, _ in parse(page):
+    for key, text, skipped, marked, _ in parse(page, label):
         if key == "m" or (skipped and marked):
             continue
         n = 1 if text is None else len(text.split())

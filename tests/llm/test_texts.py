@@ -233,6 +233,9 @@ PAGES = [
     page(f"<header>Site name</header>{MENU}<main>{PARTS}</main><aside><p>More to read here today</p></aside>"),
     page(f"{MENU}<div class='content'>{PARTS}<div class='ad banner'>Buy this now, a great deal</div></div><div id=comments><p>First reader says a lot of things here</p></div>"),
     page(f"<div class='cookie-notice'>We use cookies and say so at length</div><div>{PARTS}</div><form><p>Sign up to our letter</p></form><script>var a = '<p>no</p>';</script>"),
+    page(f"<main>{MENU}<article>{PARTS}</article><section class='related'><p>Other stories of the week</p></section></main>"),
+    page(f"<main>{PARTS}<article class='comment'><p>I say so too</p></article><article class='comment'><p>Me not</p></article></main>"),
+    page(f"<div class='has-sidebar no-menu'>{PARTS}<div class='sidebar'><p>Aside of the story told</p></div></div>"),
 ]
 
 
