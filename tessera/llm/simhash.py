@@ -232,7 +232,9 @@ def component_ids(prints: DataFrame, max_bits: int = MAX_BITS, parts: int = PART
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # both are sides of their own, so that a hot component of the join can be split
+    rooted = stage(rooted, "simhash-rooted")
+    named = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-named")
     return rooted.join(named, "root").select("fp", "component_id")
 
 
