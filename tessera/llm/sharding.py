@@ -157,6 +157,7 @@ def place(vertices: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: i
 def copies(vertices: DataFrame) -> DataFrame:
     """Links (a, b) of each row with the least vid among the rows of its ``key``."""
     groups = vertices.groupBy("key").agg(F.min("vid").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = stage(groups, "copy-groups")  # a side of its own, so that a hot key of the join can be split
     return vertices.join(groups, "key").where("vid <> b").select(F.col("vid").alias("a"), "b")
 
 
@@ -199,4 +200,6 @@ def with_shard(docs: DataFrame, shards: int = SHARDS, along: tuple[str, str] | N
         chosen = stage(placed.drop("slot").join(kept.select("vid", *along), "vid"), "shard-order")
         placed = numbered_along(chosen, ["shard"], *along, out="slot")
     out = [c for c in plain if c not in (along or ())]
-    return kept.select("vid", *out).join(placed.select("vid", "shard", "slot"), "vid").select(*out, "shard", "slot")
+    # one plan at every size: without the hint a small table would be broadcast and a large one shuffled
+    placed = placed.select("vid", "shard", "slot").hint("merge")
+    return kept.select("vid", *out).join(placed, "vid").select(*out, "shard", "slot")
