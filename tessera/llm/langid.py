@@ -16,13 +16,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import hash_bucket
+
 LONGEST = 3
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
-# Bounds: training documents per language (chosen by a hash of the id), and languages.
+# Bounds: training documents per language (expected; chosen by a hash of the id), and languages.
 TRAIN_PER_LANGUAGE = 5_000
 MAX_LANGUAGES = 200
 # Characters, and documents, that one round of scoring holds.
@@ -74,24 +76,30 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> DataFrame:
-    """(doc_id): at most ``per_language`` labelled documents of each language."""
-    labelled = docs.select("doc_id", "lang", held_out().alias("out")).where(
-        "lang IS NOT NULL AND doc_id IS NOT NULL AND NOT out"
+def training_sample(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> tuple[DataFrame, list[str]]:
+    """Labelled documents (lang, text), about ``per_language`` of each language, and the languages.
+
+    A document is in the sample if a hash of its id falls below its language's share, so
+    choosing takes the counts per language and no sort.
+    """
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not counts:
+        return labelled.select("lang", "text").limit(0), []
+    parts = 1 << 20
+    shares = F.create_map(
+        *[F.lit(x) for r in counts for x in (r["lang"], min(parts, -(-per_language * parts // r["n"])))]
     )
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return labelled.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= per_language).select("doc_id").distinct()
+    chosen = hash_bucket(F.xxhash64("doc_id"), F.lit(parts)) < F.try_element_at(shares, F.col("lang"))
+    sample = labelled.where(chosen & F.col("text").isNotNull()).select("lang", "text")
+    return sample, sorted(r["lang"] for r in counts)
 
 
 def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages and the matrix of log probabilities (bucket x language), with priors as a last row."""
-    sample = training_sample(docs, per_language)  # at most per_language * MAX_LANGUAGES ids
-    chosen = (
-        docs.select("doc_id", "lang", "text", held_out().alias("out"))
-        .where("lang IS NOT NULL AND NOT out AND text IS NOT NULL")
-        .join(F.broadcast(sample), "doc_id", "left_semi")
-        .select("lang", "text")
-    )
+    chosen, names = training_sample(docs.select("doc_id", "lang", "text"), per_language)
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -106,15 +114,16 @@ def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> tuple[list
                 {"lang": pa.array([lang] * len(some), pa.string()), "bucket": some, "n": row[some]}
             )
 
-    names = [r["lang"] for r in chosen.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(names)
-    number = {k: i for i, k in enumerate(languages)}
-    counts = np.zeros((BUCKETS + 1, len(languages)))
-    summed = chosen.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    for r in summed.collect():  # at most BUCKETS + 1 rows per language
-        counts[r["bucket"], number[r["lang"]]] = r["n"]
+    number = {k: i for i, k in enumerate(names)}
+    counts = np.zeros((BUCKETS + 1, len(names)))
+    if names:
+        summed = chosen.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket")
+        for r in summed.agg(F.sum("n").alias("n")).collect():  # at most BUCKETS + 1 rows per language
+            counts[r["bucket"], number[r["lang"]]] = r["n"]
+    languages = [k for k in names if counts[-1, number[k]]]
+    counts = counts[:, [number[k] for k in languages]]
+    if not languages:
+        return [], counts
     grams = counts[:-1]
     logs = np.log(grams + SMOOTHING) - np.log(grams.sum(axis=0, keepdims=True) + SMOOTHING * BUCKETS)
     prior = np.log(counts[-1:] + 1) - np.log(counts[-1:].sum() + len(languages))
