@@ -57,8 +57,9 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -
     )
     margin = 1 + SURE * 1.04 / math.sqrt(1 << lg_k) * min_sites
     near = spread.where(F.abs(F.col("sites") - min_sites) <= margin).select("line")
+    # pairs are made distinct first, so a line in a third of the documents joins as one row per site
     exact = (
-        pairs.join(near, "line", "left_semi").distinct()
+        pairs.distinct().join(near, "line", "left_semi")
         .groupBy("line").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites)
     )
     return spread.where(F.col("sites") > min_sites + margin).select("line").unionByName(exact.select("line"))
