@@ -34,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import stage, staging_root
+from tessera.session import new_stage_path, stage
 
 # Bytes after which a task begins another archive.
 ARCHIVE_BYTES = 1 << 30
@@ -124,14 +124,10 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _root(spark: SparkSession, label: str) -> str:
-    return f"{staging_root(spark)}/tessera/{label}-{uuid.uuid4().hex}"
-
-
 def write_archives(pages: DataFrame, root: str | None = None) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as archives; the captures, as a stored table."""
     spark = pages.sparkSession
-    root = root or _root(spark, "warc")
+    root = root or new_stage_path(spark, "warc")
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", "html", F.unhex(F.sha1(payload)).alias("digest")).withColumn(
         "row", F.monotonically_increasing_id()  # only tells rows of one id and payload apart
@@ -181,7 +177,7 @@ def write_archives(pages: DataFrame, root: str | None = None) -> DataFrame:
 def write_index(captures: DataFrame, root: str | None = None, files: int | None = None) -> DataFrame:
     """Write the two-level index; the files' table (first_surt, first_page, file), as a stored table."""
     spark = captures.sparkSession
-    root = root or _root(spark, "captures")
+    root = root or new_stage_path(spark, "captures")
     files = files or max(1, min(INDEX_FILES, -(-captures.count() // INDEX_LINES)))
     ordered = captures.select(
         "surt", F.coalesce("page_id", F.lit(-(1 << 63))).alias("page"), F.to_json(F.struct("record_type", "payload_digest", "archive", "offset", "length")).alias("line")
@@ -222,6 +218,11 @@ def write_index(captures: DataFrame, root: str | None = None, files: int | None
     return stage(ordered.mapInArrow(write, "first_surt string, first_page long, file string"), "capture-files")
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Given outright, because ranges are small and what they stand for is not: merging them would read in one task."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _read(path: str, offset: int = 0, length: int | None = None) -> bytes:
     store, name = _open(path)
     with store.open_input_file(name) as f:
@@ -289,7 +290,7 @@ def lookup(wanted: DataFrame, index: DataFrame) -> DataFrame:
 
     routed = wanted.select("url", F.col("page_id").cast("long")).distinct().mapInArrow(route, "file long, surt string, page long")
     # each index file's keys are split by range too, so a file in demand is served by several tasks
-    ordered = routed.distinct().repartitionByRange("file", "surt", "page").sortWithinPartitions("file", "surt", "page")
+    ordered = routed.distinct().repartitionByRange(_tasks(spark), "file", "surt", "page").sortWithinPartitions("file", "surt", "page")
     return ordered.mapInArrow(search, found)
 
 
@@ -318,7 +319,8 @@ def read_ranges(ranges: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in zip(columns, kinds)], names=columns)
 
-    ordered = ranges.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    ordered = ranges.select("archive", "offset", "length").repartitionByRange(_tasks(ranges.sparkSession), "archive", "offset")
+    ordered = ordered.sortWithinPartitions("archive", "offset")
     return ordered.mapInArrow(
         read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     )
@@ -328,3 +330,22 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages``, index the captures, look every page up and read its record back."""
     index = write_index(write_archives(pages))
     return read_ranges(lookup(pages.select("url", "page_id"), index))
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_BITS = "['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111']"
+ORACLE = f"""
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS newest FROM pages
+), bits AS (
+  SELECT *, array_to_string(list_transform(range(1, 41),
+    lambda i: ({_BITS})[position(substr(sha1(body), i, 1) IN '0123456789abcdef')]), '') AS b FROM payloads
+)
+SELECT page_id, octet_length(encode(body)) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('{_BASE32}', 1
+    + 16 * substr(b, 5 * i + 1, 1)::INT + 8 * substr(b, 5 * i + 2, 1)::INT + 4 * substr(b, 5 * i + 3, 1)::INT
+    + 2 * substr(b, 5 * i + 4, 1)::INT + substr(b, 5 * i + 5, 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> newest THEN newest END AS refers_to
+FROM bits
+"""
