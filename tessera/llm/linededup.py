@@ -22,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import stage
+
 MIN_CHARS = 20
 MIN_SITES = 5
 LG_K = 10
@@ -67,7 +69,8 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -
 
 def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with ``text`` cleaned and ``__lines``, ``__removed`` (numbers of lines) added."""
-    repeated = boilerplate(docs, min_sites)
+    # stored, so that it is a side of its own and a hot line of the join below can be split
+    repeated = stage(boilerplate(docs, min_sites), "boilerplate")
     lost = (
         _hashed_lines(docs, hash128(F.col("text")).alias("__text"))
         .join(repeated, "line", "left_semi")
