@@ -78,7 +78,8 @@ _PIECE = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
     re.S,
 )
-_NAMES = re.compile(r"\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# One attribute: its whole name, and its value if it has one.
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
@@ -92,10 +93,12 @@ class Element:
 def _names_of(attributes: str) -> tuple[str, set[str], bool]:
     """Class names as written, the words in class, id and role, and whether it is hidden."""
     classes, words, hidden = "", set(), False
-    for kind, *values in _NAMES.findall(attributes):
+    for kind, *values in _ATTRIBUTE.findall(attributes):
         kind, value = kind.lower(), next((v for v in values if v), "").lower()
         if kind == "hidden":
-            hidden = True
+            hidden |= value != "until-found"
+        elif kind == "aria-hidden":
+            hidden |= value.strip() == "true"
         elif kind == "class":
             classes = value
             for name in value.split():

@@ -270,6 +270,27 @@ def test_main_text_odd_pages(spark):
     assert htmltext.html_text(df.limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def main_of(spark):
+    """The main text of a body, by scores learned from ``PAGES``."""
+    scores = htmltext.learn(spark.createDataFrame([(p,) for p in PAGES], "html string"))
+    return lambda body: htmltext.main_text(page(body), scores)
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    ['style="overflow:hidden"', 'aria-hidden="false"', 'data-hidden="0"', 'title="The hidden truth"', "title='class=ad id=nav'",
+     'data-id="sidebar"', 'data-role="banner"', 'data-class="ad"', 'hidden="until-found"', "data-hidden"],
+)
+def test_attributes_count_by_their_whole_name(main_of, attributes):
+    assert main_of(f"{MENU}<article><div {attributes}>{PARTS}</div></article>") == WANT
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'hidden=""', 'class="x" HIDDEN', 'aria-hidden="true"', "id=sidebar", "role = 'banner'"])
+def test_hidden_and_named_elements_go(main_of, attributes):
+    assert main_of(f"<article>{PARTS}<div {attributes}><p>Not a part of the story at all</p></div></article>") == WANT
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(-5, 5), max_size=30))
 def test_best_region_is_the_best(scores):
