@@ -8,8 +8,12 @@ stand in; marked elements themselves are left out of keys, so that the scores ca
 pages without a mark. One linear scan finds the contiguous region of greatest total score.
 
 From the region, elements that are never main text (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments) are left out by tag, role or
-class. Their words neither add to a region nor break one.
+notices, adverts, forms, scripts, styles, reader comments) are left out by tag, role, class
+or id. A class or id counts as a whole: every part of it must speak of such an element or of
+its place, so "site-header" counts and "entry-header" does not. Headings, and in a mark also
+sections, headers and paragraphs of an unclear name, stay. An element that holds the marked
+one, or most of the page's words while no other is marked, is left out by being hidden only,
+but reader comments never count as main text. Words left out neither add to a region nor break one.
 
 Text is split into blocks at block elements; white space in a block becomes one space,
 character references are decoded, and blocks are joined by an empty line.
@@ -26,6 +30,7 @@ import html as entities
 import math
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,10 +64,29 @@ SKIPPED_CLASSES = {
     "pager", "copyright", "legal", "disclaimer", "skip",
 }
 MARKED = {"article", "main"}
-# Classes of a mark inside another one that is not main text, such as a reader's comment.
+# Names of a mark inside another one that is not main text, such as a reader's comment.
 SKIPPED_MARKS = {"comment", "comments", "reply", "replies", "related", "teaser", "ad", "ads", "advert", "promo", "sponsored"}
-# Parts of class names that speak of the page's layout, not of the element.
-LAYOUT = {"has", "no", "with", "without", "layout"}
+COMMENTS = {"comment", "comments", "reply", "replies", "respond", "disqus"}
+# Names that also stand on headers, sections and paragraphs of an article.
+UNCLEAR = {
+    "side", "aside", "header", "discussion", "notice", "banner", "alert", "promotion", "overlay", "related", "copyright",
+    "legal", "disclaimer", "skip",
+}
+CLEAR = SKIPPED_CLASSES - UNCLEAR
+# Parts of names that speak of an element's place or form; with a clear name also those of what it belongs to.
+PLACES = {
+    "site", "global", "main", "primary", "secondary", "top", "bottom", "left", "right", "wrapper", "wrap", "container",
+    "bar", "list", "links", "posts", "articles", "stories",
+}
+OWNERS = {
+    "post", "article", "entry", "page", "reader", "user", "section", "area", "block", "box", "panel", "slot", "unit", "item",
+    "items", "link", "button", "buttons", "icon", "icons", "form", "inner", "outer", "row", "col", "column", "content",
+    "widgets", "sidebars", "menus", "toggle", "mobile", "desktop", "sticky", "fixed",
+}
+# Classes that say an element holds the content; beside them only clear names of one part count.
+CONTENT = {"content", "article", "post", "entry", "story"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PROSE = {"header", "hgroup", "section", "p"}
 # Elements that a new element of the same list ends.
 CLOSES = {
     "li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -84,15 +108,39 @@ _PARTS = re.compile(r"[^a-z0-9]+")
 
 
 class Element:
-    __slots__ = ("name", "key", "skipped", "marked", "block")
-
-    def __init__(self, name: str, key: str, skipped: bool, marked: bool, block: bool):
-        self.name, self.key, self.skipped, self.marked, self.block = name, key, skipped, marked, block
-
-
-def _names_of(attributes: str) -> tuple[str, set[str], bool]:
-    """Class names as written, the words in class, id and role, and whether it is hidden."""
-    classes, words, hidden = "", set(), False
+    __slots__ = ("name", "key", "up", "mark", "out", "names", "marked", "block", "inner", "words", "holds", "in_label", "skipped")
+
+    def __init__(self, name: str, key: str, up: Element | None, out: bool = False, names: int = 0, marked: bool = False):
+        """``out``: left out by tag or hidden. ``names``: as ``_names_of`` has it."""
+        self.name, self.key, self.up, self.out, self.names, self.marked = name, key, up, out, names, marked
+        self.block = name not in INLINE
+        # the nearest mark around it, the marks in it, the words in it, whether it holds the labelled element or is in it
+        self.mark = None if up is None else up if up.name in MARKED else up.mark
+        self.inner, self.words, self.holds, self.in_label = 0, 0, False, up is not None and up.in_label
+        self.skipped = False
+
+
+def _speaks(name: str, of: set[str], more: set[str]) -> bool:
+    """Whether a name has a part in ``of`` and all others there or in ``more``."""
+    parts = {x for x in _PARTS.split(name) if x and not x.isdigit()}
+    return not parts.isdisjoint(of) and parts <= of | more
+
+
+@lru_cache(1 << 14)
+def _level(name: str) -> int:
+    """0 for a name of any element, 1 for an unclear one, 2 for one that is never main text, 3 for reader comments."""
+    owned = PLACES | OWNERS
+    if _speaks(name, COMMENTS, SKIPPED_CLASSES | owned):
+        return 3
+    if _speaks(name, CLEAR, SKIPPED_CLASSES | owned):
+        return 2
+    return int(_speaks(name, SKIPPED_CLASSES, PLACES))
+
+
+def _names_of(attributes: str) -> tuple[str, int, bool, bool]:
+    """Class names as written, the greatest level of class, id and role, whether a name is of a skipped mark, and whether it is hidden."""
+    classes, names, hidden = "", [], False
+    level = 0
     for kind, *values in _ATTRIBUTE.findall(attributes):
         kind, value = kind.lower(), next((v for v in values if v), "").lower()
         if kind == "hidden":
@@ -101,15 +149,16 @@ def _names_of(attributes: str) -> tuple[str, set[str], bool]:
             hidden |= value.strip() == "true"
         elif kind == "class":
             classes = value
-            for name in value.split():
-                parts = set(_PARTS.split(name))
-                if LAYOUT.isdisjoint(parts):
-                    words |= parts
+            names += value.split()
         elif kind == "id":
-            words.update(_PARTS.split(value))
+            names.append(value)
         elif kind == "role" and value in SKIPPED_ROLES:
-            words.add("nav")
-    return classes, words, hidden
+            level = 2
+    content = not CONTENT.isdisjoint(classes.split())
+    for name in names:
+        if not content or name in CLEAR:
+            level = max(level, _level(name))
+    return classes, level, any(_speaks(n, SKIPPED_MARKS, PLACES | OWNERS) for n in names), hidden
 
 
 def label_of(page: str) -> str | None:
@@ -118,14 +167,35 @@ def label_of(page: str) -> str | None:
     return next((name for name in ("article", "main") if low.count(f"<{name}") == 1), None)
 
 
+def _skip(elements: list[Element]) -> None:
+    """Decide which elements are left out, once all words of the page are counted; elements are in page order."""
+    root = elements[0]
+    for e in reversed(elements):
+        if e.up is not None:
+            e.up.holds |= e.holds
+            if not e.out or e.name == "form":
+                e.up.words += e.words
+    for e in elements[1:]:
+        hidden = e.out and e.names < 0
+        most = 2 * e.words > root.words and (e.in_label or not root.holds)
+        level = max(e.names, 0)
+        if e.mark is not None and not e.mark.inner and (e.name in HEADINGS or e.name in PROSE and level == 1):
+            level = 0
+        out = e.out and not e.holds and not (e.name == "form" and most)
+        unfit = level == 3 or level > 0 and not e.holds and not most
+        e.skipped = e.up.skipped or hidden or out or unfit
+
+
 def parse(page: str, label: str | None = None):
-    """Tokens in page order: (key, text or None, skipped, depth in marks, starts a block).
+    """Tokens in page order: (key, text or None, words, skipped, depth in marks, starts a block).
 
     Every <article> and <main> is a mark unless ``label`` names the one that is.
     """
-    stack = [Element("", "", False, False, True)]
+    stack = [Element("", "", None)]
+    elements, tokens = [stack[0]], []
     at, end, marked = 0, len(page), 0
     find = _PIECE.search
+    labelled = label or label_of(page)
 
     def word_key() -> str:
         for e in reversed(stack):
@@ -137,24 +207,26 @@ def parse(page: str, label: str | None = None):
         m = find(page, at)
         start = m.start() if m else end
         if start > at:
-            yield word_key(), page[at:start], stack[-1].skipped, marked, False
+            text = page[at:start]
+            n = len(text.split())
+            stack[-1].words += n
+            tokens.append((word_key(), text, n, stack[-1], marked, False))
         if not m:
-            return
+            break
         at = m.end()
         name = m[2] or m[5]
         if name is None:
             continue
         name, closing, attributes = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
-        block = name not in INLINE
         if closing:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
             if depth:
-                key, was = stack[depth].key, stack[depth]
+                was = stack[depth]
                 marked -= sum(e.marked for e in stack[depth:])
                 del stack[depth:]
-                yield ("m" if was.name in MARKED else "/" + key), None, was.skipped, marked, block
+                tokens.append(("m" if was.name in MARKED else "/" + was.key, None, 0, was, marked, was.block))
             continue
-        classes, words, hidden = _names_of(attributes) if attributes else ("", (), False)
+        classes, level, unfit_mark, hidden = _names_of(attributes) if attributes else ("", 0, False, False)
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].name not in CLOSES.get(name, ()):
                 break
@@ -166,18 +238,27 @@ def parse(page: str, label: str | None = None):
         in_article = marked > 0
         out = name in SKIPPED and not (name == "header" and in_article)
         if is_mark:
-            unfit = in_article and not SKIPPED_MARKS.isdisjoint(words)
-        else:
-            unfit = name not in ("html", "body") and not SKIPPED_CLASSES.isdisjoint(words)
-        skipped = stack[-1].skipped or out or hidden or unfit
-        yield ("m" if is_mark else key), None, skipped, marked, block
+            level = 3 if in_article and unfit_mark else 0
+        elif name in ("html", "body"):
+            level = 0
+        # hidden elements, and those whose content is no text of the page, go whatever they hold
+        e = Element(name, key, stack[-1], out or hidden, -1 if hidden or name in RAW or name == "head" else level, is_mark and label in (None, name))
+        elements.append(e)
+        if is_mark and not level and not hidden:
+            if e.mark is not None:
+                e.mark.inner += 1
+            if name == labelled:
+                e.holds = e.in_label = True
+        tokens.append(("m" if is_mark else key, None, 0, e, marked, e.block))
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
             at = close.end() if close else end
         elif name not in VOID and not attributes.endswith("/"):
-            counts = is_mark and label in (None, name)
-            stack.append(Element(name, key, skipped, counts, block))
-            marked += counts
+            stack.append(e)
+            marked += e.marked
+    _skip(elements)
+    for key, text, n, e, depth, block in tokens:
+        yield key, text, n, e.skipped, depth, block
 
 
 def bucket_of(key: str) -> int:
@@ -194,10 +275,10 @@ def token_counts(page: str, inside: np.ndarray, outside: np.ndarray) -> bool:
     label = label_of(page)
     if label is None:
         return False
-    for key, text, skipped, marked, _ in parse(page, label):
+    for key, text, words, skipped, marked, _ in parse(page, label):
         if key == "m" or (skipped and marked):
             continue
-        n = 1 if text is None else len(text.split())
+        n = 1 if text is None else words
         (inside if marked else outside)[bucket_of(key)] += n
     return True
 
@@ -241,14 +322,14 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str | None, scores: np.ndarray) -> str:
     tokens = list(parse(page or ""))
     weights = []
-    for key, text, skipped, _, _ in tokens:
+    for key, text, words, skipped, _, _ in tokens:
         if text is None:
             weights.append(0.0 if key == "m" else float(scores[bucket_of(key)]))
         else:
-            weights.append(0.0 if skipped else float(scores[bucket_of(key)]) * len(text.split()))
+            weights.append(0.0 if skipped else float(scores[bucket_of(key)]) * words)
     first, last = best_region(weights)
     blocks, run = [], []
-    for key, text, skipped, _, block in tokens[first:last]:
+    for key, text, _, skipped, _, block in tokens[first:last]:
         if text is None:
             if block and run:
                 blocks.append("".join(run))

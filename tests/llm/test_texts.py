@@ -291,6 +291,44 @@ def test_hidden_and_named_elements_go(main_of, attributes):
     assert main_of(f"<article>{PARTS}<div {attributes}><p>Not a part of the story at all</p></div></article>") == WANT
 
 
+HEAD, END = f"{MENU}<div class='ad'><p>Buy this now</p></div>", "<footer><p>All rights of this site</p></footer>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        '<article><header class="entry-header"><h1>{0}</h1></header><p>{1}</p><p>{2}</p></article>',
+        '<article><header class="header"><h1>{0}</h1></header><p>{1}</p><p>{2}</p></article>',
+        '<article><h2 class="section-header">{0}</h2><p>{1}</p><p>{2}</p></article>',
+        '<article><section id="discussion"><p>{0}</p><p>{1}</p><p>{2}</p></section></article>',
+        '<article><p class="legal">{0}</p><p>{1}</p><p>{2}</p></article>',
+        '<article><h2 id="related-work">{0}</h2><p>{1}</p><p>{2}</p></article>',
+        '<div class="content sidebar-right"><article><p>{0}</p><p>{1}</p><p>{2}</p></article></div>',
+        '<div class="content sidebar-right"><p>{0}</p><p>{1}</p><p>{2}</p></div>',
+        '<div class="sidebar-right"><p>{0}</p><p>{1}</p><p>{2}</p></div>',
+        '<div id="related"><p>{0}</p><p>{1}</p><p>{2}</p></div>',
+        '<form id="page-form"><article><p>{0}</p><p>{1}</p><p>{2}</p></article></form>',
+        '<form><p>{0}</p><p>{1}</p><p>{2}</p></form>',
+        '<aside><article><p>{0}</p><p>{1}</p><p>{2}</p></article></aside>',
+    ],
+)
+def test_main_text_of_named_elements_stays(main_of, body):
+    assert main_of(HEAD + body.format(*STORY) + END) == WANT
+
+
+@pytest.mark.parametrize(
+    "name", ["site-header", "post-comments", "comment-list", "related-posts", "ad-slot-1", "cookie-consent", "share-buttons", "sidebar", "main-nav"]
+)
+def test_named_elements_go_whole(main_of, name):
+    extra = f"<div class='{name}'><p>Not a part of the story at all</p></div>"
+    assert main_of(f"<article>{PARTS}{extra}</article>") == main_of(f"<main>{extra}{PARTS}</main>") == WANT
+
+
+def test_reader_comments_longer_than_the_story_go(main_of):
+    said = "".join(f"<article><p>{LONG} {LONG} said reader {i}</p></article>" for i in range(5))
+    assert main_of(f"<main>{PARTS}<div id='comments'>{said}</div></main>") == WANT
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(-5, 5), max_size=30))
 def test_best_region_is_the_best(scores):
