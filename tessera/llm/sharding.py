@@ -10,8 +10,10 @@ The law is ``rows``: shard sizes differ by one row at most. Unlinked documents f
 linked ones leave, and linked documents above a shard's quota give way to the same filling.
 
 For documents, the links are equal texts: each copy is linked with one copy of its group, so
-a group of any size costs one link per copy. A group larger than a shard is split; it fills
-its first shard.
+a group of any size costs one link per copy. After the propagation, groups that it left split
+or that a shard has no room for move whole to shards with room; larger groups choose first. A
+group larger than a shard is split; it gives way to all others and fills what is left of its
+shard. Others are split only if no shard has room for the whole group.
 
 Defined results: a null text has size 1 and CRC 0; null texts count as equal to each other
 and differ from the empty text. Repeated rows and null ids are placed one by one. An empty
@@ -23,10 +25,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import numbered, numbered_along
+from tessera.llm import common
+from tessera.llm.common import hash_bucket, numbered, numbered_along
 from tessera.session import stage
 
 SHARDS = 8
@@ -35,6 +38,8 @@ ROUNDS = 8
 SLACK = 0.02
 HASH_BINS = 256
 GAIN_LEVELS = 32
+# Groups above this part of a shard are placed one by one on the driver: at most PARTS for each shard.
+PARTS = 64
 
 
 def quotas(rows: int, shards: int) -> list[int]:
@@ -123,10 +128,104 @@ def _priority(gain: Column, h: Column) -> Column:
     return ((GAIN_LEVELS - 1 - level) * HASH_BINS + F.pmod(h, F.lit(HASH_BINS))).cast("int")
 
 
-def place(vertices: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def _running(groups: DataFrame, key: str) -> DataFrame:
+    """``groups`` (b, n) with ``end``: the sum of n up to each group, in a hashed order per ``key``. Read twice."""
+    buckets = max(1, -(-groups.count() // common.RANK_ROWS))
+    hashed = groups.withColumn("__h", F.xxhash64("b")).withColumn("__bucket", hash_bucket(F.col("__h"), F.lit(buckets)).cast("int"))
+    before = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        hashed.groupBy(key, "__bucket").agg(F.sum("n").alias("__n"))
+        .select(key, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    )
+    inside = Window.partitionBy(key, "__bucket").orderBy("__h", "b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        hashed.join(starts, [key, "__bucket"])
+        .withColumn("end", F.col("__start") + F.sum("n").over(inside))
+        .drop("__h", "__bucket", "__start")
+    )
+
+
+def _at(values: list[int], shard: str) -> Column:
+    return F.get(F.array(*[F.lit(v).cast("long") for v in values]), F.col(shard))
+
+
+def _sums(df: DataFrame, shards: int) -> list[int]:
+    found = {r["shard"]: r["n"] for r in df.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    return [found.get(s, 0) for s in range(shards)]
+
+
+def _whole(state: DataFrame, links: DataFrame, quota: list[int]) -> tuple[DataFrame, DataFrame]:
+    """``state`` in two: rows of groups that have one shard, within its quota, and rows of groups that must be split.
+
+    ``links`` (a, b) are stars: each group has one b, which all its other rows are linked with.
+    """
+    shards, least = len(quota), min(quota)
+    hubs = links.select(F.col("b").alias("vid"), "b").distinct()
+    members = stage(links.select(F.col("a").alias("vid"), "b").unionByName(hubs).join(state, "vid"), "star-rows")
+    groups = stage(
+        members.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("shard").alias("low"), F.max("shard").alias("high")), "stars"
+    )
+    bound = least // PARTS
+    large = groups.where(F.col("n") > bound).collect()  # about shards * PARTS rows at most
+    over = [r["b"] for r in large if r["n"] > max(quota)]  # fewer than shards
+    spread = members.where(F.col("b").isin(over)).groupBy("b", "shard").agg(F.count(F.lit(1)).alias("n")).collect() if over else []
+    # the shard that each oversize group has most rows in is the last choice of others
+    homes = {max((r["n"], -r["shard"], r["shard"]) for r in spread if r["b"] == b)[2] for b in over}
+    load, chosen = [0] * shards, []
+
+    def put(b: int, n: int, own: int | None) -> None:
+        fits = [s for s in range(shards) if load[s] + n <= quota[s]]
+        if fits:
+            to = own if own in fits else min(fits, key=lambda s: (s in homes, load[s] - quota[s], s))
+            load[to] += n
+            chosen.append({"b": b, "shard": to})
+
+    for r in sorted(large, key=lambda r: (-r["n"], r["b"])):
+        put(r["b"], r["n"], r["low"] if r["low"] == r["high"] else None)
+    # small groups that are whole stay as far as their shard has room
+    small = groups.where(F.col("n") <= bound).select("b", "n", F.when(F.col("low") == F.col("high"), F.col("low")).alias("own"))
+    room = [q - n for q, n in zip(quota, load, strict=True)]
+    stays = F.when(F.col("end") <= _at(room, "own"), F.col("own"))
+    small = stage(
+        _running(small.where("own IS NOT NULL"), "own").select("b", "n", stays.alias("shard"))
+        .unionByName(small.where("own IS NULL").select("b", "n", F.lit(None).cast("int").alias("shard"))),
+        "small-stars",
+    )
+    load = [a + n for a, n in zip(load, _sums(small.where("shard IS NOT NULL"), shards), strict=True)]
+    # the others go one after the other to the room that is left; only groups across a bound of two shards remain
+    shard, start = F.lit(None).cast("int"), 0
+    for s in sorted(range(shards), key=lambda s: (s in homes, s)):
+        left = quota[s] - load[s]
+        shard = F.when((F.col("end") - F.col("n") >= start) & (F.col("end") <= start + left), F.lit(s)).otherwise(shard)
+        start += left
+    loose = stage(
+        _running(small.where("shard IS NULL").select("b", "n", F.lit(0).alias("one")), "one").select("b", "n", shard.alias("shard")),
+        "loose-stars",
+    )
+    load = [a + n for a, n in zip(load, _sums(loose.where("shard IS NOT NULL"), shards), strict=True)]
+    for r in sorted(loose.where("shard IS NULL").collect(), key=lambda r: (-r["n"], r["b"])):  # fewer than shards
+        put(r["b"], r["n"], None)
+    to = stage(
+        small.where("shard IS NOT NULL").select("b", "shard")
+        .unionByName(loose.where("shard IS NOT NULL").select("b", "shard"))
+        .unionByName(_rows_of(state, chosen, "b:bigint,shard:int"))
+        .withColumnRenamed("shard", "to"),
+        "star-shards",
+    )  # a side of its own, so that a hot group can be split
+    placed = stage(members.join(to, "b", "left").select("vid", "shard", "to"), "star-places")
+    return (
+        placed.where("to IS NOT NULL").select("vid", F.col("to").alias("shard")),
+        placed.where("to IS NULL").select("vid", "shard"),
+    )
+
+
+def place(
+    vertices: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, stars: bool = False
+) -> DataFrame:
     """(vid, shard, slot) for every vid of ``vertices``; slots are gapless from 0 in each shard.
 
-    ``vertices`` and ``links`` must be cheap to read again.
+    ``vertices`` and ``links`` must be cheap to read again. With ``stars``, all links of a group
+    are those of its rows (a) with one of them (b), and groups are kept whole.
     """
     total = vertices.count()
     quota = quotas(total, shards)
@@ -134,9 +233,15 @@ def place(vertices: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: i
         links.select(F.col("a").alias("vid")).unionByName(links.select(F.col("b").alias("vid"))).distinct(), "linked"
     )
     state = propagate(linked, links, [q + int(q * SLACK) for q in quota], rounds)
-    ranked = stage(numbered(state, ["shard"], ["vid"], out="slot"), "shard-slots")
-    bound = F.get(F.array(*[F.lit(q).cast("long") for q in quota]), F.col("shard"))
-    stay = ranked.where(F.col("slot") < bound)
+    if stars and not linked.isEmpty():
+        fit, rest = _whole(state, links, quota)
+        fit = stage(numbered(fit, ["shard"], ["vid"], out="slot"), "shard-fit")
+        load = _sums(fit.withColumn("n", F.lit(1)), shards)
+        rest = numbered(rest, ["shard"], ["vid"], out="slot").withColumn("slot", F.col("slot") + _at(load, "shard"))
+        ranked = stage(fit.unionByName(rest), "shard-slots")
+    else:
+        ranked = stage(numbered(state, ["shard"], ["vid"], out="slot"), "shard-slots")
+    stay = ranked.where(F.col("slot") < _at(quota, "shard"))
     held = {r["shard"]: r["n"] for r in stay.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     free = stage(
         vertices.select("vid").join(stay.select("vid"), "vid", "left_anti").withColumn("one", F.lit(0)), "shard-free"
@@ -172,7 +277,7 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 
 def _placed(narrow: DataFrame, shards: int) -> DataFrame:
-    return place(narrow, stage(copies(narrow), "copies"), shards)
+    return place(narrow, stage(copies(narrow), "copies"), shards, stars=True)
 
 
 def sharding(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -171,6 +171,31 @@ def test_copies_share_a_shard(spark):
     assert max(hot.values()) >= 120
 
 
+@pytest.mark.parametrize("parts", [sharding.PARTS, 1])
+def test_no_small_group_is_split(spark, monkeypatch, parts):
+    """Beside a group larger than two shards; with ``parts`` 1 the running sums place all groups."""
+    monkeypatch.setattr(sharding, "PARTS", parts)
+    monkeypatch.setattr(common, "RANK_ROWS", 64)
+    rows = [(i, "hot text", "en", "a", 1) for i in range(3300)]
+    rows += [(10_000 + i, f"copy {i // 5}", "en", "a", 1) for i in range(3000)] + [(20_000 + i, f"own {i}", "en", "a", 1) for i in range(3700)]
+    got = sharding.sharding(frame(spark, rows)).collect()
+    check_shards(got, rows)
+    where = {r["doc_id"]: r["shard"] for r in got}
+    assert sum(len({where[10_000 + 5 * g + i] for i in range(5)}) > 1 for g in range(600)) == 0
+    assert max(Counter(where[i] for i in range(3300)).values()) >= 900
+
+
+@pytest.mark.parametrize("parts", [sharding.PARTS, 1])
+def test_groups_are_whole_where_they_fit(spark, monkeypatch, parts):
+    """All rows are linked: 48 groups of ten fill 8 shards of 60 exactly, and none may be split on the driver's way."""
+    monkeypatch.setattr(sharding, "PARTS", parts)
+    rows = [(i, f"text {i // 10}", "en", "a", 1) for i in range(480)]
+    got = sharding.sharding(frame(spark, rows)).collect()
+    check_shards(got, rows)
+    where = {r["doc_id"]: r["shard"] for r in got}
+    assert all(len({where[10 * g + i] for i in range(10)}) == 1 for g in range(48))
+
+
 def test_shards_when_all_are_linked(spark):
     rows = [(i, f"text {i % 5}", "en", "a", 1) for i in range(203)]
     check_shards(sharding.sharding(frame(spark, rows)).collect(), rows)
