@@ -129,6 +129,31 @@ def test_mix_places_every_row_once(odd, odd_rows, shares):
         assert [s for _, s in sorted(found)] == sorted(s for _, s in found)
 
 
+def test_default_shares_follow_the_square_root_of_many_sources():
+    sizes = {"hot": 10_000_000} | {f"s{i}": 4_000 for i in range(5_000)}
+    shares = mixing.default_shares(sizes)
+    want = 10_000_000**0.5 / sum(n**0.5 for n in sizes.values())
+    assert abs(shares["hot"] / sum(shares.values()) / want - 1) < 0.05
+
+
+@pytest.mark.parametrize("shares", [None, {"hot": 30}])
+@pytest.mark.parametrize("bound", ["MAX_SOURCES", "MAX_CYCLE"])
+def test_more_sources_than_the_bound_are_mixed(spark, monkeypatch, shares, bound):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 20 if bound == "MAX_SOURCES" else 10_000)
+    monkeypatch.setattr(mixing, "MAX_CYCLE", 100_000 if bound == "MAX_SOURCES" else 500)
+    rows = [(i, f"hot {i}", "en", "hot", 1) for i in range(900)] + [(1000 + i, f"text {i}", "en", f"s{i % 60}", 1) for i in range(720)]
+    got = mixing.mixing(frame(spark, rows), shares, block_rows=1).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    assert len({r["slot"] for r in got}) == len(got)
+    weights = Counter({f"s{i}": 12**0.5 if shares is None else 1 for i in range(60)}) + Counter({"hot": 30})
+    total, seen = sum(weights.values()), Counter()
+    last = min(max(r["slot"] for r in got if r["source"] == k) for k in weights)
+    for r in sorted(got, key=lambda r: r["slot"]):
+        seen[r["source"]] += 1
+        if r["slot"] <= last:
+            assert all(abs(seen[k] - w * (r["slot"] + 1) / total) < 2 for k, w in weights.items())
+
+
 def test_mix_in_order_keeps_columns(odd, no_docs):
     ordered = mixing.in_order(odd, block_rows=4)
     assert ordered.columns == odd.columns and ordered.count() == odd.count()
