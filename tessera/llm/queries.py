@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import (
+    audit,
+    bpe,
     decontaminate,
     htmltext,
     langid,
     linededup,
+    merkle,
     mixing,
     quality,
     secrets,
@@ -83,3 +87,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
+
+
+@query("op11_merkle_manifest")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_manifest(read_table(spark, sf_dir, "documents"))
+
+
+@query("op12_filter_audit", audit.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
