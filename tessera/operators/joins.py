@@ -6,7 +6,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.rows import explode_once
-from tessera.session import lookup_join
+from tessera.session import fits_broadcast, lookup_join
+
+# A key is hot from this share of the rows on, so there are at most 1 / HOT_SHARE of them; each is dealt
+# into SALTS parts. The sketch of counts tracks enough keys to miss none of them.
+HOT_SHARE = 0.001
+SALTS = 64
+TRACKED = 10_000
+
+
+def hot_keys(df: DataFrame, on: list[str], share: float = HOT_SHARE) -> list[int]:
+    """Hashes of the keys that hold at least about ``share`` of the rows, from a mergeable sketch."""
+    hashed = df.select(F.xxhash64(*on).alias("h"))
+    row = hashed.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {int(1 / share)}, {TRACKED})").alias("top")).first()
+    return [t["item"] for t in row["top"] or [] if t["count"] >= max(share * row["n"], SALTS)]
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", measure: bool = True) -> DataFrame:
+    """Join a large table with a lookup side, where a few keys may hold most of the large table.
+
+    A lookup side measured below the broadcast bound is broadcast. Beyond it, both sides are
+    shuffled; the hot keys' rows are dealt into ``SALTS`` parts and only their lookup rows are
+    repeated once per part. Null keys match nothing and are dealt alike. ``big`` is read twice.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"unsupported join type {how!r}")
+    if measure and fits_broadcast(small):
+        return big.join(F.broadcast(small), on, how)
+    found = hot_keys(big, on)
+    if not found:
+        return big.join(small, on, how)
+    hot = F.broadcast(big.sparkSession.createDataFrame([(h,) for h in found], "__h long").withColumn("__hot", F.lit(True)))
+    is_hot = F.col("__hot").isNotNull()
+    dealt = (
+        big.withColumn("__h", F.xxhash64(*on)).join(hot, "__h", "left")
+        .withColumn("__salt", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0))
+        .drop("__h", "__hot")
+    )
+    repeated = (
+        small.withColumn("__h", F.xxhash64(*on)).join(hot, "__h", "left")
+        .withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        .drop("__h", "__hot")
+    )
+    return dealt.join(repeated, [*on, "__salt"], how).drop("__salt")
 
 
 def has_child(
@@ -27,8 +69,9 @@ def has_child(
 
 
 def has_parent(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str, where: Column) -> DataFrame:
+    """Children of the parents that ``where`` selects; a parent may hold any share of the children."""
     keys = parents.filter(where).select(F.col(parent_key).alias(child_key))
-    return children.join(keys, child_key, "left_semi")
+    return salted_join(children, keys, [child_key], "left_semi")
 
 
 def parent_id(children: DataFrame, child_key: str, value) -> DataFrame:
@@ -36,8 +79,9 @@ def parent_id(children: DataFrame, child_key: str, value) -> DataFrame:
 
 
 def children_agg(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, by: list[str], metrics: list[Column]) -> DataFrame:
-    """Metrics over the children of each parent bucket."""
-    return parents.select(parent_key, *by).join(children, F.col(parent_key) == F.col(child_key)).groupBy(*by).agg(*metrics)
+    """Metrics over the children of each parent bucket; a parent may hold any share of the children."""
+    bucket = parents.select(F.col(parent_key).alias(child_key), *by)
+    return salted_join(children, bucket, [child_key]).groupBy(*by).agg(*metrics)
 
 
 def parent_agg(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str, where: Column, by: list[str], metrics: list[Column]) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.joins import salted_join
 from tessera.session import ROW_GROUP_BYTES, remove_folder
 
 _COMMIT = "version bigint, snapshot string, added boolean, stream string, batch bigint"
@@ -183,10 +184,14 @@ def applied(target: DataFrame, actions: DataFrame, key: str, order: str, op: str
 
 
 def multi_get(df: DataFrame, requested: DataFrame, key: str, position: str, missing: str = "none") -> DataFrame:
-    """Rows for requested keys with the request position; absent keys give nulls, vanish or raise."""
+    """Rows for requested keys with the request position; absent keys give nulls, vanish or raise.
+
+    A key may be requested by any share of the requests. ``df`` holds each key once.
+    """
     if missing not in ("none", "skip", "raise"):
         raise ValueError("missing must be none, skip or raise")
-    found = requested.join(df.withColumn("found", F.lit(True)), key, "inner" if missing == "skip" else "left")
+    rows = df.withColumn("found", F.lit(True))
+    found = salted_join(requested, rows, [key], "inner" if missing == "skip" else "left")
     found = found.withColumn("found", F.coalesce("found", F.lit(False)))
     if missing == "raise":
         found = found.withColumn(
