@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MODEL_MAX_BYTES = 64 * 1024 * 1024
-CACHE = 400_000
+CACHE = 200_000
 # Pre-tokens of a text that are held at a time.
 CHUNK = 1 << 16
 _TO_CHARS = {b: chr(0x100 + b) for b in range(256)}
@@ -75,22 +75,22 @@ def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
     return b"".join(out)
 
 
+def _token_table(pieces: sentencepiece.SentencePieceProcessor, ids: np.ndarray) -> dict[int, bytes]:
+    """The bytes of each id, from the pieces of the model."""
+    names = (pieces.id_to_piece(i + 1) for i in range(len(ids)))
+    return {k: bytes(ord(c) - 0x100 for c in name) for k, name in zip(ids.tolist(), names)}
+
+
 class Tokenizer:
-    """Encodes and decodes by a model of :func:`sentencepiece_model`; ``ids`` are the ranks in order."""
+    """Encodes by a model of :func:`sentencepiece_model`; ``ids`` are the ranks in order."""
 
     def __init__(self, model: bytes, ids: np.ndarray, pattern: str):
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.pattern = regex.compile(pattern)
         self.ids = ids
-        tokens = [self._bytes_of(self.pieces.id_to_piece(i)) for i in range(1, self.pieces.get_piece_size())]
-        self.rank_of = dict(zip(tokens, ids.tolist()))
-        self.token_of = dict(zip(ids.tolist(), tokens))
+        self.rank_of = {token: rank for rank, token in _token_table(self.pieces, ids).items()}
         self.cache: dict[str, bytes] = {}  # ids as packed 32-bit numbers
 
-    @staticmethod
-    def _bytes_of(piece: str) -> bytes:
-        return bytes(ord(c) - 0x100 for c in piece)
-
     def _learn(self, pretokens: set[str]) -> None:
         """Put the ids of ``pretokens``, which it lacks, into the cache."""
         split = []
@@ -162,6 +162,12 @@ def _tokenizer(model: bytes, ids: bytes, pattern: str) -> Tokenizer:
     return Tokenizer(model, np.frombuffer(ids, np.int64), pattern)
 
 
+@lru_cache(maxsize=4)
+def _decoder(model: bytes, ids: bytes) -> dict[int, bytes]:
+    """The table alone: a task that only decodes does not keep the model."""
+    return _token_table(sentencepiece.SentencePieceProcessor(model_proto=model), np.frombuffer(ids, np.int64))
+
+
 class ByteBPE:
     """The tokenizer of a rank file as column functions."""
 
@@ -192,7 +198,7 @@ class ByteBPE:
 
         @F.arrow_udf("binary")
         def decode(lists: pa.Array) -> pa.Array:
-            token_of = _tokenizer(*shared.value).token_of.__getitem__
+            token_of = _decoder(*shared.value[:2]).__getitem__
             flat, sizes = lists.flatten().to_numpy(), pc.list_value_length(lists).fill_null(0).to_numpy()
             ends = np.cumsum(sizes)
             return pa.array(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,45 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def masked(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but ``keep`` under names of this function's own, and those names.
+
+    So an operator's helper columns never meet a column of the caller's.
+    """
+    names = {c: c if c in keep else f"__c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def unmasked(names: dict[str, str]) -> list[Column]:
+    return [F.col(n).alias(c) for c, n in names.items()]
+
+
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a key per row that is the same whenever ``docs`` is read again.
+
+    The key is the row's file and its number in it. What is not plainly read from Parquet
+    files is stored first.
+    """
+
+    def plain(node) -> bool:
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        return node.nodeName() in ("LogicalRelation", "Project", "Filter", "SubqueryAlias") and all(map(plain, below))
+
+    def keyed(df: DataFrame) -> DataFrame:
+        at = df.metadataColumn("_metadata")
+        path = at["file_path"]
+        return df.withColumn(
+            name, F.struct(F.xxhash64(path).alias("f1"), F.xxhash64(F.lit(7), path).alias("f2"), at["row_index"].alias("row"))
+        )
+
+    if plain(docs._jdf.queryExecution().analyzed()):
+        try:
+            return keyed(docs)
+        except AnalysisException:  # not Parquet, or rows made without a file
+            pass
+    return keyed(stage(docs, "row-keys"))
+
+
 def hash_bucket(h: Column, n: Column | int) -> Column:
     """Bucket 0 to n-1 of a 64-bit hash; buckets follow the order of the (signed) hash."""
     return F.shiftright((F.shiftright(h, 32) + F.lit(1 << 31)) * n, 32)

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import masked, unmasked
 from tessera.session import stage
 
 WINDOW = 10
@@ -57,57 +58,90 @@ def windows_of(rows: list[tuple]) -> SimpleNamespace:
 
     A plain namespace, so that a broadcast of it needs nothing but the standard library:
     ``vocabulary`` (word to number), ``words`` (one row per window, 0 beyond its length),
-    ``length``, ``shingle_length``, ``items`` (item numbers per window), ``ids`` (by item number).
+    ``length``, ``shingle_length``, ``ids`` (by item number), ``item_of`` and ``item_start`` (the
+    item numbers of window i are those from ``item_start[i]`` to ``item_start[i + 1]``), and
+    ``levels`` (see :func:`shingle_keys`).
     """
     vocabulary: dict[bytes, int] = {}
-    found: dict[tuple, set] = {}
     ids = sorted({r[0] for r in rows if r[0] is not None})
     number = {k: i for i, k in enumerate(ids)}
+    tables, owners = [np.zeros((0, WINDOW), np.int32)], [np.zeros(0, np.int64)]
     for item, text in rows:
-        if item is None:
+        words = words_of(text) if item is not None else []
+        if not words:
             continue
-        words = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-        for at in range(max(1, len(words) - WINDOW + 1) if words else 0):
-            found.setdefault(tuple(words[at : at + WINDOW]), set()).add(number[item])
-    table = np.zeros((len(found), WINDOW), dtype=np.int64)
-    length = np.array([len(w) for w in found], dtype=np.int64)
-    for i, w in enumerate(found):
-        table[i, : len(w)] = w
-    return SimpleNamespace(
-        vocabulary=vocabulary, words=table, length=length, shingle_length=np.minimum(length, SHINGLE),
-        items=[sorted(s) for s in found.values()], ids=ids,
+        own = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.int32)
+        if len(own) < WINDOW:
+            own = np.pad(own, (0, WINDOW - len(own)))
+        tables.append(np.lib.stride_tricks.sliding_window_view(own, WINDOW))
+        owners.append(np.full(len(tables[-1]), number[item]))
+    table, which = np.unique(np.concatenate(tables), axis=0, return_inverse=True)
+    held = np.unique(np.stack((which.ravel(), np.concatenate(owners)), axis=1), axis=0)
+    length = (table > 0).sum(axis=1)
+    w = SimpleNamespace(
+        vocabulary=vocabulary, words=table, length=length, shingle_length=np.minimum(length, SHINGLE), ids=ids,
+        item_of=held[:, 1], item_start=np.searchsorted(held[:, 0], np.arange(len(table) + 1)), levels=[],
     )
+    for size in range(2, SHINGLE + 1):
+        code, known = _runs(table, size, w.levels)
+        w.levels.append(np.unique(code[known]))
+    return w
 
 
-def shingle_keys(numbers: np.ndarray, size: int, base: int) -> np.ndarray:
-    """A number per run of ``size`` words (the last axis); -1 where a word is 0, so unknown."""
+def _runs(numbers: np.ndarray, size: int, levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The code of each run of ``size`` words (the last axis), and whether its parts are known.
+
+    A run of one word is its number. A longer run is numbered by its place among the known
+    codes of its size (``levels``), and its code joins the number of the run before its last
+    word with that word. Both are below 2**31, so codes are exact for any vocabulary.
+    """
     n = numbers.shape[-1] - size + 1
-    if n < 1:
-        return np.zeros((*numbers.shape[:-1], 0), dtype=np.int64)
-    key = np.zeros((*numbers.shape[:-1], n), dtype=np.int64)
-    known = np.ones(key.shape, dtype=bool)
-    for i in range(size):
+    key = numbers[..., :n].astype(np.int64)
+    known = key > 0
+    for i in range(1, size):
+        if i > 1:
+            at = np.flatnonzero(known)
+            codes = levels[i - 2]
+            where = np.searchsorted(codes, key.flat[at])
+            found = where < len(codes)
+            found[found] = codes[where[found]] == key.flat[at[found]]
+            known.flat[at] = found
+            key.flat[at] = np.where(found, where + 1, 0)
         part = numbers[..., i : i + n]
-        key = key * base + part
-        known &= part > 0
-    return np.where(known, key * 4 + size, -1)
+        known = known & (part > 0)
+        key = key << 31 | part
+    return key, known
+
+
+def shingle_keys(numbers: np.ndarray, size: int, levels: list[np.ndarray]) -> np.ndarray:
+    """A key per run of ``size`` words (the last axis); -1 where the block has no such run."""
+    if numbers.shape[-1] < size:
+        return np.zeros((*numbers.shape[:-1], 0), dtype=np.int64)
+    code, known = _runs(numbers, size, levels)
+    if size == 1:
+        return np.where(known, code * 4 + 1, -1)
+    key = np.full(code.shape, -1, dtype=np.int64)
+    at, codes = np.flatnonzero(known), levels[size - 2]
+    where = np.searchsorted(codes, code.flat[at])
+    found = where < len(codes)
+    found[found] = codes[where[found]] == code.flat[at[found]]
+    key.flat[at[found]] = (where[found] + 1) * 4 + size
+    return key
 
 
 def all_shingles(w: SimpleNamespace) -> np.ndarray:
-    base = len(w.vocabulary) + 1
-    keys = [shingle_keys(w.words[w.shingle_length == s], s, base).ravel() for s in range(1, SHINGLE + 1)]
+    keys = [shingle_keys(w.words[w.shingle_length == s], s, w.levels).ravel() for s in range(1, SHINGLE + 1)]
     return np.unique(np.concatenate([k[k >= 0] for k in keys])) if len(w.words) else np.zeros(0, np.int64)
 
 
 def prefixes(w: SimpleNamespace, shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, window, offset) of each window's rarest shingle, sorted by key."""
-    base = len(w.vocabulary) + 1
     key, offset = np.zeros(len(w.words), np.int64), np.zeros(len(w.words), np.int64)
     for s in range(1, SHINGLE + 1):
         rows = np.flatnonzero(w.shingle_length == s)
         if not len(rows):
             continue
-        own = shingle_keys(w.words[rows], s, base)
+        own = shingle_keys(w.words[rows], s, w.levels)
         seen = np.where(own >= 0, counts[np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)], np.iinfo(np.int64).max)
         at = seen.argmin(axis=1)
         key[rows], offset[rows] = own[np.arange(len(rows)), at], at
@@ -134,10 +168,10 @@ def _chunks(texts, vocabulary: dict[bytes, int]):
         yield first, np.concatenate(parts), np.array(sizes)
 
 
-def _matches(numbers: np.ndarray, keys: np.ndarray, sizes: list[int], base: int):
+def _matches(numbers: np.ndarray, keys: np.ndarray, sizes: list[int], levels: list[np.ndarray]):
     """(word position, index into the sorted ``keys``) of each known shingle."""
     for s in sizes:
-        own = shingle_keys(numbers, s, base)
+        own = shingle_keys(numbers, s, levels)
         at = np.flatnonzero(own >= 0)
         if not len(at) or not len(keys):
             continue
@@ -156,11 +190,11 @@ def shingle_counts(docs: DataFrame, block) -> DataFrame:
 
     def count(batches):
         w, shingles = block.value
-        base, sizes = len(w.vocabulary) + 1, sorted(set(w.shingle_length.tolist()))
+        sizes = sorted(set(w.shingle_length.tolist()))
         n = np.zeros(len(shingles), dtype=np.int64)
         for batch in batches:
             for _, numbers, _ in _chunks(_texts(batch), w.vocabulary):
-                for _, where in _matches(numbers, shingles, sizes, base):
+                for _, where in _matches(numbers, shingles, sizes, w.levels):
                     n += np.bincount(where, minlength=len(n))
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_pydict({"key": shingles[some], "n": n[some]})
@@ -191,7 +225,7 @@ def find(docs: DataFrame, block) -> DataFrame:
 
     def scan(batches):
         w, key, window, offset = block.value
-        base, sizes = len(w.vocabulary) + 1, sorted(set(w.shingle_length.tolist()))
+        sizes = sorted(set(w.shingle_length.tolist()))
         keys, first_of = np.unique(key, return_index=True)
         last_of = np.append(first_of[1:], len(key))
         for batch in batches:
@@ -201,7 +235,7 @@ def find(docs: DataFrame, block) -> DataFrame:
             for first, numbers, lengths in _chunks(_texts(batch), w.vocabulary):
                 starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
                 hits: dict[int, list] = {}
-                for at, where in _matches(numbers, keys, sizes, base):
+                for at, where in _matches(numbers, keys, sizes, w.levels):
                     # every window keyed by the shingle found, some matches at a time
                     for part in np.array_split(np.arange(len(at)), max(1, len(at) // 65536)):
                         many = last_of[where[part]] - first_of[where[part]]
@@ -234,7 +268,7 @@ def find(docs: DataFrame, block) -> DataFrame:
                     )
                     edges = np.flatnonzero(np.diff(np.concatenate(([0], on.astype(np.int8), [0]))))
                     spans.append(edges.tolist())
-                    own = {i for x in np.unique(win).tolist() for i in w.items[x]}
+                    own = {i for x in np.unique(win).tolist() for i in w.item_of[w.item_start[x] : w.item_start[x + 1]].tolist()}
                     items.append(sorted({*old_items[first + d], *(w.ids[i] for i in own)}))
             columns = [batch.column(i) for i, c in enumerate(batch.schema.names) if c in kept]
             columns += [
@@ -297,8 +331,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a window of a benchmark item."""
-    return scan(docs, benchmark).where(F.size("__spans") == 0).select(*docs.columns)
+    """``docs`` without the documents that hold a window of a benchmark item. Columns may have any names."""
+    inner, names = masked(docs, ("text",))
+    return scan(inner, benchmark).where(F.size("__spans") == 0).select(*unmasked(names))
 
 
 _SQL_WORDS = (

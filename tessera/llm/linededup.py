@@ -1,7 +1,7 @@
 """Line dedup across sites: lines found on many sites are boilerplate (built-in functions only).
 
-Every line of at least ``MIN_CHARS`` characters is counted by the distinct sites (sources)
-that hold it. Each task keeps a HyperLogLog sketch of sites per line hash, and sketches of a
+Every line with a word, however short, is counted by the distinct sites (sources) that hold
+it. Each task keeps a HyperLogLog sketch of sites per line hash, and sketches of a
 line merge by aggregation, so a line in a third of the documents costs one sketch a task.
 An estimate far from ``MIN_SITES`` decides by itself; lines whose estimate is within
 ``SURE`` standard errors (and one site) of it get an exact distinct count. Lines on
@@ -12,7 +12,9 @@ and joined back by a 128-bit hash of it.
 
 Defined results: a null text has no lines and stays null; a null source is no site. Repeated
 rows are cleaned one by one. A text may lose all its lines and is then empty. Lines are
-compared character by character; line ends are \\n.
+compared character by character; line ends are \\n. Lines of white space alone (space and the
+control characters 9 to 13) are neither counted nor removed. Other columns may have any names;
+columns named ``__lines`` and ``__removed`` are replaced.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import masked, unmasked
+from tessera.operators.joins import salted_join
 from tessera.session import stage
 
-MIN_CHARS = 20
 MIN_SITES = 5
 LG_K = 10
 SURE = 4
@@ -39,10 +42,14 @@ def _lines(text: str) -> Column:
     return F.split(F.col(text), "\n", -1)
 
 
+def _has_word(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
+
+
 def _hashed_lines(docs: DataFrame, *more: Column) -> DataFrame:
     return (
         docs.select(*more, F.explode(_lines("text")).alias("line"))
-        .where(F.char_length("line") >= MIN_CHARS)
+        .where(_has_word(F.col("line")))
         .withColumn("line", hash128(F.col("line")))
     )
 
@@ -69,25 +76,27 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -
 
 def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with ``text`` cleaned and ``__lines``, ``__removed`` (numbers of lines) added."""
+    inner, names = masked(docs.drop("__lines", "__removed"), ("text", "source"))
     # stored, so that it is a side of its own and a hot line of the join below can be split
-    repeated = stage(boilerplate(docs, min_sites), "boilerplate")
-    lost = (
-        _hashed_lines(docs, hash128(F.col("text")).alias("__text"))
+    repeated = stage(boilerplate(inner, min_sites), "boilerplate")
+    lost = stage(
+        _hashed_lines(inner, hash128(F.col("text")).alias("__text"))
         .join(repeated, "line", "left_semi")
-        .groupBy("__text").agg(F.collect_set("line.h1").alias("__lost"))  # distinct lines of one text
-    )
-    rows = docs.withColumn("__text", hash128(F.col("text"))).join(lost, "__text", "left").withColumn("__all", _lines("text"))
-    kept = F.filter(
-        "__all",
-        lambda x: (F.char_length(x) < MIN_CHARS) | ~F.array_contains("__lost", F.xxhash64(x)),
+        .groupBy("__text").agg(F.collect_set("line.h1").alias("__lost")),  # distinct lines of one text
+        "lost-lines",
     )
+    # a text may be that of any share of the documents
+    rows = salted_join(inner.withColumn("__text", hash128(F.col("text"))), lost, ["__text"], "left", measure=False)
+    rows = rows.withColumn("__all", _lines("text"))
+    kept = F.filter("__all", lambda x: ~_has_word(x) | ~F.array_contains("__lost", F.xxhash64(x)))
     left = F.when(F.col("__lost").isNull(), F.col("__all")).otherwise(kept)
+    cleaned = F.when(F.col("__lost").isNull(), F.col("text")).otherwise(F.array_join("__left", "\n"))
     return (
         rows.withColumn("__left", left)
         .withColumn("__lines", F.coalesce(F.size("__all"), F.lit(0)).cast("long"))
         .withColumn("__removed", F.coalesce(F.size("__all") - F.size("__left"), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("__lost").isNull(), F.col("text")).otherwise(F.array_join("__left", "\n")))
-        .select(*docs.columns, "__lines", "__removed")
+        .withColumn("text", cleaned)
+        .select(*unmasked(names), "__lines", "__removed")
     )
 
 
@@ -102,7 +111,7 @@ ORACLE = f"""
 WITH lines AS (
   SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents
 ), spread AS (
-  SELECT line FROM lines WHERE length(line) >= {MIN_CHARS}
+  SELECT line FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
   GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}
 ), split AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents

@@ -27,6 +27,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import masked, unmasked
 from tessera.llm.linededup import hash128
 
 # The parser of the standard library, under its public name before and after Python 3.11.
@@ -241,14 +242,18 @@ def _tested(rule: Rule) -> str:
 
 
 def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """``docs`` with ``__spans``: all spans by start, then kind as listed."""
+    """``docs`` with ``__spans``: all spans by start, then kind as listed.
+
+    A column named ``__spans`` is replaced; all others may have any names.
+    """
+    docs, names = masked(docs.drop("__spans"), ("text",))
     found = docs.withColumn("__text", hash128(F.col("text"))).join(candidates(docs, rules), "__text", "left")
     for i, rule in enumerate(rules):
         indexed = bool(trigram_query(rule.pattern))
         asked = F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False)) if indexed else F.lit(True)
         found = with_spans(found, rule, i, asked)
     every = F.sort_array(F.flatten(F.array(*[F.col(f"__s{i}") for i in range(len(rules))])))
-    return found.withColumn("__spans", every).select(*docs.columns, "__spans")
+    return found.withColumn("__spans", every).select(*unmasked(names), "__spans")
 
 
 def _joined(spans: Column, rules: list[Rule]) -> Column:

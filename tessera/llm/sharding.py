@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common
-from tessera.llm.common import hash_bucket, numbered, numbered_along
+from tessera.llm.common import hash_bucket, masked, numbered, numbered_along, unmasked
 from tessera.session import stage
 
 SHARDS = 8
@@ -292,19 +292,19 @@ def sharding(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def with_shard(docs: DataFrame, shards: int = SHARDS, along: tuple[str, str] | None = None) -> DataFrame:
-    """``docs`` with ``shard`` and ``slot`` added; columns of these names are replaced.
+    """``docs`` with ``shard`` and ``slot`` added; columns of these names are replaced, and all others may have any names.
 
     ``along`` names two columns, a file and a row number in it; slots then follow that order
     in each shard, and the two columns are dropped.
     """
-    plain = [c for c in docs.columns if c not in ("shard", "slot")]
-    kept = stage(docs.select(*plain).withColumn("vid", F.monotonically_increasing_id()), "shard-docs")
+    inner, names = masked(docs.drop("shard", "slot"), ("doc_id", "text"))
+    kept = stage(inner.withColumn("vid", F.monotonically_increasing_id()), "shard-docs")
     narrow = stage(_narrow(kept), "shard-rows")
     placed = _placed(narrow, shards)
     if along:
-        chosen = stage(placed.drop("slot").join(kept.select("vid", *along), "vid"), "shard-order")
-        placed = numbered_along(chosen, ["shard"], *along, out="slot")
-    out = [c for c in plain if c not in (along or ())]
+        order = [names.pop(c) for c in along]
+        chosen = stage(placed.drop("slot").join(kept.select("vid", *order), "vid"), "shard-order")
+        placed = numbered_along(chosen, ["shard"], *order, out="slot")
     # one plan at every size: without the hint a small table would be broadcast and a large one shuffled
     placed = placed.select("vid", "shard", "slot").hint("merge")
-    return kept.select("vid", *out).join(placed, "vid").select(*out, "shard", "slot")
+    return kept.join(placed, "vid").select(*unmasked(names), "shard", "slot")

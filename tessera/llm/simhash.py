@@ -28,12 +28,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import components
-from tessera.session import stage
+from tessera.llm.common import components, masked, unmasked, with_row_key
+from tessera.session import lookup_join, stage
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -221,26 +221,27 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, parts: int = PARTS) -> Da
     return found.select("a", "b").distinct()
 
 
-def with_fingerprint(docs: DataFrame, name: str = "__fp") -> DataFrame:
-    return docs.withColumn(name, fingerprint_of("text"))
+def rooted(prints: DataFrame, first: Column, max_bits: int = MAX_BITS, parts: int = PARTS) -> DataFrame:
+    """(fp, first, root) for every fingerprint: its least ``first`` and its component."""
+    distinct = stage(prints.groupBy("fp").agg(F.min(first).alias("first")), "simhash-prints")
+    roots = components(links(distinct, max_bits, parts), "simhash-links")
+    found = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+    return stage(found, "simhash-rooted")
 
 
 def component_ids(prints: DataFrame, max_bits: int = MAX_BITS, parts: int = PARTS) -> DataFrame:
     """(fp, component_id) for every fingerprint of ``prints`` (doc_id, fp)."""
-    distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-prints")
-    roots = components(links(distinct, max_bits, parts), "simhash-links")
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
     # both are sides of their own, so that a hot component of the join can be split
-    rooted = stage(rooted, "simhash-rooted")
-    named = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-named")
-    return rooted.join(named, "root").select("fp", "component_id")
+    found = rooted(prints, F.col("doc_id"), max_bits, parts)
+    named = stage(found.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-named")
+    return found.join(named, "root").select("fp", "component_id")
 
 
 def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS, parts: int = PARTS) -> DataFrame:
     """One row per document: id, fingerprint (16 hexadecimal digits), component id."""
-    prints = stage(with_fingerprint(docs.select("doc_id", "text"), "fp").select("doc_id", "fp"), "simhash-docs")
+    prints = stage(docs.select("doc_id", fingerprint_of("text").alias("fp")), "simhash-docs")
     found = component_ids(prints, max_bits, parts)
     return prints.join(found, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -248,18 +249,17 @@ def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS, parts: int = PARTS
 
 
 def drop_near_copies(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each component: the row whose id names it.
+    """``docs`` with one row of each component: the one of least id (none comes last), then text hash.
 
-    Rows that repeat an id are copies too, so one of them stays; rows without an id are kept
-    unless a component with an id holds them.
+    Rows are told apart by their place in the files, never by id, so rows that share an id but
+    no near text all stay, and of wholly equal rows one does. Columns may have any names.
     """
-    prints = stage(with_fingerprint(docs.select("doc_id", "text"), "fp").select("doc_id", "fp"), "simhash-docs")
-    found = prints.join(component_ids(prints, max_bits), "fp")
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    unnamed = docs.where("doc_id IS NULL")
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    if not prints.where("doc_id IS NULL").limit(1).count():
-        return kept
-    alone = found.where("component_id IS NULL").select("fp").distinct()
-    first = with_fingerprint(unnamed, "__fp").join(alone.withColumnRenamed("fp", "__fp"), "__fp", "left_semi")
-    return kept.unionByName(first.dropDuplicates(["__fp"]).drop("__fp"))
+    inner, names = masked(docs, ("doc_id", "text"))
+    keyed = with_row_key(inner, "__row")
+    prints = stage(
+        keyed.select("__row", "doc_id", F.xxhash64("text").alias("h"), fingerprint_of("text").alias("fp")), "simhash-docs"
+    )
+    found = rooted(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "__row"), max_bits)
+    stay = found.groupBy("root").agg(F.min("first").alias("first")).select("first.__row")
+    gone = stage(prints.select("__row").join(stay, "__row", "left_anti"), "simhash-gone")
+    return lookup_join(keyed, gone, ["__row"], "left_anti").select(*unmasked(names))

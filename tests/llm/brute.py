@@ -149,12 +149,12 @@ def secrets(text):
     return [(kind, a, b) for a, _, kind, b in sorted(out)]
 
 
-def lines_left(docs, min_chars, min_sites):
+def lines_left(docs, min_sites):
     """The text that is left of each row (source, text)."""
     sites = defaultdict(set)
     for source, text in docs:
         for line in (text or "").split("\n"):
-            if len(line) >= min_chars and source is not None and text is not None:
+            if re.search(r"[^\x20\x09-\x0D]", line) and source is not None and text is not None:
                 sites[line].add(source)
     gone = {line for line, s in sites.items() if len(s) >= min_sites}
     return [None if t is None else "\n".join(x for x in t.split("\n") if x not in gone) for _, t in docs]

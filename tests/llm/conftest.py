@@ -14,6 +14,7 @@ def prose(seed: int, n: int) -> str:
 
 # Columns that operators use themselves, on every row.
 CLASHES = "kept long, shard string, fp long, rank long, line string, n_words string, score string, slot long, item_id long, __text long"
+CLASHES += ", vid long, __spans string, __row string, __c1 string, __left long"
 
 
 @pytest.fixture(scope="session")
@@ -30,7 +31,7 @@ def odd_rows():
 
 
 def frame(spark, rows):
-    clash = tuple([0, "x", 1, 2, "x", "x", "x", 3, 4, 5])
+    clash = tuple([0, "x", 1, 2, "x", "x", "x", 3, 4, 5, 1000, "x", "y", "z", 6])
     return spark.createDataFrame(
         [(*r, *clash) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {CLASHES}"
     )

@@ -101,6 +101,21 @@ def test_one_of_each_group_stays(odd, odd_rows, no_docs):
     assert simhash.drop_near_copies(no_docs).count() == 0 and simhash.simhash_groups(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
+def test_rows_that_share_an_id_are_no_copies(spark, order):
+    rows = [(3, prose(1, 80)), (8, prose(1, 80)), (8, prose(2, 80))]
+    df = spark.createDataFrame([(*rows[i], "own") for i in order], "doc_id long, text string, __row string").repartition(2)
+    assert rows_of(simhash.drop_near_copies(df)) == sorted([(3, prose(1, 80), "own"), (8, prose(2, 80), "own")])
+
+
+def test_one_of_equal_rows_and_rows_without_an_id(spark, tmp_path):
+    rows = [(None, prose(1, 80)), (None, prose(1, 80)), (None, prose(2, 80)), (5, prose(3, 80)), (5, prose(3, 80))]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    for df in (spark.read.parquet(path), spark.read.parquet(path).where("doc_id IS NULL OR doc_id = 5")):
+        assert rows_of(simhash.drop_near_copies(df)) == sorted({r for r in rows}, key=repr)
+
+
 # -- mixing --------------------------------------------------------------------
 
 
@@ -328,10 +343,17 @@ def test_pipeline_stages_keep_columns(spark, odd, no_docs, sf):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, sf).columns == odd.columns, name
         assert stage(spark, no_docs, sf).count() == 0, name
+    extra = [c for c in odd.columns[5:] if c not in ("shard", "slot")]
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, sf)
+        values = {tuple(r) for r in got.select(*extra).collect()}
+        assert values == {tuple(r) for r in odd.select(*extra).collect()}, name
+        texts = set(rows_of(got.select("doc_id", "text")))
+        assert texts <= set(rows_of(odd.select("doc_id", "text"))), name
     assert corpus_pipeline.STAGES[-1][1](spark, no_docs, sf).count() == 0
     assert decontaminate.drop_contaminated(odd, spark.read.parquet(f"{sf}/benchmark.parquet")).count() <= odd.count()
 
 
 def test_every_operator_has_a_query():
     names = contract.queries()
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and "pipeline" in names

@@ -94,11 +94,11 @@ def lines_of(df):
 def test_lines_equal_plain_version(odd, odd_rows, docs):
     shared = [(200 + i, f"{prose(300 + i, 30)}\nthis line is found on quite some sites\nend", "en", f"s{i}", 1) for i in range(6)]
     rows = odd_rows + shared
-    want = brute.lines_left([(r[3], r[1]) for r in rows], linededup.MIN_CHARS, linededup.MIN_SITES)
+    want = brute.lines_left([(r[3], r[1]) for r in rows], linededup.MIN_SITES)
     got = lines_of(frame(odd.sparkSession, rows))
     assert got == sorted(((r[0], t) for r, t in zip(rows, want)), key=repr)
     plain = [tuple(r) for r in docs.select("doc_id", "source", "text").collect()]
-    want = brute.lines_left([r[1:] for r in plain], linededup.MIN_CHARS, linededup.MIN_SITES)
+    want = brute.lines_left([r[1:] for r in plain], linededup.MIN_SITES)
     assert lines_of(docs) == sorted(((r[0], t) for r, t in zip(plain, want)), key=repr)
 
 
@@ -149,7 +149,7 @@ def test_secrets_added_kinds(spark):
 
 def test_secrets_empty_table_and_clashes(odd, no_docs):
     assert secrets.secret_scan(no_docs).count() == 0
-    assert secrets.scan(odd.drop("__text")).columns == [*odd.drop("__text").columns, "__spans"]
+    assert secrets.scan(odd.drop("__spans")).columns == [*odd.drop("__spans").columns, "__spans"]
 
 
 @pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)
@@ -197,6 +197,29 @@ def test_passages_on_tables(spark, docs, sf):
     assert rows_of(decontaminate.contamination(docs, items).drop("item_ids")) == sorted(want, key=repr)
 
 
+def test_short_lines_and_hot_texts(spark, monkeypatch):
+    """A one-word line on many sites goes; a text that most documents share is dealt out and cleaned alike."""
+    rows = [(i, f"Les.\n{prose(i, 12)}\n \n", "en", f"s{i % 7}", 1) for i in range(20)] + [(100 + i, "Les.\nown words", "en", f"s{i % 7}", 1) for i in range(300)]
+    got = linededup.drop_boilerplate(frame(spark, rows))
+    assert got.count() == len(rows) and {r["vid"] for r in got.collect()} == {1000}
+    assert rows_of(got.select("doc_id", "text")) == sorted(zip([r[0] for r in rows], brute.lines_left([(r[3], r[1]) for r in rows], linededup.MIN_SITES)), key=repr)
+    assert "Les." not in "".join(r["text"] for r in got.collect())
+
+
+def test_passages_in_a_very_large_vocabulary():
+    """More words than three numbers of 21 bits: every window is keyed and found."""
+    n = 1_400_000
+    item = " ".join(f"w{i}" for i in range(n)).encode()
+    w = decontaminate.windows_of([(1, item)])
+    shingles = decontaminate.all_shingles(w)
+    assert len(w.words) == n - 9 and len(shingles) == n - 2 and shingles.min() > 0
+    key, window, _ = decontaminate.prefixes(w, shingles, decontaminate.np.ones(len(shingles), dtype=int))
+    assert len(decontaminate.np.unique(window)) == len(w.words)
+    numbers = decontaminate.np.arange(1, n + 1)
+    at = decontaminate.np.concatenate([p for p, _ in decontaminate._matches(numbers, decontaminate.np.unique(key), [3], w.levels)])
+    assert len(at) >= n - 9
+
+
 def test_passages_odd_tables(spark, odd, no_docs):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.contamination(no_docs, items).count() == 0
