@@ -35,13 +35,23 @@ def interleave(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_order(docs)
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their shard and slot; slots keep the order of the mix in each shard."""
+    file, row = _unused(docs, "__file"), _unused(docs, "__row")
     try:
-        ordered = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        at = docs.metadataColumn("_metadata")
+        # files in the order of their numbers, which outgrow the zeros they are padded with
+        number = F.regexp_extract(at["file_name"], r"^part-(\d+)", 1).try_cast("long")
+        ordered = docs.withColumns({file: F.struct(number.alias("n"), at["file_name"].alias("name")), row: at["row_index"]})
     except AnalysisException:  # not read straight from files, so there is no order to keep
         return sharding.with_shard(docs)
-    return sharding.with_shard(ordered, along=("__file", "__row"))
+    return sharding.with_shard(ordered, along=(file, row))
 
 
 STAGES = [
