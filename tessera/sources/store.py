@@ -7,12 +7,18 @@ table is the newest replacing snapshot and what was added since. One writer per
 
 A streaming load is committed under its stream and batch number, which are kept apart from
 the version: a batch is left out only if that stream has committed it before.
+
+A table with a ``key`` is dealt into folders by the key's hash. A change then reads and writes
+only the folders it touches; the others stay as they are, and a reader takes each folder from
+the newest snapshot that holds it. A table without a key is written anew by every change.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -23,13 +29,19 @@ from pyspark.sql import types as T
 from tessera.operators.joins import salted_join
 from tessera.session import ROW_GROUP_BYTES, remove_folder
 
-_COMMIT = "version bigint, snapshot string, added boolean, stream string, batch bigint"
+_COMMIT = (
+    "version bigint, snapshot string, added boolean, stream string, batch bigint,"
+    " buckets array<int>, filled array<int>, fields string"
+)
+_BUCKET = "tessera_bucket"
 
 
 @dataclass(frozen=True)
 class DocumentTable:
     spark: SparkSession
     path: str
+    key: str | None = None
+    buckets: int = 32
 
     def _commits(self) -> DataFrame | None:
         try:
@@ -48,13 +60,39 @@ class DocumentTable:
     def exists(self) -> bool:
         return self.version() >= 0
 
-    def read(self) -> DataFrame:
+    def _current(self) -> list:
+        """The newest replacing commit and those since, in order."""
         commits = self._commits()
         whole = commits.where("NOT coalesce(added, false)").agg(F.max("version")).first()[0] if commits is not None else None
         if whole is None:
             raise FileNotFoundError(f"no table at {self.path}")
-        parts = commits.where(F.col("version") >= whole).orderBy("version").select("snapshot").collect()
-        return self.spark.read.parquet(*[f"{self.path}/{r['snapshot']}" for r in parts])
+        return commits.where(F.col("version") >= whole).orderBy("version").collect()
+
+    def _folders(self) -> dict[int, str]:
+        """The folder that holds each bucket's rows now; empty buckets have none."""
+        live: dict[int, str] = {}
+        for c in self._current():
+            for b in range(self.buckets) if c["buckets"] is None else c["buckets"]:
+                live.pop(b, None)
+            live.update({b: f"{self.path}/{c['snapshot']}/{_BUCKET}={b}" for b in c["filled"]})
+        return live
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(self._current()[-1]["fields"]))
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def bucket(self, key: str | None = None) -> Column:
+        """The bucket of a row, from its key or another column that holds one."""
+        return F.pmod(F.xxhash64(F.col(key or self.key)), F.lit(self.buckets)).cast("int")
+
+    def read(self) -> DataFrame:
+        if self.key is not None:
+            return self._rows(sorted(self._folders().values()))
+        return self.spark.read.parquet(*[f"{self.path}/{c['snapshot']}" for c in self._current()])
+
+    def files(self) -> list[str]:
+        """The files that a reader reads now."""
+        return sorted(self.read().inputFiles())
 
     def has_batch(self, stream: str, batch: int) -> bool:
         commits = self._commits()
@@ -97,24 +135,41 @@ class DocumentTable:
 
     def _load(
         self, df: DataFrame, version: int, added: bool, stream: str | None = None, batch: int | None = None,
-        batch_rows: int | None = None, partitions: int | None = None,
+        batch_rows: int | None = None, partitions: int | None = None, buckets: list[int] | None = None,
     ) -> None:
         snapshot = f"snapshot-{uuid.uuid4().hex}"
-        writer = (df.repartition(partitions) if partitions else df).write.mode("errorifexists")
-        writer = writer.option("parquet.block.size", ROW_GROUP_BYTES)
+        if self.key is not None:  # adaptive execution sizes the writers, also where a bucket is large
+            placed = df.withColumn(_BUCKET, self.bucket())
+            placed = placed.repartition(partitions, _BUCKET) if partitions else placed.hint("rebalance", F.col(_BUCKET))
+            writer = placed.write.partitionBy(_BUCKET)
+        else:
+            writer = (df.repartition(partitions) if partitions else df).write
+        writer = writer.mode("errorifexists").option("parquet.block.size", ROW_GROUP_BYTES)
         if batch_rows:
             writer = writer.option("maxRecordsPerFile", batch_rows)
         writer.parquet(f"{self.path}/{snapshot}")
-        row = (version, snapshot, added, stream, batch)
+        filled = self._written(snapshot) if self.key is not None else None
+        row = (version, snapshot, added, stream, batch, buckets, filled, df.schema.json())
         self.spark.createDataFrame([row], _COMMIT).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
 
+    def _written(self, snapshot: str) -> list[int]:
+        """The buckets that a snapshot has rows of; there are at most ``buckets`` folders."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{snapshot}")
+        listed = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(where)
+        names = [f.getPath().getName() for f in listed]
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith(_BUCKET + "="))
+
     def vacuum(self) -> int:
         """Remove snapshots that the table no longer reads; call it while nobody reads an older version."""
         commits = self._commits()
-        whole = commits.where("NOT coalesce(added, false)").agg(F.max("version")).first()[0] if commits is not None else None
-        old = [] if whole is None else commits.where(F.col("version") < whole).select("snapshot").collect()
-        for row in old:
-            remove_folder(self.spark, f"{self.path}/{row['snapshot']}")
+        if commits is None or not self.exists():
+            return 0
+        kept = {c["snapshot"] for c in self._current()}
+        if self.key is not None:
+            kept = {f.rsplit("/", 2)[1] for f in self._folders().values()}
+        old = [r["snapshot"] for r in commits.select("snapshot").collect() if r["snapshot"] not in kept]
+        for snapshot in old:
+            remove_folder(self.spark, f"{self.path}/{snapshot}")
         return len(old)
 
     # -- reading ---------------------------------------------------------------
@@ -129,14 +184,44 @@ class DocumentTable:
 
     # -- changing --------------------------------------------------------------
 
+    def _change(self, touched: Callable[[], DataFrame], change: Callable[[DataFrame], DataFrame], stream=None, batch=None) -> None:
+        """Write what ``change`` makes of the buckets (one column) that ``touched`` names, or of the whole table."""
+        if self.key is None:
+            self._load(change(self.read()), self.version() + 1, False, stream, batch)
+            return
+        buckets = sorted(r[0] for r in touched().distinct().collect())  # at most ``buckets`` numbers
+        if buckets or stream is not None:
+            live = self._folders()
+            rows = self._rows([live[b] for b in buckets if b in live])
+            self._load(change(rows), self.version() + 1, True, stream, batch, buckets=buckets)
+
     def update_where(self, where: Column, changes: dict[str, Column]) -> None:
-        self.replace(updated(self.read(), where, changes))
+        """Change fields of matching rows; the key is not among them."""
+        if self.key in changes:
+            raise ValueError("the key of a table cannot be changed in place")
+        self._change(lambda: self.read().filter(where).select(self.bucket()), lambda df: updated(df, where, changes))
 
     def delete_where(self, where: Column) -> None:
-        self.replace(without(self.read(), where))
+        self._change(lambda: self.read().filter(where).select(self.bucket()), lambda df: without(df, where))
+
+    def apply_actions(
+        self, actions: DataFrame, key: str, order: str, op: str = "op_type", stream: str | None = None, batch: int | None = None
+    ) -> None:
+        self._change(
+            lambda: actions.select(self.bucket(key)), lambda df: applied(df, actions, key, order, op), stream, batch
+        )
+
+    def merge(self, df: DataFrame, key: str, stream: str | None = None, batch: int | None = None) -> None:
+        """Put ``df`` in place of all rows that share a key with it; rows without a key are added."""
+        if self.key not in (None, key):
+            raise ValueError(f"the table is dealt by {self.key}")
+        given = df.select(F.col(key).alias("__key")).distinct()
+
+        def put(old: DataFrame) -> DataFrame:
+            kept = old.withColumn("__key", F.col(key))
+            return salted_join(kept, given, ["__key"], "left_anti").drop("__key").unionByName(df)
 
-    def apply_actions(self, actions: DataFrame, key: str, order: str, op: str = "op_type") -> None:
-        self.replace(applied(self.read(), actions, key, order, op))
+        self._change(lambda: df.select(self.bucket()), put, stream, batch)
 
     def copy_to(self, target: DocumentTable, where: Column | None = None) -> None:
         target.replace(self.scan(where))

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -187,6 +188,69 @@ def test_arrivals_join_a_loaded_table(spark, tmp_path, files_per_batch):
     assert ids_of(table)[-1] == (4, "9")
 
 
+@pytest.mark.parametrize("files_per_batch", [None, 1])
+@pytest.mark.parametrize("key", [None, "metadata.id_app"])
+def test_a_newer_file_replaces_its_applications(spark, tmp_path, files_per_batch, key):
+    inbox, table = tmp_path / "in", DocumentTable(spark, str(tmp_path / "t"), key, 4)
+
+    def run():
+        A.refresh_on_arrival(A.arriving_catalogue(spark, str(inbox), files_per_batch), table, str(tmp_path / "offsets"), 8)
+
+    arrive(inbox, "v1.csv", [1, 2, 3, "x", 5])
+    os.utime(inbox / "v1.csv", (1_000, 1_000))
+    run()
+    arrive(inbox, "v2.csv", [2, 3, 9, "x", 5])
+    os.utime(inbox / "v2.csv", (2_000, 2_000))
+    run()
+    assert sorted(i for _, i in ids_of(table)) == ["1", "2", "3", "5", "9", "x"]
+    arrive(inbox, "v3.csv", [2])
+    (inbox / "v3.csv").write_text((inbox / "v3.csv").read_text().replace("Nombre", "Nuevo"))
+    arrive(inbox, "older.csv", [2])
+    os.utime(inbox / "v3.csv", (4_000, 4_000))
+    os.utime(inbox / "older.csv", (3_000, 3_000))
+    run()
+    names = {r[0]: r[1] for r in table.read().select("metadata.id_app", "metadata.name").collect()}
+    assert len(names) == 6 and names["2"] == "Nuevo 2"
+
+
+def test_a_whole_catalogue_replaces_the_table(spark, tmp_path):
+    inbox, table = tmp_path / "in", DocumentTable(spark, str(tmp_path / "t"))
+    for i, ids in enumerate(([1, 2, 3], [2, 4])):
+        arrive(inbox, f"v{i}.csv", ids)
+        os.utime(inbox / f"v{i}.csv", (1_000 * (i + 1),) * 2)
+        A.refresh_on_arrival(A.arriving_catalogue(spark, str(inbox)), table, str(tmp_path / "offsets"), 8, whole=True)
+    assert sorted(i for _, i in ids_of(table)) == ["2", "4"]
+
+
+def test_changes_write_only_what_they_touch(spark, tmp_path):
+    table = DocumentTable(spark, str(tmp_path / "t"), "k", 16)
+    plain = DocumentTable(spark, str(tmp_path / "p"))
+    start = spark.range(400).select(F.col("id").alias("k"), F.lit("old").alias("x"), (F.col("id") % 7).alias("y"))
+    actions = spark.createDataFrame([(1, 3, "index", "new", 1), (2, 5, "delete", None, None), (3, 999, "create", "more", 2)], "o int, k long, op_type string, x string, y long")
+
+    def same():
+        assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, plain.read().collect()))
+
+    for t in (table, plain):
+        t.replace(start)
+    same()
+    steps = [
+        lambda t: t.apply_actions(actions, "k", "o"),
+        lambda t: t.update_where(F.col("k") == 8, {"x": F.lit("changed")}),
+        lambda t: t.delete_where((F.col("k") == 9) | F.col("x").isNull()),
+        lambda t: t.merge(spark.createDataFrame([(11, "merged", 1), (11, "twice", 2)], "k long, x string, y long"), "k"),
+    ]
+    for step in steps:
+        before = set(table.files())
+        for t in (table, plain):
+            step(t)
+        same()
+        assert len(before & set(table.files())) >= len(before) - 3
+    table.delete_where(F.col("k") < 100_000)
+    assert table.read().count() == 0 and table.read().columns == ["k", "x", "y"]
+    assert table.vacuum() > 0 and table.read().count() == 0
+
+
 def test_repeated_batch_is_harmless(spark, tmp_path):
     table = DocumentTable(spark, str(tmp_path / "t"))
     df = spark.createDataFrame([(1,)], "k int")
