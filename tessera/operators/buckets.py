@@ -11,6 +11,7 @@ from tessera.functions.geo import geohash, haversine, tile
 from tessera.functions.rows import explode_once
 from tessera.operators.metrics import percentiles
 from tessera.session import lookup_join, stage
+from tessera.sources.store import DocumentTable
 
 COUNT = "doc_count"
 
@@ -251,8 +252,30 @@ def rollup_job(df: DataFrame, ts: Column, calendar: str, dimensions: list[str],
 
 
 def transform_job(df: DataFrame, group_by: list[str], metrics: list[Column], pivot: tuple[str, list] | None = None) -> DataFrame:
-    """Grouped table, optionally with one column per listed pivot value."""
+    """Preview: the grouped table, optionally with one column per listed pivot value."""
     grouped = df.groupBy(*group_by)
     if pivot:
         grouped = grouped.pivot(pivot[0], pivot[1])
     return grouped.agg(*metrics)
+
+
+# How the states of two runs of a measure combine.
+_FOLDS = {"sum": (F.sum, F.sum), "count": (F.count, F.sum), "min": (F.min, F.min), "max": (F.max, F.max)}
+
+
+def transform_increment(
+    table: DocumentTable, rows: DataFrame, group_by: list[str], measures: dict[str, tuple[str, Column]], stream: str, batch: int
+) -> bool:
+    """Add new rows to a stored transform: one row per group with mergeable measures.
+
+    ``measures`` maps a name to (sum, count, min or max, column). The first run makes the
+    table, later ones read the new rows and the folders of the groups they touch, if
+    ``table`` is dealt by ``group_key``. A batch that is in already changes nothing.
+    """
+    key = F.to_json(F.struct(*group_by), {"ignoreNullFields": "false"}).alias("group_key")
+    new = rows.groupBy(*group_by).agg(*[_FOLDS[f][0](c).alias(n) for n, (f, c) in measures.items()]).select(key, "*")
+
+    def combine(states: DataFrame) -> DataFrame:
+        return states.groupBy("group_key", *group_by).agg(*[_FOLDS[f][1](n).alias(n) for n, (f, _) in measures.items()])
+
+    return table.fold(stage(new, "transform"), combine, stream, batch)

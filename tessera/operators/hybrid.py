@@ -117,8 +117,14 @@ class SearchResponse:
     by_country: DataFrame
 
 
-def search(index: TextIndex, questions: DataFrame, top_k: int = S.TOP_K, qid: str = "question_id", approximate: bool = False) -> SearchResponse:
-    """Run the whole question batch; ``questions`` holds the extracted filters and ``embedding``."""
+def search(
+    index: TextIndex, questions: DataFrame, top_k: int = S.TOP_K, qid: str = "question_id", approximate: bool = False, aggregate: bool = True,
+) -> SearchResponse:
+    """Run the whole question batch; ``questions`` holds the extracted filters and ``embedding``.
+
+    The total is the number of distinct applications, exact or from a mergeable sketch
+    (``approximate``). Without ``aggregate`` it is the number of matching chunks.
+    """
     keys = list(index.keys)
     questions = stage(questions, "questions")
     scores = stage(hybrid_scores(index, questions, top_k, qid), "scores")
@@ -135,10 +141,13 @@ def search(index: TextIndex, questions: DataFrame, top_k: int = S.TOP_K, qid: st
         else F.count(F.lit(1))
     )
     pairs = scores.groupBy(qid, "id_app").agg(F.count(F.lit(1)).alias("chunks"))
-    counted = (scores if approximate else pairs).groupBy(qid).agg(
-        distinct.alias("total"),
-        (F.count(F.lit(1)) if approximate else F.sum("chunks")).alias("matched_chunks"),
-    )
+    if aggregate:
+        counted = (scores if approximate else pairs).groupBy(qid).agg(
+            distinct.alias("total"),
+            (F.count(F.lit(1)) if approximate else F.sum("chunks")).alias("matched_chunks"),
+        )
+    else:
+        counted = scores.groupBy(qid).agg(F.lit(None).cast("bigint").alias("total"), F.count(F.lit(1)).alias("matched_chunks"))
     returned = best.groupBy(qid).agg(F.count(F.lit(1)).alias("returned"))
     totals = (
         questions.select(qid, "is_numerical")
@@ -147,7 +156,7 @@ def search(index: TextIndex, questions: DataFrame, top_k: int = S.TOP_K, qid: st
         .select(
             qid,
             "is_numerical",
-            F.coalesce("total", "returned", F.lit(0)).cast("bigint").alias("total"),
+            F.coalesce("total", "matched_chunks", F.lit(0)).cast("bigint").alias("total"),
             F.coalesce("matched_chunks", F.lit(0)).cast("bigint").alias("matched_chunks"),
             F.coalesce("returned", F.lit(0)).cast("bigint").alias("returned"),
         )

@@ -82,22 +82,29 @@ def extreme_bucket(df: DataFrame, c: str, key: str, largest: bool = True) -> Dat
     return df.filter(F.col(c) == best).groupBy(F.col(c).alias("value")).agg(F.array_sort(F.collect_list(key)).alias("keys"))
 
 
-def normalize(c: str, method: str, by: list[str] = ()) -> Column:
-    w = Window.partitionBy(*by)
+def normalize(c: str, method: str, by: list[str] = (), of: DataFrame | None = None) -> Column:
+    """A bucket's value against all buckets of ``by``, or against the whole table ``of``.
+
+    Over a whole table the extremes and sums are scalars of one map-side-combined aggregate.
+    """
     x = F.col(c).cast("double")
-    low, high, mean = F.min(x).over(w), F.max(x).over(w), F.avg(x).over(w)
+
+    def over(total: Column) -> Column:
+        return of.agg(total).scalar() if of is not None and not by else total.over(Window.partitionBy(*by))
+
+    low, high, mean = over(F.min(x)), over(F.max(x)), over(F.avg(x))
     if method == "rescale_0_1":
         return (x - low) / (high - low)
     if method == "rescale_0_100":
         return 100 * (x - low) / (high - low)
     if method == "percent_of_sum":
-        return x / F.sum(x).over(w)
+        return x / over(F.sum(x))
     if method == "mean":
         return (x - mean) / (high - low)
     if method == "z-score":
-        return (x - mean) / F.stddev_pop(x).over(w)
+        return (x - mean) / over(F.stddev_pop(x))
     if method == "softmax":
-        return F.exp(x) / F.sum(F.exp(x)).over(w)
+        return F.exp(x) / over(F.sum(F.exp(x)))
     raise ValueError(f"unknown method {method!r}")
 
 

@@ -483,6 +483,27 @@ def transform_job(spark, sf_dir):
     )
 
 
+@query(
+    "transform_increments",
+    """SELECT l_returnflag, l_linestatus, count(*) AS lines, round(sum(l_quantity), 2) AS quantity, min(l_extendedprice) AS low,
+      max(l_extendedprice) AS high, l_orderkey % 50 AS slot FROM lineitem GROUP BY l_returnflag, l_linestatus, l_orderkey % 50""",
+)
+def transform_increments(spark, sf_dir):
+    """A stored transform: a first load, two increments, one of them delivered twice, and the table read back."""
+    from tessera.sources.store import DocumentTable
+
+    store = DocumentTable(spark, new_stage_path(spark, "transform"), "group_key")
+    lines = table(spark, sf_dir, "lineitem").withColumn("slot", F.pmod("l_orderkey", F.lit(50)))
+    measures = {
+        "lines": ("count", F.lit(1)), "quantity": ("sum", F.col("l_quantity")),
+        "low": ("min", F.col("l_extendedprice")), "high": ("max", F.col("l_extendedprice")),
+    }
+    for batch in (0, 1, 1, 2):
+        rows = lines.where(F.pmod("l_orderkey", F.lit(3)) == batch)
+        B.transform_increment(store, rows, ["l_returnflag", "l_linestatus", "slot"], measures, "lines", batch)
+    return store.read().drop("group_key").withColumn("quantity", F.round("quantity", 2))
+
+
 # -- over ordered buckets ---------------------------------------------------------------
 
 

@@ -303,6 +303,31 @@ def hybrid_totals(spark, sf_dir):
     return H.search(hybrid_index(spark, sf_dir), hybrid_questions(spark, sf_dir)).totals
 
 
+@query(
+    "totals_without_aggregation",
+    f"""WITH {SQL_HYBRID} SELECT question_id, matched_chunks AS total, NOT is_numerical AND matched_chunks > returned AS has_more FROM totals""",
+)
+def totals_without_aggregation(spark, sf_dir):
+    """With the aggregation off, the number of matching chunks stands in for the total."""
+    totals = H.search(hybrid_index(spark, sf_dir), hybrid_questions(spark, sf_dir), aggregate=False).totals
+    return totals.select("question_id", "total", "has_more")
+
+
+@query(
+    "totals_from_sketch",
+    f"""WITH {SQL_HYBRID} SELECT question_id, matched_chunks, true AS close FROM totals""",
+)
+def totals_from_sketch(spark, sf_dir):
+    """Distinct applications from a sketch, within a fifth of the exact number (four standard errors)."""
+    index, asked = hybrid_index(spark, sf_dir), hybrid_questions(spark, sf_dir)
+    response = H.search(index, asked, approximate=True)
+    exact = response.scores.groupBy("question_id").agg(F.count_distinct("id_app").alias("exact"))
+    off = F.abs(F.col("total") - F.coalesce("exact", F.lit(0)))
+    return response.totals.join(exact, "question_id", "left").select(
+        "question_id", "matched_chunks", (off <= F.ceil(0.2 * F.coalesce("exact", F.lit(0)))).alias("close")
+    )
+
+
 @query(
     "hits_by_country",
     f"""WITH {SQL_HYBRID}, counts AS (

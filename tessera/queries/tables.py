@@ -58,18 +58,18 @@ WHERE ret IS DISTINCT FROM 'error' AND (ret IS NOT NULL OR t.user_id IS NOT NULL
 @query("bulk_actions", SQL_BULK)
 def bulk_actions(spark, sf_dir):
     """Index, create, update and delete actions on a stored table."""
-    store = ST.DocumentTable(spark, new_stage_path(spark, "accounts"))
+    store = ST.DocumentTable(spark, new_stage_path(spark, "accounts"), "user_id")
     store.replace(_accounts(spark, sf_dir))
     store.apply_actions(_actions(spark, sf_dir), "user_id", "event_id")
     return store.read()
 
 
-@query("parallel_bulk", "SELECT count(*) AS count, sum(l_orderkey)::BIGINT AS key_sum FROM lineitem")
+@query("parallel_bulk", "SELECT * FROM lineitem")
 def parallel_bulk(spark, sf_dir):
     """A load by several writers with bounded files."""
     store = ST.DocumentTable(spark, new_stage_path(spark, "lines"))
     store.replace(table(spark, sf_dir, "lineitem"), batch_rows=5000, partitions=4)
-    return store.read().agg(F.count(F.lit(1)).alias("count"), F.sum("l_orderkey").alias("key_sum"))
+    return store.read()
 
 
 @query(
@@ -78,7 +78,7 @@ def parallel_bulk(spark, sf_dir):
       CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders""",
 )
 def update_by_query(spark, sf_dir):
-    store = ST.DocumentTable(spark, new_stage_path(spark, "orders"))
+    store = ST.DocumentTable(spark, new_stage_path(spark, "orders"), "o_orderkey")
     store.replace(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"))
     store.update_where(F.col("o_orderstatus") == "P", {"o_totalprice": F.col("o_totalprice") * 2, "o_orderstatus": F.lit("X")})
     return store.read()
@@ -91,6 +91,23 @@ def delete_by_query(spark, sf_dir):
     return ST.without(rows, F.col("quality") == 0)
 
 
+@query(
+    "delete_stored",
+    """SELECT o_orderkey, o_totalprice, true AS untouched_files_stay FROM orders
+      WHERE NOT coalesce(o_orderkey % 1000 = 7 OR (o_orderkey < 200 AND o_totalprice > 100000), false)""",
+)
+def delete_stored(spark, sf_dir):
+    """Rows of a stored table that match are deleted; folders without one keep their files."""
+    store = ST.DocumentTable(spark, new_stage_path(spark, "orders"), "o_orderkey", 64)
+    store.replace(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"))
+    before = set(store.files())
+    where = (F.pmod("o_orderkey", F.lit(1000)) == 7) | ((F.col("o_orderkey") < 200) & (F.col("o_totalprice") > 100000))
+    touched = store.read().filter(where).select(store.bucket()).distinct().count()
+    store.delete_where(where)
+    after = set(store.files())
+    return store.read().withColumn("untouched_files_stay", F.lit(len(before - after) <= touched and (touched == 64 or bool(before & after))))
+
+
 @query("reindex", "SELECT p_partkey, p_name FROM part WHERE p_size <= 20 AND starts_with(p_name, 'small')")
 def reindex(spark, sf_dir):
     source = ST.DocumentTable(spark, new_stage_path(spark, "parts"))
@@ -393,13 +410,49 @@ def arrivals_after_load(spark, sf_dir):
     ).withColumns({c: numbered.select(c).scalar() for c in ("rows_numbered", "numbers")})
 
 
+_V2_NAMES = C.SQL_CAT_CHUNKS.replace(
+    f"{C.sql_name('p.p_name')} AS name",
+    f"CASE WHEN p.p_partkey % 4 = 1 THEN 'V2 ' ELSE '' END || {C.sql_name('p.p_name')} AS name",
+)
+_V2_ROWS = _V2_NAMES.replace("(SELECT count(*) FROM documents)\n)", "(SELECT count(*) FROM documents) WHERE p.p_partkey % 4 <> 3\n)")
+_SQL_VERSION = """SELECT id_app, chunk_pos, md5(chunk_text) AS text_md5 FROM chunks JOIN cat USING (original_row_index)
+    WHERE len(regexp_extract_all(chunk_text, '[\\p{L}\\p{N}_]')) > 0"""
+
+
+def _versions(spark, sf_dir, second, whole):
+    """The catalogue as v1, then ``second`` of it as v2, in which a quarter of the applications has a new name."""
+    rows = C.catalogue(spark, sf_dir)
+    inbox, store = new_stage_path(spark, "inbox"), ST.DocumentTable(spark, new_stage_path(spark, "versions"), "metadata.id_app")
+    quarter = F.pmod("original_row_index", F.lit(4))
+    renamed = F.when(quarter == 1, F.concat(F.lit("V2 "), F.col("Name"))).otherwise(F.col("Name"))
+    offsets = new_stage_path(spark, "offsets")
+    for i, part in enumerate((rows, rows.withColumn("Name", renamed).where(second(quarter)))):
+        write_catalogue_csv(part.drop("original_row_index").coalesce(1), f"{inbox}/v{i + 1}")
+        A.refresh_on_arrival(A.arriving_catalogue(spark, f"{inbox}/*"), store, offsets, C.EMBED_DIM, whole)
+    return store.read().select(
+        F.col("metadata.id_app").alias("id_app"), "chunk_pos", F.md5(F.col("text_content").cast("binary")).alias("text_md5")
+    )
+
+
+@query("catalogue_replaced", f"WITH {_V2_ROWS} {_SQL_VERSION}")
+def catalogue_replaced(spark, sf_dir):
+    """A second whole catalogue with changed and removed applications takes the place of the first."""
+    return _versions(spark, sf_dir, lambda quarter: quarter != 3, True)
+
+
+@query("catalogue_merged", f"WITH {_V2_NAMES} {_SQL_VERSION}")
+def catalogue_merged(spark, sf_dir):
+    """A second file with a quarter of the applications replaces those and keeps the others."""
+    return _versions(spark, sf_dir, lambda quarter: quarter == 1, False)
+
+
 @query("stream_bulk", SQL_BULK)
 def stream_bulk(spark, sf_dir):
     """The bulk actions, arriving as files."""
     inbox = new_stage_path(spark, "actions")
     actions = _actions(spark, sf_dir)
     actions.repartitionByRange(4, "event_id").write.parquet(inbox)
-    store = ST.DocumentTable(spark, new_stage_path(spark, "accounts"))
+    store = ST.DocumentTable(spark, new_stage_path(spark, "accounts"), "user_id")
     store.replace(_accounts(spark, sf_dir))
     A.apply_stream(A.read_stream(spark, inbox, actions.schema), store, new_stage_path(spark, "offsets"), "user_id", "event_id")
     return store.read()

@@ -223,6 +223,22 @@ class DocumentTable:
 
         self._change(lambda: df.select(self.bucket()), put, stream, batch)
 
+    def fold(
+        self, new: DataFrame, combine: Callable[[DataFrame], DataFrame], stream: str | None = None, batch: int | None = None
+    ) -> bool:
+        """Put what ``combine`` makes of the old and new rows of a key in their place.
+
+        A table dealt by its key reads and writes the touched folders only. ``new`` should be
+        stored. Left out if the stream has committed the batch before.
+        """
+        if stream is not None and self.has_batch(stream, batch):
+            return False
+        if not self.exists():
+            self._load(combine(new), 0, False, stream, batch)
+        else:
+            self._change(lambda: new.select(self.bucket()), lambda old: combine(old.unionByName(new)), stream, batch)
+        return True
+
     def copy_to(self, target: DocumentTable, where: Column | None = None) -> None:
         target.replace(self.scan(where))
 
