@@ -202,3 +202,18 @@ def test_generated_text_is_capped_and_cleaned(spark):
     assert (a["answer_type"], len(a["summary"]), a["html_table"], a["mermaid_diagram"], len(a["insights"][0])) == ("text_fallback", 500, "<p 1>", None, 200)
     assert b["answer_type"] == "parse_error" and b["raw_text"] == "no json"
     assert c is None
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_hot_keys_are_dealt_out(spark, how):
+    """One key, or null, on most rows: the result is that of a plain join and no part holds the key alone."""
+    from tessera.operators.joins import SALTS, hot_keys, salted_join
+
+    big = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id") % 500).alias("k"))
+    small = spark.createDataFrame([(7, "hot"), (7, "again"), (11, "own"), (9999, "never")], "k long, v string")
+    big = big.withColumn("k", F.col("k").cast("long"))
+    assert len(hot_keys(big, ["k"], 0.2)) == 2 and SALTS > 1
+    want = big.join(small, "k", how)
+    got = salted_join(big, small, ["k"], how, measure=False)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
