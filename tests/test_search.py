@@ -217,3 +217,14 @@ def test_hot_keys_are_dealt_out(spark, how):
     got = salted_join(big, small, ["k"], how, measure=False)
     assert got.columns == want.columns
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.mark.parametrize("method", ["rescale_0_1", "rescale_0_100", "percent_of_sum", "mean", "z-score", "softmax"])
+def test_normalised_over_a_whole_table(spark, method):
+    from tessera.operators.windows import normalize
+
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate([1, 4, 4, 9, -2])], "i int, v double")
+    one = df.withColumn("g", F.lit(1)).select("i", normalize("v", method, ["g"]).alias("x"))
+    whole = df.select("i", normalize("v", method, of=df).alias("x"))
+    want, got = ({r["i"]: r["x"] for r in d.collect()} for d in (one, whole))
+    assert want.keys() == got.keys() and all(math.isclose(want[i], got[i], rel_tol=1e-12) for i in want)
