@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.rows import explode_once
-from tessera.session import fits_broadcast, lookup_join
+from tessera.session import fits_broadcast, lookup_join, stage
 
 # A key is hot from this share of the rows on, so there are at most 1 / HOT_SHARE of them; each is dealt
 # into SALTS parts. The sketch of counts tracks enough keys to miss none of them.
@@ -90,25 +90,54 @@ def parent_agg(children: DataFrame, parents: DataFrame, child_key: str, parent_k
     return parents.join(keys, parent_key, "left_semi").groupBy(*by).agg(*metrics)
 
 
+def _by_rarity(stored: DataFrame, held: DataFrame) -> DataFrame:
+    """``stored`` with its words rarest first and ``__prefix``, the words it is looked up by.
+
+    Whoever holds ``at_least`` of n words holds one of any n - at_least + 1 of them; the rarest are taken.
+    """
+    seen = held.select(F.explode("__held").alias("__word")).groupBy("__word").agg(F.count(F.lit(1)).alias("__df"))
+    others = [c for c in stored.columns if c not in ("query_id", "words")]
+    ranked = (
+        stored.withColumn("__word", F.explode("words")).join(seen, "__word", "left")
+        .groupBy("query_id")
+        .agg(
+            F.array_sort(F.collect_list(F.struct(F.coalesce("__df", F.lit(0)).alias("df"), F.col("__word").alias("word")))).alias("__ranked"),
+            *[F.any_value(c).alias(c) for c in others],
+        )
+        .withColumn("words", F.col("__ranked.word")).drop("__ranked")
+    )
+    # Asked words that no document holds come first, so a query with too many of them is never met.
+    return ranked.withColumn("__prefix", F.slice("words", 1, F.size("words") - F.col("__need") + 1))
+
+
 def percolate(docs: DataFrame, key: list[str], terms: str, stored: DataFrame, checks: Column | None = None, carry: list[str] = ()) -> DataFrame:
     """(query_id, key, carry) for every stored query a document satisfies.
 
-    ``stored`` holds (query_id, words, at_least, ...): distinct words of which a document
-    needs that many. Documents meet queries word by word; the hits of one document are
-    counted where it is read, so only (query, document) pairs are shuffled.
+    ``stored`` holds (query_id, words, at_least, ...): words of which a document needs that
+    many, one at least. A document keeps the words that any query asks for and is shuffled
+    once, as one row. It meets a query only on one of the query's rarest words, of which it
+    must hold one, and is then checked against all of them where it is; the first of these
+    words that it holds stands for the rest, so no pair is met twice.
     """
-    words = stored.withColumn("__word", F.explode("words")).drop("words")
+    asked = stage(
+        stored.withColumn("words", F.array_distinct(F.array_compact("words")))
+        .withColumn("__need", F.greatest(F.col("at_least").cast("int"), F.lit(1)))
+        .filter(F.size("words") >= F.col("__need")),
+        "stored",
+    )
+    vocabulary = asked.select(F.explode("words").alias("__word")).distinct()
     rows = explode_once(docs, F.array_distinct(F.col(terms)), "__word", [*key, *carry])
-    found = lookup_join(rows, words, ["__word"])
-    if checks is not None:
-        found = found.filter(checks)
-    return (
-        found.groupBy("query_id", *key)
-        .agg(
-            F.count(F.lit(1)).alias("__n"),
-            F.any_value("at_least").alias("__need"),
-            *[F.any_value(c).alias(c) for c in carry],
-        )
-        .filter(F.col("__n") >= F.col("__need"))
-        .drop("__n", "__need")
+    held = stage(
+        lookup_join(rows, vocabulary, ["__word"], "left_semi")
+        .groupBy(*key)
+        .agg(F.collect_set("__word").alias("__held"), *[F.any_value(c).alias(c) for c in carry]),
+        "held",
     )
+    entries = stage(_by_rarity(asked, held).withColumn("__word", F.explode("__prefix")), "entries")
+    met = lookup_join(held.withColumn("__word", F.explode("__held")), entries, ["__word"])
+    if checks is not None:
+        met = met.filter(checks)
+    return met.filter(
+        (F.get(F.array_intersect("__prefix", "__held"), F.lit(0)) == F.col("__word"))
+        & (F.size(F.array_intersect("words", "__held")) >= F.col("__need"))
+    ).select("query_id", *key, *carry)
