@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 from tessera.session import lookup_join, stage
 
 _ONE = "__one"
+# Distinct values of a bracket that one task orders, and the ranges a longer bracket is cut into.
+ORDERED_VALUES = 100_000
+SUB_RANGES = 64
 
 
 def stats(c: Column) -> list[Column]:
@@ -63,85 +66,116 @@ def percentiles_approx(df: DataFrame, value: str, percents: list[float], by: lis
     return got.select(*by, F.inline(pairs)).toDF(*by, "percent", "value")
 
 
+def _narrowed(counted: DataFrame, wanted: DataFrame, on: list[str], accuracy: int) -> DataFrame:
+    """``counted`` cut to the sub-ranges that hold the wanted ranks, ``__skip`` raised by what lies below them.
+
+    Each group's distinct values fall into ``SUB_RANGES`` ranges of about equal length, whose rows are
+    counted; the one or two that hold the ranks stay.
+    """
+    cuts = counted.groupBy(*on).agg(
+        F.percentile_approx("__v", [j / SUB_RANGES for j in range(1, SUB_RANGES)], accuracy).alias("__cuts")
+    )
+    parts = (
+        lookup_join(counted, stage(cuts, "cuts"), on)
+        .withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col("__v"))))
+        .groupBy(*on, "__part", "__skip")
+        .agg(F.sum("__c").alias("__c"), F.min("__v").alias("__from"), F.max("__v").alias("__to"))
+        # at most SUB_RANGES rows in a window
+        .withColumn("__end", F.col("__skip") + F.sum("__c").over(Window.partitionBy(*on).orderBy("__part")))
+        .withColumn("__begin", F.col("__end") - F.col("__c"))
+        .join(wanted.select(*on, "__inside", (F.col("__lo") - F.col("__base")).alias("__lo"), (F.col("__hi") - F.col("__base")).alias("__hi")), on)
+    )
+    top = F.col("__inside") - 1
+    first, last = (F.least(F.greatest(F.col(c), F.lit(0)), top) for c in ("__lo", "__hi"))
+    kept = (
+        parts.filter((F.col("__begin") <= last) & (F.col("__end") > first))
+        .groupBy(*on).agg(F.min("__from").alias("__from"), F.max("__to").alias("__to"), F.min("__begin").alias("__skip"))
+    )
+    inside = lookup_join(counted.drop("__skip"), stage(kept, "kept"), on).filter(F.col("__v").between(F.col("__from"), F.col("__to")))
+    return stage(inside.drop("__from", "__to"), "narrowed")
+
+
 def percentiles(
-    df: DataFrame, value: str, percents: list[float], by: list[str] = (), accuracy: int = 10_000, small_group: int = 100_000
+    df: DataFrame, value: str, percents: list[float], by: list[str] = (), accuracy: int = 10_000, ordered: int = ORDERED_VALUES
 ) -> DataFrame:
     """(by, percent, value): exact percentiles with linear interpolation.
 
     A sketch brackets each percentile; one pass counts the values below the bracket, and
-    only the values inside it (a few per ``accuracy`` of the group, equal ones merged) are
-    ordered. No group is gathered or sorted as a whole. Groups up to ``small_group`` rows
-    use their full range as bracket.
+    only the values inside it (a few per ``accuracy`` of the group, equal ones merged) go
+    on. While a bracket holds more than ``ordered`` distinct values, it is narrowed to the
+    counted sub-ranges that hold the percentile. What one task orders is thus bounded,
+    whatever the size of a group, and every size takes the same way.
     """
     keys = list(by) or [_ONE]
     rows = df.select(*by, F.col(value).cast("double").alias("__v")).filter("__v is not null")
     if not by:
         rows = rows.withColumn(_ONE, F.lit(0))
-    step = 2.0 / accuracy
+    step = 4.0 / accuracy
     lows = [max(0.0, p / 100 - step) for p in percents]
     highs = [min(1.0, p / 100 + step) for p in percents]
-    brackets = (
+    # One row per group, stored: the passes below must not repeat the sketch.
+    brackets = stage(
         rows.groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("__n"),
-            F.min("__v").alias("__min"),
-            F.max("__v").alias("__max"),
-            F.percentile_approx("__v", lows, accuracy).alias("__lo"),
-            F.percentile_approx("__v", highs, accuracy).alias("__hi"),
+            F.percentile_approx("__v", lows, accuracy).alias("__from"),
+            F.percentile_approx("__v", highs, accuracy).alias("__to"),
         )
         .select(
-            *keys,
-            "__n",
-            *[
-                F.when((F.col("__n") <= small_group) | F.lit(lows[i] == 0.0), F.col("__min")).otherwise(F.col("__lo")[i]).alias(f"__lo{i}")
-                for i in range(len(percents))
-            ],
-            *[
-                F.when((F.col("__n") <= small_group) | F.lit(highs[i] == 1.0), F.col("__max")).otherwise(F.col("__hi")[i]).alias(f"__hi{i}")
-                for i in range(len(percents))
-            ],
-        )
+            *keys, "__n",
+            *[F.col("__from")[i].alias(f"__lo{i}") for i in range(len(percents))],
+            *[F.col("__to")[i].alias(f"__hi{i}") for i in range(len(percents))],
+        ),
+        "brackets",
     )
-    # One row per group, stored: the passes below must not repeat the sketch.
-    brackets = stage(brackets, "brackets")
     tagged = lookup_join(rows, brackets, keys)
-    below = tagged.groupBy(*keys).agg(
-        F.any_value("__n").alias("__n"),
-        *[F.count_if(F.col("__v") < F.col(f"__lo{i}")).alias(f"__base{i}") for i in range(len(percents))],
+    v = F.col("__v")
+    spots = [
+        F.struct(
+            F.lit(i).alias("__i"), F.lit(float(p)).alias("percent"),
+            F.count_if(v < F.col(f"__lo{i}")).alias("__base"),
+            F.count_if(v.between(F.col(f"__lo{i}"), F.col(f"__hi{i}"))).alias("__inside"),
+            # the rank rule of the sketch is not this one, so a rank may lie one value outside
+            F.max(F.when(v < F.col(f"__lo{i}"), v)).alias("__before"),
+            F.min(F.when(v > F.col(f"__hi{i}"), v)).alias("__after"),
+        )
+        for i, p in enumerate(percents)
+    ]
+    wanted = stage(
+        tagged.groupBy(*keys).agg(F.any_value("__n").alias("__n"), F.array(*spots).alias("__spots"))
+        .select(*keys, "__n", F.inline("__spots"))
+        .withColumn("__r", F.col("percent") / 100 * (F.col("__n") - 1))
+        .withColumns({"__lo": F.floor("__r"), "__hi": F.ceil("__r")}),
+        "ranks",
     )
     inside = tagged.select(
         *keys,
         "__v",
         F.explode(
             F.filter(
-                F.array(*[
-                    F.when(F.col("__v").between(F.col(f"__lo{i}"), F.col(f"__hi{i}")), F.lit(i)) for i in range(len(percents))
-                ]),
+                F.array(*[F.when(v.between(F.col(f"__lo{i}"), F.col(f"__hi{i}")), F.lit(i)) for i in range(len(percents))]),
                 lambda i: i.isNotNull(),
             )
         ).alias("__i"),
     )
-    counted = inside.groupBy(*keys, "__i", "__v").agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*keys, "__i").orderBy("__v")
-    ranked = counted.withColumn("__cum", F.sum("__c").over(w))
-    wanted = below.select(
-        *keys,
-        "__n",
-        F.inline(
-            F.array(*[
-                F.struct(F.lit(i).alias("__i"), F.lit(float(p)).alias("percent"), F.col(f"__base{i}").alias("__base"))
-                for i, p in enumerate(percents)
-            ])
-        ),
-    ).withColumn("__r", F.col("percent") / 100 * (F.col("__n") - 1))
-    joined = ranked.join(wanted, [*keys, "__i"])
-    end = F.col("__base") + F.col("__cum")
-    begin = end - F.col("__c")
-    lo, hi = F.floor("__r"), F.ceil("__r")
-    picked = joined.groupBy(*keys, "percent", "__r").agg(
-        F.max(F.when((begin <= lo) & (lo < end), F.col("__v"))).alias("__a"),
-        F.max(F.when((begin <= hi) & (hi < end), F.col("__v"))).alias("__b"),
+    on = [*keys, "__i"]
+    counted = stage(
+        inside.groupBy(*on, "__v").agg(F.count(F.lit(1)).alias("__c")).withColumn("__skip", F.lit(0).cast("long")), "inside"
     )
+    while (counted.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > max(ordered, 2):
+        counted = _narrowed(counted, wanted, on, accuracy)
+    ranked = counted.withColumn("__cum", F.sum("__c").over(Window.partitionBy(*on).orderBy("__v")))
+    joined = ranked.join(wanted, on)
+    end = F.col("__base") + F.col("__skip") + F.col("__cum")
+    begin = end - F.col("__c")
+
+    def at(rank: str) -> Column:
+        outside = F.when(F.col(rank) == F.col("__base") - 1, F.col("__before")).when(
+            F.col(rank) == F.col("__base") + F.col("__inside"), F.col("__after")
+        )
+        return F.max(F.coalesce(F.when((begin <= F.col(rank)) & (F.col(rank) < end), v), outside))
+
+    picked = joined.groupBy(*keys, "percent", "__r").agg(at("__lo").alias("__a"), at("__hi").alias("__b"))
     return picked.select(
         *by, "percent", (F.col("__a") + (F.col("__b") - F.col("__a")) * (F.col("__r") - F.floor("__r"))).alias("value")
     )
