@@ -9,6 +9,7 @@ from tessera import session
 from tessera.operators import bm25 as M
 from tessera.operators import metrics, rules, spans
 from tessera.operators.answer import parse_answers
+from tessera.operators.joins import percolate
 from tessera.operators.knn import knn_exact, knn_lsh
 from tessera.operators.ranking import page, sort_column, suggest_terms
 from tessera.operators.textindex import TextIndex
@@ -151,10 +152,49 @@ def test_suggestions_equal_all_pairs(spark):
 def test_percentiles_of_a_skewed_group_use_the_bracket(spark):
     values = [1.0] * 4000 + [float(i) for i in range(6000)]
     df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
-    got = {r["percent"]: r["value"] for r in metrics.percentiles(df, "v", [0, 1, 33, 50, 99.5, 100], ["g"], accuracy=200, small_group=10).collect()}
+    got = {r["percent"]: r["value"] for r in metrics.percentiles(df, "v", [0, 1, 33, 50, 99.5, 100], ["g"], accuracy=200, ordered=10).collect()}
     assert got == {p: pytest.approx(float(np.percentile(values, p))) for p in got} and len(got) == 6
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 64, 999])
+def test_percentiles_of_small_groups_are_exact(spark, n):
+    rng = random.Random(n)
+    values = [rng.choice([float(rng.randrange(20)), rng.random()]) for _ in range(n)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    asked = [0, 1, 5, 25, 33.3, 50, 75, 90, 99, 100]
+    for accuracy in (100, 10_000):
+        got = {r["percent"]: r["value"] for r in metrics.percentiles(df, "v", asked, accuracy=accuracy, ordered=2).collect()}
+        assert got == {p: pytest.approx(float(np.percentile(values, p))) for p in asked}
+
+
+def test_percentiles_without_rows(spark):
+    df = spark.createDataFrame([(None,)], "v double")
+    assert metrics.percentiles(df, "v", [50]).collect() == []
+
+
+@pytest.mark.parametrize("max_rows", [None, 0])
+def test_percolate_equals_brute_force(spark, monkeypatch, max_rows):
+    rng = random.Random(5)
+    some = lambda k: [rng.choice("abcdefghijklmnop") for _ in range(k)]
+    docs = {i: some(rng.randrange(0, 14)) + ["the"] for i in range(80)}
+    stored = [(q, some(rng.randrange(0, 6)) + ["the"], rng.randrange(0, 5)) for q in range(40)]
+    stored += [(90, ["the", "the"], 2), (91, ["a", None], 1), (92, ["absent", "a"], 2), (93, ["absent", "a"], 1), (94, [], 0)]
+    if max_rows is not None:
+        monkeypatch.setattr(session, "BROADCAST_MAX_ROWS", max_rows)
+    got = percolate(
+        spark.createDataFrame([(i, t, i % 2) for i, t in docs.items()], "id int, t array<string>, side int").repartition(3),
+        ["id"], "t", spark.createDataFrame([(q, w, n, q % 3) for q, w, n in stored], "query_id int, words array<string>, at_least int, q int"),
+        (F.col("q") == 0) | (F.col("q") != F.col("side")), ["side"],
+    ).collect()
+    want = []
+    for q, words, need in stored:
+        distinct = {w for w in words if w}
+        for i, t in docs.items():
+            if (q % 3 == 0 or q % 3 != i % 2) and len(distinct & set(t)) >= max(need, 1):
+                want.append((q, i, i % 2))
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_t_test_p_value(spark):
     df = spark.createDataFrame([(float(i), float(i % 5)) for i in range(12)], "a double, b double")
     r = metrics.t_test(df, F.col("a"), F.col("b"), "paired").first()
