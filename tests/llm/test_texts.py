@@ -2,7 +2,10 @@
 
 import hashlib
 import itertools
+import math
 import re
+import zlib
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -84,6 +87,51 @@ def test_language_without_labels(odd):
     assert {r["lang_pred"] for r in langid.language_id(unlabelled).collect()} == {"und"}
 
 
+def plain_languages(rows):
+    """Naive Bayes by dictionaries over the same buckets: doc_id to (language, probability)."""
+    grams, seen = {}, Counter()
+    for doc, text, lang in rows:
+        if zlib.crc32(str(doc).encode()) % 4 != 2 and lang is not None and text is not None:
+            grams.setdefault(lang, Counter()).update(langid.buckets_of(text).tolist() if text else [])  # an empty text has no n-gram
+            seen[lang] += 1
+    out = {}
+    for doc, text, _ in rows:
+        if not text or not any(c.isalpha() for c in text):
+            out[doc] = ("und", 0.0)
+            continue
+        logs = {}
+        for lang, counts in grams.items():
+            size = math.log(counts.total() + langid.SMOOTHING * langid.BUCKETS)
+            prior = math.log((seen[lang] + 1) / (seen.total() + len(seen)))
+            logs[lang] = prior + sum(math.log(counts[b] + langid.SMOOTHING) - size for b in langid.buckets_of(text).tolist())
+        best = min(logs, key=lambda k: (-logs[k], k))
+        out[doc] = (best, 1 / sum(math.exp(v - logs[best]) for v in logs.values()))
+    return out
+
+
+@pytest.mark.parametrize("languages_at_once", [1, 3, None])
+def test_language_equals_plain_version(spark, monkeypatch, languages_at_once):
+    rows = [(i, prose(i, 5 + i % 9) + "abcdefg"[i % 7] * (i % 5), f"l{i % 7}") for i in range(70)]
+    rows += [(70, None, "l1"), (71, "12 34", "l2"), (72, "zq", None), (73, "", "l8"), (74, None, "l9")]
+    if languages_at_once:
+        monkeypatch.setattr(langid, "MATRIX_BYTES", languages_at_once * 8 * (langid.BUCKETS + 1))
+    got = {r["doc_id"]: r for r in langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    want = plain_languages(rows)
+    assert {d: r["lang_pred"] for d, r in got.items()} == {d: v[0] for d, v in want.items()}
+    assert all(got[d]["score"] == pytest.approx(v[1], rel=1e-6) for d, v in want.items())
+
+
+def test_five_hundred_languages(spark):
+    # a language is a script of its own: ten letters of the ideographs
+    letters = [[chr(0x4E00 + 10 * k + j) for j in range(10)] for k in range(500)]
+    rows = [(3000 + 500 * n + k, " ".join(letters[k]), f"lang{k:03}") for k in range(500) for n in range(3)]
+    got = langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    learned = {lang for doc, _, lang in rows if zlib.crc32(str(doc).encode()) % 4 != 2}
+    true = {doc: lang for doc, _, lang in rows if lang in learned}
+    assert len(got) == len(rows) and len(learned) > 450
+    assert all(r["lang_pred"] == true[r["doc_id"]] for r in got if r["doc_id"] in true)
+
+
 # -- lines ---------------------------------------------------------------------
 
 
