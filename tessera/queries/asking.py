@@ -151,12 +151,15 @@ def extract_filters(spark, sf_dir):
     return R.extract_filters(C.many_questions(spark, sf_dir)).drop("question")
 
 
+FILTERS_JSON_SQL = """'{' || concat_ws(',', '"country":"' || country || '"', '"critic_name":"' || critic_name || '"',
+      CASE WHEN is_active THEN '"is_active":true' END, '"status":"' || status || '"', CASE WHEN has_drp THEN '"has_drp":true' END,
+      CASE WHEN is_strategic THEN '"is_strategic":true' END, '"deploy":"' || deploy || '"') || '}'"""
+
+
 @query(
     "filters_applied",
     f"""WITH {C.SQL_MANY_QUESTIONS}, f AS (SELECT question_id, {sql_filters()} FROM many)
-    SELECT question_id, '{{' || concat_ws(',', '"country":"' || country || '"', '"critic_name":"' || critic_name || '"',
-      CASE WHEN is_active THEN '"is_active":true' END, '"status":"' || status || '"', CASE WHEN has_drp THEN '"has_drp":true' END,
-      CASE WHEN is_strategic THEN '"is_strategic":true' END, '"deploy":"' || deploy || '"') || '}}' AS filters_applied FROM f""",
+    SELECT question_id, {FILTERS_JSON_SQL} AS filters_applied FROM f""",
 )
 def filters_applied(spark, sf_dir):
     rows = R.extract_filters(C.many_questions(spark, sf_dir))

@@ -195,40 +195,43 @@ SQL_CAT_CHUNKS = f"{SQL_CATALOGUE}, {SQL_ENRICHED}, {sql_chunks('enriched', 'ori
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One question per benchmark item, worded around a nation, a part or the item's own text."""
-    bench, nation, part = (table(spark, sf_dir, t) for t in ("benchmark", "nation", "part"))
+    """One question per benchmark item: its whole text behind words around a nation, a part or an owner."""
+    bench, nation, part, supplier = (table(spark, sf_dir, t) for t in ("benchmark", "nation", "part", "supplier"))
     nations = nation.select("n_nationkey", country_name("n_nationkey", "n_name").alias("place"))
     rows = (
         bench.withColumn("__n", F.pmod(F.col("item_id"), row_count(nation)))
         .withColumn("__p", F.pmod(F.col("item_id") * 7, row_count(part)))
+        .withColumn("__s", F.pmod(F.col("item_id"), row_count(supplier)))
         .join(nations, F.col("__n") == F.col("n_nationkey"))
         .join(part.select("p_partkey", X.normalize_name(F.col("p_name")).alias("app"), "p_type"), F.col("__p") == F.col("p_partkey"))
+        .join(supplier.select("s_suppkey", F.col("s_name").alias("owner")), F.col("__s") == F.col("s_suppkey"))
     )
     return rows.select(F.col("item_id").alias("question_id"), X.sanitize_text(_worded("item_id"), 500).alias("question"))
 
 
 def _worded(key: str) -> Column:
-    place, app = F.col("place"), F.col("app")
+    """Eight kinds of question; all but the bare names of an application or an owner hold the whole ``text``."""
+    place, app, text = F.col("place"), F.col("app"), F.col("text")
     kind = F.pmod(F.col(key), F.lit(8))
     return (
-        F.when(kind == 0, F.concat(F.lit("¿Qué aplicaciones críticas tiene "), place, F.lit("?")))
-        .when(kind == 1, F.concat(F.lit("¿Cuántas apps muy críticas en "), place, F.lit(" con DRP?")))
-        .when(kind == 2, F.concat(F.lit("Muestra una tabla de apps en "), place, F.lit(" con "), app))
-        .when(kind == 3, F.concat(F.lit("¿Qué es "), F.lower(app), F.lit("?")))
-        .when(kind == 4, F.concat(F.lit("Lista apps inactivas en AWS "), F.col("p_type")))
-        .when(kind == 5, app)
-        .when(kind == 6, F.concat(F.lit("apps en desarrollo "), F.col("text")))
-        .otherwise(F.col("text"))
+        F.when(kind == 0, F.concat(F.lit("¿Qué aplicaciones críticas tiene "), place, F.lit("? "), text))
+        .when(kind == 1, F.concat(F.lit("¿Cuántas apps muy críticas en "), place, F.lit(" con DRP? "), text))
+        .when(kind == 2, F.concat(F.lit("Muestra una tabla de apps en "), place, F.lit(" con "), app, F.lit(" "), text))
+        .when(kind == 3, F.concat(F.lit("¿Qué es "), F.lower(app), F.lit("? "), text))
+        .when(kind == 4, F.concat(F.lit("Lista apps inactivas en AWS "), F.col("p_type"), F.lit(" "), text))
+        .when(kind == 5, F.when(F.pmod(F.col(key), F.lit(16)) == 5, app).otherwise(F.col("owner")))
+        .when(kind == 6, F.concat(F.lit("apps en desarrollo "), text))
+        .otherwise(text)
     )
 
 
 SQL_WORDED = """CASE {key} % 8
-    WHEN 0 THEN '¿Qué aplicaciones críticas tiene ' || place || '?'
-    WHEN 1 THEN '¿Cuántas apps muy críticas en ' || place || ' con DRP?'
-    WHEN 2 THEN 'Muestra una tabla de apps en ' || place || ' con ' || app
-    WHEN 3 THEN '¿Qué es ' || lower(app) || '?'
-    WHEN 4 THEN 'Lista apps inactivas en AWS ' || p_type
-    WHEN 5 THEN app
+    WHEN 0 THEN '¿Qué aplicaciones críticas tiene ' || place || '? ' || text
+    WHEN 1 THEN '¿Cuántas apps muy críticas en ' || place || ' con DRP? ' || text
+    WHEN 2 THEN 'Muestra una tabla de apps en ' || place || ' con ' || app || ' ' || text
+    WHEN 3 THEN '¿Qué es ' || lower(app) || '? ' || text
+    WHEN 4 THEN 'Lista apps inactivas en AWS ' || p_type || ' ' || text
+    WHEN 5 THEN CASE {key} % 16 WHEN 5 THEN app ELSE owner END
     WHEN 6 THEN 'apps en desarrollo ' || text
     ELSE text END"""
 
@@ -241,11 +244,12 @@ SQL_QUESTIONS = f"""
 questions AS (
   SELECT item_id AS question_id, {sql_sanitize(SQL_WORDED.format(key='item_id'), 500)} AS question
   FROM (
-    SELECT b.item_id, b.text, p.p_type, {sql_name('p.p_name')} AS app,
+    SELECT b.item_id, b.text, p.p_type, {sql_name('p.p_name')} AS app, s.s_name AS owner,
       {_case(COUNTRY_NAMES, 'n.n_nationkey', 'n.n_name')} AS place
     FROM benchmark b
     JOIN nation n ON n.n_nationkey = b.item_id % (SELECT count(*) FROM nation)
     JOIN part p ON p.p_partkey = (b.item_id * 7) % (SELECT count(*) FROM part)
+    JOIN supplier s ON s.s_suppkey = b.item_id % (SELECT count(*) FROM supplier)
   )
 )"""
 
@@ -262,7 +266,7 @@ def many_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         cust.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
         .withColumn("app", F.concat_ws(" ", F.col("c_mktsegment"), F.lit("e-commerce")))
         .withColumn("p_type", F.col("c_mktsegment"))
-        .withColumn("text", F.col("c_name"))
+        .withColumns({"text": F.col("c_name"), "owner": F.col("c_name")})
         .select(
             F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("question_id"),
             X.sanitize_text(F.concat(_worded("c_custkey"), _pick(ends, F.pmod(F.col("c_custkey"), F.lit(len(ends))))), 500).alias("question"),
@@ -285,7 +289,7 @@ SQL_MANY_QUESTIONS = f"""
 many AS (
   SELECT 'c' || c_custkey AS question_id, {sql_sanitize('(' + SQL_WORDED.format(key='c_custkey') + ') || ' + _ENDS_SQL, 500)} AS question
   FROM (
-    SELECT c.c_custkey, c.c_name AS text, c.c_mktsegment AS p_type, c.c_mktsegment || ' e-commerce' AS app,
+    SELECT c.c_custkey, c.c_name AS text, c.c_name AS owner, c.c_mktsegment AS p_type, c.c_mktsegment || ' e-commerce' AS app,
       {_case(COUNTRY_NAMES, 'n.n_nationkey', 'n.n_name')} AS place
     FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey
   )

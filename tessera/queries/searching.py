@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from tessera.operators.textindex import TextIndex
 from tessera.plans.answering import ask, searchable
 from tessera.plans.indexing import refresh
 from tessera.queries import common as C
-from tessera.queries.asking import _SCOPE_SQL, sql_filters, _any
+from tessera.queries.asking import _SCOPE_SQL, FILTERS_JSON_SQL, sql_filters, _any
 from tessera.queries.common import query, table
 from tessera.queries.indexing import sql_vectors
 from tessera.operators.rules import DATA_KEYWORDS
@@ -195,6 +197,9 @@ def knn_approximate(spark, sf_dir):
 # -- hybrid --------------------------------------------------------------------
 
 _KEYS = "ck"
+# Filters that no question words, given beside some of them.
+_GIVEN_SQL = """CASE WHEN question_id % 5 = 4 THEN 'Brand#' || (1 + question_id % 25) END AS app_type,
+  CASE WHEN question_id % 7 = 3 THEN '' WHEN question_id % 13 = 5 THEN 'Norte' END AS quadrant"""
 SQL_HYBRID = f"""
 {C.SQL_CAT_CHUNKS},
 idx AS (
@@ -204,7 +209,7 @@ idx AS (
   WHERE len(regexp_extract_all(k.chunk_text, '[\\p{{L}}\\p{{N}}_]')) > 0
 ),
 {C.SQL_QUESTIONS},
-q AS (SELECT question_id, question, {sql_filters()} FROM questions),
+q AS (SELECT question_id, question, {sql_filters()}, {_GIVEN_SQL} FROM questions),
 {sql_bm25("idx", "ck", "chunk_text", "q", "question_id", "question")},
 {sql_phrase("idx", "ck", "chunk_text", "q", "question_id", "question")},
 {sql_vectors("d", "idx", "ck", "chunk_text")},
@@ -223,9 +228,11 @@ knn AS (
 kw AS (
   SELECT q.question_id, idx.ck,
     CASE WHEN idx.name = q.exact_name THEN ln(1 + (n - nd.df + 0.5::DOUBLE) / (nd.df + 0.5::DOUBLE)) END AS kw_term,
-    CASE WHEN idx.name = q.question THEN ln(1 + (n - nd.df + 0.5::DOUBLE) / (nd.df + 0.5::DOUBLE)) END AS kw_name
-  FROM q JOIN idx ON idx.name = q.exact_name OR idx.name = q.question
-  JOIN (SELECT name, count(*) AS df FROM idx GROUP BY name) nd ON nd.name = idx.name,
+    CASE WHEN idx.name = q.question THEN ln(1 + (n - nd.df + 0.5::DOUBLE) / (nd.df + 0.5::DOUBLE)) END AS kw_name,
+    CASE WHEN idx.owner = q.question THEN ln(1 + (n - od.df + 0.5::DOUBLE) / (od.df + 0.5::DOUBLE)) END AS kw_owner
+  FROM q JOIN idx ON idx.name = q.exact_name OR idx.name = q.question OR idx.owner = q.question
+  JOIN (SELECT name, count(*) AS df FROM idx GROUP BY name) nd ON nd.name = idx.name
+  JOIN (SELECT owner, count(*) AS df FROM idx GROUP BY owner) od ON od.owner = idx.owner,
   (SELECT count(*)::DOUBLE AS n FROM idx)
 ),
 pairs AS (
@@ -235,7 +242,8 @@ pairs AS (
 clauses AS (
   SELECT p.question_id, p.ck, i.original_row_index, i.chunk_pos, i.id_app, i.country,
     10 * kw_term AS term_name, knn.knn AS knn, 5 * kw_name AS match_name, 2 * bm25 AS match_text, 3 * phrase AS match_phrase,
-    CASE WHEN kw_name IS NOT NULL OR bm25 IS NOT NULL THEN 1.5::DOUBLE * greatest(3 * coalesce(kw_name, 0), coalesce(bm25, 0)) END AS multi_match
+    CASE WHEN coalesce(kw_name, bm25, kw_owner) IS NOT NULL
+      THEN 1.5::DOUBLE * greatest(3 * coalesce(kw_name, 0), coalesce(bm25, 0), coalesce(kw_owner, 0)) END AS multi_match
   FROM pairs p JOIN idx i USING (ck) JOIN q USING (question_id)
   LEFT JOIN text_scores t ON t.question_id = p.question_id AND t.ck = p.ck
   LEFT JOIN phrase_scores ph ON ph.question_id = p.question_id AND ph.ck = p.ck
@@ -245,6 +253,7 @@ clauses AS (
     AND (q.critic_name IS NULL OR q.critic_name = i.critic_name) AND (q.deploy IS NULL OR q.deploy = i.deploy)
     AND (q.is_strategic IS NULL OR i.estrategic = 'SI') AND (q.has_drp IS NULL OR i.drp = 'SI')
     AND (q.is_active IS NULL OR lower(i.status) = 'activo')
+    AND (q.app_type IS NULL OR q.app_type = i.app_type) AND (q.quadrant IS NULL OR q.quadrant = '')
 ),
 scored AS (
   SELECT *, round(coalesce(term_name, 0) + coalesce(knn, 0) + coalesce(match_name, 0) + coalesce(match_text, 0)
@@ -267,8 +276,20 @@ def hybrid_index(spark, sf_dir) -> TextIndex:
     return searchable(store.read())
 
 
+def asked_questions(spark, sf_dir):
+    """The questions, some with a filter given beside the text."""
+    number = F.col("question_id")
+    return C.questions(spark, sf_dir).withColumns(
+        {
+            "app_type": F.when(number % 5 == 4, F.concat(F.lit("Brand#"), (1 + number % 25).cast("string"))),
+            # no application of the catalogue has a quadrant
+            "quadrant": F.when(number % 7 == 3, F.lit("")).when(number % 13 == 5, F.lit("Norte")),
+        }
+    )
+
+
 def hybrid_questions(spark, sf_dir):
-    rows = with_filters(C.questions(spark, sf_dir))
+    rows = with_filters(asked_questions(spark, sf_dir))
     return rows.withColumn("embedding", hash_embedding(F.col("question"), C.EMBED_DIM))
 
 
@@ -362,14 +383,15 @@ _BLOCK_SQL = """chr(10) || 'Aplicación ' || rank || ':' || chr(10) || '- Nombre
   || '- Estratégico: ' || CASE WHEN i.estrategic = 'SI' THEN 'Sí' ELSE 'No' END || chr(10) || '- Owner: ' || i.owner || chr(10)
   || '- Dominio: ' || chr(10)"""
 _SEP = "chr(10) || '---' || chr(10)"
+_ASKED_SQL = f"""asked AS (SELECT q.*, t.total, t.returned FROM q JOIN totals t USING (question_id)
+      WHERE {_any('lower(question)', DATA_KEYWORDS)}),
+    ctx AS (SELECT h.question_id, string_agg({_BLOCK_SQL}, {_SEP} ORDER BY rank) AS context
+      FROM hits h JOIN idx i USING (ck) WHERE rank <= 15 GROUP BY h.question_id)"""
 
 
 @query(
     "answer_questions",
-    f"""WITH {SQL_HYBRID}, asked AS (SELECT q.*, t.total, t.returned FROM q JOIN totals t USING (question_id)
-      WHERE {_any('lower(question)', DATA_KEYWORDS)}),
-    ctx AS (SELECT h.question_id, string_agg({_BLOCK_SQL}, {_SEP} ORDER BY rank) AS context
-      FROM hits h JOIN idx i USING (ck) WHERE rank <= 15 GROUP BY h.question_id)
+    f"""WITH {SQL_HYBRID}, {_ASKED_SQL}
     SELECT f.question_id, CASE WHEN is_numerical THEN 'success' WHEN returned = 0 THEN 'no_results' END AS answer_type,
       CASE WHEN is_numerical THEN 'Encontré ' || total || ' aplicaciones ' || {_SCOPE_SQL} || '.' END AS summary,
       CASE WHEN NOT is_numerical AND returned = 0 THEN '{A.NO_RESULTS_MESSAGE}' END AS message,
@@ -378,7 +400,7 @@ _SEP = "chr(10) || '---' || chr(10)"
 )
 def answer_questions(spark, sf_dir):
     """The whole question job: canned answers where they apply, context for the rest."""
-    answered = ask(hybrid_index(spark, sf_dir), C.questions(spark, sf_dir), C.EMBED_DIM).answers
+    answered = ask(hybrid_index(spark, sf_dir), asked_questions(spark, sf_dir), C.EMBED_DIM).answers
     a = F.col("answer")
     return answered.select(
         "question_id",
@@ -391,16 +413,32 @@ def answer_questions(spark, sf_dir):
     )
 
 
-@query("generated_answers")
+_FACTS_SQL = f"""'{{"total_found":' || total || ',"filters_applied":"' || replace({FILTERS_JSON_SQL}, '"', '\\"')
+  || '","has_more":' || (total > returned) || ',"page":1,"page_size":' || returned || ',"wants_table":' || wants_table
+  || ',"wants_diagram":' || wants_diagram || '}}'"""
+_PROMPT_SQL = f"""'Responde solo con un objeto JSON.' || chr(10) || 'Datos: ' || {_FACTS_SQL} || chr(10) || '<context>' || chr(10) || context
+  || chr(10) || '</context>' || chr(10) || '<question>' || {C.sql_sanitize('question', 1000)} || '</question>'"""
+
+
+@query(
+    "generated_answers",
+    f"""WITH {SQL_HYBRID}, {_ASKED_SQL}
+    SELECT f.question_id, CASE WHEN NOT is_numerical AND returned = 0 THEN 'no_results' ELSE 'success' END AS answer_type,
+      CASE WHEN is_numerical THEN 'Encontré ' || total || ' aplicaciones ' || {_SCOPE_SQL} || '.'
+        WHEN returned > 0 THEN md5({_PROMPT_SQL}) END AS summary,
+      CASE WHEN NOT is_numerical AND returned > 0 THEN '<b x>1</b>' END AS html_table
+    FROM asked f LEFT JOIN ctx ON ctx.question_id = f.question_id""",
+)
 def generated_answers(spark, sf_dir):
-    """The question job with a stand-in model that wraps part of its prompt in noisy JSON."""
+    """The question job with a stand-in model that wraps a digest of its whole prompt in noisy JSON."""
 
     def model(prompts):
         return [
-            None if p is None else 'Claro: {"answer_type": "success", "summary": "' + str(len(p)) + '", "html_table": "<b onclick=x>1</b>"} fin'
+            None if p is None
+            else f'Claro: {{"answer_type": "success", "summary": "{md5(p.encode()).hexdigest()}", "html_table": "<b onclick=x>1</b>"}} fin'
             for p in prompts
         ]
 
-    answered = ask(hybrid_index(spark, sf_dir), C.questions(spark, sf_dir), C.EMBED_DIM, model=model).answers
+    answered = ask(hybrid_index(spark, sf_dir), asked_questions(spark, sf_dir), C.EMBED_DIM, model=model).answers
     a = F.col("answer")
     return answered.select("question_id", a["answer_type"].alias("answer_type"), a["summary"].alias("summary"), a["html_table"].alias("html_table"))
