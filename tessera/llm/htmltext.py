@@ -30,6 +30,7 @@ import html as entities
 import math
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -102,18 +103,21 @@ _PIECE = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
     re.S,
 )
+_OPEN_COMMENT = re.compile(r"<!--.*", re.S)
 # One attribute: its whole name, and its value if it has one.
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
 class Element:
-    __slots__ = ("name", "key", "up", "mark", "out", "names", "marked", "block", "inner", "words", "holds", "in_label", "skipped")
+    __slots__ = ("name", "key", "up", "mark", "out", "names", "marked", "block", "word_key", "inner", "words", "holds", "in_label", "skipped")
 
     def __init__(self, name: str, key: str, up: Element | None, out: bool = False, names: int = 0, marked: bool = False):
         """``out``: left out by tag or hidden. ``names``: as ``_names_of`` has it."""
         self.name, self.key, self.up, self.out, self.names, self.marked = name, key, up, out, names, marked
         self.block = name not in INLINE
+        # key of words in it: that of the nearest block element, itself included, that is no mark
+        self.word_key = "w " + key if up is None or self.block and name not in MARKED else up.word_key
         # the nearest mark around it, the marks in it, the words in it, whether it holds the labelled element or is in it
         self.mark = None if up is None else up if up.name in MARKED else up.mark
         self.inner, self.words, self.holds, self.in_label = 0, 0, False, up is not None and up.in_label
@@ -194,24 +198,21 @@ def parse(page: str, label: str | None = None):
     stack = [Element("", "", None)]
     elements, tokens = [stack[0]], []
     at, end, marked = 0, len(page), 0
-    find = _PIECE.search
     labelled = label or label_of(page)
-
-    def word_key() -> str:
-        for e in reversed(stack):
-            if e.block and e.name not in MARKED:
-                return "w " + e.key
-        return "w"
+    # Open elements per name, so that a stray end tag does not walk all of them.
+    opened = Counter()
+    # After the last ">" no tag can end; only an open comment is left to find there.
+    tags_end = page.rfind(">") + 1
 
     while at < end:
-        m = find(page, at)
+        m = (_PIECE if at < tags_end else _OPEN_COMMENT).search(page, at)
         start = m.start() if m else end
         if start > at:
             text = page[at:start]
             n = len(text.split())
             stack[-1].words += n
-            tokens.append((word_key(), text, n, stack[-1], marked, False))
-        if not m:
+            tokens.append((stack[-1].word_key, text, n, stack[-1], marked, False))
+        if not m or m.re is _OPEN_COMMENT:
             break
         at = m.end()
         name = m[2] or m[5]
@@ -219,20 +220,19 @@ def parse(page: str, label: str | None = None):
             continue
         name, closing, attributes = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if closing:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
-            if depth:
-                was = stack[depth]
-                marked -= sum(e.marked for e in stack[depth:])
-                del stack[depth:]
+            if opened[name]:
+                was = None
+                while was is None or was.name != name:
+                    was = stack.pop()
+                    opened[was.name] -= 1
+                    marked -= was.marked
                 tokens.append(("m" if was.name in MARKED else "/" + was.key, None, 0, was, marked, was.block))
             continue
         classes, level, unfit_mark, hidden = _names_of(attributes) if attributes else ("", 0, False, False)
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name not in CLOSES.get(name, ()):
-                break
-            del stack[i]
+        while stack[-1].name in CLOSES.get(name, ()):
+            opened[stack.pop().name] -= 1
         if name not in ("p", *INLINE) and stack[-1].name == "p" and name in BREAKS_P:
-            stack.pop()
+            opened[stack.pop().name] -= 1
         key = f"{name} {classes}".strip()
         is_mark = name in MARKED
         in_article = marked > 0
@@ -255,6 +255,7 @@ def parse(page: str, label: str | None = None):
             at = close.end() if close else end
         elif name not in VOID and not attributes.endswith("/"):
             stack.append(e)
+            opened[name] += 1
             marked += e.marked
     _skip(elements)
     for key, text, n, e, depth, block in tokens:

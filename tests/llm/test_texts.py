@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -326,6 +327,17 @@ def test_main_text_equals_marked_part(spark, sf):
         assert r["text"] == "\n\n".join(b for b in blocks if b)
 
 
+def test_main_text_of_deep_and_stray_tags_takes_linear_time():
+    """Each shape took time with the square of its length when every end tag walked all open elements."""
+    n = 100_000
+    scores = htmltext.default_scores()
+    started = time.monotonic()
+    assert htmltext.main_text("<div>" * n + "some words here " * 9 + "</p>" * n, scores).startswith("some words")
+    assert htmltext.main_text("<b>" * n + "some words here " * 9 + "</i>" * n, scores).startswith("some words")
+    assert htmltext.main_text("<p>one two three</p>" + "<a " * n, scores)
+    assert time.monotonic() - started < 60
+
+
 def test_main_text_odd_pages(spark):
     odd_pages = [
         (1, None, None), (2, "", ""), (3, "u", "just words, no tags"), (4, "u", "<p>a < b &lt; c <unclosed"), (5, "u", "<" * 50_000),
