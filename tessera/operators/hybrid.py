@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import schema as S
 from tessera.operators import bm25 as M
 from tessera.operators.knn import knn_exact, knn_score
-from tessera.operators.rules import EQUALITY_FILTERS, matches_filters
+from tessera.operators.rowscore import Parts, score_rows
+from tessera.operators.rules import EQUALITY_FILTERS
 from tessera.operators.textindex import TextIndex
 from tessera.session import lookup_join, stage
 
@@ -18,76 +20,70 @@ from tessera.session import lookup_join, stage
 BOOSTS = {"term_name": 10.0, "knn": 1.0, "match_name": 5.0, "match_text": 2.0, "match_phrase": 3.0, "multi_match": 1.5}
 BEST_FIELD = {"name": 3.0, "text": 1.0, "owner": 1.0}
 CLAUSES = list(BOOSTS)
-SCORE_DIGITS = 6
 
-_PARTS = ["bm25", "phrase", "knn", "kw_term", "kw_name", "kw_owner"]
+# Keyword parts: the document field they read and the question column that must equal it.
+KEYWORDS = {"name:term": ("name", "exact_name"), "name:text": ("name", "question"), "owner:text": ("owner", "question")}
 
 
-def hybrid_scores(index: TextIndex, questions: DataFrame, top_k: int = S.TOP_K, qid: str = "question_id") -> DataFrame:
-    """One row per matching (question, chunk): clause scores, their sum, ``id_app`` and ``country``.
+def _combine(parts: Parts) -> tuple[Parts, np.ndarray]:
+    """Clause scores of a run of cells, NaN where a clause does not match, and their sum."""
+    absent = np.full(parts["text"].shape, np.nan)
+    term, name, owner = (parts.get(p, absent) for p in KEYWORDS)
+    fields = {"name": name, "text": parts["text"], "owner": owner}
+    best = np.max([BEST_FIELD[f] * np.nan_to_num(v) for f, v in fields.items()], axis=0)
+    none = np.all([np.isnan(v) for v in fields.values()], axis=0)
+    raw = {
+        "term_name": term, "knn": parts["near"], "match_name": name, "match_text": parts["text"],
+        "match_phrase": parts["phrase"], "multi_match": np.where(none, np.nan, best),
+    }
+    clauses = {c: BOOSTS[c] * v for c, v in raw.items()}
+    return clauses, sum(np.nan_to_num(v) for v in clauses.values())
+
+
+class Hybrid:
+    """One question batch against one index; what both passes over it share is computed once.
 
     Nearest neighbours are ranked over all chunks and filtered afterwards; every other
-    clause is filtered while it is matched. Filters never change a score, because
+    clause is filtered where it is matched. Filters never change a score, because
     statistics come from the whole index.
     """
-    keys = list(index.keys)
-    md = F.col("metadata")
-    carry = {"id_app": md["id_app"], "doc_country": md["country"]}
-    given = [n for n in EQUALITY_FILTERS if n in questions.columns]
-    doc_filter = {f"f_{n}": md[n] for n in given}
-    carried = {**carry, **doc_filter}
-    accepts = matches_filters(
-        {n: F.col(f"f_{n}") for n in given}, {n: F.col(f"q_{n}") for n in given}
-    )
-    filters = questions.select(qid, *[F.col(n).alias(f"q_{n}") for n in given])
-
-    weights = M.term_weights(index, M.question_terms(questions, qid, "question"))
-    text = M.match_scores(index, weights, qid, carried, filters, accepts, combine=False)
-    phrase = M.phrase_scores(index, questions, weights, qid, "question", carried, filters, accepts)
-
-    def keyword(field: str, value: Column, out: str) -> DataFrame:
-        asked = questions.select(qid, value.alias("value"))
-        return M.keyword_scores(index.docs, keys, md[field], asked, qid, out, carried, filters, accepts)
-
-    term = keyword("name", F.col("exact_name"), "kw_term")
-    name = keyword("name", F.col("question"), "kw_name")
-    owner = keyword("owner", F.col("question"), "kw_owner")
-
-    near = stage(knn_exact(index.docs, questions, 3 * top_k, keys, qid).drop("rank"), "knn")
-    near = lookup_join(index.docs.select(*keys, *[c.alias(a) for a, c in carried.items()]), near, keys)
-    near = M.restrict(near, filters, qid, accepts, keys).withColumn("knn", knn_score(F.col("d2")))
-
-    parts = [(text, "bm25"), (phrase, "phrase"), (near, "knn"), (term, "kw_term"), (name, "kw_name"), (owner, "kw_owner")]
-    long_form = None
-    for part, column in parts:
-        rows = part.select(
-            qid, *keys, *carry,
-            *[(F.col(p) if p == column else F.lit(None)).cast("double").alias(p) for p in _PARTS],
+
+    def __init__(self, index: TextIndex, questions: DataFrame, top_k: int = S.TOP_K, qid: str = "question_id"):
+        self.index, self.questions, self.top_k, self.qid = index, questions, top_k, qid
+        keys = list(index.keys)
+        md = F.col("metadata")
+        fields = {n: md[n] for n in dict.fromkeys(f for f, _ in KEYWORDS.values())}
+        self.weights = M.term_weights(index, M.question_terms(questions, qid, "question"))
+        asked = questions.select(
+            qid,
+            F.inline(F.array(*[
+                F.struct(F.lit(p).alias("part"), F.lit(f).alias("field"), F.col(c).alias("value")) for p, (f, c) in KEYWORDS.items()
+            ])),
         )
-        long_form = rows if long_form is None else long_form.unionByName(rows)
-    # The only shuffle of matched pairs; the terms of a document are summed before it.
-    merged = long_form.groupBy(qid, *keys).agg(
-        F.sum("bm25").alias("bm25"), *[F.max(p).alias(p) for p in _PARTS if p != "bm25"], *[F.any_value(a).alias(a) for a in carry]
-    )
-    best = F.greatest(
-        BEST_FIELD["name"] * F.coalesce("kw_name", F.lit(0.0)),
-        BEST_FIELD["text"] * F.coalesce("bm25", F.lit(0.0)),
-        BEST_FIELD["owner"] * F.coalesce("kw_owner", F.lit(0.0)),
-    )
-    any_field = F.coalesce("kw_name", "bm25", "kw_owner").isNotNull()
-    clause = {
-        "term_name": BOOSTS["term_name"] * F.col("kw_term"),
-        "knn": BOOSTS["knn"] * F.col("knn"),
-        "match_name": BOOSTS["match_name"] * F.col("kw_name"),
-        "match_text": BOOSTS["match_text"] * F.col("bm25"),
-        "match_phrase": BOOSTS["match_phrase"] * F.col("phrase"),
-        "multi_match": F.when(any_field, BOOSTS["multi_match"] * best),
-    }
-    scored = merged.select(
-        qid, *keys, "id_app", F.col("doc_country").alias("country"), *[clause[c].alias(c) for c in CLAUSES]
-    )
-    total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in CLAUSES), F.lit(0.0))
-    return scored.withColumn("score", F.round(total, SCORE_DIGITS))
+        near = knn_exact(index.docs, questions, 3 * top_k, keys, qid)
+        self.shared = {
+            "combine": _combine,
+            "phrase": "question",
+            "fields": fields,
+            "asked": M.keyword_weights(index.docs, fields, asked),
+            "filters": {n: md[n] for n in EQUALITY_FILTERS if n in questions.columns},
+            "near": stage(near.select(qid, *keys, knn_score(F.col("d2")).alias("near")), "knn"),
+        }
+
+    def best(self) -> DataFrame:
+        """(qid, keys, clauses, score, rank): the best chunks of every question that lists any."""
+        listed = self.questions.filter(~F.col("is_numerical"))
+        rows = score_rows(self.index, listed, self.qid, self.weights, self.top_k, names=CLAUSES, **self.shared)
+        return stage(top_hits(rows.drop("n"), self.top_k, list(self.index.keys), self.qid), "hits")
+
+    def matches(self) -> DataFrame:
+        """(qid, id_app, country, n): matching chunks of every question, counted before they are shuffled."""
+        md = F.col("metadata")
+        rows = score_rows(
+            self.index, self.questions, self.qid, self.weights, 0,
+            count_by={"id_app": md["id_app"], "country": md["country"]}, **self.shared,
+        )
+        return rows.groupBy(self.qid, "id_app", "country").agg(F.sum("n").alias("n"))
 
 
 def explain(scores: DataFrame, qid: str = "question_id", keys: tuple[str, ...] = ("original_row_index", "chunk_pos")) -> DataFrame:
@@ -109,10 +105,15 @@ def preview(hits: DataFrame, n: int = 3) -> DataFrame:
 
 @dataclass(frozen=True)
 class SearchResponse:
-    """Hits, totals and facets of a batch of questions, as tables."""
+    """Hits, totals and facets of a batch of questions, as tables.
+
+    ``best`` has the clause scores of the hits, ``hits`` their documents, ``matches`` the
+    matching chunks per application and country.
+    """
 
-    scores: DataFrame
+    best: DataFrame
     hits: DataFrame
+    matches: DataFrame
     totals: DataFrame
     by_country: DataFrame
 
@@ -123,50 +124,38 @@ def search(
     """Run the whole question batch; ``questions`` holds the extracted filters and ``embedding``.
 
     The total is the number of distinct applications, exact or from a mergeable sketch
-    (``approximate``). Without ``aggregate`` it is the number of matching chunks.
+    (``approximate``). Without ``aggregate`` it is the number of matching chunks. Totals and
+    facets are a pass of their own, made only where they are read.
     """
     keys = list(index.keys)
     questions = stage(questions, "questions")
-    scores = stage(hybrid_scores(index, questions, top_k, qid), "scores")
-    listed = questions.filter(~F.col("is_numerical")).select(qid)
-    best = top_hits(
-        lookup_join(scores.select(qid, *keys, "score"), listed, [qid], "left_semi"), top_k, keys, qid
-    )
-    best = stage(best, "hits")
-    hits = lookup_join(index.docs.select(*keys, "text_content", "metadata"), best, keys)
-
-    distinct = (
-        F.approx_count_distinct("id_app")
-        if approximate
-        else F.count(F.lit(1))
-    )
-    pairs = scores.groupBy(qid, "id_app").agg(F.count(F.lit(1)).alias("chunks"))
-    if aggregate:
-        counted = (scores if approximate else pairs).groupBy(qid).agg(
-            distinct.alias("total"),
-            (F.count(F.lit(1)) if approximate else F.sum("chunks")).alias("matched_chunks"),
-        )
+    run = Hybrid(index, questions, top_k, qid)
+    best = run.best()
+    hits = lookup_join(index.docs.select(*keys, "text_content", "metadata"), best.select(qid, *keys, "score", "rank"), keys)
+    matches = run.matches()
+    if aggregate and not approximate:
+        # applications are told apart by grouping, so that no task holds all those of a question
+        apps = matches.groupBy(qid, "id_app").agg(F.sum("n").alias("n"))
+        total = F.count(F.lit(1))
     else:
-        counted = scores.groupBy(qid).agg(F.lit(None).cast("bigint").alias("total"), F.count(F.lit(1)).alias("matched_chunks"))
-    returned = best.groupBy(qid).agg(F.count(F.lit(1)).alias("returned"))
+        apps = matches
+        total = F.approx_count_distinct("id_app") if aggregate else F.lit(None).cast("bigint")
+    counted = apps.groupBy(qid).agg(total.alias("total"), F.sum("n").alias("matched_chunks"))
     totals = (
         questions.select(qid, "is_numerical")
         .join(counted, qid, "left")
-        .join(returned, qid, "left")
         .select(
             qid,
             "is_numerical",
             F.coalesce("total", "matched_chunks", F.lit(0)).cast("bigint").alias("total"),
             F.coalesce("matched_chunks", F.lit(0)).cast("bigint").alias("matched_chunks"),
-            F.coalesce("returned", F.lit(0)).cast("bigint").alias("returned"),
         )
+        .withColumn("returned", F.when(F.col("is_numerical"), 0).otherwise(F.least("matched_chunks", F.lit(top_k))).cast("bigint"))
         .withColumn("has_more", ~F.col("is_numerical") & (F.col("total") > F.col("returned")))
     )
 
     faceted = questions.filter(~F.col("is_numerical") & F.col("country").isNull()).select(qid)
-    counts = lookup_join(scores.select(qid, *keys, "country"), faceted, [qid], "left_semi").groupBy(
-        qid, "country"
-    ).agg(F.count(F.lit(1)).alias("doc_count"))
+    counts = lookup_join(matches, faceted, [qid], "left_semi").groupBy(qid, "country").agg(F.sum("n").alias("doc_count"))
     w = Window.partitionBy(qid).orderBy(F.desc("doc_count"), "country")
     by_country = counts.withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
-    return SearchResponse(scores, hits, totals, by_country)
+    return SearchResponse(best, hits, matches, totals, by_country)

@@ -342,7 +342,7 @@ def totals_from_sketch(spark, sf_dir):
     """Distinct applications from a sketch, within a fifth of the exact number (four standard errors)."""
     index, asked = hybrid_index(spark, sf_dir), hybrid_questions(spark, sf_dir)
     response = H.search(index, asked, approximate=True)
-    exact = response.scores.groupBy("question_id").agg(F.count_distinct("id_app").alias("exact"))
+    exact = response.matches.groupBy("question_id").agg(F.count_distinct("id_app").alias("exact"))
     off = F.abs(F.col("total") - F.coalesce("exact", F.lit(0)))
     return response.totals.join(exact, "question_id", "left").select(
         "question_id", "matched_chunks", (off <= F.ceil(0.2 * F.coalesce("exact", F.lit(0)))).alias("close")
@@ -372,8 +372,7 @@ def hits_by_country(spark, sf_dir):
 def explain_scores(spark, sf_dir):
     """What each clause gave to each returned hit."""
     response = H.search(hybrid_index(spark, sf_dir), hybrid_questions(spark, sf_dir))
-    best = response.hits.select("question_id", "original_row_index", "chunk_pos")
-    clauses = H.explain(response.scores).join(best, ["question_id", "original_row_index", "chunk_pos"], "left_semi")
+    clauses = H.explain(response.best)
     return clauses.withColumn("clause_score", F.round("clause_score", 6))
 
 
