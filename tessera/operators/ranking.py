@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import bm25 as M
+from tessera.operators.rowscore import top_text
 from tessera.operators.textindex import TextIndex
 from tessera.session import lookup_join, stage
 
@@ -72,10 +73,13 @@ def collapse(df: DataFrame, key: str, order: list[Column], inner: int = 0, inner
 
 def more_like_this(
     index: TextIndex, like: DataFrame, qid: str, text: str, min_term_freq: int = 2, min_doc_freq: int = 5,
-    max_query_terms: int = 25, minimum_should_match: float = 0.3, exclude: Column | None = None,
+    max_query_terms: int = 25, minimum_should_match: float = 0.3, k: int = 10, exclude: DataFrame | None = None,
 ) -> DataFrame:
-    """(qid, keys, score, matched): documents sharing enough of a text's most telling terms."""
-    n, avgdl = index.stats
+    """(qid, keys, score, matched, rank): the ``k`` documents that share enough of a text's most telling terms.
+
+    ``exclude`` holds (qid, keys) of documents not to list, such as the text's own.
+    """
+    n = index.stats[0]
     weighted = M.term_weights(index, M.question_terms(like, qid, text))
     telling = F.round(F.col("qtf") * M.idf(n, F.col("df")), 9)
     w = Window.partitionBy(qid).orderBy(F.desc("__t"), "term")
@@ -87,13 +91,16 @@ def more_like_this(
         .select(qid, "term", (F.col("w") / F.col("qtf")).alias("w"))
     )
     chosen = stage(chosen, "like")
-    needed = chosen.groupBy(qid).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * minimum_should_match)).alias("__need"))
-    hits = lookup_join(index.postings(), chosen, ["term"]).groupBy(qid, *index.keys).agg(
-        F.sum(F.col("w") * M.saturation(F.col("tf"), F.col("dl"), avgdl)).alias("score"),
-        F.count(F.lit(1)).alias("matched"),
-    )
-    out = lookup_join(hits, needed, [qid]).filter(F.col("matched") >= F.col("__need")).drop("__need")
-    return out if exclude is None else out.filter(~exclude)
+    need = chosen.groupBy(qid).agg(F.floor(F.count(F.lit(1)) * minimum_should_match).cast("int").alias("need"))
+    more = 0
+    if exclude is not None:
+        # the most rows that one question leaves out, so that as many more are found
+        more = exclude.groupBy(qid).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    best = top_text(index, like, qid, chosen, k + more, need).select(qid, *index.keys, "score", F.col("words").alias("matched"))
+    if exclude is not None:
+        best = best.join(exclude.select(qid, *index.keys), [qid, *index.keys], "left_anti")
+    w = Window.partitionBy(qid).orderBy(F.desc("score"), *index.keys)
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def term_vectors(index: TextIndex, stats: DataFrame | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -80,8 +80,11 @@ class Block:
     weight: np.ndarray
     fields: dict[str, tuple[str, Lookup]] = field(default_factory=dict)
     filters: dict[str, tuple[pa.Array, np.ndarray]] = field(default_factory=dict)
+    # Different asked words a document must hold.
+    need: np.ndarray | None = None
     with_phrase: bool = False
     with_near: bool = False
+    cells: int = CELLS
 
     def slices(self, batch: pa.RecordBatch) -> Iterator[tuple[int, Parts, np.ndarray]]:
         """(first document, parts, which cells match) of runs of documents; absent parts are NaN."""
@@ -97,7 +100,7 @@ class Block:
         asked = {c: pc.index_in(batch.column(c), value_set=v).fill_null(-1).to_numpy(zero_copy_only=False) for c, (v, _) in self.filters.items()}
         # runs of documents that hold a bounded number of cells and of (word, question) rows
         rows = np.concatenate([[0], np.cumsum(self.terms.sizes(codes))])[ends]
-        run = np.cumsum(nq + np.diff(rows)) // CELLS
+        run = np.cumsum(nq + np.diff(rows)) // self.cells
         cuts = [0, *(np.flatnonzero(np.diff(run)) + 1), n_docs]
         for lo, hi in zip(cuts, cuts[1:]):
             if lo == hi:
@@ -109,7 +112,8 @@ class Block:
             cell = doc * nq + q
             sums = np.bincount(cell, weights=w * self._saturation(count, dl[lo:hi][doc]), minlength=shape[0] * nq)
             matched = np.bincount(cell, minlength=shape[0] * nq).reshape(shape)
-            parts = {"text": np.where(matched > 0, sums.reshape(shape), np.nan)}
+            held = matched > 0 if self.need is None else matched >= self.need
+            parts = {"text": np.where(held, sums.reshape(shape), np.nan), "words": np.where(held, matched, np.nan)}
             if self.with_phrase:
                 parts["phrase"] = self._phrase(batch, lo, shape, matched, (doc, q, count), dl[lo:hi])
             for p, (_, lookup) in self.fields.items():
@@ -197,6 +201,7 @@ def score_rows(
     asked: DataFrame | None = None,
     filters: dict[str, Column] | None = None,
     near: DataFrame | None = None,
+    need: DataFrame | None = None,
 ) -> DataFrame:
     """Best rows and counts of every question, per task.
 
@@ -205,11 +210,12 @@ def score_rows(
     the task for its ``count_by`` values, which are carried too. ``k = 0`` gives counts only,
     and ``count_by = None`` gives best rows only.
 
-    ``combine`` turns the parts of a run of cells (text, phrase, near, and one per field; NaN
-    where absent) into the columns ``names`` and the score. ``phrase`` is the question's text
+    ``combine`` turns the parts of a run of cells (text, words, phrase, near, and one per field;
+    NaN where absent; words is the number of asked words held) into the columns ``names`` and the score. ``phrase`` is the question's text
     column, ``asked`` holds (qid, part, field, value, w) of keywords, ``filters`` are document
     columns that must equal the question's column of that name unless it is null, and ``near``
-    holds (qid, keys, near). An empty question set gives no row.
+    holds (qid, keys, near). ``need`` holds (qid, need): text counts in documents with that many
+    of the asked words, else with one. An empty question set gives no row.
     """
     keys, names, fields, filters = list(index.keys), names or [], fields or {}, filters or {}
     carry = {**(carry or {}), **(count_by or {})}
@@ -237,7 +243,7 @@ def score_rows(
     carried, counted = list(carry), None if count_by is None else list(count_by)
     out = None
     for b in range(n_blocks):
-        part = F.pmod(F.xxhash64(qid), F.lit(n_blocks)) == b
+        part = F.pmod(F.xxhash64(F.col(qid).cast("string")), F.lit(n_blocks)) == b
         rows = wanted.filter(part).orderBy(qid).collect()
         if not rows:
             continue
@@ -254,7 +260,7 @@ def score_rows(
             [f" {' '.join(r['__tokens'] or [])} " for r in rows],
             np.array([len(r["__tokens"] or []) for r in rows]),
             np.array([len(set(r["__tokens"] or [])) for r in rows]),
-            weight, with_phrase=phrase is not None, with_near=near is not None,
+            weight, with_phrase=phrase is not None, with_near=near is not None, cells=CELLS,
         )
         for p, name in dict.fromkeys((r["part"], r["field"]) for r in values):
             block.fields[p] = (f"__v_{name}", Lookup([(r["value"], number[r[0]], r["w"]) for r in values if r["part"] == p]))
@@ -264,6 +270,9 @@ def score_rows(
             block.filters[f"__f_{f}"] = (
                 pa.array(given, pa.string()), np.array([-2 if r[f"__f_{f}"] is None else place[r[f"__f_{f}"]] for r in rows])
             )
+        if need is not None:
+            least = {r[0]: r[1] for r in need.filter(part).select(qid, "need").collect()}
+            block.need = np.array([max(1, least.get(r[qid], 1)) for r in rows])
         source = docs
         if near is not None:
             mine = near.filter(part).join(F.broadcast(wanted.filter(part).select(qid)), qid, "left_semi")
@@ -279,6 +288,24 @@ def score_rows(
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
+def _text_only(parts: Parts) -> tuple[Parts, np.ndarray]:
+    return {"words": parts["words"]}, parts["text"]
+
+
+def top_text(index: TextIndex, questions: DataFrame, qid: str, weights: DataFrame, k: int, need: DataFrame | None = None) -> DataFrame:
+    """(qid, keys, score, words, rank, matched): the ``k`` best documents by BM25 of each question.
+
+    ``words`` is the number of asked words a document holds, ``matched`` the number of
+    documents before the cut. One scan gives both.
+    """
+    keys = list(index.keys)
+    rows = stage(score_rows(index, questions, qid, weights, k, _text_only, ["words"], count_by={}, need=need), "best")
+    counts = rows.filter("n is not null").groupBy(qid).agg(F.sum("n").alias("matched"))
+    w = Window.partitionBy(qid).orderBy(F.desc("score"), *keys)
+    best = rows.filter("n is null").drop("n").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return best.withColumn("words", F.col("words").cast("bigint")).join(counts, qid)
+
+
 def _scan(block, batches, keys, carry, names, k, count_by, combine, qid, arrow) -> Iterator[pa.RecordBatch]:
     best = Best(k, len(block.ids), keys)
 

@@ -387,10 +387,7 @@ _MLT = sql_bm25("documents", "doc_id", "text", "benchmark", "item_id", "text")
 )
 def more_like_this(spark, sf_dir):
     """Ten documents most like each benchmark text."""
-    found = R.more_like_this(corpus(spark, sf_dir), bench_questions(spark, sf_dir), "item_id", "question")
-    found = found.withColumn("score", F.round("score", 6))
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
+    return R.more_like_this(corpus(spark, sf_dir), bench_questions(spark, sf_dir), "item_id", "question")
 
 
 @query(

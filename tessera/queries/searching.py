@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from hashlib import md5
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -13,6 +12,7 @@ from tessera.operators import bm25 as M
 from tessera.operators import hybrid as H
 from tessera.operators.embed import hash_embedding
 from tessera.operators.knn import knn_exact, knn_lsh, knn_score
+from tessera.operators.rowscore import top_text
 from tessera.operators.rules import extract_filters as with_filters
 from tessera.operators.textindex import TextIndex
 from tessera.plans.answering import ask, searchable
@@ -84,13 +84,9 @@ _BM25 = sql_bm25("documents", "doc_id", "text", "benchmark", "item_id", "text")
 def bm25_match(spark, sf_dir):
     """Top 15 documents per benchmark text, with the number of matches before the cut."""
     index = corpus(spark, sf_dir)
-    weights = M.term_weights(index, M.question_terms(bench_questions(spark, sf_dir), "item_id", "question"))
-    scores = M.match_scores(index, weights, "item_id").select("item_id", "doc_id", F.round("bm25", 6).alias("score"))
-    # Count and ranking share one shuffle; the count per question combines map-side first.
-    matched = scores.groupBy("item_id").agg(F.count(F.lit(1)).alias("matched"))
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    best = scores.withColumn("rank", F.row_number().over(w)).filter("rank <= 15")
-    return best.join(matched, "item_id")
+    asked = bench_questions(spark, sf_dir)
+    weights = M.term_weights(index, M.question_terms(asked, "item_id", "question"))
+    return top_text(index, asked, "item_id", weights, 15).drop("words")
 
 
 # Each whole benchmark text, and fixed phrases under negative ids.

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,11 +8,12 @@ from pyspark.sql import functions as F
 
 from tessera import session
 from tessera.operators import bm25 as M
-from tessera.operators import metrics, rules, spans
+from tessera.operators import metrics, rowscore, rules, spans
 from tessera.operators.answer import parse_answers
 from tessera.operators.joins import percolate
 from tessera.operators.knn import knn_exact, knn_lsh
-from tessera.operators.ranking import page, sort_column, suggest_terms
+from tessera.operators.ranking import more_like_this, page, sort_column, suggest_terms
+from tessera.operators.rowscore import top_text
 from tessera.operators.textindex import TextIndex
 from tessera.plans.search import FacetedSearch, Search, terms_facet
 
@@ -100,11 +102,11 @@ def test_bm25_and_phrases(spark, monkeypatch):
     index = TextIndex.build(spark.createDataFrame(list(docs.items()), "id int, t string"), ["id"], "t")
     asked = spark.createDataFrame([(1, "a b b"), (2, "c d"), (3, "zz a")], "q int, question string")
     weights = M.term_weights(index, M.question_terms(asked, "q", "question"))
-    got = {(r["q"], r["id"]): r["bm25"] for r in M.match_scores(index, weights, "q").collect()}
+    got = {(r["q"], r["id"]): r["score"] for r in top_text(index, asked, "q", weights, 60).collect()}
     for q, text in ((1, "a b b"), (2, "c d"), (3, "zz a")):
         want = bm25_rule(docs, text)
         assert {i for (k, i) in got if k == q} == set(want)
-        assert all(abs(got[(q, i)] - s) < 1e-9 for i, s in want.items())
+        assert all(abs(got[(q, i)] - s) < 1e-6 for i, s in want.items())
 
     def phrases():
         return {(r["q"], r["id"]): (r["pf"], round(r["phrase"], 9)) for r in M.phrase_scores(index, asked, weights, "q", "question").collect()}
@@ -120,6 +122,91 @@ def test_bm25_and_phrases(spark, monkeypatch):
     assert phrases() == direct
 
 
+@pytest.mark.parametrize(("cells", "block_bytes"), [(500_000, 1 << 24), (1, 1 << 24), (7, 200)])
+def test_row_scores_equal_plain_rule(spark, monkeypatch, cells, block_bytes):
+    """Every clause, filters, ties and counts, whatever the runs of cells, the question blocks and the cuts."""
+    rng = random.Random(12)
+
+    def all_parts(parts):
+        names = ["text", "phrase", "named", "near"]
+        none = np.full(parts["text"].shape, np.nan)
+        columns = {n: parts.get(n, none) for n in names}
+        return columns, sum(np.nan_to_num(v) for v in columns.values())
+
+    monkeypatch.setattr(rowscore, "CELLS", cells)
+    monkeypatch.setattr(rowscore, "BLOCK_BYTES", block_bytes)
+    docs = {f"d{i:02}": " ".join(rng.choice("abcdef") for _ in range(rng.randrange(0, 12))) for i in range(50)}
+    docs["copy"] = docs["d00"] = "a b a b a"
+    info = {i: (rng.choice(["x", "y", None]), rng.choice(["red", "blue"])) for i in docs}
+    rows = [(i, t, *info[i]) for i, t in docs.items()] + [("void", None, "x", "red")]
+    info["void"] = ("x", "red")
+    index = TextIndex.build(spark.createDataFrame(rows, "id string, t string, place string, name string").repartition(3), ["id"], "t")
+    texts = {1: "a b a", 2: "c", 3: "zz a", 4: "red", 5: "", 6: "f e", 7: "a b"}
+    places = {2: "x", 6: "nowhere", 7: "y"}
+    asked = spark.createDataFrame([(q, t, places.get(q)) for q, t in texts.items()], "q int, question string, place string")
+    near = {(3, "d05"): 0.5, (5, "void"): 0.25, (2, "d07"): 0.75}
+    weights = M.term_weights(index, M.question_terms(asked, "q", "question"))
+    words = asked.select("q", F.lit("named").alias("part"), F.lit("name").alias("field"), F.col("question").alias("value"))
+    names = M.keyword_weights(index.docs, {"name": F.col("name")}, words)
+    got = rowscore.score_rows(
+        index, asked, "q", weights, 4, all_parts, ["text", "phrase", "named", "near"], count_by={"name": F.col("name")}, phrase="question",
+        fields={"name": F.col("name")}, asked=names, filters={"place": F.col("place")},
+        near=spark.createDataFrame([(q, i, v) for (q, i), v in near.items()], "q int, id string, near double"),
+    ).collect()
+
+    full = {i: t for i, t in docs.items() if t}
+    n, mean = len(full), sum(len(t.split()) for t in full.values()) / len(full)
+    idf = lambda df, n: math.log(1 + (n - df + 0.5) / (df + 0.5))
+    want, counts = {}, {}
+    for q, text in texts.items():
+        bm25 = bm25_rule(full, text)
+        ask = text.split()
+        w = sum(ask.count(t) * 2.2 * idf(df, n) for t in set(ask) if (df := sum(t in d.split() for d in full.values())))
+        for i, (place, name) in info.items():
+            toks = (docs.get(i) or "").split()
+            pf = sum(toks[j : j + len(ask)] == ask for j in range(len(toks) - len(ask) + 1)) if ask else 0
+            have = [
+                bm25.get(i), w * pf / (pf + 1.2 * (0.25 + 0.75 * len(toks) / mean)) if pf else None,
+                idf(sum(v[1] == name for v in info.values()), len(info)) if name == text else None, near.get((q, i)),
+            ]
+            if any(v is not None for v in have) and places.get(q) in (None, place):
+                want.setdefault(q, []).append((-round(sum(v or 0 for v in have), 6), i, have))
+                counts[q, name] = counts.get((q, name), 0) + 1
+    for q, rows in want.items():
+        best = sorted((-r["score"], r["id"], [r[c] for c in ("text", "phrase", "named", "near")]) for r in got if r["q"] == q and r["n"] is None)[:4]
+        rows = sorted(rows, key=lambda r: r[:2])[:4]
+        assert [r[1] for r in best] == [r[1] for r in rows]
+        for (s, _, have), (t, _, other) in zip(best, rows):
+            assert s == pytest.approx(t, abs=2e-6)
+            assert [v is None for v in have] == [v is None for v in other]
+            assert all(v == pytest.approx(o) for v, o in zip(have, other) if v is not None)
+    assert {r["q"] for r in got} == set(want)
+    seen = Counter()
+    for r in got:
+        if r["n"] is not None:
+            seen[r["q"], r["name"]] += r["n"]
+    assert seen == counts
+
+
+def test_row_scores_without_questions_or_documents(spark):
+    index = TextIndex.build(spark.createDataFrame([(1, "a b")], "id int, t string"), ["id"], "t")
+    asked = spark.createDataFrame([(1, "a")], "q int, question string")
+    none = asked.limit(0)
+    assert top_text(index, none, "q", M.term_weights(index, M.question_terms(none, "q", "question")), 3).count() == 0
+    empty = TextIndex(index.docs.limit(0), index.keys)
+    assert top_text(empty, asked, "q", M.term_weights(empty, M.question_terms(asked, "q", "question")), 3).count() == 0
+
+
+def test_more_like_this_leaves_out_what_it_is_told(spark):
+    texts = {i: "a a b b " + "c " * i for i in range(8)}
+    index = TextIndex.build(spark.createDataFrame(list(texts.items()), "id int, t string"), ["id"], "t")
+    like = index.docs.filter("id = 3").select(F.col("id").alias("q"), F.col("t").alias("question"))
+    own = spark.createDataFrame([(3, 3), (3, 0)], "q int, id int")
+    every = [r["id"] for r in more_like_this(index, like, "q", "question", k=8).orderBy("rank").collect()]
+    rest = [r["id"] for r in more_like_this(index, like, "q", "question", k=4, exclude=own).orderBy("rank").collect()]
+    assert rest == [i for i in every if i not in (0, 3)][:4]
+
+
 def test_suggestions_equal_all_pairs(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(2, 9)))
