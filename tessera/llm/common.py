@@ -118,7 +118,8 @@ def numbered_along(df: DataFrame, keys: list[str], file: str, row: str, out: str
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a, b) can reach.
 
-    Alternates the large-star and small-star contractions. Every round is written to the
+    Alternates the large-star and small-star contractions. No side is broadcast, as all of them
+    grow with the edges. Every round is written to the
     shared folder, so the lineage stays short and a lost executor costs one round. Only
     nodes that have an edge to another node are returned.
     """
@@ -131,10 +132,10 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
         lowest = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(lowest, "a").select(
+        small = down.join(lowest.hint("merge"), "a").select(
             F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")
         )
         now = stage(small.where("a <> b").distinct(), label)

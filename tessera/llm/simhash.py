@@ -14,6 +14,9 @@ distinct fingerprints only, so copies cost one row however many there are:
    fingerprint once per partition. The full distance is verified inside that join.
 4. Links are contracted to connected components.
 
+Joins here merge sorted sides and never broadcast: their sides grow with the texts, and neither
+estimated sizes nor those of compressed files bound what a broadcast takes of the driver.
+
 Defined results: a null or wordless text has fingerprint zero and links like any other. Equal
 rows get equal results, one each. A null ``doc_id`` keeps its row but can't name a component
 (the smallest other id does; null if there is none). Other columns are not read.
@@ -213,8 +216,9 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, parts: int = PARTS) -> Da
 
     probes = prints.select("fp").mapInArrow(probe, "part int, value long, a long")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+    # Spark takes the probes for as small as the fingerprints they come from, and would broadcast them.
     found = probes.alias("p").join(
-        indexed.alias("i"), (F.col("p.part") == F.col("i.part")) & (F.col("p.value") == F.col("i.value")) & close
+        indexed.alias("i").hint("merge"), (F.col("p.part") == F.col("i.part")) & (F.col("p.value") == F.col("i.value")) & close
     )
     # A pair is found by its smaller member and, where only the larger one's thresholds reach, not at all:
     # the principle holds for each probing side alone, so the smaller member's search is complete.
@@ -225,7 +229,7 @@ def rooted(prints: DataFrame, first: Column, max_bits: int = MAX_BITS, parts: in
     """(fp, first, root) for every fingerprint: its least ``first`` and its component."""
     distinct = stage(prints.groupBy("fp").agg(F.min(first).alias("first")), "simhash-prints")
     roots = components(links(distinct, max_bits, parts), "simhash-links")
-    found = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
+    found = distinct.join(roots.hint("merge"), distinct["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     return stage(found, "simhash-rooted")
@@ -236,14 +240,14 @@ def component_ids(prints: DataFrame, max_bits: int = MAX_BITS, parts: int = PART
     # both are sides of their own, so that a hot component of the join can be split
     found = rooted(prints, F.col("doc_id"), max_bits, parts)
     named = stage(found.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-named")
-    return found.join(named, "root").select("fp", "component_id")
+    return found.join(named.hint("merge"), "root").select("fp", "component_id")
 
 
 def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS, parts: int = PARTS) -> DataFrame:
     """One row per document: id, fingerprint (16 hexadecimal digits), component id."""
     prints = stage(docs.select("doc_id", fingerprint_of("text").alias("fp")), "simhash-docs")
     found = component_ids(prints, max_bits, parts)
-    return prints.join(found, "fp").select(
+    return prints.join(found.hint("merge"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

@@ -63,6 +63,16 @@ def test_simhash_equals_plain_version(spark, odd_rows):
     assert len({w[2] for w in want if w[0] and 700 <= w[0] <= 730}) < 31
 
 
+def test_simhash_broadcasts_no_side_that_grows(spark):
+    # Spark takes each table here for small, as its files are
+    prints = simhash.stage(spark.range(3000).select(F.xxhash64("id").alias("fp")), "test-prints")
+    found = simhash.links(prints)
+    assert found.count() == 0 and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    groups = simhash.simhash_groups(spark.range(50).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a b c d e "), 9).alias("text")))
+    assert {r["component_id"] for r in groups.collect()} == {0}
+    assert "BroadcastHashJoin" not in groups._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_on_documents(docs):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     assert rows_of(simhash.simhash_groups(docs)) == sorted(brute.simhash(rows), key=repr)
