@@ -265,5 +265,5 @@ def drop_near_copies(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     )
     found = rooted(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "__row"), max_bits)
     stay = found.groupBy("root").agg(F.min("first").alias("first")).select("first.__row")
-    gone = stage(prints.select("__row").join(stay, "__row", "left_anti"), "simhash-gone")
+    gone = stage(prints.select("__row").join(stay.hint("merge"), "__row", "left_anti"), "simhash-gone")
     return lookup_join(keyed, gone, ["__row"], "left_anti").select(*unmasked(names))

@@ -111,6 +111,20 @@ def test_one_of_each_group_stays(odd, odd_rows, no_docs):
     assert simhash.drop_near_copies(no_docs).count() == 0 and simhash.simhash_groups(no_docs).count() == 0
 
 
+def test_near_dedup_broadcasts_no_side_that_grows(spark, docs, monkeypatch):
+    plans = {}
+    stage = simhash.stage
+
+    def staged(df, label, *more):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, label, *more)
+
+    monkeypatch.setattr(simhash, "stage", staged)
+    simhash.drop_near_copies(docs)
+    assert {"simhash-rooted", "simhash-gone"} <= set(plans)
+    assert not [label for label, plan in plans.items() if "BroadcastHashJoin" in plan]
+
+
 @pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
 def test_rows_that_share_an_id_are_no_copies(spark, order):
     rows = [(3, prose(1, 80)), (8, prose(1, 80)), (8, prose(2, 80))]
