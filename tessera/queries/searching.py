@@ -284,19 +284,23 @@ def asked_questions(spark, sf_dir):
     )
 
 
-def hybrid_questions(spark, sf_dir):
-    rows = with_filters(asked_questions(spark, sf_dir))
+# The same without the given filters, for the queries whose work must not shrink by them.
+SQL_HYBRID_ALL = SQL_HYBRID.replace(_GIVEN_SQL, "NULL::VARCHAR AS app_type, NULL::VARCHAR AS quadrant")
+
+
+def hybrid_questions(spark, sf_dir, given=True):
+    rows = with_filters((asked_questions if given else C.questions)(spark, sf_dir))
     return rows.withColumn("embedding", hash_embedding(F.col("question"), C.EMBED_DIM))
 
 
 @query(
     "hybrid_search",
-    f"""WITH {SQL_HYBRID} SELECT question_id, original_row_index, chunk_pos, rank::INTEGER AS rank, score, id_app, country
+    f"""WITH {SQL_HYBRID_ALL} SELECT question_id, original_row_index, chunk_pos, rank::INTEGER AS rank, score, id_app, country
     FROM hits WHERE rank <= 15""",
 )
 def hybrid_search(spark, sf_dir):
     """The 15 best chunks of every question."""
-    response = H.search(hybrid_index(spark, sf_dir), hybrid_questions(spark, sf_dir))
+    response = H.search(hybrid_index(spark, sf_dir), hybrid_questions(spark, sf_dir, given=False))
     md = F.col("metadata")
     return response.hits.select(
         "question_id", "original_row_index", "chunk_pos", "rank", "score", md["id_app"].alias("id_app"), md["country"].alias("country")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from tessera import session
 from tessera.operators import bm25 as M
 from tessera.operators import metrics, rowscore, rules, spans
@@ -16,6 +17,7 @@ from tessera.operators.ranking import more_like_this, page, sort_column, suggest
 from tessera.operators.rowscore import top_text
 from tessera.operators.textindex import TextIndex
 from tessera.plans.search import FacetedSearch, Search, terms_facet
+from tessera.queries import searching
 
 QUESTIONS = {
     "hola": (False, {}),
@@ -355,3 +357,13 @@ def test_normalised_over_a_whole_table(spark, method):
     whole = df.select("i", normalize("v", method, of=df).alias("x"))
     want, got = ({r["i"]: r["x"] for r in d.collect()} for d in (one, whole))
     assert want.keys() == got.keys() and all(math.isclose(want[i], got[i], rel_tol=1e-12) for i in want)
+
+
+@pytest.mark.parametrize("name", ["hybrid_search"])
+def test_no_filter_is_given_beside_the_questions(spark, sf, monkeypatch, name):
+    asked = []
+    search = searching.H.search
+    monkeypatch.setattr(searching.H, "search", lambda index, questions, **more: asked.append(questions) or search(index, questions, **more))
+    contract.queries()[name](spark, sf)
+    assert not {"app_type", "quadrant"} & set(asked[0].columns)
+    assert "Norte" not in contract.oracle_sql()[name] and "Brand#" not in contract.oracle_sql()[name]
