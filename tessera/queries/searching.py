@@ -364,14 +364,14 @@ def hits_by_country(spark, sf_dir):
 
 @query(
     "explain_scores",
-    f"""WITH {SQL_HYBRID}, top AS (SELECT * FROM hits WHERE rank <= 15)
+    f"""WITH {SQL_HYBRID_ALL}, top AS (SELECT * FROM hits WHERE rank <= 15)
     SELECT question_id, original_row_index, chunk_pos, clause, round(clause_score, 6) AS clause_score FROM
       (SELECT question_id, original_row_index, chunk_pos, term_name, knn, match_name, match_text, match_phrase, multi_match FROM top)
       UNPIVOT (clause_score FOR clause IN (term_name, knn, match_name, match_text, match_phrase, multi_match))""",
 )
 def explain_scores(spark, sf_dir):
     """What each clause gave to each returned hit."""
-    response = H.search(hybrid_index(spark, sf_dir), hybrid_questions(spark, sf_dir))
+    response = H.search(hybrid_index(spark, sf_dir), hybrid_questions(spark, sf_dir, given=False))
     clauses = H.explain(response.best)
     return clauses.withColumn("clause_score", F.round("clause_score", 6))
 

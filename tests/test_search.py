@@ -359,7 +359,7 @@ def test_normalised_over_a_whole_table(spark, method):
     assert want.keys() == got.keys() and all(math.isclose(want[i], got[i], rel_tol=1e-12) for i in want)
 
 
-@pytest.mark.parametrize("name", ["hybrid_search"])
+@pytest.mark.parametrize("name", ["hybrid_search", "explain_scores"])
 def test_no_filter_is_given_beside_the_questions(spark, sf, monkeypatch, name):
     asked = []
     search = searching.H.search
