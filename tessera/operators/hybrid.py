@@ -23,6 +23,9 @@ CLAUSES = list(BOOSTS)
 
 # Keyword parts: the document field they read and the question column that must equal it.
 KEYWORDS = {"name:term": ("name", "exact_name"), "name:text": ("name", "question"), "owner:text": ("owner", "question")}
+# Fields that matches are counted by, and all fields that a search reads of every document.
+COUNTED = ["id_app", "country"]
+FIELDS = list(dict.fromkeys([*[f for f, _ in KEYWORDS.values()], *COUNTED, *EQUALITY_FILTERS]))
 
 
 def _combine(parts: Parts) -> tuple[Parts, np.ndarray]:
@@ -60,7 +63,7 @@ class Hybrid:
                 F.struct(F.lit(p).alias("part"), F.lit(f).alias("field"), F.col(c).alias("value")) for p, (f, c) in KEYWORDS.items()
             ])),
         )
-        near = knn_exact(index.docs, questions, 3 * top_k, keys, qid)
+        near = knn_exact(index.whole, questions, 3 * top_k, keys, qid)
         self.shared = {
             "combine": _combine,
             "phrase": "question",
@@ -81,9 +84,9 @@ class Hybrid:
         md = F.col("metadata")
         rows = score_rows(
             self.index, self.questions, self.qid, self.weights, 0,
-            count_by={"id_app": md["id_app"], "country": md["country"]}, **self.shared,
+            count_by={c: md[c] for c in COUNTED}, **self.shared,
         )
-        return rows.groupBy(self.qid, "id_app", "country").agg(F.sum("n").alias("n"))
+        return rows.groupBy(self.qid, *COUNTED).agg(F.sum("n").alias("n"))
 
 
 def explain(scores: DataFrame, qid: str = "question_id", keys: tuple[str, ...] = ("original_row_index", "chunk_pos")) -> DataFrame:
@@ -131,7 +134,7 @@ def search(
     questions = stage(questions, "questions")
     run = Hybrid(index, questions, top_k, qid)
     best = run.best()
-    hits = lookup_join(index.docs.select(*keys, "text_content", "metadata"), best.select(qid, *keys, "score", "rank"), keys)
+    hits = lookup_join(index.whole.select(*keys, "text_content", "metadata"), best.select(qid, *keys, "score", "rank"), keys)
     matches = run.matches()
     if aggregate and not approximate:
         # applications are told apart by grouping, so that no task holds all those of a question

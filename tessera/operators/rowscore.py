@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,9 @@ from tessera.session import lookup_join, measured_size, stage
 
 # (question, document) cells a task scores at a time, and bytes of question words in a block.
 CELLS = 500_000
+# A word is heavy from this share of the questions on; cells of the matrix of heavy words.
+HEAVY_SHARE = 0.05
+HEAVY_CELLS = 2_000_000
 BLOCK_BYTES = 16 * 1024 * 1024
 SCORE_DIGITS = 6
 
@@ -58,6 +62,22 @@ class Lookup:
     def sizes(self, codes: np.ndarray) -> np.ndarray:
         return np.where(codes < 0, 0, self.starts[codes + 1] - self.starts[np.maximum(codes, 0)])
 
+    def heavy(self, n_questions: int) -> tuple[np.ndarray, np.ndarray]:
+        """(column of each value, -1 for most; weights by column and question) of the values that many questions ask.
+
+        Their rows are added up by one matrix product. A matrix holds a bounded number of cells.
+        """
+        sizes = np.diff(self.starts)
+        most = min(len(sizes), HEAVY_CELLS // max(1, n_questions))
+        chosen = np.argsort(-sizes, kind="stable")[:most]
+        chosen = chosen[sizes[chosen] >= max(2, n_questions * HEAVY_SHARE)]
+        column = np.full(len(sizes), -1, dtype=np.int64)
+        column[chosen] = np.arange(len(chosen))
+        table = np.zeros((len(chosen), n_questions))
+        at, q, w = self.expand(chosen)
+        table[at, q] = w
+        return column, table
+
     def expand(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position in ``codes``, question, weight) of every row found."""
         n = self.sizes(codes)
@@ -86,69 +106,109 @@ class Block:
     with_near: bool = False
     cells: int = CELLS
 
-    def slices(self, batch: pa.RecordBatch) -> Iterator[tuple[int, Parts, np.ndarray]]:
-        """(first document, parts, which cells match) of runs of documents; absent parts are NaN."""
+    @cached_property
+    def _heavy(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        column, table = self.terms.heavy(len(self.ids))
+        return column, table, (table != 0).astype(np.float32)
+
+    @cached_property
+    def _accepted(self) -> dict[str, np.ndarray]:
+        """Per filter, by value given (the last row: any other value) and question: whether it lets a document pass."""
+        out = {}
+        for c, (values, want) in self.filters.items():
+            table = np.arange(len(values) + 1)[:, None] == want[None, :]
+            table[:, want == -2] = True
+            table[len(values), want != -2] = False
+            out[c] = table
+        return out
+
+    def slices(self, batch: pa.RecordBatch, scored: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, Parts]]:
+        """(first document, which cells match, their places, parts there) of runs of documents.
+
+        Parts are one number per matching cell, NaN where absent; not ``scored``, there are none.
+        """
         n_docs, nq = batch.num_rows, len(self.ids)
-        terms = batch.column("terms")
-        ends = terms.offsets.to_numpy().astype(np.int64)
-        words = terms.values.slice(ends[0], ends[-1] - ends[0])
-        ends = ends - ends[0]
-        codes = self.terms.codes(words.field("term"))
-        tf = words.field("tf").to_numpy(zero_copy_only=False).astype(np.float64)
+        tokens = batch.column("tokens")
+        ends = tokens.offsets.to_numpy().astype(np.int64)
+        codes = self.terms.codes(tokens.values.slice(ends[0], ends[-1] - ends[0]))
+        known = codes >= 0
+        # one row per document and asked word that it holds
+        size = max(1, len(self.terms.values))
+        held, tf = np.unique(np.repeat(np.arange(n_docs), np.diff(ends))[known] * size + codes[known], return_counts=True)
+        doc_of, codes = np.divmod(held, size)
         dl = batch.column("dl").to_numpy(zero_copy_only=False).astype(np.float64)
+        part = self._saturation(tf, dl[doc_of])
+        ends = np.searchsorted(doc_of, np.arange(n_docs + 1))
+        column, table, asked_table = self._heavy
+        heavy = column[codes] if len(codes) else codes
         found = {p: lookup.codes(batch.column(c)) for p, (c, lookup) in self.fields.items()}
-        asked = {c: pc.index_in(batch.column(c), value_set=v).fill_null(-1).to_numpy(zero_copy_only=False) for c, (v, _) in self.filters.items()}
+        given = {c: pc.index_in(batch.column(c), value_set=v).fill_null(len(v)).to_numpy(zero_copy_only=False) for c, (v, _) in self.filters.items()}
         # runs of documents that hold a bounded number of cells and of (word, question) rows
-        rows = np.concatenate([[0], np.cumsum(self.terms.sizes(codes))])[ends]
-        run = np.cumsum(nq + np.diff(rows)) // self.cells
+        rows = np.concatenate([[0], np.cumsum(np.where(heavy < 0, self.terms.sizes(codes), 0))])[ends]
+        run = np.cumsum(nq + len(table) + np.diff(rows)) // self.cells
         cuts = [0, *(np.flatnonzero(np.diff(run)) + 1), n_docs]
         for lo, hi in zip(cuts, cuts[1:]):
             if lo == hi:
                 continue
             shape = (hi - lo, nq)
-            doc_of = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
-            at, q, w = self.terms.expand(codes[ends[lo] : ends[hi]])
-            doc, count = doc_of[at], tf[ends[lo] : ends[hi]][at]
-            cell = doc * nq + q
-            sums = np.bincount(cell, weights=w * self._saturation(count, dl[lo:hi][doc]), minlength=shape[0] * nq)
-            matched = np.bincount(cell, minlength=shape[0] * nq).reshape(shape)
-            held = matched > 0 if self.need is None else matched >= self.need
-            parts = {"text": np.where(held, sums.reshape(shape), np.nan), "words": np.where(held, matched, np.nan)}
-            if self.with_phrase:
-                parts["phrase"] = self._phrase(batch, lo, shape, matched, (doc, q, count), dl[lo:hi])
-            for p, (_, lookup) in self.fields.items():
-                at, q, w = lookup.expand(found[p][lo:hi])
-                parts[p] = np.full(shape, np.nan)
-                parts[p][at, q] = w
+            here = slice(ends[lo], ends[hi])
+            doc, code, col, value = doc_of[here] - lo, codes[here], heavy[here], part[here]
+            many, few = np.flatnonzero(col >= 0), np.flatnonzero(col < 0)
+            at, q, w = self.terms.expand(code[few])
+            at = few[at]
+            cell = doc[at] * nq + q
+            there = np.zeros((hi - lo, len(table)), dtype=np.float32)
+            there[doc[many], col[many]] = 1
+            matched = (there @ asked_table).ravel() + np.bincount(cell, minlength=shape[0] * nq)
+            held = matched > 0 if self.need is None else matched >= np.tile(self.need, shape[0])
+            valid = held.copy()
+            near = None
             if self.with_near:
-                parts["near"] = self._near(batch.column("near").slice(lo, hi - lo), shape)
-            valid = np.any([~np.isnan(p) for p in parts.values()], axis=0)
-            for c, (_, want) in self.filters.items():
-                valid &= (want == -2)[None, :] | (asked[c][lo:hi, None] == want[None, :])
-            yield lo, parts, valid
+                near = self._near(batch.column("near").slice(lo, hi - lo), nq)
+                valid[near[0]] = True
+            keyword = {}
+            for p, (_, lookup) in self.fields.items():
+                d, j, v = lookup.expand(found[p][lo:hi])
+                keyword[p] = (d * nq + j, v)
+                valid[keyword[p][0]] = True
+            valid = valid.reshape(shape)
+            for c, accepted in self._accepted.items():
+                valid &= accepted[given[c][lo:hi]]
+            if not scored:
+                yield lo, valid, None, {}
+                continue
+            places = np.flatnonzero(valid)
+            share = np.zeros((hi - lo, len(table)))
+            share[doc[many], col[many]] = value[many]
+            sums = (share @ table).ravel()[places] + np.bincount(cell, weights=w * value[at], minlength=shape[0] * nq)[places]
+            inside = held[places]
+            parts = {"text": np.where(inside, sums, np.nan), "words": np.where(inside, matched[places], np.nan)}
+            if self.with_phrase:
+                parts["phrase"] = self._phrase(batch, lo, places, matched, dl[lo:hi])
+            for p, (cells, v) in {**keyword, **({"near": near} if near is not None else {})}.items():
+                spot = np.full(shape[0] * nq, np.nan)
+                spot[cells] = v
+                parts[p] = spot[places]
+            yield lo, valid, places, parts
 
     def _saturation(self, tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
         return tf / (tf + K1 * (1 - B + B * dl / self.avgdl))
 
-    def _phrase(self, batch, lo, shape, matched, words, dl) -> np.ndarray:
-        times = np.zeros(shape)
-        doc, q, count = words
-        one = self.n_tokens[q] == 1
-        times[doc[one], q[one]] = count[one]
+    def _phrase(self, batch, lo, places, matched, dl) -> np.ndarray:
+        nq = len(self.ids)
+        doc, q = np.divmod(places, nq)
+        times = np.zeros(len(places))
         # only documents that hold all words of a phrase are read for it
-        docs, qs = np.nonzero((matched == self.n_words) & (self.n_tokens > 1))
-        texts = {d: batch.column("joined")[lo + d].as_py() for d in np.unique(docs).tolist()}
-        for d, j in zip(docs.tolist(), qs.tolist()):
-            times[d, j] = occurrences(texts[d], self.phrases[j])
-        with np.errstate(invalid="ignore"):
-            return np.where(times > 0, self.weight * self._saturation(times, dl[:, None]), np.nan)
-
-    def _near(self, column: pa.Array, shape) -> np.ndarray:
-        out = np.full(shape, np.nan)
+        candidates = np.flatnonzero((matched[places] == self.n_words[q]) & (self.n_tokens[q] > 0))
+        texts = {d: f" {' '.join(batch.column('tokens')[lo + d].as_py())} " for d in np.unique(doc[candidates]).tolist()}
+        for i in candidates.tolist():
+            times[i] = occurrences(texts[doc[i]], self.phrases[q[i]])
+        return np.where(times > 0, self.weight[q] * self._saturation(np.maximum(times, 1), dl[doc]), np.nan)
+
+    def _near(self, column: pa.Array, nq: int) -> tuple[np.ndarray, np.ndarray]:
         rows = column.flatten()
         q = pc.index_in(rows.field(0), value_set=self.ids).to_numpy(zero_copy_only=False).astype(np.int64)
-        out[pc.list_parent_indices(column).to_numpy().astype(np.int64), q] = rows.field(1).to_numpy(zero_copy_only=False)
-        return out
+        return pc.list_parent_indices(column).to_numpy().astype(np.int64) * nq + q, rows.field(1).to_numpy(zero_copy_only=False)
 
 
 def occurrences(text: str, phrase: str) -> int:
@@ -220,10 +280,9 @@ def score_rows(
     keys, names, fields, filters = list(index.keys), names or [], fields or {}, filters or {}
     carry = {**(carry or {}), **(count_by or {})}
     docs = index.docs.select(
-        *keys, "dl", "terms", *[c.alias(f"__c_{a}") for a, c in carry.items()],
+        *keys, "dl", "tokens", *[c.alias(f"__c_{a}") for a, c in carry.items()],
         *[c.cast("string").alias(f"__v_{a}") for a, c in fields.items()],
         *[c.cast("string").alias(f"__f_{a}") for a, c in filters.items()],
-        *([F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")).alias("joined")] if phrase else []),
     )
     kinds = {f.name: f.dataType for f in docs.schema}
     q_type = questions.schema[qid].dataType
@@ -306,6 +365,15 @@ def top_text(index: TextIndex, questions: DataFrame, qid: str, weights: DataFram
     return best.withColumn("words", F.col("words").cast("bigint")).join(counts, qid)
 
 
+def _groups(columns: list[pa.Array], n: int) -> np.ndarray:
+    """A number per row, equal where all ``columns`` are equal (nulls too)."""
+    out = np.zeros(n, dtype=np.int64)
+    for column in columns:
+        codes = column.dictionary_encode(null_encoding="encode")
+        _, out = np.unique(out * len(codes.dictionary) + codes.indices.to_numpy(), return_inverse=True)
+    return out
+
+
 def _scan(block, batches, keys, carry, names, k, count_by, combine, qid, arrow) -> Iterator[pa.RecordBatch]:
     best = Best(k, len(block.ids), keys)
 
@@ -320,22 +388,29 @@ def _scan(block, batches, keys, carry, names, k, count_by, combine, qid, arrow)
         return iter(pa.table(columns, schema=arrow).to_batches(max_chunksize=100_000))
 
     for batch in batches:
-        for lo, parts, valid in block.slices(batch):
-            columns, score = combine(parts)
-            score = rounded(score)
+        if count_by is not None:
+            group = _groups([batch.column(f"__c_{c}") for c in count_by], batch.num_rows)
+        for lo, valid, places, parts in block.slices(batch, scored=k > 0):
             if count_by is not None:
-                doc, q = np.nonzero(valid)
-                seen = pa.table({"__q": q, **{c: batch.column(f"__c_{c}").take(pa.array(lo + doc)) for c in count_by}})
-                counted = seen.group_by(["__q", *count_by]).aggregate([([], "count_all")])
-                yield from shaped(pa.table({**{c: counted.column(c) for c in ["__q", *count_by]}, "n": counted.column("count_all")}))
+                numbers, first, of = np.unique(group[lo : lo + len(valid)], return_index=True, return_inverse=True)
+                order = np.argsort(of, kind="stable")
+                starts = np.searchsorted(of[order], np.arange(len(numbers)))
+                counts = np.add.reduceat(valid[order], starts, axis=0, dtype=np.int32)
+                at, q = np.nonzero(counts)
+                rep = pa.array(lo + first[at])
+                yield from shaped(pa.table({"__q": q, **{c: batch.column(f"__c_{c}").take(rep) for c in count_by}, "n": counts[at, q]}))
             if k:
-                doc, q = np.nonzero(valid & (score >= best.floor))
+                columns, score = combine(parts)
+                score = rounded(score)
+                doc, q = np.divmod(places, len(block.ids))
+                kept = np.flatnonzero(score >= best.floor[q])
+                doc, q = doc[kept], q[kept]
                 at = pa.array(lo + doc)
                 best.add(
                     pa.table(
                         {
-                            "__q": q, "score": score[doc, q],
-                            **{c: pa.array(columns[c][doc, q], from_pandas=True) for c in names},
+                            "__q": q, "score": score[kept],
+                            **{c: pa.array(columns[c][kept], from_pandas=True) for c in names},
                             **{c: batch.column(c).take(at) for c in keys},
                             **{c: batch.column(f"__c_{c}").take(at) for c in carry},
                         }

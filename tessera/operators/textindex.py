@@ -41,24 +41,38 @@ def with_term_counts(df: DataFrame, tokens: str = "tokens", out: str = "terms")
     ).drop("__sorted", "__first")
 
 
+def with_tokens(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``tokens`` (in order) and ``dl`` (their number)."""
+    return df.withColumn("tokens", X.tokens(F.col(text))).withColumn("dl", F.size("tokens"))
+
+
 def analyse(df: DataFrame, text: str) -> DataFrame:
     """Adds ``tokens`` (in order), ``dl`` (their number) and ``terms``."""
-    out = df.withColumn("tokens", X.tokens(F.col(text)))
-    return with_term_counts(out.withColumn("dl", F.size("tokens")))
+    return with_term_counts(with_tokens(df, text))
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Documents with their analysed text, keyed by ``keys``."""
+    """Documents with their analysed text, keyed by ``keys``.
+
+    ``docs`` holds ``tokens`` and ``dl``; ``terms`` is there only where counts of all words are asked for.
+    """
 
     docs: DataFrame
     keys: tuple[str, ...]
+    # The stored rows that ``docs`` was made of, where ``docs`` holds only what scoring reads.
+    rows: DataFrame | None = None
 
     @classmethod
     def build(cls, df: DataFrame, keys: list[str], text: str, label: str = "index") -> TextIndex:
         """Analyse once and store, so that each later pass reads only the columns it needs."""
         return cls(stage(analyse(df, text), label), tuple(keys))
 
+    @property
+    def whole(self) -> DataFrame:
+        """Documents with all columns that they were given."""
+        return self.docs if self.rows is None else self.rows
+
     @cached_property
     def stats(self) -> tuple[int, float]:
         """(documents with text, their average length): one row from one narrow scan."""
@@ -67,6 +81,11 @@ class TextIndex:
         ).first()
         return row["n"], row["avgdl"] or 1.0
 
+    def words(self) -> DataFrame:
+        """(term), one row per document and distinct term."""
+        terms = F.col("terms.term") if "terms" in self.docs.columns else F.array_distinct("tokens")
+        return self.docs.select(F.explode(terms).alias("term"))
+
     def postings(self, *carry: str) -> DataFrame:
         """(keys, carry, dl, term, tf), one row per document and distinct term."""
         return self.docs.select(

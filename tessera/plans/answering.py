@@ -12,13 +12,20 @@ from tessera.operators import answer as A
 from tessera.operators import hybrid as H
 from tessera.operators.embed import hash_embedding
 from tessera.operators.rules import extract_filters, filters_json, needs_search
-from tessera.operators.textindex import TextIndex, analyse
+from tessera.operators.textindex import TextIndex, with_tokens
 from tessera.session import stage
 
 
 def searchable(table: DataFrame, label: str = "searchable") -> TextIndex:
-    """Analyse a stored chunk table for search."""
-    return TextIndex(stage(analyse(table, "text_content"), label), ("original_row_index", "chunk_pos"))
+    """Analyse a stored chunk table for search.
+
+    Only words and the fields that clauses, filters and counts read are stored again; texts, vectors
+    and the other fields are read from ``table`` where they are needed.
+    """
+    keys = ("original_row_index", "chunk_pos")
+    fields = F.struct(*[F.col(f"metadata.{f}").alias(f) for f in H.FIELDS])
+    read = table.select(*keys, "text_content", fields.alias("metadata"))
+    return TextIndex(stage(with_tokens(read, "text_content").drop("text_content"), label), keys, table)
 
 
 def prepare_questions(questions: DataFrame, dim: int = S.EMBEDDING_DIM, text: str = "question") -> DataFrame:

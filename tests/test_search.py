@@ -16,8 +16,12 @@ from tessera.operators.knn import knn_exact, knn_lsh
 from tessera.operators.ranking import more_like_this, page, sort_column, suggest_terms
 from tessera.operators.rowscore import top_text
 from tessera.operators.textindex import TextIndex
+from tessera.plans.answering import searchable
+from tessera.plans.indexing import refresh
 from tessera.plans.search import FacetedSearch, Search, terms_facet
 from tessera.queries import searching
+from tessera.queries.common import catalogue
+from tessera.sources.store import DocumentTable
 
 QUESTIONS = {
     "hola": (False, {}),
@@ -367,3 +371,20 @@ def test_no_filter_is_given_beside_the_questions(spark, sf, monkeypatch, name):
     contract.queries()[name](spark, sf)
     assert not {"app_type", "quadrant"} & set(asked[0].columns)
     assert "Norte" not in contract.oracle_sql()[name] and "Brand#" not in contract.oracle_sql()[name]
+
+
+def test_a_search_stores_no_text_again(spark, tmp_path):
+    table = DocumentTable(spark, str(tmp_path / "t"))
+    refresh(catalogue(spark, "/root/testdata/sf0.001"), table, 8)
+    index = searchable(table.read())
+    stored = {"text_content", "embedding"} & set(index.docs.columns)
+    assert not stored and "description" not in index.docs.schema["metadata"].dataType.names
+    assert index.docs.count() == table.read().count() == index.whole.count()
+
+
+def test_common_words_are_added_by_one_product(monkeypatch):
+    lookup = rowscore.Lookup([("the", q, 1.0 + q) for q in range(40)] + [("rare", 7, 2.0)])
+    column, table = lookup.heavy(40)
+    assert column.tolist() == [-1, 0] and table.tolist() == [[1.0 + q for q in range(40)]]
+    monkeypatch.setattr(rowscore, "HEAVY_CELLS", 39)  # the matrix is bounded; the word is then added row by row
+    assert lookup.heavy(40)[0].tolist() == [-1, -1]
