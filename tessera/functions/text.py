@@ -26,13 +26,19 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WS_CHARS))
 
 
+def trimmed(c: Column) -> Column:
+    """``strip`` for a ``c`` that costs nothing to name again: most texts have nothing to trim at their ends."""
+    at_end = (F.instr(F.lit(WS_CHARS), F.left(c, F.lit(1))) > 0) | (F.instr(F.lit(WS_CHARS), F.right(c, F.lit(1))) > 0)
+    return F.when(at_end, strip(c)).otherwise(c)
+
+
 def clean_text(c: Column) -> Column:
     """Null to '', trim, collapse white space, then blank out unusual characters."""
     # White-space runs and unusual characters both become one blank, so one pass does both.
     # The look-ahead passes over the commonest characters at once; a lone blank stays.
     usual = r"A-Za-z0-9.,;:!?\-()"
     pattern = f"(?![{usual}])(?: ?[{WS}&&[^ ]][{WS}]*|  [{WS}]*|[^{WORD}{WS}{usual}])"
-    return F.regexp_replace(strip(F.coalesce(c, F.lit(""))), pattern, " ")
+    return F.regexp_replace(F.coalesce(trimmed(c), F.lit("")), pattern, " ")
 
 
 def tokens(c: Column) -> Column:

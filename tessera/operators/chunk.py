@@ -24,7 +24,7 @@ def chunk_texts(df: DataFrame, text: str, max_chunk: int = S.MAX_CHUNK, min_chun
         "__sentences",
         F.when(
             F.length(t) > max_chunk,
-            F.filter(F.transform(F.split(t, "[.!?]+"), X.strip), lambda s: s != ""),
+            F.filter(F.transform(F.split(t, "[.!?]+"), X.trimmed), lambda s: s != ""),
         ).otherwise(F.array().cast("array<string>")),
     ).withColumn(
         "__prefix",
@@ -56,9 +56,9 @@ def chunk_texts(df: DataFrame, text: str, max_chunk: int = S.MAX_CHUNK, min_chun
         body = F.concat(
             F.array_join(F.slice("__sentences", begin + 1, end - begin), ". "), F.lit(".")
         )
-        return X.strip(F.when(k == 0, body).otherwise(F.concat(F.col("__prefix"), body)))
+        return F.when(k == 0, body).otherwise(F.concat(F.col("__prefix"), body))
 
-    pieces = F.when(F.size("__sentences") > 0, F.transform("__starts", piece)).otherwise(
+    pieces = F.when(F.size("__sentences") > 0, F.transform(F.transform("__starts", piece), X.trimmed)).otherwise(
         F.array().cast("array<string>")
     )
     # Only the last piece can be short; a short tail is dropped.

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,37 +17,43 @@ from tessera.functions import text as X
 from tessera.functions.rows import explode_once
 
 
-def token_slots(tokens: Column, dim: int) -> Column:
-    """Hash slot of each token: the first eight hex digits of its MD5, modulo ``dim``."""
-    return F.transform(
-        tokens,
-        lambda t: F.pmod(F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int"),
-    )
+# Cells of the (text, slot) matrix that a task counts at a time.
+MATRIX_CELLS = 2_000_000
 
 
-def _normalized_counts(dim: int):
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def build(slots: pd.Series) -> pd.Series:
-        lengths = slots.map(len).to_numpy(dtype=np.int64)
-        flat = np.concatenate(slots.to_list()) if len(slots) else np.empty(0, dtype=np.int64)
-        rows = np.repeat(np.arange(len(slots)), lengths)
-        counts = np.bincount(rows * dim + flat.astype(np.int64), minlength=len(slots) * dim)
-        counts = counts.reshape(len(slots), dim).astype(np.float64)
-        norms = np.sqrt((counts * counts).sum(axis=1))
-        norms[norms == 0] = 1.0
-        vectors = (counts / norms[:, None]).astype(np.float32)
-        return pd.Series([v if n else None for v, n in zip(vectors, lengths)])
+def token_slot(token: str, dim: int) -> int:
+    """Hash slot of a token: the first eight hex digits of its MD5, modulo ``dim``."""
+    return int.from_bytes(md5(token.encode()).digest()[:4], "big") % dim
 
-    return build
+
+def unit_counts(tokens: pa.ListArray, dim: int) -> pa.ListArray:
+    """Unit-length counts of the tokens' slots, null for a text without tokens; each different token is hashed once."""
+    ends = tokens.offsets.to_numpy().astype(np.int64)
+    words = tokens.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+    slot_of = np.array([token_slot(w, dim) for w in words.dictionary.to_pylist()], dtype=np.int64)
+    slots = slot_of[words.indices.to_numpy()] if len(words) else np.empty(0, dtype=np.int64)
+    ends = ends - ends[0]
+    lengths = np.diff(ends)
+    vectors = np.zeros((len(lengths), dim), dtype=np.float32)
+    step = max(1, MATRIX_CELLS // dim)
+    for lo in range(0, len(lengths), step):
+        n = len(lengths[lo : lo + step])
+        cell = np.repeat(np.arange(n) * dim, lengths[lo : lo + n]) + slots[ends[lo] : ends[lo + n]]
+        counts = np.bincount(cell, minlength=n * dim).reshape(n, dim).astype(np.float64)
+        norms = np.sqrt((counts * counts).sum(axis=1))
+        vectors[lo : lo + n] = counts / np.where(norms == 0, 1, norms)[:, None]
+    offsets = pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * dim)
+    return pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()), mask=pa.array(lengths == 0))
 
 
 def hash_embedding(text: Column, dim: int = S.EMBEDDING_DIM) -> Column:
-    """Unit-length token-count vector; null for a text without tokens.
+    """Unit-length token-count vector; null for a text without tokens."""
 
-    Hashing stays in the JVM; only slot numbers cross to Arrow, where one bincount builds
-    the whole batch.
-    """
-    return _normalized_counts(dim)(token_slots(X.tokens(text), dim))
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def build(tokens: pa.Array) -> pa.Array:
+        return unit_counts(tokens, dim)
+
+    return build(X.tokens(text))
 
 
 def embed_with(
@@ -55,7 +63,6 @@ def embed_with(
 
     A batch that raises is retried text by text, so one bad text does not lose the others.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def one(value: str):
         try:
@@ -63,17 +70,17 @@ def embed_with(
         except Exception:
             return None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch[text].tolist()
-            try:
-                vectors = list(model(texts))
-            except Exception:
-                vectors = [one(v) for v in texts]
-            ok = [v if v is not None and len(v) == dim else None for v in vectors]
-            yield batch.assign(**{out: pd.Series(ok, index=batch.index, dtype=object)})
-
-    return df.mapInPandas(run, schema)
+    # only the texts leave the JVM; the model is called once for each, whatever is filtered afterwards
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(texts: pd.Series) -> pd.Series:
+        values = texts.tolist()
+        try:
+            vectors = list(model(values))
+        except Exception:
+            vectors = [one(v) for v in values]
+        return pd.Series([v if v is not None and len(v) == dim else None for v in vectors], index=texts.index, dtype=object)
+
+    return df.withColumn(out, run.asNondeterministic()(F.col(text)))
 
 
 def embedded(df: DataFrame, vector: Column, dim: int, keep: list[Column], out: str = "embedding") -> DataFrame:

@@ -89,7 +89,7 @@ def metadata(as_of: Column | None = None, **override: Column) -> Column:
 def enrich(df: DataFrame) -> DataFrame:
     """Catalogue columns and ``enriched_text``; a row whose text is too short to keep has a null text."""
     out = with_catalogue_columns(df)
-    long_enough = F.filter(F.array(enriched_text()), lambda t: F.length(X.strip(t)) >= S.MIN_TEXT)
+    long_enough = F.filter(F.array(enriched_text()), lambda t: F.length(X.trimmed(t)) >= S.MIN_TEXT)
     return out.withColumn("enriched_text", F.get(long_enough, F.lit(0)))
 
 

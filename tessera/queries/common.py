@@ -68,12 +68,13 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         part.withColumn("__sup", F.pmod(key, row_count(supplier)))
         .withColumn("__doc", F.pmod(key, row_count(texts)))
         .join(suppliers, F.col("__sup") == F.col("s_suppkey"))
-        .join(texts.select("doc_id", "text"), F.col("__doc") == F.col("doc_id"))
     )
-    # The view stands in for a scan of many catalogue files, so it comes in as many splits.
+    # The view stands in for a scan of many catalogue files, so it comes in as many splits. The rows are
+    # dealt out before they get their texts, which are much longer.
     splits = 4 * spark.sparkContext.defaultParallelism
+    rows = rows.repartition(splits, "__doc").join(texts.select("doc_id", "text"), F.col("__doc") == F.col("doc_id"))
     none = F.lit(None).cast("string")
-    return rows.repartition(splits).select(
+    return rows.select(
         key.alias("original_row_index"),
         key.cast("string").alias("Id_App"),
         F.col("country").alias("Country"),

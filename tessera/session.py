@@ -15,6 +15,9 @@ BROADCAST_MAX_ROWS = 2_000_000
 # Row groups of stored tables, small enough that a reader can split a file among cores.
 ROW_GROUP_BYTES = 16 * 1024 * 1024
 
+# Of stored tables. Rows of one origin repeat long fields over more than the window of the default codec.
+CODEC = "zstd"
+
 _fallback_root: str | None = None
 
 
@@ -85,7 +88,7 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     """
     spark = df.sparkSession
     path = new_stage_path(spark, label)
-    writer = df.write.mode("errorifexists").option("parquet.block.size", ROW_GROUP_BYTES)
+    writer = df.write.mode("errorifexists").option("parquet.block.size", ROW_GROUP_BYTES).option("compression", CODEC)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

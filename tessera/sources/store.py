@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.joins import salted_join
-from tessera.session import ROW_GROUP_BYTES, remove_folder
+from tessera.session import CODEC, ROW_GROUP_BYTES, remove_folder
 
 _COMMIT = (
     "version bigint, snapshot string, added boolean, stream string, batch bigint,"
@@ -144,7 +144,7 @@ class DocumentTable:
             writer = placed.write.partitionBy(_BUCKET)
         else:
             writer = (df.repartition(partitions) if partitions else df).write
-        writer = writer.mode("errorifexists").option("parquet.block.size", ROW_GROUP_BYTES)
+        writer = writer.mode("errorifexists").option("parquet.block.size", ROW_GROUP_BYTES).option("compression", CODEC)
         if batch_rows:
             writer = writer.option("maxRecordsPerFile", batch_rows)
         writer.parquet(f"{self.path}/{snapshot}")

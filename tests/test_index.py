@@ -10,6 +10,7 @@ from tessera import session
 from tessera.operators.chunk import explode_chunks
 from tessera.operators.embed import embed_with, hash_embedding
 from tessera.operators.enrich import enrich, metadata, with_catalogue_columns
+from tessera.queries.common import catalogue
 from tessera.plans.indexing import refresh
 from tessera.sources.catalogue import read_catalogue_csv, with_row_index, write_catalogue_csv
 from tessera.sources.store import DocumentTable, applied, multi_get
@@ -291,3 +292,9 @@ def test_staged_tables_can_be_released(spark):
     assert held.count() == 4 and session.release_staged(spark) >= 1
     with pytest.raises(Exception):
         spark.read.parquet(held.inputFiles()[0]).count()
+
+
+def test_texts_of_the_catalogue_are_not_shuffled_after_they_are_joined(spark, sf):
+    plan = catalogue(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("doc_id")]
+    assert "RoundRobin" not in above and "REPARTITION_BY_NUM" not in plan[: plan.index("Join")]
