@@ -298,3 +298,25 @@ def test_texts_of_the_catalogue_are_not_shuffled_after_they_are_joined(spark, sf
     plan = catalogue(spark, sf)._jdf.queryExecution().executedPlan().toString()
     above = plan[: plan.index("doc_id")]
     assert "RoundRobin" not in above and "REPARTITION_BY_NUM" not in plan[: plan.index("Join")]
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_an_upload_of_several_files_counts_as_one(spark, tmp_path, whole):
+    inbox, table = tmp_path / "in", DocumentTable(spark, str(tmp_path / "t"))
+    for i, files in enumerate((([1, 2], [3]), ([2, 4], [2, 5], [6]))):
+        for j, ids in enumerate(files):
+            (inbox / f"v{i}").mkdir(parents=True, exist_ok=True)
+            arrive(inbox / f"v{i}", f"part{j}.csv", ids)
+            os.utime(inbox / f"v{i}" / f"part{j}.csv", (1_000 * (i + 1) + j,) * 2)
+    arrived = A.arriving_catalogue(spark, f"{inbox}/*", folders=True)
+    A.refresh_on_arrival(arrived, table, str(tmp_path / "offsets"), 8, whole)
+    assert sorted(i for _, i in ids_of(table)) == (["2", "2", "4", "5", "6"] if whole else ["1", "2", "2", "3", "4", "5", "6"])
+    with pytest.raises(ValueError):
+        A.arriving_catalogue(spark, str(inbox), 1, folders=True)
+
+
+def test_catalogue_files_are_bounded(spark, tmp_path):
+    df = rows(spark, *[{"Id_App": str(i), "Name": "x\ny"} for i in range(10)]).coalesce(1)
+    write_catalogue_csv(df, str(tmp_path / "csv"), file_rows=4)
+    assert len(list((tmp_path / "csv").glob("*.csv"))) == 3
+    assert read_catalogue_csv(spark, str(tmp_path / "csv")).count() == 10
