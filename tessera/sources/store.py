@@ -35,6 +35,9 @@ _COMMIT = (
 )
 _BUCKET = "tessera_bucket"
 
+# Bytes of the files read that one writer takes on.
+WRITER_BYTES = 32 * 1024 * 1024
+
 
 @dataclass(frozen=True)
 class DocumentTable:
@@ -108,7 +111,7 @@ class DocumentTable:
     def replace(
         self, df: DataFrame, batch_rows: int | None = None, partitions: int | None = None, version: int | None = None
     ) -> bool:
-        """Full refresh. ``batch_rows`` bounds the rows per file, ``partitions`` the writers.
+        """Full refresh. ``batch_rows`` bounds the rows per file; there are ``partitions`` writers, or more for a large scan.
 
         With an explicit ``version``, a load already committed under it or later is left
         out. Returns whether it loaded.
@@ -143,7 +146,7 @@ class DocumentTable:
             placed = placed.repartition(partitions, _BUCKET) if partitions else placed.hint("rebalance", F.col(_BUCKET))
             writer = placed.write.partitionBy(_BUCKET)
         else:
-            writer = (df.repartition(partitions) if partitions else df).write
+            writer = (df.repartition(max(partitions, _writers(df))) if partitions else df).write
         writer = writer.mode("errorifexists").option("parquet.block.size", ROW_GROUP_BYTES).option("compression", CODEC)
         if batch_rows:
             writer = writer.option("maxRecordsPerFile", batch_rows)
@@ -243,6 +246,13 @@ class DocumentTable:
         target.replace(self.scan(where))
 
 
+def _writers(df: DataFrame) -> int:
+    """Writers for the files that ``df`` reads, by their bytes."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()) if leaves.apply(i).nodeName() == "LogicalRelation"]
+    return -(-sum(sizes) // WRITER_BYTES)
+
+
 def updated(df: DataFrame, where: Column, changes: dict[str, Column]) -> DataFrame:
     """Change the rows a predicate selects; an unknown predicate selects nothing."""
     hit = F.coalesce(where, F.lit(False))

@@ -13,6 +13,7 @@ from tessera.operators.enrich import enrich, metadata, with_catalogue_columns
 from tessera.queries.common import catalogue
 from tessera.plans.indexing import refresh
 from tessera.sources.catalogue import read_catalogue_csv, with_row_index, write_catalogue_csv
+from tessera.sources import store as ST
 from tessera.sources.store import DocumentTable, applied, multi_get
 from tessera.streaming import arrivals as A
 
@@ -320,3 +321,12 @@ def test_catalogue_files_are_bounded(spark, tmp_path):
     write_catalogue_csv(df, str(tmp_path / "csv"), file_rows=4)
     assert len(list((tmp_path / "csv").glob("*.csv"))) == 3
     assert read_catalogue_csv(spark, str(tmp_path / "csv")).count() == 10
+
+
+def test_writers_grow_with_the_files_read(spark, sf, tmp_path, monkeypatch):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    for path, size, files in (("few", ST.WRITER_BYTES, 2), ("many", os.path.getsize(f"{sf}/lineitem.parquet") // 5, 6)):
+        monkeypatch.setattr(ST, "WRITER_BYTES", size)
+        table = DocumentTable(spark, str(tmp_path / path))
+        table.replace(lines, partitions=2)
+        assert len(table.files()) == files and table.read().count() == lines.count()
