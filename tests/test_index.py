@@ -330,3 +330,18 @@ def test_writers_grow_with_the_files_read(spark, sf, tmp_path, monkeypatch):
         table = DocumentTable(spark, str(tmp_path / path))
         table.replace(lines, partitions=2)
         assert len(table.files()) == files and table.read().count() == lines.count()
+
+
+def test_dealt_rows_are_loaded_without_another_shuffle(spark, tmp_path, monkeypatch):
+    table = DocumentTable(spark, str(tmp_path / "t"), "metadata.id_app", 4)
+    loads = []
+    load = DocumentTable._load
+    monkeypatch.setattr(DocumentTable, "_load", lambda self, *a, **k: loads.append(k.get("dealt")) or load(self, *a, **k))
+    for i, ids in enumerate(([1, 2, "NA", 4], [2, "NA", 7])):
+        arrive(tmp_path / "in", f"v{i}.csv", ids)
+        os.utime(tmp_path / "in" / f"v{i}.csv", (1_000 * (i + 1),) * 2)
+        A.refresh_on_arrival(A.arriving_catalogue(spark, str(tmp_path / "in")), table, str(tmp_path / "offsets"), 8)
+    assert loads == [True, True]
+    stored = table.read().select(F.col("metadata.id_app").alias("i"), table.bucket().alias("b"), F.col("_metadata.file_path").alias("f")).collect()
+    assert sorted(r["i"] for r in stored) == ["", "1", "2", "4", "7"]
+    assert all(f"tessera_bucket={r['b']}/" in r["f"] for r in stored)
