@@ -352,6 +352,26 @@ def test_hot_keys_are_dealt_out(spark, how):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
+@pytest.mark.parametrize("cell_rows", [7, 4096])
+def test_keyword_pairs_are_made_by_many_tasks(spark, monkeypatch, cell_rows):
+    """Two values that all rows share, in tables of one split: every pair once, and no task makes a value's pairs alone."""
+    monkeypatch.setattr(M, "CELL_ROWS", cell_rows)
+    name = F.when(F.col("id") == 59, None).when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").otherwise("never asked")
+    docs = spark.range(0, 60, 1, 1).select(F.col("id").alias("doc"), name.alias("name"))
+    value = F.when(F.col("id") == 39, None).when(F.col("id") % 2 == 0, "a").when(F.col("id") % 4 == 1, "b").otherwise("none has")
+    asked = spark.range(0, 40, 1, 1).select(F.col("id").alias("q"), value.alias("value"))
+    hits = M.keyword_scores(docs, ["doc"], F.col("name"), asked, "q", "s", score=lambda w: 2 * w)
+    rows = hits.withColumn("task", F.spark_partition_id()).collect()
+    idf = {v: math.log(1 + (59 - 20 + 0.5) / (20 + 0.5)) for v in "ab"}
+    names = {i: v for i in range(59) if (v := {0: "a", 1: "b"}.get(i % 3))}
+    values = {i: v for i in range(39) if (v := {0: "a", 1: "b", 2: "a"}.get(i % 4))}
+    assert sorted((r["q"], r["doc"], round(r["s"], 9)) for r in rows) == sorted(
+        (q, d, round(2 * idf[v], 9)) for q, v in values.items() for d, w in names.items() if v == w
+    )
+    assert cell_rows > 60 or max(Counter(r["task"] for r in rows).values()) < len(rows) / 2
+    assert M.keyword_scores(docs.limit(0), ["doc"], F.col("name"), asked, "q", "s").count() == 0
+
+
 @pytest.mark.parametrize("method", ["rescale_0_1", "rescale_0_100", "percent_of_sum", "mean", "z-score", "softmax"])
 def test_normalised_over_a_whole_table(spark, method):
     from tessera.operators.windows import normalize
