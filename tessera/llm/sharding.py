@@ -79,7 +79,7 @@ def propagate(linked: DataFrame, links: DataFrame, room: list[int], rounds: int
     state = stage(
         numbered(linked.select("vid", F.lit(0).alias("one")), ["one"], ["vid"], rows=n)
         .select("vid", (F.col("rank") % shards).cast("int").alias("shard")),
-        "shards",
+        "shards", rows=n,
     )
     both = stage(
         links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "shard-links"
@@ -87,14 +87,13 @@ def propagate(linked: DataFrame, links: DataFrame, room: list[int], rounds: int
     load = [n // shards + (s < n % shards) for s in range(shards)]
     idle = 0
     for t in range(rounds):
-        near = both.join(state.withColumnRenamed("vid", "b"), "b").groupBy("a", "shard").agg(F.count(F.lit(1)).alias("n"))
-        of = near.groupBy("a").agg(
-            F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("best"),
-            F.collect_list(F.struct("shard", "n")).alias("all"),  # at most one entry per shard
+        near = both.join(state.withColumnRenamed("vid", "b"), "b").groupBy("a").agg(
+            F.array(*[F.count_if(F.col("shard") == s) for s in range(shards)]).alias("near")
         )
-        here = F.aggregate(
-            "all", F.lit(0).cast("long"), lambda a, x: F.when(x["shard"] == F.col("shard"), x["n"]).otherwise(a)
+        of = near.select(
+            "a", "near", F.array_max(F.transform("near", lambda n, s: F.struct(n.alias("n"), (-s).alias("s")))).alias("best")
         )
+        here = F.get("near", F.col("shard"))
         down = F.col("to") < F.col("shard") if t % 2 == 0 else F.col("to") > F.col("shard")
         wish = (
             state.join(of, state["vid"] == of["a"])
@@ -102,7 +101,7 @@ def propagate(linked: DataFrame, links: DataFrame, room: list[int], rounds: int
             .where((F.col("gain") > 0) & down)
             .withColumn("priority", _priority(F.col("gain"), F.xxhash64("vid", F.lit(t))))
         )
-        wish = stage(wish.select("vid", "to", "shard", "priority"), "shard-moves")
+        wish = stage(wish.select("vid", "to", "shard", "priority"), "shard-moves", rows=n)
         bins = [
             (r["shard"], r["to"], r["priority"], r["n"])
             for r in wish.groupBy("shard", "to", "priority").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -115,7 +114,7 @@ def propagate(linked: DataFrame, links: DataFrame, room: list[int], rounds: int
             )
             moved = wish.join(F.broadcast(ok), ["shard", "to", "priority"]).select("vid", "to")
             state = stage(
-                state.join(moved, "vid", "left").select("vid", F.coalesce("to", "shard").alias("shard")), "shards"
+                state.join(moved, "vid", "left").select("vid", F.coalesce("to", "shard").alias("shard")), "shards", rows=n
             )
         if idle == 2:
             break
@@ -159,11 +158,12 @@ def _whole(state: DataFrame, links: DataFrame, quota: list[int]) -> tuple[DataFr
 
     ``links`` (a, b) are stars: each group has one b, which all its other rows are linked with.
     """
-    shards, least = len(quota), min(quota)
+    shards, least, rows = len(quota), min(quota), sum(quota)
     hubs = links.select(F.col("b").alias("vid"), "b").distinct()
-    members = stage(links.select(F.col("a").alias("vid"), "b").unionByName(hubs).join(state, "vid"), "star-rows")
+    members = stage(links.select(F.col("a").alias("vid"), "b").unionByName(hubs).join(state, "vid"), "star-rows", rows=rows)
     groups = stage(
-        members.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("shard").alias("low"), F.max("shard").alias("high")), "stars"
+        members.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("shard").alias("low"), F.max("shard").alias("high")),
+        "stars", rows=rows,
     )
     bound = least // PARTS
     large = groups.where(F.col("n") > bound).collect()  # about shards * PARTS rows at most
@@ -189,7 +189,7 @@ def _whole(state: DataFrame, links: DataFrame, quota: list[int]) -> tuple[DataFr
     small = stage(
         _running(small.where("own IS NOT NULL"), "own").select("b", "n", stays.alias("shard"))
         .unionByName(small.where("own IS NULL").select("b", "n", F.lit(None).cast("int").alias("shard"))),
-        "small-stars",
+        "small-stars", rows=rows,
     )
     load = [a + n for a, n in zip(load, _sums(small.where("shard IS NOT NULL"), shards), strict=True)]
     # the others go one after the other to the room that is left; only groups across a bound of two shards remain
@@ -200,7 +200,7 @@ def _whole(state: DataFrame, links: DataFrame, quota: list[int]) -> tuple[DataFr
         start += left
     loose = stage(
         _running(small.where("shard IS NULL").select("b", "n", F.lit(0).alias("one")), "one").select("b", "n", shard.alias("shard")),
-        "loose-stars",
+        "loose-stars", rows=rows,
     )
     load = [a + n for a, n in zip(load, _sums(loose.where("shard IS NOT NULL"), shards), strict=True)]
     for r in sorted(loose.where("shard IS NULL").collect(), key=lambda r: (-r["n"], r["b"])):  # fewer than shards
@@ -210,9 +210,9 @@ def _whole(state: DataFrame, links: DataFrame, quota: list[int]) -> tuple[DataFr
         .unionByName(loose.where("shard IS NOT NULL").select("b", "shard"))
         .unionByName(_rows_of(state, chosen, "b:bigint,shard:int"))
         .withColumnRenamed("shard", "to"),
-        "star-shards",
+        "star-shards", rows=rows,
     )  # a side of its own, so that a hot group can be split
-    placed = stage(members.join(to, "b", "left").select("vid", "shard", "to"), "star-places")
+    placed = stage(members.join(to, "b", "left").select("vid", "shard", "to"), "star-places", rows=rows)
     return (
         placed.where("to IS NOT NULL").select("vid", F.col("to").alias("shard")),
         placed.where("to IS NULL").select("vid", "shard"),
@@ -230,21 +230,21 @@ def place(
     total = vertices.count()
     quota = quotas(total, shards)
     linked = stage(
-        links.select(F.col("a").alias("vid")).unionByName(links.select(F.col("b").alias("vid"))).distinct(), "linked"
+        links.select(F.col("a").alias("vid")).unionByName(links.select(F.col("b").alias("vid"))).distinct(), "linked", rows=total
     )
     state = propagate(linked, links, [q + int(q * SLACK) for q in quota], rounds)
     if stars and not linked.isEmpty():
         fit, rest = _whole(state, links, quota)
-        fit = stage(numbered(fit, ["shard"], ["vid"], out="slot"), "shard-fit")
+        fit = stage(numbered(fit, ["shard"], ["vid"], out="slot"), "shard-fit", rows=total)
         load = _sums(fit.withColumn("n", F.lit(1)), shards)
         rest = numbered(rest, ["shard"], ["vid"], out="slot").withColumn("slot", F.col("slot") + _at(load, "shard"))
-        ranked = stage(fit.unionByName(rest), "shard-slots")
+        ranked = stage(fit.unionByName(rest), "shard-slots", rows=total)
     else:
-        ranked = stage(numbered(state, ["shard"], ["vid"], out="slot"), "shard-slots")
+        ranked = stage(numbered(state, ["shard"], ["vid"], out="slot"), "shard-slots", rows=total)
     stay = ranked.where(F.col("slot") < _at(quota, "shard"))
     held = {r["shard"]: r["n"] for r in stay.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     free = stage(
-        vertices.select("vid").join(stay.select("vid"), "vid", "left_anti").withColumn("one", F.lit(0)), "shard-free"
+        vertices.select("vid").join(stay.select("vid"), "vid", "left_anti").withColumn("one", F.lit(0)), "shard-free", rows=total
     )
     filled = numbered(free, ["one"], ["vid"], out="r")
     shard, slot, start = F.lit(None).cast("int"), F.lit(None).cast("long"), 0
@@ -259,10 +259,10 @@ def place(
     )
 
 
-def copies(vertices: DataFrame) -> DataFrame:
+def copies(vertices: DataFrame, rows: int | None = None) -> DataFrame:
     """Links (a, b) of each row with the least vid among the rows of its ``key``."""
     groups = vertices.groupBy("key").agg(F.min("vid").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = stage(groups, "copy-groups")  # a side of its own, so that a hot key of the join can be split
+    groups = stage(groups, "copy-groups", rows=rows)  # a side of its own, so that a hot key of the join can be split
     return vertices.join(groups, "key").where("vid <> b").select(F.col("vid").alias("a"), "b")
 
 
@@ -277,7 +277,8 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 
 def _placed(narrow: DataFrame, shards: int) -> DataFrame:
-    return place(narrow, stage(copies(narrow), "copies"), shards, stars=True)
+    rows = narrow.count()
+    return place(narrow, stage(copies(narrow, rows), "copies", rows=rows), shards, stars=True)
 
 
 def sharding(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 import corpus_pipeline
 from tessera.llm import common, decontaminate, mixing, quality, sharding, simhash, warc
+from tessera.session import stage
 from tests.llm import brute
 from tests.llm.conftest import frame, prose, rows_of
 
@@ -265,6 +266,24 @@ def test_shards_when_all_are_linked(spark):
     check_shards(sharding.sharding(frame(spark, rows)).collect(), rows)
 
 
+def test_few_rows_are_stored_in_few_files(spark, monkeypatch):
+    """However many shuffle partitions there are, and though Spark may not merge them."""
+    rows = [(i, f"text {i % 60 if i < 150 else i}", "en", "a", 1) for i in range(300)]
+    staged = []
+    monkeypatch.setattr(sharding, "stage", lambda *a, **b: staged.append(stage(*a, **b)) or staged[-1])
+    held = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = sharding.sharding(frame(spark, rows)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    check_shards(got, rows)
+    assert len(staged) > 10 and max(len(t.inputFiles()) for t in staged) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_propagation_over_general_links(spark):
     """Two dense groups joined by one link end in one shard each."""
     links = [(a + o, b + o) for o in (0, 10) for a in range(10) for b in range(a)] + [(0, 10)]
