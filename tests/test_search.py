@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -304,6 +305,71 @@ def test_spans(spark):
     assert [(s["s"], s["e"]) for s in r["alone"]] == [(0, 1), (6, 7)]
 
 
+def _plain_spans(a, b, c):
+    """Every operator by its definition, over lists of (s, e)."""
+
+    def near(lists, slop, ordered):
+        out = []
+        for k, first in enumerate(lists if not ordered else lists[:1]):
+            for s, e in first:
+                parts, at, others = [(s, e)], e, lists[:k] + lists[k + 1 :]
+                for other in others:
+                    parts.append(min((y for y in other if y[0] >= at), default=None))
+                    if parts[-1] is None:
+                        break
+                    at = parts[-1][1] if ordered else e
+                else:
+                    end = parts[-1][1] if ordered else max(p[1] for p in parts)
+                    if slop is None or end - s - sum(q - p for p, q in parts) <= slop:
+                        out.append((s, end))
+        return out if ordered else sorted(set(out))
+
+    return {
+        "or": sorted({*a, *b}), "near": near([a, b], 3, True), "near_any": near([a, b], 3, False),
+        "three": near([a, b, c], 4, True), "three_any": near([a, b, c], 4, False), "unbound": near([a, b, c], None, False),
+        "before": [x for x in a if any(x[1] <= y[0] for y in b)], "after": [x for x in a if any(x[0] >= y[1] for y in b)],
+        "not": [x for x in a if not any(y[0] < x[1] + 2 and y[1] > x[0] - 1 for y in b)],
+        "containing": [x for x in a if any(y[0] >= x[0] and y[1] <= x[1] for y in b)],
+        "within": [x for x in a if any(x[0] >= y[0] and x[1] <= y[1] for y in b)],
+    }
+
+
+def _all_spans():
+    a, b, c = map(F.col, "abc")
+    return {
+        "or": spans.span_or(a, b), "near": spans.span_near([a, b], 3), "near_any": spans.span_near([a, b], 3, in_order=False),
+        "three": spans.span_near([a, b, c], 4), "three_any": spans.intervals_all_of([a, b, c], 4),
+        "unbound": spans.intervals_all_of([a, b, c]),
+        "before": spans.intervals_before(a, b), "after": spans.intervals_after(a, b), "not": spans.span_not(a, b, 1, 2),
+        "containing": spans.span_containing(a, b), "within": spans.span_within(a, b),
+    }
+
+
+def test_spans_equal_their_definitions(spark):
+    """Nested, equal and unsorted spans, empty lists and rows without any."""
+    r = random.Random(3)
+    rows = [[[(s, s + r.randint(1, 6)) for s in r.choices(range(40), k=r.choice([0, 1, 4, 12]))] for _ in "abc"] for _ in range(200)]
+    kind = "array<struct<s:int,e:int>>"
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], f"i int, a {kind}, b {kind}, c {kind}")
+    got = {x["i"]: x for x in df.select("i", *[v.alias(k) for k, v in _all_spans().items()]).collect()}
+    for i, x in enumerate(rows):
+        want = _plain_spans(*x)
+        assert {k: [tuple(y) for y in got[i][k]] for k in want} == want
+    empty = df.select(F.lit(None).cast(kind).alias("a"), "b", "c").select(*[v.alias(k) for k, v in _all_spans().items()]).first()
+    assert all(v is None for v in empty)
+
+
+def test_spans_of_frequent_words_in_a_long_text(spark):
+    """20,000 spans of each word in one row: no list is scanned for each span of another."""
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(59_999)), lambda i: F.get(F.array(*map(F.lit, "abc")), i % 3))
+    df = spark.range(1).select(tokens.alias("t")).select(*[spans.span_term(F.col("t"), x).alias(x) for x in "abc"])
+    start = time.perf_counter()
+    got = df.select(*[F.size(v).alias(k) for k, v in _all_spans().items()]).first().asDict()
+    assert time.perf_counter() - start < 30
+    assert (got["or"], got["near"], got["near_any"], got["three"], got["three_any"]) == (40_000, 20_000, 39_999, 20_000, 59_998)
+    assert (got["before"], got["after"], got["not"], got["containing"], got["within"]) == (20_000, 19_999, 0, 0, 0)
+
+
 def test_search_builder_is_immutable_and_pages(spark):
     df = spark.createDataFrame([(i, i % 3, None if i % 4 == 0 else i) for i in range(40)], "i int, g int, v int")
     base = Search(df).sort("-i")
