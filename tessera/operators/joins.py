@@ -36,17 +36,12 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     found = hot_keys(big, on)
     if not found:
         return big.join(small, on, how)
-    hot = F.broadcast(big.sparkSession.createDataFrame([(h,) for h in found], "__h long").withColumn("__hot", F.lit(True)))
-    is_hot = F.col("__hot").isNotNull()
-    dealt = (
-        big.withColumn("__h", F.xxhash64(*on)).join(hot, "__h", "left")
-        .withColumn("__salt", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0))
-        .drop("__h", "__hot")
+    is_hot = F.xxhash64(*on).isin(found)  # a set in the plan: a table made of a Python list would start Python workers
+    dealt = big.withColumn(
+        "__salt", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)
     )
-    repeated = (
-        small.withColumn("__h", F.xxhash64(*on)).join(hot, "__h", "left")
-        .withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-        .drop("__h", "__hot")
+    repeated = small.withColumn(
+        "__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
     )
     return dealt.join(repeated, [*on, "__salt"], how).drop("__salt")
 

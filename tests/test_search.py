@@ -418,6 +418,20 @@ def test_hot_keys_are_dealt_out(spark, how):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
+def test_many_hot_keys_need_no_table(spark):
+    """Hot keys are a set in the plan, of any number: no rows from Python, whose workers the executors would start."""
+    from tessera.operators.joins import SALTS, hot_keys, salted_join
+
+    big = spark.range(800 * SALTS).select("id", (F.col("id") % 800).alias("k"))
+    small = spark.range(0, 1600, 2).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+    assert len(hot_keys(big, ["k"])) == 800
+    got = salted_join(big, small, ["k"], "left", measure=False)
+    plan = got._jdf.queryExecution().optimizedPlan()
+    leaves = [plan.collectLeaves().apply(i).nodeName() for i in range(plan.collectLeaves().size())]
+    assert leaves == ["Range", "Range"]
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, big.join(small, "k", "left").collect()))
+
+
 @pytest.mark.parametrize("cell_rows", [7, 4096])
 def test_keyword_pairs_are_made_by_many_tasks(spark, monkeypatch, cell_rows):
     """Two values that all rows share, in tables of one split: every pair once, and no task makes a value's pairs alone."""
