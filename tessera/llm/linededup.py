@@ -77,8 +77,9 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -
 def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with ``text`` cleaned and ``__lines``, ``__removed`` (numbers of lines) added."""
     inner, names = masked(docs.drop("__lines", "__removed"), ("text", "source"))
-    # stored, so that it is a side of its own and a hot line of the join below can be split
-    repeated = stage(boilerplate(inner, min_sites), "boilerplate")
+    # stored, so that it is a side of its own and a hot line of the join below can be split;
+    # few lines of many come through, so they are gathered first and not a file for each task that counts
+    repeated = stage(boilerplate(inner, min_sites).hint("rebalance"), "boilerplate")
     lost = stage(
         _hashed_lines(inner, hash128(F.col("text")).alias("__text"))
         .join(repeated, "line", "left_semi")

@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, htmltext, langid, linededup, quality, secrets
+from tessera.session import stage
 from tests.llm import brute
 from tests.llm.conftest import frame, prose, rows_of
 
@@ -157,6 +158,24 @@ def test_lines_exact_near_the_threshold(spark):
     assert all((text == "") == (doc // 1000 >= 5) for doc, text in left.items())
 
 
+def test_boilerplate_is_stored_in_few_files(spark, monkeypatch):
+    """Few lines of many are boilerplate: tasks that count lines do not store a file each."""
+    rows = [(i, f"{prose(i, 60)}\nline {i % 20} on many sites", "en", f"site{i // 20}", 1) for i in range(400)]
+    stored = {}
+    monkeypatch.setattr(linededup, "stage", lambda df, label: stored.setdefault(label, stage(df, label)))
+    adaptive = "spark.sql.adaptive."
+    small = {f"{adaptive}{k}": "4k" for k in ("advisoryPartitionSizeInBytes", "coalescePartitions.minPartitionSize")}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        got = lines_of(frame(spark, rows))
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert not any("many sites" in text for _, text in got)
+    assert stored["boilerplate"].count() == 20 and len(stored["boilerplate"].inputFiles()) == 1
+
+
 def test_lines_of_an_empty_table(no_docs):
     assert linededup.line_dedup(no_docs).count() == 0
 
