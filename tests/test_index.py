@@ -3,15 +3,16 @@ import random
 import re
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tessera import schema as S
 from tessera import session
 from tessera.operators.chunk import explode_chunks
-from tessera.operators.embed import embed_with, hash_embedding
+from tessera.operators.embed import embed_with, hash_embedding, hash_embeddings
 from tessera.operators.enrich import enrich, metadata, with_catalogue_columns
 from tessera.queries.common import catalogue
-from tessera.plans.indexing import refresh
+from tessera.plans.indexing import index_rows, refresh
 from tessera.sources.catalogue import read_catalogue_csv, with_row_index, write_catalogue_csv
 from tessera.sources import store as ST
 from tessera.sources.store import DocumentTable, applied, multi_get
@@ -345,3 +346,61 @@ def test_dealt_rows_are_loaded_without_another_shuffle(spark, tmp_path, monkeypa
     stored = table.read().select(F.col("metadata.id_app").alias("i"), table.bucket().alias("b"), F.col("_metadata.file_path").alias("f")).collect()
     assert sorted(r["i"] for r in stored) == ["", "1", "2", "4", "7"]
     assert all(f"tessera_bucket={r['b']}/" in r["f"] for r in stored)
+
+
+def test_vectors_are_made_before_rows_become_chunks(spark, sf):
+    plan = index_rows(catalogue(spark, sf), 8)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("ArrowEvalPython") :]
+    assert below.count("Generate ") == 1  # that of the rows kept; the chunks' one is above
+
+
+def test_vectors_of_an_array_are_those_of_its_texts(spark):
+    df = spark.createDataFrame([(0, ["a b", "", "c c d", None]), (1, []), (2, None), (3, ["b"])], "k int, t array<string>")
+    got = {r[0]: r[1] for r in df.select("k", hash_embeddings(F.col("t"), 8)).collect()}
+    assert got[1] == [] and got[2] is None
+    for k, texts in ((0, ["a b", "", "c c d", None]), (3, ["b"])):
+        one = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", hash_embedding(F.col("t"), 8))
+        assert got[k] == [v for _, v in sorted(map(tuple, one.collect()))]
+
+
+def test_rows_are_written_to_folders_without_a_sort(spark, tmp_path, monkeypatch):
+    seen = []
+    parquet = DataFrameWriter.parquet
+    held = lambda: spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: seen.append(held()) or parquet(self, *a, **k))
+    before = held()
+    DocumentTable(spark, str(tmp_path / "t"), "id", 4).replace(spark.range(50))
+    assert seen[0] == str(ST.OPEN_FOLDERS) != "0" and held() == before
+    assert DocumentTable(spark, str(tmp_path / "t"), "id", 4).read().count() == 50
+
+
+@pytest.mark.parametrize("parts, shuffled", [(8, False), (1, True)])
+def test_many_replaced_keys_leave_wide_rows_in_their_tasks(spark, monkeypatch, parts, shuffled):
+    monkeypatch.setattr(ST, "BROADCAST_MAX_ROWS", 30)
+    monkeypatch.setattr(ST, "KEY_PARTS", parts)
+    monkeypatch.setattr(ST, "salted_join", lambda big, small, on, how, measure: big.join(small.hint("merge"), on, how))
+    rows = session.stage(spark.range(200).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit("text").alias("x")), "rows")
+    keys = session.stage(spark.range(1, 101).select(F.col("id").alias("__key")), "keys")
+    out = ST._without_keys(rows, keys, "k")
+    assert ("hashpartitioning" in out._jdf.queryExecution().executedPlan().toString()) == shuffled
+    assert sorted(r["k"] or 0 for r in out.collect()) == [0, *range(101, 200)]
+
+
+def test_a_merge_writes_its_rows_once_and_adds_where_nothing_is_replaced(spark, tmp_path):
+    table = DocumentTable(spark, str(tmp_path / "t"))
+    table.replace(spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, x string"))
+    before = set(table.files())
+    table.merge(spark.createDataFrame([(3, "d"), (None, "e")], "k int, x string"), "k")
+    assert before < set(table.files())
+    table.merge(spark.createDataFrame([(2, "f"), (3, "g")], "k bigint, x string"), "k")
+    assert not before & set(table.files())
+    assert sorted((r["k"] or 0, r["x"]) for r in table.read().collect()) == [(0, "c"), (0, "e"), (1, "a"), (2, "f"), (3, "g")]
+
+
+def test_a_loaded_batch_leaves_no_staged_copy(spark, tmp_path):
+    table, staged = DocumentTable(spark, str(tmp_path / "t"), "metadata.id_app", 4), len(session._staged)
+    for i, ids in enumerate(([1, 2], [2, 3])):
+        arrive(tmp_path / "in", f"v{i}.csv", ids)
+        os.utime(tmp_path / "in" / f"v{i}.csv", (1_000 * (i + 1),) * 2)
+        A.refresh_on_arrival(A.arriving_catalogue(spark, str(tmp_path / "in")), table, str(tmp_path / "offsets"), 8)
+    assert len(session._staged) == staged and sorted(i for _, i in ids_of(table)) == ["1", "2", "3"]
