@@ -401,7 +401,7 @@ def arrivals_after_load(spark, sf_dir):
         part = rows.where(third == i).withColumn("Id_App", F.concat(F.lit(prefix), "Id_App")).drop("original_row_index")
         write_catalogue_csv(part, f"{inbox}/{i}")
         A.refresh_on_arrival(A.arriving_catalogue(spark, f"{inbox}/*", folders=True), store, offsets, C.EMBED_DIM)
-    found = stage(store.read(), "arrived-rows")
+    found = store.read()
     numbered = found.agg(
         F.count_distinct("original_row_index").alias("rows_numbered"), (F.max("original_row_index") + 1).alias("numbers")
     )

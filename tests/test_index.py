@@ -11,6 +11,7 @@ from tessera import session
 from tessera.operators.chunk import explode_chunks
 from tessera.operators.embed import embed_with, hash_embedding, hash_embeddings
 from tessera.operators.enrich import enrich, metadata, with_catalogue_columns
+from tessera.queries import tables
 from tessera.queries.common import catalogue
 from tessera.plans.indexing import index_rows, refresh
 from tessera.sources.catalogue import read_catalogue_csv, with_row_index, write_catalogue_csv
@@ -404,3 +405,9 @@ def test_a_loaded_batch_leaves_no_staged_copy(spark, tmp_path):
         os.utime(tmp_path / "in" / f"v{i}.csv", (1_000 * (i + 1),) * 2)
         A.refresh_on_arrival(A.arriving_catalogue(spark, str(tmp_path / "in")), table, str(tmp_path / "offsets"), 8)
     assert len(session._staged) == staged and sorted(i for _, i in ids_of(table)) == ["1", "2", "3"]
+
+
+def test_rows_read_after_arrivals_are_not_stored_again(spark, sf, monkeypatch):
+    labels = []
+    monkeypatch.setattr(tables, "stage", lambda df, label: labels.append(label) or session.stage(df, label))
+    assert tables.arrivals_after_load(spark, sf).count() > 0 and labels == ["first-load"]
