@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera import schema as S
 from tessera.operators import bm25 as M
 from tessera.operators.knn import knn_exact, knn_score
-from tessera.operators.rowscore import Parts, score_rows
+from tessera.operators.rowscore import Parts, match_rows, score_rows
 from tessera.operators.rules import EQUALITY_FILTERS
 from tessera.operators.textindex import TextIndex
 from tessera.session import lookup_join, stage
@@ -23,9 +24,9 @@ CLAUSES = list(BOOSTS)
 
 # Keyword parts: the document field they read and the question column that must equal it.
 KEYWORDS = {"name:term": ("name", "exact_name"), "name:text": ("name", "question"), "owner:text": ("owner", "question")}
-# Fields that matches are counted by, and all fields that a search reads of every document.
-COUNTED = ["id_app", "country"]
-FIELDS = list(dict.fromkeys([*[f for f, _ in KEYWORDS.values()], *COUNTED, *EQUALITY_FILTERS]))
+# Field whose values are counted once each, field that matches are counted by, and all fields that a search reads of every document.
+MEMBER, COUNTED = "id_app", "country"
+FIELDS = list(dict.fromkeys([*[f for f, _ in KEYWORDS.values()], MEMBER, COUNTED, *EQUALITY_FILTERS]))
 
 
 def _combine(parts: Parts) -> tuple[Parts, np.ndarray]:
@@ -65,7 +66,6 @@ class Hybrid:
         )
         near = knn_exact(index.whole, questions, 3 * top_k, keys, qid)
         self.shared = {
-            "combine": _combine,
             "phrase": "question",
             "fields": fields,
             "asked": M.keyword_weights(index.docs, fields, asked),
@@ -76,17 +76,26 @@ class Hybrid:
     def best(self) -> DataFrame:
         """(qid, keys, clauses, score, rank): the best chunks of every question that lists any."""
         listed = self.questions.filter(~F.col("is_numerical"))
-        rows = score_rows(self.index, listed, self.qid, self.weights, self.top_k, names=CLAUSES, **self.shared)
+        rows = score_rows(self.index, listed, self.qid, self.weights, self.top_k, combine=_combine, names=CLAUSES, **self.shared)
         return stage(top_hits(rows.drop("n"), self.top_k, list(self.index.keys), self.qid), "hits")
 
-    def matches(self) -> DataFrame:
-        """(qid, id_app, country, n): matching chunks of every question, counted before they are shuffled."""
+    def matches(self, members: bool = True) -> tuple[DataFrame, DataFrame | None]:
+        """(qid, country, n): matching chunks of every question; (qid, id_app): applications with one, once each.
+
+        One scan gives both. An application is shuffled with 64 questions in a row, not with each.
+        """
         md = F.col("metadata")
-        rows = score_rows(
-            self.index, self.questions, self.qid, self.weights, 0,
-            count_by={c: md[c] for c in COUNTED}, **self.shared,
+        rows, bits = match_rows(
+            self.index, self.questions, self.qid, self.weights, {COUNTED: md[COUNTED]}, md[MEMBER] if members else None, **self.shared
         )
-        return rows.groupBy(self.qid, *COUNTED).agg(F.sum("n").alias("n"))
+        rows = stage(rows, "matches")
+        counts = rows.where("n is not null").groupBy(self.qid, COUNTED).agg(F.sum("n").alias("n"))
+        if not members:
+            return counts, None
+        cell = ["block", "word"]
+        sets = rows.where("bits is not null").groupBy("member", *cell).agg(F.bit_or("bits").alias("bits"))
+        found = lookup_join(sets, stage(bits, "question-bits"), cell).where(F.col("bits").bitwiseAND(F.col("mask")) != 0)
+        return counts, found.select(self.qid, F.col("member").alias(MEMBER))
 
 
 def explain(scores: DataFrame, qid: str = "question_id", keys: tuple[str, ...] = ("original_row_index", "chunk_pos")) -> DataFrame:
@@ -110,15 +119,56 @@ def preview(hits: DataFrame, n: int = 3) -> DataFrame:
 class SearchResponse:
     """Hits, totals and facets of a batch of questions, as tables.
 
-    ``best`` has the clause scores of the hits, ``hits`` their documents, ``matches`` the
-    matching chunks per application and country.
+    ``best`` has the clause scores of the hits, ``hits`` their documents. Totals and facets are a pass of
+    their own, made once and only where one of them is read.
     """
 
+    run: Hybrid
     best: DataFrame
     hits: DataFrame
-    matches: DataFrame
-    totals: DataFrame
-    by_country: DataFrame
+    approximate: bool
+    aggregate: bool
+
+    @cached_property
+    def _matched(self) -> tuple[DataFrame, DataFrame | None]:
+        return self.run.matches(self.aggregate)
+
+    @property
+    def matches(self) -> DataFrame | None:
+        """(qid, id_app): every application with a matching chunk, once; none without ``aggregate``."""
+        return self._matched[1]
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        """(qid, is_numerical, total, matched_chunks, returned, has_more)."""
+        qid, questions, (counts, members) = self.run.qid, self.run.questions, self._matched
+        counted = counts.groupBy(qid).agg(F.sum("n").alias("matched_chunks"))
+        if members is None:
+            counted = counted.withColumn("total", F.lit(None).cast("bigint"))
+        else:
+            total = F.approx_count_distinct(MEMBER) if self.approximate else F.count(F.lit(1))
+            counted = counted.join(members.groupBy(qid).agg(total.alias("total")), qid, "left")
+        return (
+            questions.select(qid, "is_numerical")
+            .join(counted, qid, "left")
+            .select(
+                qid,
+                "is_numerical",
+                F.coalesce("total", "matched_chunks", F.lit(0)).cast("bigint").alias("total"),
+                F.coalesce("matched_chunks", F.lit(0)).cast("bigint").alias("matched_chunks"),
+            )
+            .withColumn("returned", F.when(F.col("is_numerical"), 0).otherwise(F.least("matched_chunks", F.lit(self.run.top_k))).cast("bigint"))
+            .withColumn("has_more", ~F.col("is_numerical") & (F.col("total") > F.col("returned")))
+        )
+
+    @cached_property
+    def by_country(self) -> DataFrame:
+        """(qid, country, doc_count, rank): the ten largest countries of questions that name none."""
+        qid, questions = self.run.qid, self.run.questions
+        faceted = questions.filter(~F.col("is_numerical") & F.col("country").isNull()).select(qid)
+        counts = lookup_join(self._matched[0], faceted, [qid], "left_semi").withColumnRenamed("n", "doc_count")
+        w = Window.partitionBy(qid).orderBy(F.desc("doc_count"), "country")
+        return counts.withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
 
 
 def search(
@@ -127,38 +177,10 @@ def search(
     """Run the whole question batch; ``questions`` holds the extracted filters and ``embedding``.
 
     The total is the number of distinct applications, exact or from a mergeable sketch
-    (``approximate``). Without ``aggregate`` it is the number of matching chunks. Totals and
-    facets are a pass of their own, made only where they are read.
+    (``approximate``). Without ``aggregate`` it is the number of matching chunks.
     """
     keys = list(index.keys)
-    questions = stage(questions, "questions")
-    run = Hybrid(index, questions, top_k, qid)
+    run = Hybrid(index, stage(questions, "questions"), top_k, qid)
     best = run.best()
     hits = lookup_join(index.whole.select(*keys, "text_content", "metadata"), best.select(qid, *keys, "score", "rank"), keys)
-    matches = run.matches()
-    if aggregate and not approximate:
-        # applications are told apart by grouping, so that no task holds all those of a question
-        apps = matches.groupBy(qid, "id_app").agg(F.sum("n").alias("n"))
-        total = F.count(F.lit(1))
-    else:
-        apps = matches
-        total = F.approx_count_distinct("id_app") if aggregate else F.lit(None).cast("bigint")
-    counted = apps.groupBy(qid).agg(total.alias("total"), F.sum("n").alias("matched_chunks"))
-    totals = (
-        questions.select(qid, "is_numerical")
-        .join(counted, qid, "left")
-        .select(
-            qid,
-            "is_numerical",
-            F.coalesce("total", "matched_chunks", F.lit(0)).cast("bigint").alias("total"),
-            F.coalesce("matched_chunks", F.lit(0)).cast("bigint").alias("matched_chunks"),
-        )
-        .withColumn("returned", F.when(F.col("is_numerical"), 0).otherwise(F.least("matched_chunks", F.lit(top_k))).cast("bigint"))
-        .withColumn("has_more", ~F.col("is_numerical") & (F.col("total") > F.col("returned")))
-    )
-
-    faceted = questions.filter(~F.col("is_numerical") & F.col("country").isNull()).select(qid)
-    counts = lookup_join(matches, faceted, [qid], "left_semi").groupBy(qid, "country").agg(F.sum("n").alias("doc_count"))
-    w = Window.partitionBy(qid).orderBy(F.desc("doc_count"), "country")
-    by_country = counts.withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
-    return SearchResponse(best, hits, matches, totals, by_country)
+    return SearchResponse(run, best, hits, approximate, aggregate)

@@ -34,6 +34,9 @@ HEAVY_SHARE = 0.05
 HEAVY_CELLS = 2_000_000
 BLOCK_BYTES = 16 * 1024 * 1024
 SCORE_DIGITS = 6
+# Questions of which a row of ``match_rows`` tells whether they match; (group, question) counts a task holds.
+WORD_BITS = 64
+COUNT_CELLS = 1_000_000
 
 Parts = dict[str, np.ndarray]
 
@@ -277,20 +280,85 @@ def score_rows(
     holds (qid, keys, near). ``need`` holds (qid, need): text counts in documents with that many
     of the asked words, else with one. An empty question set gives no row.
     """
-    keys, names, fields, filters = list(index.keys), names or [], fields or {}, filters or {}
+    keys, names = list(index.keys), names or []
     carry = {**(carry or {}), **(count_by or {})}
-    docs = index.docs.select(
-        *keys, "dl", "tokens", *[c.alias(f"__c_{a}") for a, c in carry.items()],
-        *[c.cast("string").alias(f"__v_{a}") for a, c in fields.items()],
-        *[c.cast("string").alias(f"__f_{a}") for a, c in filters.items()],
-    )
+    columns = {f"__c_{a}": c for a, c in carry.items()}
+    docs, _, blocks = _blocks(index, columns, questions, qid, weights, phrase, fields or {}, asked, filters or {}, near, need)
     kinds = {f.name: f.dataType for f in docs.schema}
-    q_type = questions.schema[qid].dataType
     schema = T.StructType(
-        [T.StructField(qid, q_type), *[T.StructField(a, kinds[f"__c_{a}"]) for a in carry], *[T.StructField(c, kinds[c]) for c in keys]]
+        [T.StructField(qid, questions.schema[qid].dataType), *[T.StructField(a, kinds[f"__c_{a}"]) for a in carry], *[T.StructField(c, kinds[c]) for c in keys]]
         + [T.StructField(c, T.DoubleType()) for c in [*names, "score"]] + [T.StructField("n", T.LongType())]
     )
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
+    # plain names, because the tasks cannot hold columns
+    carried, counted = list(carry), None if count_by is None else list(count_by)
+    out = None
+    for _, shared, source in blocks:
+
+        def scan(batches, shared=shared):
+            yield from _scan(shared.value, batches, keys, carried, names, k, counted, combine, qid, arrow)
+
+        one = source.mapInArrow(scan, schema)
+        out = one if out is None else out.unionByName(one)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def match_rows(
+    index: TextIndex,
+    questions: DataFrame,
+    qid: str,
+    weights: DataFrame,
+    count_by: dict[str, Column],
+    sets_of: Column | None = None,
+    phrase: str | None = None,
+    fields: dict[str, Column] | None = None,
+    asked: DataFrame | None = None,
+    filters: dict[str, Column] | None = None,
+    near: DataFrame | None = None,
+    need: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """What matches every question, unscored: counts, and which values of ``sets_of`` match which questions.
+
+    Rows of (qid, ``count_by``, n) hold the number of matches of a task. Rows of (member, block, word, bits)
+    hold 64 questions each: those for which a document with the value ``member`` matches. So a value takes a
+    row for 64 questions, not for each. The second table, (qid, block, word, mask), says which bit is whose.
+    A member can have several rows for a word, of which each may hold bits that the others lack.
+    """
+    columns = {f"__c_{a}": c for a, c in count_by.items()} | ({} if sets_of is None else {"__member": sets_of})
+    docs, wanted, blocks = _blocks(index, columns, questions, qid, weights, phrase, fields or {}, asked, filters or {}, near, need)
+    kinds = {f.name: f.dataType for f in docs.schema}
+    schema = T.StructType(
+        [T.StructField(qid, questions.schema[qid].dataType), *[T.StructField(a, kinds[f"__c_{a}"]) for a in count_by], T.StructField("n", T.LongType())]
+        + [T.StructField("member", kinds.get("__member", T.StringType())), T.StructField("block", T.IntegerType())]
+        + [T.StructField("word", T.IntegerType()), T.StructField("bits", T.LongType())]
+    )
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
+    names, sets = list(count_by), sets_of is not None
+    out = None
+    for b, shared, source in blocks:
+
+        def scan(batches, b=b, shared=shared):
+            yield from _match(shared.value, batches, names, sets, b, qid, arrow)
+
+        one = source.mapInArrow(scan, schema)
+        out = one if out is None else out.unionByName(one)
+    number = F.row_number().over(Window.partitionBy("block").orderBy(qid)) - 1
+    bits = wanted.select(qid, "block").withColumn("number", number).select(
+        qid, "block", F.floor(F.col("number") / WORD_BITS).cast("int").alias("word"),
+        F.expr(f"shiftleft(1L, cast(number % {WORD_BITS} as int))").alias("mask"),
+    )
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out, bits
+
+
+def _blocks(index, columns, questions, qid, weights, phrase, fields, asked, filters, near, need):
+    """(documents, questions with their block, (block number, broadcast block, documents with their neighbours) of every block)."""
+    keys = list(index.keys)
+    docs = index.docs.select(
+        *keys, "dl", "tokens", *[c.alias(a) for a, c in columns.items()],
+        *[c.cast("string").alias(f"__v_{a}") for a, c in fields.items()],
+        *[c.cast("string").alias(f"__f_{a}") for a, c in filters.items()],
+    )
+    q_type = questions.schema[qid].dataType
     tokens = X.tokens(F.col(phrase)) if phrase else F.array().cast("array<string>")
     wanted = stage(
         questions.select(qid, tokens.alias("__tokens"), *[F.col(f).cast("string").alias(f"__f_{f}") for f in filters]), "asked"
@@ -298,11 +366,10 @@ def score_rows(
     avgdl = index.stats[1]
     size = max(measured_size(weights.select(qid, "term", "w"))[1], measured_size(wanted)[1])
     n_blocks = 1 + size // BLOCK_BYTES
-    # plain names, because the tasks cannot hold columns
-    carried, counted = list(carry), None if count_by is None else list(count_by)
-    out = None
+    block_of = F.pmod(F.xxhash64(F.col(qid).cast("string")), F.lit(n_blocks)).cast("int")
+    blocks = []
     for b in range(n_blocks):
-        part = F.pmod(F.xxhash64(F.col(qid).cast("string")), F.lit(n_blocks)) == b
+        part = block_of == b
         rows = wanted.filter(part).orderBy(qid).collect()
         if not rows:
             continue
@@ -337,14 +404,8 @@ def score_rows(
             mine = near.filter(part).join(F.broadcast(wanted.filter(part).select(qid)), qid, "left_semi")
             lists = mine.groupBy(*keys).agg(F.collect_list(F.struct(qid, "near")).alias("near"))
             source = lookup_join(docs, stage(lists, "near"), keys, "left")
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def scan(batches, shared=shared):
-            yield from _scan(shared.value, batches, keys, carried, names, k, counted, combine, qid, arrow)
-
-        one = source.mapInArrow(scan, schema)
-        out = one if out is None else out.unionByName(one)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+        blocks.append((b, docs.sparkSession.sparkContext.broadcast(block), source))
+    return docs, wanted.withColumn("block", block_of), blocks
 
 
 def _text_only(parts: Parts) -> tuple[Parts, np.ndarray]:
@@ -374,6 +435,52 @@ def _groups(columns: list[pa.Array], n: int) -> np.ndarray:
     return out
 
 
+def _runs(group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | slice]:
+    """(first row, start, order) of the rows of each group, ordered by group; rows that are so already stay."""
+    if (np.diff(group) < 0).any():
+        order = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+        return order[starts], starts, order
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    return starts, starts, slice(None)
+
+
+def _match(block, batches, names, sets, number, qid, arrow) -> Iterator[pa.RecordBatch]:
+    nq = len(block.ids)
+    counts: dict[tuple, np.ndarray] = {}
+
+    def shaped(n: int, columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+        arrays = [columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in arrow]
+        return iter(pa.table(arrays, schema=arrow).to_batches(max_chunksize=100_000))
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        for values, n in counts.items():
+            q = np.flatnonzero(n)
+            fixed = {c: pa.repeat(pa.scalar(v, arrow.field(c).type), len(q)) for c, v in zip(names, values)}
+            yield from shaped(len(q), {qid: block.ids.take(pa.array(q)), **fixed, "n": pa.array(n[q])})
+        counts.clear()
+
+    for batch in batches:
+        group = _groups([batch.column(f"__c_{c}") for c in names], batch.num_rows)
+        member = _groups([batch.column("__member")], batch.num_rows) if sets else None
+        for lo, valid, _, _ in block.slices(batch, scored=False):
+            first, starts, order = _runs(group[lo : lo + len(valid)])
+            for at, n in zip((lo + first).tolist(), np.add.reduceat(valid[order], starts, axis=0, dtype=np.int64)):
+                values = tuple(batch.column(f"__c_{c}")[at].as_py() for c in names)
+                counts[values] = counts[values] + n if values in counts else n
+            if len(counts) * nq > COUNT_CELLS:
+                yield from counted()
+            if sets:
+                first, starts, order = _runs(member[lo : lo + len(valid)])
+                held = np.zeros((len(starts), -(-nq // WORD_BITS) * WORD_BITS), dtype=bool)
+                held[:, :nq] = np.logical_or.reduceat(valid[order], starts, axis=0)
+                words = np.packbits(held, axis=1, bitorder="little").view("<i8")
+                at, word = np.nonzero(words)
+                members = batch.column("__member").take(pa.array(lo + first[at]))
+                yield from shaped(len(at), {"member": members, "block": pa.repeat(number, len(at)), "word": pa.array(word), "bits": pa.array(words[at, word])})
+    yield from counted()
+
+
 def _scan(block, batches, keys, carry, names, k, count_by, combine, qid, arrow) -> Iterator[pa.RecordBatch]:
     best = Best(k, len(block.ids), keys)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from tessera import session
 from tessera.operators import bm25 as M
+from tessera.operators import hybrid as H
 from tessera.operators import metrics, rowscore, rules, spans
 from tessera.operators.answer import parse_answers
 from tessera.operators.joins import percolate
@@ -195,6 +196,49 @@ def test_row_scores_equal_plain_rule(spark, monkeypatch, cells, block_bytes):
     assert seen == counts
 
 
+@pytest.mark.parametrize(("cells", "block_bytes", "count_cells"), [(500_000, 1 << 24, 1_000_000), (7, 3_000, 1)])
+def test_match_rows_hold_64_questions_of_a_value(spark, monkeypatch, cells, block_bytes, count_cells):
+    """The same matches as counted per value and question, in one row for 64 questions of a task's run of a value."""
+    rng = random.Random(3)
+    monkeypatch.setattr(rowscore, "CELLS", cells)
+    monkeypatch.setattr(rowscore, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(rowscore, "COUNT_CELLS", count_cells)
+    docs = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(4))), rng.choice(["x", "y", "z", None]), f"m{rng.randrange(9)}") for i in range(60)]
+    index = TextIndex.build(spark.createDataFrame(docs, "id int, t string, place string, name string").repartition(3), ["id"], "t")
+    asked = spark.createDataFrame([(q, rng.choice("abcdefghi")) for q in range(150)], "q int, question string")
+    weights = M.term_weights(index, M.question_terms(asked, "q", "question"))
+    rows, bits = rowscore.match_rows(index, asked, "q", weights, {"place": F.col("place")}, F.col("name"), phrase="question")
+    rows = rows.cache()
+    pairs = [(q, i, p, n) for q, w in map(tuple, asked.collect()) for i, t, p, n in docs if w in t.split()]
+    seen = Counter()
+    for r in rows.where("n is not null").collect():
+        seen[r["q"], r["place"]] += r["n"]
+    assert seen == Counter((q, p) for q, _, p, _ in pairs)
+    sets = rows.where("bits is not null").collect()
+    whose = {(r["block"], r["word"], r["mask"]): r["q"] for r in bits.collect()}
+    assert len(whose) == 150
+    assert {(q, r["member"]) for r in sets for (b, w, m), q in whose.items() if (b, w) == (r["block"], r["word"]) and r["bits"] & m} == {
+        (q, n) for q, _, _, n in pairs
+    }
+    if cells > 7:
+        assert len(sets) <= 9 * 3 * 3  # names, tasks and words
+
+
+def test_totals_shuffle_an_application_once_for_many_questions(spark):
+    hybrid = H.Hybrid.__new__(H.Hybrid)
+    docs = spark.range(300).select(
+        F.col("id"), F.lit("a b").alias("t"), F.struct((F.col("id") % 100).cast("string").alias("id_app"), F.lit("Peru").alias("country")).alias("metadata")
+    )
+    hybrid.index = TextIndex.build(docs.repartition(3), ["id"], "t")
+    hybrid.questions, hybrid.qid, hybrid.shared = spark.range(70).select(F.col("id").alias("q"), F.lit("a").alias("question")), "q", {}
+    hybrid.weights = M.term_weights(hybrid.index, M.question_terms(hybrid.questions, "q", "question"))
+    counts, members = hybrid.matches()
+    assert counts.count() == 70 and counts.where("country = 'Peru' and n = 300").count() == 70
+    assert members.count() == members.distinct().count() == 7_000
+    plan = members._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(member" in plan and "hashpartitioning(q" not in plan
+
+
 def test_row_scores_without_questions_or_documents(spark):
     index = TextIndex.build(spark.createDataFrame([(1, "a b")], "id int, t string"), ["id"], "t")
     asked = spark.createDataFrame([(1, "a")], "q int, question string")
